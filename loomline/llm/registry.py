@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op8_decontaminate": op8_decontaminate,
+}
+SQL: dict[str, str] = {
+    "op8_decontaminate": OP8_SQL,
 }
-SQL: dict[str, str] = {}
