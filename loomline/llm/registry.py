@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
+from .quality import op4_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op4_quality": op4_quality,
     "op8_decontaminate": op8_decontaminate,
 }
 SQL: dict[str, str] = {
