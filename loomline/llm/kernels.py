@@ -111,7 +111,7 @@ def join_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(k) * _GOLDEN)
+    out = np.full(n, np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
     for i in range(k):
         out = mix(out ^ h[i : n + i]) * _GOLDEN
     return out
