@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
 from .neardup import OP5_SQL, op5_near_duplicates
+from .packing import op9_pack
 from .quality import op4_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
+    "op9_pack": op9_pack,
 }
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
