@@ -11,6 +11,7 @@ from .language import op2_language_id
 from .neardup import OP5_SQL, op5_near_duplicates
 from .packing import op9_pack
 from .quality import op4_quality
+from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
@@ -18,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_duplicates": op5_near_duplicates,
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op10_substring_dedup": OP10_SQL,
 }
