@@ -39,6 +39,8 @@ from .shared import Tables
 VALUES = 120
 #: Classes of a block, where a bucket or a cluster is cut.
 BLOCK = 1500
+#: Hash values by which texts are sifted before full sets are compared.
+SLOTS = 1 << 19
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -221,7 +223,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     members = _tiled(clusters.join(sizes, "root"), "root", "n", "node", block)
-    checked = members.join(docs, members.node == docs.id).select("_tile", "id", "text", (F.col("n") > block).alias("many"))
+    # texts of no cluster are mostly left out before the shuffle, by a set of id hashes of bounded size
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+    slots = clusters.select(slot("node").alias("slot")).distinct()
+    wanted = docs.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
+    checked = members.hint("merge").join(wanted, members.node == wanted.id).select("_tile", "id", "text", (F.col("n") > block).alias("many"))
     links = tables.put(checked.repartition("_tile").sortWithinPartitions("_tile", "id").mapInArrow(_confirmed_links(words, percent), "a long, b long, many boolean"))
     groups = links.where("NOT many").select(F.col("a").alias("id"), F.col("b").alias("root"))
     if not links.where("many").isEmpty():
