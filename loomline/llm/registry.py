@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
+from .licenses import OP6_SQL, op6_licenses
 from .neardup import OP5_SQL, op5_near_duplicates
 from .packing import op9_pack
 from .quality import op4_quality
@@ -17,12 +18,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_licenses": op6_licenses,
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
     "op10_substring_dedup": op10_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
+    "op6_licenses": OP6_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
