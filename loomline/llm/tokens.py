@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a piece with it.
@@ -37,6 +37,9 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+#: The character by which byte-level BPE writes each byte: visible ones themselves, the others from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_WRITTEN = {b: (b if b in _VISIBLE else 256 + sum(x not in _VISIBLE for x in range(b))) for b in range(256)}
 
 
 def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,21 +97,22 @@ class Encoder:
         self.at, self.long = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        for lists in (self.tokenizer.encode_batch([x.decode() for x in fresh[i : i + 4096]], add_special_tokens=False) for i in range(0, len(fresh), 4096)):
-            for x in lists:
-                k, ids = len(self.seen), x.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                if k >= len(self.at):
-                    self.at, self.long = (np.concatenate((a, np.zeros_like(a))) for a in (self.at, self.long))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[k], self.long[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.seen[fresh[k - self._base]] = k
+        tokenize = self.tokenizer.model.tokenize
+        for piece in fresh:
+            ids = [x.id for x in tokenize(piece.decode("latin-1").translate(_WRITTEN))]
+            k = len(self.seen)
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            if k >= len(self.at):
+                self.at, self.long = (np.concatenate((a, np.zeros_like(a))) for a in (self.at, self.long))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.at[k], self.long[k] = self.used, len(ids)
+            self.used += len(ids)
+            self.seen[piece] = k
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
-        for at, _, data, offs in K.slices(column, 2 << 20):
+        for at, _, data, offs in K.slices(column):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
             ends = np.append(starts[1:], len(data))
@@ -123,7 +127,6 @@ class Encoder:
                 entry = [get(x, -1) for x in texts]
                 fresh = [x for x, e in zip(texts, entry, strict=True) if e < 0]
                 if fresh:
-                    self._base = len(self.seen)
                     self._learn(fresh)
                     entry = [get(x) for x in texts]
                 entry = np.array(entry)[back]
