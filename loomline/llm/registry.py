@@ -11,11 +11,13 @@ from .language import op2_language_id
 from .licenses import OP6_SQL, op6_licenses
 from .neardup import OP5_SQL, op5_near_duplicates
 from .packing import op9_pack
+from .pii import op3_pii
 from .quality import op4_quality
 from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_licenses": op6_licenses,
