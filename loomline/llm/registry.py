@@ -10,12 +10,14 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
 from .licenses import OP6_SQL, op6_licenses
 from .neardup import OP5_SQL, op5_near_duplicates
+from .neighbours import op1_nearest
 from .packing import op9_pack
 from .pii import op3_pii
 from .quality import op4_quality
 from .substrings import OP10_SQL, op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
     "op4_quality": op4_quality,
