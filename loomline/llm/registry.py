@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .backoff import OP7_SQL, op7_backoff
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
 from .licenses import OP6_SQL, op6_licenses
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": op4_quality,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_licenses": op6_licenses,
+    "op7_backoff": op7_backoff,
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
     "op10_substring_dedup": op10_substring_dedup,
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
     "op6_licenses": OP6_SQL,
+    "op7_backoff": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
 }
