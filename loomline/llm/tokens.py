@@ -2,7 +2,8 @@
 
 Byte-level BPE works on pieces of text alone (a word with the space before it, a run of digits,
 signs or white space). Texts of common characters are cut into these pieces in numpy, and each
-distinct piece is encoded once by the `tokenizers` library and remembered in the worker; texts with
+distinct piece is encoded once by the `tokenizers` library's model and remembered in the worker by a
+64-bit hash; texts with
 other characters go to the library whole. Both give the library's ids.
 """
 
@@ -17,7 +18,8 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_400_000
+_SLOTS = 1 << 21
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a piece with it.
@@ -80,6 +82,38 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero((data & 0xC0) != 0x80)[begin], odd
 
 
+class Numbers:
+    """Numbers 0, 1, ... of 64-bit hashes in the order in which they came: a table with open addressing, looked up many at a time."""
+
+    def __init__(self):
+        self.keys, self.values, self.n = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for new ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        left, slot = np.arange(len(hashes)), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            key = self.keys[slot]
+            same = key == hashes[left]
+            out[left[same]] = self.values[slot[same]]
+            on = ~same & (key != 0)
+            left, slot = left[on], (slot[on] + 1) % _SLOTS
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """New hashes, each once."""
+        left, slot = np.arange(len(hashes)), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[first]] = hashes[left[first]]
+            self.values[slot[first]] = self.n + left[first]
+            on = np.ones(len(left), bool)
+            on[first] = False
+            left, slot = left[on], (slot[on] + 1) % _SLOTS
+        self.n += len(hashes)
+
+
 class Encoder:
     """A tokenizer file, with the ids of the pieces seen so far."""
 
@@ -92,15 +126,15 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.seen: dict[bytes, int] = {}
+        self.seen = Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.long = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
+        """fresh: pieces as byte-level BPE writes them."""
         tokenize = self.tokenizer.model.tokenize
-        for piece in fresh:
-            ids = [x.id for x in tokenize(piece.decode("latin-1").translate(_WRITTEN))]
-            k = len(self.seen)
+        for k, piece in enumerate(fresh, self.seen.n):
+            ids = [x.id for x in tokenize(piece)]
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
             if k >= len(self.at):
@@ -108,7 +142,6 @@ class Encoder:
             self.flat[self.used : self.used + len(ids)] = ids
             self.at[k], self.long[k] = self.used, len(ids)
             self.used += len(ids)
-            self.seen[piece] = k
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
@@ -118,18 +151,17 @@ class Encoder:
             ends = np.append(starts[1:], len(data))
             ids, cut = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
             if len(starts):
-                _, first, back = np.unique(K.run_hashes(data, starts, ends), return_index=True, return_inverse=True)
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-                if len(self.seen) + len(texts) > CACHE_PIECES:
+                hashes, first, back = np.unique(np.maximum(K.run_hashes(data, starts, ends), np.uint64(1)), return_index=True, return_inverse=True)
+                if self.seen.n + len(hashes) > CACHE_PIECES:
                     self._clear()
-                get = self.seen.get
-                entry = [get(x, -1) for x in texts]
-                fresh = [x for x, e in zip(texts, entry, strict=True) if e < 0]
-                if fresh:
-                    self._learn(fresh)
-                    entry = [get(x) for x in texts]
-                entry = np.array(entry)[back]
+                entry = self.seen.find(hashes)
+                new = np.flatnonzero(entry < 0)
+                if len(new):
+                    raw = data.tobytes().decode("latin-1").translate(_WRITTEN)
+                    self._learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+                    entry[new] = self.seen.n + np.arange(len(new))
+                    self.seen.add(hashes[new])
+                entry = entry[back]
                 long = self.long[entry]
                 total = np.concatenate(([0], np.cumsum(long)))
                 ids = self.flat[np.repeat(self.at[entry] - total[:-1], long) + np.arange(total[-1])]
