@@ -10,9 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call takes at most (a longer single text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+
+# Buffers go back to the system once they are free; Arrow's default pools keep them for the worker's life.
+pa.set_memory_pool(pa.system_memory_pool())
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,13 +39,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than texts) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
-    if column.null_count:
-        column = column.fill_null("")
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
-    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None and offs[-1] > offs[0] else np.zeros(0, np.uint8)
-    return raw, offs - offs[0]
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if column.null_count and (pc.fill_null(pc.binary_length(pc.if_else(pc.is_null(column), "", column)), 0).to_numpy(zero_copy_only=False) != np.diff(_offsets(column))).any():
+        column = pc.fill_null(column, "")  # the bytes behind a null would count
+    offs = _offsets(column)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)), offs - offs[0]
+
+
+def _offsets(column: pa.Array) -> np.ndarray:
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    return np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -18,8 +18,8 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew.
-CACHE_PIECES = 1_400_000
-_SLOTS = 1 << 21
+CACHE_PIECES = 700_000
+_SLOTS = 1 << 20
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a piece with it.
@@ -145,7 +145,7 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
-        for at, _, data, offs in K.slices(column):
+        for at, _, data, offs in K.slices(column, 1 << 20):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
             ends = np.append(starts[1:], len(data))
