@@ -107,12 +107,19 @@ def owners(starts: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte runs, by differences of one running polynomial sum."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _power("up", len(data))[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", len(data))[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte runs, by differences of one running polynomial sum over at most SLICE_BYTES (or one run)."""
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        from_ = int(starts[at])
+        end = max(at + 1, int(np.searchsorted(ends, from_ + SLICE_BYTES, "right")))
+        part = data[from_ : ends[end - 1]]
+        a, b = starts[at:end] - from_, ends[at:end] - from_
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[part] * _power("up", len(part))[: len(part)], out=total[1:])
+        out[at:end] = mix((total[b] - total[a]) * _power("down", len(part))[a] + (b - a).astype(np.uint64))
+        at = end
+    return out
 
 
 def join_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -224,9 +224,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
     members = _tiled(clusters.join(sizes, "root"), "root", "n", "node", block)
     # texts of no cluster are mostly left out before the shuffle, by a set of id hashes of bounded size
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
-    slots = clusters.select(slot("node").alias("slot")).distinct()
-    wanted = docs.join(F.broadcast(slots), slot("id") == F.col("slot"), "left_semi")
+    slots = clusters.select(_slot(F.col("node")).alias("slot")).distinct()
+    wanted = docs.join(F.broadcast(slots), _slot(F.col("id")) == F.col("slot"), "left_semi")
     checked = members.hint("merge").join(wanted, members.node == wanted.id).select("_tile", "id", "text", (F.col("n") > block).alias("many"))
     links = tables.put(checked.repartition("_tile").sortWithinPartitions("_tile", "id").mapInArrow(_confirmed_links(words, percent), "a long, b long, many boolean"))
     groups = links.where("NOT many").select(F.col("a").alias("id"), F.col("b").alias("root"))
@@ -238,6 +237,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return linked.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).cast("int")
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs whose id is the least of its group; rows that share an id stay or go together, rows without an id stay.
+
+    Only rows whose id hash meets that of a row to go (a set of at most SLOTS values) are shuffled, the others pass."""
+    found = near_duplicates(docs, key, text, words, percent)
+    gone = Tables(docs.sparkSession).put(found.where("NOT kept").select(F.col(key).alias("_gone")).distinct())
+    slots = F.broadcast(gone.select(_slot(F.col("_gone")).alias("_slot")).distinct())
+    clear = docs.join(slots, _slot(F.col(key).cast("long")) == F.col("_slot"), "left_anti")
+    unsure = docs.join(slots, _slot(F.col(key).cast("long")) == F.col("_slot"), "left_semi")
+    return clear.union(unsure.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose three-word shingle sets are alike by 85 % or more, directly or by links."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=85)
