@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import free, small_batches
 
 #: Consecutive words of a pattern.
 WINDOW = 10
@@ -164,10 +165,11 @@ def tables_of(benchmark: DataFrame, item: str = "item_id", text: str = "text", w
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = TABLE_WORDS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
     kept = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    out, parts = kept, []
+    small_batches(docs.sparkSession)
+    out, parts = docs, []
     for k, tables in enumerate(tables_of(benchmark, item, item_text, window, most)):
-        out = out.withColumn(f"_scan{k}", _scanner(tables)(F.col(text)))
-        parts.append(f"_scan{k}")
+        parts.append(free(docs, f"_scan{k}"))
+        out = out.withColumn(parts[-1], _scanner(tables)(F.col(text)))
     hit = F.array_distinct(F.concat(*[f"{p}.hit" for p in parts]))
     items = F.transform(F.array_distinct(F.concat(*[f"{p}.items" for p in parts])), lambda x: x.cast("string"))
     return out.select(

@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import free, small_batches
 
 #: N-grams of a profile.
 TOP = 300
 #: Labelled texts a language, at most, from which its profile is learned (the first by a hash of the key).
-FIT_TEXTS = 1500
+#: Up to 1000 Spark keeps only so many of each language before it shuffles them.
+FIT_TEXTS = 1000
 _EDGE = (1 << 21) - 1
 _TABLE = 0x20000
 _tables: list[np.ndarray] = []
@@ -94,10 +96,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """Learn profiles from labelled texts, from at most `texts` of each language.
 
     What reaches the driver is `top` codes a language."""
-    order = Window.partitionBy("_lang").orderBy("_by", "_key")
-    ids = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(lang).alias("_lang"))
-    ids = ids.withColumn("_by", F.xxhash64("_key")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= texts).select("_key").distinct()
-    chosen = labelled.where(F.col(lang).isNotNull()).join(F.broadcast(ids), F.col(key) == F.col("_key"), "left_semi")
+    small_batches(labelled.sparkSession)
+    order = Window.partitionBy("l").orderBy("by", "id")
+    labelled = labelled.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l IS NOT NULL")
+    ids = labelled.where("t IS NOT NULL").select("id", "l").withColumn("by", F.xxhash64("id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
+    chosen = labelled.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
 
     def count(batches):
         for batch in batches:
@@ -111,7 +114,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 n = np.bincount(where, np.concatenate([n for _, n in found]).astype(float)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    counts = chosen.select(F.col(text).alias("t"), F.col(lang).alias("l")).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = chosen.select("t", "l").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     rows = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).orderBy("lang", "rank").collect()
     codes: dict[str, list[int]] = {}
@@ -147,8 +150,9 @@ def predict(text: Column, profiles: Profiles) -> Column:
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
     kept = docs.drop("lang_pred", "score")
-    out = kept.withColumn("_lang", predict(F.col(text), profiles))
-    return out.select(*kept.columns, "_lang.lang_pred", "_lang.score")
+    small_batches(docs.sparkSession)
+    new = free(docs, "_lang")
+    return docs.withColumn(new, predict(F.col(text), profiles)).select(*kept.columns, f"{new}.lang_pred", f"{new}.score")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

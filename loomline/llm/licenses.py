@@ -20,6 +20,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import free
+
 THRESHOLD = 0.8
 
 #: Licence notices as their stewards word them.
@@ -102,13 +104,14 @@ def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES, threshol
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs with n_matches, licenses (by name, comma-joined), best_license and best_score (null without a match)."""
     kept = docs.drop("n_matches", "licenses", "best_license", "best_score")
-    found = kept.withColumn("_found", matches(F.col(text), templates, threshold))
-    best = F.element_at(F.array_sort(F.transform("_found", lambda m: F.struct((-m.score).alias("less"), m.license.alias("license")))), 1)
-    some = F.size("_found") > 0
+    new = free(docs, "_found")
+    found = docs.withColumn(new, matches(F.col(text), templates, threshold))
+    best = F.element_at(F.array_sort(F.transform(new, lambda m: F.struct((-m.score).alias("less"), m.license.alias("license")))), 1)
+    some = F.size(new) > 0
     return found.select(
         *kept.columns,
-        F.size("_found").cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct("_found.license")), ",").alias("licenses"),
+        F.size(new).cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct(f"{new}.license")), ",").alias("licenses"),
         F.when(some, best.license).alias("best_license"),
         F.when(some, F.round(-best.less, 6)).alias("best_score"),
     )

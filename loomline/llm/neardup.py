@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .groups import components, whole_groups
-from .shared import Tables
+from .shared import Tables, free, small_batches
 
 #: Places of a signature.
 VALUES = 120
@@ -203,8 +203,8 @@ def _confirmed_links(words: int, percent: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every text; kept: it is its group's least id."""
-    spark = docs.sparkSession
-    tables = Tables(spark)
+    small_batches(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     rows = rows_per_band(percent)
     t = percent / 100
     least = int(VALUES * t - 6 * (VALUES * t * (1 - t)) ** 0.5)
@@ -246,11 +246,12 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
 
     Only rows whose id hash meets that of a row to go (a set of at most SLOTS values) are shuffled, the others pass."""
     found = near_duplicates(docs, key, text, words, percent)
-    gone = Tables(docs.sparkSession).put(found.where("NOT kept").select(F.col(key).alias("_gone")).distinct())
-    slots = F.broadcast(gone.select(_slot(F.col("_gone")).alias("_slot")).distinct())
-    clear = docs.join(slots, _slot(F.col(key).cast("long")) == F.col("_slot"), "left_anti")
-    unsure = docs.join(slots, _slot(F.col(key).cast("long")) == F.col("_slot"), "left_semi")
-    return clear.union(unsure.join(gone, F.col(key).cast("long") == F.col("_gone"), "left_anti"))
+    left, slot = free(docs, "_gone"), free(docs, "_slot")
+    gone = Tables(docs.sparkSession).put(found.where("NOT kept").select(F.col(key).alias(left)).distinct())
+    slots = F.broadcast(gone.select(_slot(F.col(left)).alias(slot)).distinct())
+    clear = docs.join(slots, _slot(F.col(key).cast("long")) == F.col(slot), "left_anti")
+    unsure = docs.join(slots, _slot(F.col(key).cast("long")) == F.col(slot), "left_semi")
+    return clear.union(unsure.join(gone, F.col(key).cast("long") == F.col(left), "left_anti"))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, small_batches
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -208,6 +208,7 @@ def default_tokenizer() -> str:
 
 def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """(key, piece, start, length, ids_crc32, sequence_id, offset) of every piece. path: of the tokenizer's file."""
+    small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     return place(tables.put(token_pieces(docs, path or default_tokenizer(), key, text, capacity)), key, capacity, nodes)
 

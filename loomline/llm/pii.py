@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import crf as C
 from . import kernels as K
+from .shared import free, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
@@ -316,7 +317,15 @@ def scan(docs: DataFrame, text: str = "text", labelled: list[tuple[str, list[Spa
     names = [*(f"n_{k}" for k in BASE), "base_sha256", "spans"]
     kept = docs.drop(*names)
     crf = default_model() if labelled is None else train(labelled)
-    return kept.withColumn("_pii", detect(F.col(text), crf)).select(*kept.columns, *(f"_pii.{n}" for n in names))
+    small_batches(docs.sparkSession)
+    new = free(docs, "_pii")
+    return docs.withColumn(new, detect(F.col(text), crf)).select(*kept.columns, *(f"{new}.{n}" for n in names))
+
+
+def hide(docs: DataFrame, text: str = "text", labelled: list[tuple[str, list[Span]]] | None = None) -> DataFrame:
+    """docs with every span of the text replaced."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(text, redact(F.col(text), default_model() if labelled is None else train(labelled)))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import crf as C
 from . import kernels as K
+from .shared import small_batches
 
 #: Labelled texts to learn from, at most (the first by a hash of the key).
 FIT_TEXTS = 3000
@@ -140,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
             two += [size[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         return pa.StructArray.from_arrays([pa.array(one, pa.list_(pa.float64())), pa.array(two, pa.list_(pa.float64()))], ["measures", "size"])
 
-    picked = docs.join(F.broadcast(chosen), F.col(key) == F.col("_key")).select("_key", "_label", lines(F.col(text)).alias("_lines"))
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    picked = docs.join(F.broadcast(chosen), F.col("id") == F.col("_key")).select("_key", "_label", lines(F.col("text")).alias("_lines"))
     rows = picked.select("_key", "_label", "_lines.measures", "_lines.size").toArrow().sort_by("_key").combine_chunks()
     y = np.array(rows.column("_label").to_pylist(), float)
     if len(np.unique(y)) < 2:
@@ -177,6 +180,7 @@ def predict(text: Column, model: Quality) -> Column:
 def score(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
     """docs with score (higher: better) and predicted (1: good)."""
     kept = docs.drop("score", "predicted")
+    small_batches(docs.sparkSession)
     return kept.withColumn("score", predict(F.col(text), model)).select(*kept.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of texts in an Arrow batch.
+TEXT_ROWS = 1000
+
+
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a temporary folder where it is unset (tests on one machine)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -18,6 +22,24 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in Arrow batches of at most TEXT_ROWS rows, so that two or three batches in flight stay small beside an executor's heap.
+
+    It lowers the session's setting, which other queries share, and never raises it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Tables:
     """Written tables of one run of an operator. They are removed by drop(), or when Python ends."""
 

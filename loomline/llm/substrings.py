@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import Tables
+from .shared import Tables, free, small_batches
 
 #: Consecutive sentences of a span.
 SPAN = 3
@@ -118,9 +118,11 @@ def repeated_places(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN) -> DataFrame:
     """docs with clean_text, n_sentences and n_removed."""
     kept = docs.drop("clean_text", "n_sentences", "n_removed")
-    cuts = repeated_places(docs, key, text, span).withColumnRenamed(key, "_key")
-    out = kept.join(cuts, kept[key] == F.col("_key"), "left").withColumn("_cut", cut_spans(F.col(text), F.col("cuts"), span))
-    return out.select(*[kept[c] for c in kept.columns], F.col("_cut.text").alias("clean_text"), "_cut.n_sentences", "_cut.n_removed")
+    small_batches(docs.sparkSession)
+    of, places, new = (free(docs, x) for x in ("_of", "_places", "_cut"))
+    cuts = repeated_places(docs, key, text, span).select(F.col(key).alias(of), F.col("cuts").alias(places))
+    out = docs.join(cuts, F.col(key) == F.col(of), "left").withColumn(new, cut_spans(F.col(text), F.col(places), span))
+    return out.select(*kept.columns, F.col(f"{new}.text").alias("clean_text"), f"{new}.n_sentences", f"{new}.n_removed")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
