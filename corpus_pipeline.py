@@ -31,7 +31,7 @@ def no_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows."""
-    hidden = docs.withColumn("text", pii.redact(F.col("text"), pii.default_model()))
+    hidden = pii.hide(docs)
     return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
