@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one kernel call takes at most (a longer single text is taken alone).
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 # Buffers go back to the system once they are free; Arrow's default pools keep them for the worker's life.
 pa.set_memory_pool(pa.system_memory_pool())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 _SLOTS = 1 << 20
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -128,7 +128,7 @@ class Encoder:
     def _clear(self) -> None:
         self.seen = Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.long = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.at, self.long = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _learn(self, fresh: list[str]) -> None:
         """fresh: pieces as byte-level BPE writes them."""
@@ -145,7 +145,7 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
-        for at, _, data, offs in K.slices(column, 1 << 20):
+        for at, _, data, offs in K.slices(column, 1 << 19):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
             ends = np.append(starts[1:], len(data))
@@ -162,7 +162,7 @@ class Encoder:
                     entry[new] = self.seen.n + np.arange(len(new))
                     self.seen.add(hashes[new])
                 entry = entry[back]
-                long = self.long[entry]
+                long = self.long[entry].astype(np.int64)
                 total = np.concatenate(([0], np.cumsum(long)))
                 ids = self.flat[np.repeat(self.at[entry] - total[:-1], long) + np.arange(total[-1])]
                 cut = total[np.searchsorted(starts, offs, "left")]
