@@ -38,6 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 Span = tuple[int, int, str]
 
@@ -50,6 +51,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """Whether ASCII digits write a number up to 255; leading zeros, however many, don't count."""
+    short = digits.lstrip("0") or "0"
+    return len(short) <= 3 and int(short) <= 255
+
+
 def _emails(text: str):
     end, at = 0, text.find("@")
     while at >= 0:
@@ -66,7 +73,7 @@ def base_spans(text: str) -> list[Span]:
     """Spans of the patterns, by start, then kind."""
     found = [(a, b, "email") for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(map(_octet, m.group().split("."))):
             found.append((*m.span(), "ip"))
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
@@ -104,7 +111,7 @@ def _features(words: list[str], i: int) -> list[int]:
     hexes = len(w) >= 16 and all(c in "0123456789abcdefABCDEF" for c in w)
     mixed = bool(digits) and any(c.isalpha() for c in w)
     parts = w.split(".")
-    address = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    address = len(parts) == 4 and all(len(p) <= 3 and _DIGITS.fullmatch(p) and _octet(p) for p in parts)
     raw = (
         f"short {short[:16]}",
         f"shape {shape if len(shape) <= 14 else 'long'}",

@@ -116,6 +116,16 @@ def test_long_runs_are_quick():
         pii.base_spans(text)
 
 
+def test_digits_that_int_does_not_take(spark):
+    # a superscript after an address, in either part; more zeros than int() reads; digits of another script
+    texts = ["see 1.2.3.4\u00b2 there", "v 1.2.3.\u00b2 out", "0" * 5000 + ".1.1.1", "1.2.3.\u0663 x", "x 1.2.3.4"]
+    assert [pii.base_spans(t) for t in texts] == [[(4, 11, "ip")], [], [(0, 5006, "ip")], [], [(2, 9, "ip")]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_ip for r in pii.scan(df).collect()} == {0: 1, 1: 0, 2: 1, 3: 0, 4: 1}
+    hidden = {r.doc_id: r.text for r in pii.hide(df).collect()}
+    assert hidden[2] == "[IP]" and hidden[4] == "x [IP]"
+
+
 def test_pii_rows(spark, sf):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = QUERIES["op3_pii"](spark, sf).collect()
