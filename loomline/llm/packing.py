@@ -3,11 +3,13 @@
 A text's ids (and a closing id 0) are one piece; only longer ones are cut, into full pieces behind a
 first one that may be shorter. How pieces share sequences is decided on the table of how many pieces
 have each length, at most CAPACITY rows whatever the input: around the largest length left, the
-undominated fillings of its sequence are enumerated (a filling gives way to one whose lengths, in
-order, are all at least as large), the fullest first, and each is taken as often as its lengths
-allow. Best-fit decreasing gives the first incumbent; branches are dropped when the sequences used and
-the least that the rest needs reach the incumbent's; the search ends at the lower bound, or after
-NODES steps with the best solution so far. Pieces then get their places by their number among those of
+undominated fillings of its sequence are enumerated one by one (a filling gives way to one whose
+lengths, in order, are all at least as large), the fullest first, as far as the waste that a better
+solution can have; each is taken as often as its lengths allow, then also fewer times. Best-fit decreasing
+gives the first incumbent, and a search of likely fillings alone the next; branches are dropped when
+the sequences used and the least that the rest needs reach the incumbent's; the search ends at the
+lower bound, when all is tried (the solution is then optimal), or after NODES steps (choices, and
+lengths tried in fillings) with the best solution so far. Pieces then get their places by their number among those of
 their length, counted in salted parts, so that a hot length is dealt to many tasks.
 
 Defined results: null texts are empty and have the closing id alone; repeated rows are packed each;
@@ -17,6 +19,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,8 @@ from .tokens import encoder
 CAPACITY = 2048
 #: Steps of the search.
 NODES = 20_000
-#: Fillings looked at around one piece, at most.
-FILLINGS = 24
+#: Fillings around one piece in the search that goes before the full one, at most.
+LIKELY = 24
 #: Parts in which the pieces of a length are counted.
 SALT = 32
 
@@ -61,8 +64,8 @@ def _best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [(tuple(lengths), n) for x in room.values() for lengths, n in x]
 
 
-def _fillings(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room, the fullest first."""
+def _likely(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]:
+    """Some good fillings of the room, the fullest first: a search of these alone goes before the full one."""
     have = np.flatnonzero(counts[: room + 1])
     if not len(have):
         return [()]
@@ -92,7 +95,52 @@ def _fillings(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]
     return kept[:most]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, most: int = FILLINGS) -> Plan:
+def _fillings(room: int, counts: np.ndarray, waste: Callable[[], int]) -> Iterator[tuple[int, ...] | None]:
+    """Every undominated filling of the room, the fullest first, made as they are asked for; None is a step that gives none yet.
+
+    waste() is the room that a filling may leave free, at most. A filling is dominated just if a length that is left
+    fits into its free room, or fits in place of a shorter one of it.
+    """
+    have = np.flatnonzero(counts[: room + 1]).tolist()
+    number = [min(int(counts[v]), room // v) for v in have]
+    reach = [1]  # bit s of reach[k]: some pieces of the k least lengths sum to s
+    for v, n in zip(have, number, strict=True):
+        bits, part = reach[-1], 1
+        while n:
+            part = min(part, n)
+            bits |= bits << part * v & (1 << room + 1) - 1
+            n -= part
+            part *= 2
+        reach.append(bits)
+
+    def search(k: int, rest: int, low: int, free: int) -> Iterator[tuple[int, ...] | None]:
+        """Fillings of rest from the k least lengths; low: the least longer one that is left."""
+        if not rest:
+            if (have[0] if k else low) > free:
+                yield ()
+            return
+        yield None
+        for i in range(k - 1, -1, -1):
+            v = have[i]
+            if not reach[i + 1] >> rest & 1:
+                return
+            for m in range(min(number[i], rest // v) if low - v > free else 0, 0, -1):
+                still = low if m == number[i] else v
+                if still > free and reach[i] >> rest - m * v & 1:
+                    for more in search(i, rest - m * v, still, free):
+                        yield None if more is None else (v,) * m + more
+            low = v
+            if low <= free:
+                return
+
+    for free in range(room + 1):
+        if free > waste():
+            return
+        if reach[-1] >> room - free & 1:
+            yield from search(len(have), room - free, 2 * room + 1, free)
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
     """(lengths of a sequence, how many such sequences) that hold so many pieces of each length."""
     counts = {k: v for k, v in counts.items() if v}
     best = _best_fit(counts, capacity)
@@ -104,38 +152,56 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, m
     for k, v in counts.items():
         start[k] = v
     path: Plan = []
-    # a level of the stack: counts before it, sequences before it, length of the path before it, fillings still to try
-    stack: list[tuple[np.ndarray, int, int, int, list]] = []
+    every = False
+    # a level of the stack: counts before it, sequences before it, length of the path before it, choices still to try
+    stack: list[tuple[np.ndarray, int, int, int, Iterator]] = []
 
-    def open_level(left: np.ndarray, bins: int, sum_left: int) -> None:
+    def choices(left: np.ndarray, bins: int, sum_left: int, done: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int] | None]:
+        """Fillings around the largest length left, each as often as its lengths allow; if all are tried, then also fewer times."""
         top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        options = _fillings(capacity - top, left, most)
-        left[top] += 1
-        stack.append((left, bins, sum_left, len(path), [(top, *f) for f in reversed(options)]))
-
-    if total and used > least:
-        open_level(start, 0, total)
-    while stack and nodes and used > least:
-        left, bins, sum_left, depth, options = stack[-1]
-        del path[depth:]
-        if not options:
-            stack.pop()
-            continue
-        nodes -= 1
-        lengths = options.pop()
-        values, uses = np.unique(lengths, return_counts=True)
-        times = int((left[values] // uses).min())
-        after = left.copy()
-        after[values] -= uses * times
-        rest = sum_left - sum(lengths) * times
-        if bins + times + bound(rest) >= used:
-            continue
-        path.append((lengths, times))
-        if not rest:
-            best, used = list(path), bins + times
-            continue
-        open_level(after, bins + times, rest)
+        others = left.copy()
+        others[top] -= 1
+        for fewer in (False, True) if every else (False,):
+            for filling in _fillings(capacity - top, others, lambda: (used - 1 - bins) * capacity - sum_left) if every else _likely(capacity - top, others, LIKELY):
+                if filling is None or (lengths := (top, *filling)) == done:
+                    yield None
+                    continue
+                values, uses = np.unique(lengths, return_counts=True)
+                most = int((left[values] // uses).min())
+                for times in range(most - 1, 0, -1) if fewer else (most,):
+                    yield lengths, times
+
+    def open_level(left: np.ndarray, bins: int, sum_left: int, done: tuple[int, ...]) -> None:
+        stack.append((left, bins, sum_left, len(path), choices(left, bins, sum_left, done)))
+
+    for every in (False, True):  # likely fillings alone soon give a good incumbent
+        path.clear()
+        if total and used > least:
+            open_level(start, 0, total, ())
+        while stack and nodes and used > least:
+            left, bins, sum_left, depth, options = stack[-1]
+            del path[depth:]
+            try:
+                choice = next(options)
+            except StopIteration:
+                stack.pop()
+                continue
+            nodes -= 1
+            if choice is None:
+                continue
+            lengths, times = choice
+            values, uses = np.unique(lengths, return_counts=True)
+            after = left.copy()
+            after[values] -= uses * times
+            rest = sum_left - sum(lengths) * times
+            if bins + times + bound(rest) >= used:
+                continue
+            path.append((lengths, times))
+            if not rest:
+                best, used = list(path), bins + times
+                continue
+            # the full search doesn't try this filling at the next level: that is the choice of more times
+            open_level(after, bins + times, rest, lengths if every else ())
     return best
 
 

@@ -79,6 +79,31 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in packing.plan(counts, 64)) <= sum(n for _, n in packing._best_fit(counts, 64))
 
 
+def test_two_full_sequences():
+    # 1000 + 508 + 300 + 240 and 900 + 450 + 360 + 338
+    made = packing.plan(dict.fromkeys((1000, 900, 508, 450, 360, 338, 300, 240), 1))
+    assert sorted(sum(lengths) * n for lengths, n in made) == [2048, 2048]
+
+
+def fillings_by_hand(room, counts):
+    """All fillings of which none has lengths, in order, that another's are all at least as large as."""
+    every = [()]
+    for length, n in counts.items():
+        every = [f + (length,) * k for f in every for k in range(n + 1) if sum(f) + k * length <= room]
+    every = [tuple(sorted(f, reverse=True)) for f in every]
+    return sorted(f for f in every if not any(g != f and len(g) >= len(f) and all(a >= b for a, b in zip(g, f, strict=False)) for g in every))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 24), st.dictionaries(st.integers(1, 24), st.integers(1, 3), max_size=6))
+def test_every_undominated_filling(room, counts):
+    have = np.zeros(25, np.int64)
+    have[list(counts)] = list(counts.values())
+    found = [f for f in packing._fillings(room, have, lambda: room) if f is not None]
+    assert sorted(found) == fillings_by_hand(room, counts)
+    assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
+
+
 def test_pieces_round_trip(spark, sf):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     tokenizer.encode_special_tokens = True
