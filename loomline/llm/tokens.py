@@ -17,8 +17,9 @@ import pyarrow as pa
 
 from . import kernels as K
 
-#: Pieces a worker remembers, at most; it then starts anew.
+#: Pieces a worker remembers, at most; it then starts anew. A single text may have more.
 CACHE_PIECES = 500_000
+#: Slots of the table of pieces when it is made: a power of two.
 _SLOTS = 1 << 20
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -83,35 +84,52 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Numbers:
-    """Numbers 0, 1, ... of 64-bit hashes in the order in which they came: a table with open addressing, looked up many at a time."""
+    """Numbers 0, 1, ... of 64-bit hashes in the order in which they came: a table with open addressing, looked up many at a time.
+
+    It grows, so that at least half of its slots stay free.
+    """
 
     def __init__(self):
         self.keys, self.values, self.n = np.zeros(_SLOTS, np.uint64), np.zeros(_SLOTS, np.int32), 0
 
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes & np.uint64(len(self.keys) - 1)).astype(np.int64)
+
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each hash, -1 for new ones."""
         out = np.full(len(hashes), -1, np.int64)
-        left, slot = np.arange(len(hashes)), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        left, slot = np.arange(len(hashes)), self._slot(hashes)
         while len(left):
             key = self.keys[slot]
             same = key == hashes[left]
             out[left[same]] = self.values[slot[same]]
             on = ~same & (key != 0)
-            left, slot = left[on], (slot[on] + 1) % _SLOTS
+            left, slot = left[on], (slot[on] + 1) % len(self.keys)
         return out
 
     def add(self, hashes: np.ndarray) -> None:
         """New hashes, each once."""
-        left, slot = np.arange(len(hashes)), (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+        slots = len(self.keys)
+        while 2 * (self.n + len(hashes)) > slots:
+            slots *= 2
+        if slots > len(self.keys):
+            full = self.keys != 0
+            keys, values = self.keys[full], self.values[full]
+            self.keys, self.values = np.zeros(slots, np.uint64), np.zeros(slots, np.int32)
+            self._put(keys, values)
+        self._put(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+    def _put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        left, slot = np.arange(len(hashes)), self._slot(hashes)
         while len(left):
             free = np.flatnonzero(self.keys[slot] == 0)
             first = free[np.unique(slot[free], return_index=True)[1]]
             self.keys[slot[first]] = hashes[left[first]]
-            self.values[slot[first]] = self.n + left[first]
+            self.values[slot[first]] = values[left[first]]
             on = np.ones(len(left), bool)
             on[first] = False
-            left, slot = left[on], (slot[on] + 1) % _SLOTS
-        self.n += len(hashes)
+            left, slot = left[on], (slot[on] + 1) % len(self.keys)
 
 
 class Encoder:

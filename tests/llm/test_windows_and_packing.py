@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -104,6 +107,26 @@ def test_every_undominated_filling(room, counts):
     assert [sum(f) for f in found] == sorted(map(sum, found), reverse=True)
 
 
+def test_more_pieces_than_slots():
+    # in a process of its own with a limit of time, as a full table never ends
+    code = "import sys; sys.path.insert(0, sys.argv[1])\nimport numpy as np\nfrom loomline.llm.tokens import Numbers\n" \
+        "t, h = Numbers(), np.unique(np.random.default_rng(3).integers(1, 1 << 63, 1_300_000, np.uint64))\nnp.random.default_rng(4).shuffle(h)\nt.add(h[:400_000]); t.add(h[400_000:])\n" \
+        "print((t.find(h) == np.arange(len(h))).all(), (t.find(h[:1000] + np.uint64(1 << 63)) == -1).all())"
+    said = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[2])], capture_output=True, text=True, timeout=60)
+    assert said.stdout.split() == ["True", "True"], said.stderr
+
+
+def test_a_text_of_more_pieces_than_are_remembered(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "_SLOTS", 64)
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 30)
+    encoder = tokens.Encoder(packing.default_tokenizer())
+    texts = ["a b c", " ".join(f"w{i}x" for i in range(500)), "a b c d", " ".join(f"v{i}y" for i in range(20))]
+    got = [ids.tolist() for t in texts for _, ids in encoder.encode(pa.array([t], pa.string()))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_round_trip(spark, sf):
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
     tokenizer.encode_special_tokens = True
