@@ -9,8 +9,12 @@ solution can have; each is taken as often as its lengths allow, then also fewer
 gives the first incumbent, and a search of likely fillings alone the next; branches are dropped when
 the sequences used and the least that the rest needs reach the incumbent's; the search ends at the
 lower bound, when all is tried (the solution is then optimal), or after NODES steps (choices, and
-lengths tried in fillings) with the best solution so far. Pieces then get their places by their number among those of
-their length, counted in salted parts, so that a hot length is dealt to many tasks.
+lengths tried in fillings) with the best solution so far. Pieces then get their places by their number
+among those of their length, counted in parts of about PART_ROWS pieces, so that a hot length is dealt
+to many tasks; pieces of full length are sequences of their own and aren't counted at all.
+
+Ids are those of the tokenizer's file by its library, called with add_special_tokens=False; the string
+of an added token in a text gives that token's id.
 
 Defined results: null texts are empty and have the closing id alone; repeated rows are packed each;
 an empty table gives no rows.
@@ -34,8 +38,8 @@ CAPACITY = 2048
 NODES = 20_000
 #: Fillings around one piece in the search that goes before the full one, at most.
 LIKELY = 24
-#: Parts in which the pieces of a length are counted.
-SALT = 32
+#: Pieces of one length that are numbered in one part, about.
+PART_ROWS = 500_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -229,16 +233,24 @@ def token_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return cuts.select(key, F.posexplode("_cuts").alias("piece", "_c")).select(key, "piece", "_c.start", "_c.length", F.col("_c.crc").alias("ids_crc32"))
 
 
-def place(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
-    """pieces (key, piece, length and more) with sequence_id and offset. pieces is read twice: give a written table."""
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(key, "piece"), F.lit(SALT)).cast("int"))
-    parts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    rows = parts.collect()  # at most capacity * SALT
-    counts: dict[int, int] = {}
-    before: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted(map(tuple, rows)):
-        before[length, salt] = counts.get(length, 0)
-        counts[length] = counts.get(length, 0) + n
+def place(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, nodes: int = NODES, part_rows: int = PART_ROWS) -> DataFrame:
+    """pieces (key, piece, length and more) with sequence_id and offset. pieces is read several times: give a written table.
+
+    A full piece is a sequence of its own, with a number below 0, and needs no shuffle."""
+    full = pieces.where(F.col("length") == capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    shorter = pieces.where(F.col("length") < capacity)
+    counts = {r.length: r.n for r in shorter.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    parts = np.ones(capacity, np.int64)
+    for length, n in counts.items():
+        parts[length] = -(-n // part_rows)
+    first = np.concatenate(([0], np.cumsum(parts)))  # the number of a length's first part
+    salt = F.element_at(F.lit(parts.tolist()), F.col("length").cast("int") + 1)
+    salted = shorter.withColumn("_part", F.element_at(F.lit(first.tolist()), F.col("length").cast("int") + 1) + F.pmod(F.xxhash64(key, "piece"), salt))
+    ahead = np.zeros(first[-1] + 1, np.int64)  # pieces in earlier parts of the same length
+    for part, n in salted.groupBy("_part").agg(F.count("*").alias("n")).collect():  # at most a row a length and one each part_rows pieces
+        ahead[part + 1] = n
+    ahead = np.cumsum(ahead)
+    ahead = ahead[:-1] - np.repeat(ahead[first[:-1]], parts)
     slots: dict[int, list[tuple[int, int, int]]] = {}
     taken: dict[int, int] = {}
     sequences = 0
@@ -249,21 +261,18 @@ def place(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, node
             taken[length] = taken.get(length, 0) + times
             at += length
         sequences += times
-    table = np.array([(length << 44 | first, first, seq, at) for length in sorted(slots) for first, seq, at in slots[length]], np.int64).reshape(-1, 4)
-    ahead = np.zeros((capacity + 1) * SALT, np.int64)
-    for (length, salt), n in before.items():
-        ahead[length * SALT + salt] = n
+    table = np.array([(length << 44 | begin, begin, seq, at) for length in sorted(slots) for begin, seq, at in slots[length]], np.int64).reshape(-1, 4)
 
     @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
-    def slot(length: pa.Array, salt: pa.Array, number: pa.Array) -> pa.Array:
-        length, number = np.asarray(length), np.asarray(number) + ahead[np.asarray(length) * SALT + np.asarray(salt)]
+    def slot(length: pa.Array, part: pa.Array, number: pa.Array) -> pa.Array:
+        length, number = np.asarray(length), np.asarray(number) + ahead[np.asarray(part)]
         at = np.searchsorted(table[:, 0], length << 44 | number, "right") - 1
         return pa.StructArray.from_arrays([pa.array(table[at, 2] + number - table[at, 1]), pa.array(table[at, 3])], ["sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_salt").orderBy(key, "piece")
+    order = Window.partitionBy("_part").orderBy(key, "piece")
     numbered = salted.withColumn("_k", F.row_number().over(order).cast("long") - 1)
-    placed = numbered.withColumn("_slot", slot("length", "_salt", "_k"))
-    return placed.select(*pieces.columns, "_slot.sequence_id", "_slot.offset")
+    placed = numbered.withColumn("_slot", slot("length", "_part", "_k"))
+    return full.union(placed.select(*pieces.columns, "_slot.sequence_id", "_slot.offset"))
 
 
 def default_tokenizer() -> str:

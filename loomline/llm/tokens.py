@@ -4,13 +4,15 @@ Byte-level BPE works on pieces of text alone (a word with the space before it, a
 signs or white space). Texts of common characters are cut into these pieces in numpy, and each
 distinct piece is encoded once by the `tokenizers` library's model and remembered in the worker by a
 64-bit hash; texts with
-other characters go to the library whole. Both give the library's ids.
+other characters, or with the string of an added token, go to the library whole. Both give the
+library's ids, an added token in a text counting as that token.
 """
 
 from __future__ import annotations
 
 import os
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +134,13 @@ class Numbers:
             left, slot = left[on], (slot[on] + 1) % len(self.keys)
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, doubled until it has n places."""
+    while len(a) < n:
+        a = np.concatenate((a, np.zeros_like(a)))
+    return a
+
+
 class Encoder:
     """A tokenizer file, with the ids of the pieces seen so far."""
 
@@ -140,7 +149,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
@@ -148,24 +157,31 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.long = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """fresh: pieces as byte-level BPE writes them."""
-        tokenize = self.tokenizer.model.tokenize
-        for k, piece in enumerate(fresh, self.seen.n):
-            ids = [x.id for x in tokenize(piece)]
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            if k >= len(self.at):
-                self.at, self.long = (np.concatenate((a, np.zeros_like(a))) for a in (self.at, self.long))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.long[k] = self.used, len(ids)
-            self.used += len(ids)
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Ids of the pieces at these bytes, by the model alone."""
+        size = ends - starts
+        cut = np.concatenate(([0], np.cumsum(size)))
+        raw = data[np.repeat(starts - cut[:-1], size) + np.arange(cut[-1])].tobytes().decode("latin-1").translate(_WRITTEN)
+        tokenize, cut = self.tokenizer.model.tokenize, cut.tolist()
+        found = [[x.id for x in tokenize(raw[a:b])] for a, b in zip(cut, cut[1:], strict=False)]
+        n, long = self.seen.n, np.fromiter(map(len, found), np.int32, len(found))
+        used = self.used + int(long.sum())
+        self.flat = _room(self.flat, used)
+        self.at, self.long = _room(self.at, n + len(found)), _room(self.long, n + len(found))
+        self.flat[self.used : used] = np.fromiter(chain.from_iterable(found), np.uint32, used - self.used)
+        self.long[n : n + len(found)] = long
+        self.at[n : n + len(found)] = self.used + np.cumsum(long) - long
+        self.used = used
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
         for at, _, data, offs in K.slices(column, 1 << 19):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
+            for token in self.added:
+                raw, place = data.tobytes(), -1
+                while (place := raw.find(token, place + 1)) >= 0:
+                    odd[np.searchsorted(offs, place, "right") - 1] = True
             ends = np.append(starts[1:], len(data))
             ids, cut = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
             if len(starts):
@@ -175,8 +191,7 @@ class Encoder:
                 entry = self.seen.find(hashes)
                 new = np.flatnonzero(entry < 0)
                 if len(new):
-                    raw = data.tobytes().decode("latin-1").translate(_WRITTEN)
-                    self._learn([raw[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+                    self._learn(data, starts[first[new]], ends[first[new]])
                     entry[new] = self.seen.n + np.arange(len(new))
                     self.seen.add(hashes[new])
                 entry = entry[back]
