@@ -133,6 +133,13 @@ def join_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def value_runs(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of 64-bit values, by differences of one running polynomial sum."""
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power("up", len(h))[: len(h)], out=total[1:])
+    return mix((total[end] - total[begin]) * _power("down", len(h) + 1)[begin] + (end - begin).astype(np.uint64))
+
+
 def codepoints(data: np.ndarray) -> np.ndarray:
     """Unicode code points of UTF-8 bytes."""
     return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -183,9 +183,42 @@ def test_backoff_repeated_rows_count_as_one_text(spark):
 # Repeated spans.
 
 
+LONG = "Alpha one two three. Beta four five six seven. Gamma eight nine ten eleven twelve. Delta the last."
+
+
 def test_first_places_stay(spark, odd):
-    got = {r.doc_id: r for r in substrings.deduplicate(spark.read.parquet(f"{odd}/documents.parquet")).collect()}
-    assert got[7].n_removed == 0 and got[8].n_removed == 5 and got[8].clean_text == ""
-    assert got[14].clean_text == "" and got[9].clean_text == "é漢字 ß. Ünï cödé. Third one here. "
+    df = spark.createDataFrame([(7, LONG), (8, LONG.upper()), (14, f"{LONG} {LONG}"), (9, f"é漢字 ß. Ünï cödé. Third one here. {LONG}"), (1, None), (2, ""), (3, "A b. C d. E f.")], "doc_id long, text string")
+    got = {r.doc_id: r for r in substrings.deduplicate(df).collect()}
+    assert got[7].n_removed == 0 and got[7].clean_text == LONG and got[3].clean_text == "A b. C d. E f."
+    assert got[8].n_removed == got[8].n_sentences > 0 and got[8].clean_text == got[14].clean_text == ""
+    assert got[9].clean_text == "é漢字 ß. Ünï cödé. Third one here. "
     assert got[1].clean_text is None and got[2].clean_text == ""
     assert spark_rows(QUERIES["op10_substring_dedup"](spark, odd)) == duck_rows(SQL["op10_substring_dedup"], odd)[1]
+
+
+def test_a_passage_of_51_words_is_found_wherever_it_begins(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, k = [], 0
+    for end in ("", ".", "。", '."'):  # sentences of every length, some without an end
+        for _ in range(30):
+            passage = word(51)
+            for i in np.flatnonzero(rng.random(51) < 1 / 9):
+                passage[i] += end
+            for _ in range(2):
+                rows.append((k, " ".join(word(int(rng.integers(0, 40))) + passage + word(int(rng.integers(0, 40))))))
+                k += 1
+    got = {r.doc_id: r.n_removed for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 and got[i + 1] > 0 for i in range(0, k, 2))
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    rows = [(0, LONG), (1, f"New here. {LONG}"), (1, "P one two three four five. Q six seven eight nine ten. R eleven twelve thirteen. S fourteen."), (1, LONG), (0, LONG), (None, LONG), (None, None)]
+    rows += [(i % 3 + 20, f"{LONG} And {i} more.") for i in range(9)] + [(30, "甲乙丙。" * 20), (31, "丁戊。「甲乙丙。」" * 3 + "甲乙丙。" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert_same(QUERIES["op10_substring_dedup"](spark, str(tmp_path)), SQL["op10_substring_dedup"], str(tmp_path))
+    got = substrings.deduplicate(df, part_rows=2).collect()  # every frequent span in parts
+    assert sorted(map(repr, got)) == sorted(map(repr, substrings.deduplicate(df).collect()))
+    by = {(r.doc_id, r.text): r for r in got}
+    assert by[0, LONG].n_removed == 0 and by[1, LONG].n_removed > 0 and by[1, rows[2][1]].n_removed == 0 and by[None, LONG].n_removed == 0
