@@ -1,60 +1,64 @@
 """Stupid-backoff scores of texts under a bigram model of the whole corpus.
 
-Words are lower-cased (A-Z) runs of ASCII letters, digits and characters outside ASCII. The vocabulary
-is the at most WORDS most frequent words that occur at least twice; every other word is one unknown
-word. A text begins after a start symbol. With counts over all texts, the score of a word v after u is
-count(u v) / count(u) if the pair occurs at least twice, else BACKOFF * count(v) / all words; a text's
-score is the sum of logarithms.
-
-The pair counts are a table partitioned by the hash of the pair, joined to the texts' exploded pairs,
-and what the pairs add is summed by text. A pair that makes up over 1 / HOT of all pairs (there are
-fewer than HOT) goes to the tasks instead and is added before the shuffle, so no key of the join is hot.
-
-Defined results: null texts and texts without words have no words, score 0 and a null mean; words of
-equal count at the vocabulary's edge are taken by their hash; rows that share an id are summed as one
-text; an empty table gives no rows.
+Words are lower-cased (A-Z) runs of ASCII letters, digits and characters outside ASCII; every word of the
+corpus counts. A text begins after a start symbol. A text is scored under the pairs of all other texts:
+with n(u v) the occurrences of a pair less those in the text itself, and n(u), n(v) those of words in all
+texts, the score of a word v after u is n(u v) / n(u) if n(u v) > 0, else BACKOFF * n(v) / all words; a
+text's score is the sum of logarithms. (Under its own pairs too, a text never backs off.)
+
+One table, partitioned by the hash of the n-gram, has the counts: of words, and of the pairs that occur
+twice or more (a pair that occurs once never occurs in another text), the latter with the counts of
+their words. It is joined to the texts' exploded n-grams, and what they add is summed by text. Words of
+over 1 / HOT of all words and pairs of over 1 / HOT of all pairs (there are at most HOT of each) go to the
+tasks instead and are added before the shuffle, so no key of the join is hot. The frequent words also
+have short numbers, the others are known by 63-bit hashes.
+
+Defined results: null texts and texts without words have no words, score 0 and a null mean; rows that
+share an id are scored each and added up; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .shared import Tables, small_batches
 
-#: Words of the vocabulary, at most: with the start and the unknown word they fit in 16 bits.
-WORDS = (1 << 16) - 2
-#: Pairs that tasks are given outright: those with over 1 / HOT of all.
+#: Words and pairs that tasks are given outright: those with over 1 / HOT of all.
 HOT = 50_000
 BACKOFF = 0.4
-LEAST = 2
+#: Distinct pairs that a task adds up before it hands them on, about.
+HELD = 1_000_000
+#: First words of texts have this one before them; words alone have ONE behind them.
+START, ONE = -1, -2
+#: Behind a key of its own: what a text scores without the join, and its words.
+SCORE, COUNT = -3, -4
 
 
-class Vocabulary:
-    """hashes: sorted, of the words with ids from 2; counts: by id (0: texts with words; 1: unknown words)."""
+class Words:
+    """hashes: sorted, of the frequent words, whose numbers are their places; counts: of them; total: of all words; texts: with words."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
-        self.total = int(counts[1:].sum())
-        self.logs = np.log(np.maximum(counts, 1))
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, texts: int):
+        self.hashes, self.total, self.texts = hashes, total, texts
+        self.logs = np.log(np.append(counts, max(texts, 1)).astype(float))  # the last: of START
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of a frequent word, the hash of another (1 << 62 and more)."""
+        hashes = (hashes >> np.uint64(2) | np.uint64(1 << 62)).astype(np.int64)
         if not len(self.hashes):
-            return np.ones(len(hashes), np.int64)
+            return hashes
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at + 2, 1)
+        return np.where(self.hashes[at] == hashes, at, hashes)
 
-    def unseen(self, v: np.ndarray) -> np.ndarray:
-        return math.log(BACKOFF) + self.logs[v] - math.log(max(self.total, 1))
-
-    def gain(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """What a pair adds over backing off, where it was seen so often."""
-        return np.log(counts) - self.logs[keys >> 16] - self.unseen(keys & 0xFFFF)
+    def backed_off(self, v: np.ndarray) -> np.ndarray:
+        """The score of backing off to frequent words; of other words without their counts."""
+        return math.log(BACKOFF) - math.log(max(self.total, 1)) + np.where(v < len(self.hashes), self.logs[np.minimum(v, len(self.hashes))], 0.0)
 
 
 def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,104 +67,157 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return K.run_hashes(data, starts, ends), K.owners(starts, offs)[0]
 
 
-def _pairs(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(u << 16 | v) of every word v, and the first word of each text."""
+def _pairs(data: np.ndarray, offs: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before every word, every word, and the first word of each text."""
     hashes, first = _words(data, offs)
-    v = vocabulary.ids(hashes)
-    u = np.concatenate(([0], v[:-1])) if len(v) else v
-    u[first[:-1][first[:-1] < first[1:]]] = 0
-    return u << 16 | v, first
+    v = words.numbers(hashes)
+    u = np.concatenate(([START], v[:-1])) if len(v) else v
+    u[first[:-1][first[:-1] < first[1:]]] = START
+    return u, v, first
+
+
+def _added(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, with the sums of n."""
+    if not len(n):
+        return columns, n
+    order = np.lexsort(columns)
+    columns, n = [c[order] for c in columns], n[order]
+    at = np.flatnonzero(np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns]))))
+    return [c[at] for c in columns], np.add.reduceat(n, at)
 
 
-def vocabulary(docs: DataFrame, text: str = "text", words: int = WORDS) -> Vocabulary:
-    """Counts over all texts; at most `words` rows reach the driver."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(h, n): how often each word occurs, by its hash; -1: texts with words."""
 
     def count(batches):
+        none = Words(np.zeros(0, np.int64), np.zeros(0), 0, 0)
         for batch in batches:
-            each, n, texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+            each, n, texts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
             for _, _, data, offs in K.slices(batch.column(0)):
                 hashes, first = _words(data, offs)
                 texts += int((np.diff(first) > 0).sum())
-                h, c = np.unique(hashes, return_counts=True)
+                h, c = np.unique(none.numbers(hashes), return_counts=True)
                 each.append(h)
                 n.append(c)
-            h, back = np.unique(np.concatenate(each), return_inverse=True)
-            c = np.bincount(back, np.concatenate(n), minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(h.view(np.int64), 0)), pa.array(np.append(c, texts)), pa.array(np.append(np.zeros(len(h), bool), True))], ["h", "n", "texts"])
-
-    counts = docs.select(F.col(text).alias("t")).mapInArrow(count, "h long, n long, texts boolean").groupBy("texts", "h").agg(F.sum("n").alias("n"))
-    counts = Tables(docs.sparkSession).put(counts)
-    total, texts = counts.agg(F.coalesce(F.sum(F.when(~F.col("texts"), F.col("n"))), F.lit(0)), F.coalesce(F.sum(F.when(F.col("texts"), F.col("n"))), F.lit(0))).first()
-    top = counts.where(f"NOT texts AND n >= {LEAST}").orderBy(F.desc("n"), "h").limit(words).select("h", "n").toArrow()
+            (h,), c = _added([np.concatenate(each)], np.concatenate(n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(h, START)), pa.array(np.append(c, texts))], ["h", "n"])
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counts: DataFrame, hot: int = HOT) -> Words:
+    """At most `hot` rows reach the driver."""
+    total, texts = counts.agg(F.sum(F.when(F.col("h") != START, F.col("n"))), F.sum(F.when(F.col("h") == START, F.col("n")))).first()
+    top = counts.where((F.col("h") != START) & (F.col("n") > (total or 0) / hot)).toArrow().sort_by("h")
     h, n = (np.asarray(top.column(i).combine_chunks()) for i in range(2)) if len(top) else (np.zeros(0, np.int64),) * 2
-    h = h.view(np.uint64)
-    order = np.argsort(h)
-    return Vocabulary(h[order], np.concatenate(([texts, total - n.sum()], n[order])))
+    return Words(h, n, total or 0, texts or 0)
 
 
-def pair_counts(docs: DataFrame, words: Vocabulary, text: str = "text") -> DataFrame:
-    """(key, n): how often each pair occurs."""
+def pair_counts(docs: DataFrame, words: Words, text: str = "text", held: int = HELD) -> DataFrame:
+    """(u, v, n): how often each pair occurs."""
 
     def count(batches):
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def added() -> pa.RecordBatch:
+            (u, v), n = _added([np.concatenate([p[i] for p in parts]) for i in range(2)], np.concatenate([p[2] for p in parts]))
+            parts[:] = [(u, v, n)]
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(n)], ["u", "v", "n"])
+
         for batch in batches:
-            each, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for _, _, data, offs in K.slices(batch.column(0)):
-                k, c = np.unique(_pairs(data, offs, words)[0], return_counts=True)
-                each.append(k)
-                n.append(c)
-            k, back = np.unique(np.concatenate(each), return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(back, np.concatenate(n), minlength=len(k)).astype(np.int64))], ["key", "n"])
-
-    return docs.select(F.col(text).alias("t")).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _exploded(text: Column, words: Vocabulary, hot: np.ndarray, gains: np.ndarray, pairs: bool) -> Column:
-    """Of each text its words, its score if all but hot pairs back off, and (if asked) its other pairs with their counts."""
-
-    @F.arrow_udf("struct<n:bigint,score:double,keys:array<bigint>,times:array<int>>")
-    def explode(column: pa.Array) -> pa.Array:
-        n, score, keys, times, cut = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [0]
-        for _, _, data, offs in K.slices(column):
-            every, first = _pairs(data, offs, words)
-            at = np.minimum(np.searchsorted(hot, every), max(len(hot) - 1, 0))
-            known = hot[at] == every if len(hot) else np.zeros(len(every), bool)
-            add = np.concatenate(([0.0], np.cumsum(words.unseen(every & 0xFFFF) + (np.where(known, gains[at], 0) if len(hot) else 0))))
-            n += np.diff(first).tolist()
-            score += (add[first[1:]] - add[first[:-1]]).tolist()
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True) if pairs else ():
-                k, c = np.unique(every[a:b][~known[a:b]], return_counts=True)
-                keys.append(k)
-                times.append(c.astype(np.int32))
-                cut.append(cut[-1] + len(k))
-        cut = pa.array(cut if pairs else [0] * (len(n) + 1), pa.int32())
-        lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x))) for x in (keys, times)]
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(score, pa.float64()), *lists], ["n", "score", "keys", "times"])
-
-    return explode(text)
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_words, score, mean_score) of each text."""
+                u, v, _ = _pairs(data, offs, words)
+                (u, v), n = _added([u, v], np.ones(len(u), np.int64))
+                parts.append((u, v, n))
+                if sum(len(p[2]) for p in parts) > held:
+                    out = added()
+                    if 2 * out.num_rows > held:
+                        parts.clear()
+                        yield out
+        if parts:
+            yield added()
+
+    return docs.select(F.col(text).alias("t")).mapInArrow(count, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+
+
+def count_table(counts: DataFrame, pairs: DataFrame, words: Words, hot: int = HOT) -> DataFrame:
+    """(u, v, n, base): the n-grams that are joined, without the frequent words and pairs.
+
+    A word, with ONE behind it: base is the logarithm of its count. A pair: n occurrences; log n and base are what it adds to backing off."""
+    few, least = len(words.hashes), words.total / hot
+    known = counts.sparkSession.createDataFrame(pa.table({"h": np.append(np.arange(few), START), "log": words.logs}))  # at most hot + 1 rows
+    rare = counts.where((F.col("h") != START) & (F.col("n") <= least)).select("h", F.log("n").alias("log"))
+
+    def with_log(df: DataFrame, word: str, new: str) -> DataFrame:
+        """df with the logarithm of a word's count."""
+        log = F.col("log").alias(new)
+        often = df.where(F.col(word) < few).join(F.broadcast(known), F.col(word) == F.col("h")).select(*df.columns, log)
+        return often.union(df.where(F.col(word) >= few).join(rare, F.col(word) == F.col("h")).select(*df.columns, log))
+
+    both = with_log(with_log(pairs.where(F.col("n") <= least), "u", "log_u"), "v", "log_v")
+    base = -F.col("log_u") - F.col("log_v") - F.lit(math.log(BACKOFF) - math.log(max(words.total, 1)))
+    return both.select("u", "v", "n", base.alias("base")).union(rare.select(F.col("h").alias("u"), F.lit(ONE).cast("long"), F.lit(0).cast("long"), "log"))
+
+
+def _exploded(texts: DataFrame, words: Words, pairs: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, u, v, x) of texts (id, t): their pairs and rare words, x times each; behind SCORE what the rest scores, behind COUNT the words.
+
+    pairs: the frequent ones as u << 32 | v (START: the number behind the last word's), sorted, and their counts."""
+    keys, n = pairs
+    few = len(words.hashes)
+
+    def rows(ids: pa.Array, row: np.ndarray, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(row), 1 << 17):
+            part = slice(at, at + (1 << 17))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[part])), *(pa.array(c[part]) for c in (u, v, x))], ["id", "u", "v", "x"])
+
+    def explode(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            for at, end, data, offs in K.slices(batch.column(1)):
+                u, v, first = _pairs(data, offs, words)
+                row = np.repeat(np.arange(at, end), np.diff(first))
+                one = np.flatnonzero(v >= few)
+                (alone, w), often = _added([row[one], v[one]], np.ones(len(one), np.int64))
+                score = np.bincount(row - at, words.backed_off(v), minlength=end - at)
+                (row, u, v), times = _added([row, u, v], np.ones(len(row), np.int64))
+                both = np.where((u < few) & (v < few), np.where(u == START, few, u) << 32 | v, -1)
+                place = np.minimum(np.searchsorted(keys, both), max(len(keys) - 1, 0))
+                hot = keys[place] == both if len(keys) else np.zeros(len(both), bool)
+                left = n[place[hot]] - times[hot]  # in other texts
+                gain = np.log(np.maximum(left, 1)) - words.logs[u[hot]] - words.backed_off(v[hot])
+                score += np.bincount(row[hot] - at, np.where(left > 0, times[hot] * gain, 0.0), minlength=end - at)
+                texts = np.arange(at, end)
+                key = K.mix(texts.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(data))).view(np.int64)
+                yield from rows(
+                    ids,
+                    np.concatenate((row[~hot], alone, texts, texts)),
+                    np.concatenate((u[~hot], w, key, key)),
+                    np.concatenate((v[~hot], np.full(len(w), ONE), np.full(len(texts), SCORE), np.full(len(texts), COUNT))),
+                    np.concatenate((times[~hot], often, score, np.diff(first))).astype(float),
+                )
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(explode, f"id {kind}, u long, v long, x double")
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """(key, n_words, score, mean_score) of each id."""
     small_batches(docs.sparkSession)
     tables = Tables(docs.sparkSession)
-    words = vocabulary(docs, text)
-    counts = tables.put(pair_counts(docs, words, text).where(f"n >= {LEAST}"))
-    top = counts.where(F.col("n") > words.total / HOT).toArrow()
-    hot, n = (np.asarray(top.column(i).combine_chunks()) for i in range(2)) if len(top) else (np.zeros(0, np.int64),) * 2
-    order = np.argsort(hot)
-    hot, gains = hot[order], words.gain(hot[order], n[order])
-
-    @F.arrow_udf("double")
-    def gain(keys: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array(words.gain(np.asarray(keys), np.asarray(n)))
-
-    cold = counts.where(F.col("n") <= words.total / HOT).select(F.col("key").alias("k"), gain("key", "n").alias("gain"))
-    ids = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    base = ids.withColumn("x", _exploded(F.col("t"), words, hot, gains, False)).select("id", F.col("x.n").alias("n"), F.col("x.score").alias("score"))
-    grams = ids.withColumn("x", _exploded(F.col("t"), words, hot, gains, True)).select("id", F.explode(F.arrays_zip("x.keys", "x.times")).alias("g")).select("id", F.col("g.keys").alias("k"), F.col("g.times").alias("times"))
-    added = grams.hint("merge").join(cold, "k").groupBy("id").agg(F.sum(F.col("times") * F.col("gain")).alias("score"))
-    every = base.union(added.select("id", F.lit(0).cast("long").alias("n"), "score"))
-    total = every.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum("score").alias("score"))
+    counts = tables.put(word_counts(docs, text))
+    words = frequent_words(counts, hot)
+    pairs = tables.put(pair_counts(docs, words, text).where("n > 1"))
+    top = pairs.where(F.col("n") > words.total / hot).toArrow()  # at most hot rows; their words are frequent
+    u, v, n = (np.asarray(top.column(i).combine_chunks()) for i in range(3)) if len(top) else (np.zeros(0, np.int64),) * 3
+    keys = np.where(u == START, len(words.hashes), u) << 32 | v
+    order = np.argsort(keys)
+    grams = _exploded(docs.select(F.col(key).alias("id"), F.col(text).alias("t")), words, (keys[order], n[order]))
+    table = count_table(counts, pairs, words, hot)
+    joined = grams.hint("merge").join(table, ["u", "v"], "left")
+    word, pair = F.col("v") == ONE, F.col("n") > F.col("x")
+    adds = F.when(F.col("v") == SCORE, F.col("x")).when(word, F.col("x") * F.col("base")).when(pair, F.col("x") * (F.log(F.col("n") - F.col("x")) + F.col("base")))
+    total = joined.groupBy("id").agg(F.sum(F.when(F.col("v") == COUNT, F.col("x"))).cast("long").alias("n_words"), F.sum(adds).alias("score"))
     return total.select(F.col("id").alias(key), "n_words", "score", (F.col("score") / F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean_score"))
 
 
@@ -171,16 +228,15 @@ def op7_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
-raw AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d),
-v AS (SELECT w FROM raw GROUP BY w HAVING count(*) >= {LEAST} ORDER BY count(*) DESC LIMIT {WORDS}),
-t AS (SELECT doc_id, p, CASE WHEN v.w IS NULL THEN ' unknown' ELSE raw.w END AS w FROM raw LEFT JOIN v ON raw.w = v.w),
-g AS (SELECT doc_id, w, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY p), ' start') AS u FROM t),
-one AS (SELECT w, count(*) AS n FROM t GROUP BY w UNION ALL SELECT ' start', count(DISTINCT doc_id) FROM t),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT r, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS p FROM d),
+g AS (SELECT r, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY p), ' start') AS u FROM t),
+one AS (SELECT w, count(*) AS n FROM t GROUP BY w UNION ALL SELECT ' start', count(DISTINCT r) FROM t),
 total AS (SELECT count(*) AS n FROM t),
 two AS (SELECT u, w, count(*) AS n FROM g GROUP BY u, w),
-s AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN two.n >= {LEAST} THEN ln(two.n / cu.n) ELSE ln({BACKOFF} * cw.n / total.n) END) AS score
-  FROM g JOIN two ON g.u = two.u AND g.w = two.w JOIN one cu ON cu.w = g.u JOIN one cw ON cw.w = g.w, total GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, round(coalesce(score, 0.0), 4) AS score, round(score / n, 6) AS mean_score
-FROM d LEFT JOIN s USING (doc_id)
+own AS (SELECT r, u, w, count(*) AS n FROM g GROUP BY r, u, w),
+s AS (SELECT r, sum(own.n) AS n, sum(own.n * CASE WHEN two.n > own.n THEN ln((two.n - own.n) / cu.n) ELSE ln({BACKOFF} * cw.n / total.n) END) AS score
+  FROM own JOIN two ON own.u = two.u AND own.w = two.w JOIN one cu ON cu.w = own.u JOIN one cw ON cw.w = own.w, total GROUP BY r),
+x AS (SELECT doc_id, sum(coalesce(n, 0)) AS n, sum(coalesce(score, 0.0)) AS score FROM d LEFT JOIN s USING (r) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, round(score, 4) AS score, round(score / CASE WHEN n > 0 THEN n END, 6) AS mean_score FROM x
 """

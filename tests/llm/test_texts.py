@@ -174,10 +174,28 @@ def test_quality_of_odd_rows(spark, odd):
 # Backoff scores.
 
 
-def test_backoff_repeated_rows_count_as_one_text(spark):
-    df = spark.createDataFrame([(1, "a b a b"), (1, "a b"), (2, None)], "doc_id long, text string")
+def test_backoff_repeated_rows_are_added_up(spark, tmp_path):
+    rows = [(1, "a b a b"), (1, "a b"), (2, None), (3, "b a b a b a"), (None, "a b c"), (None, "c"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.n_words, r.mean_score) for r in backoff.scores(df).collect()}
-    assert got[1][0] == 6 and got[1][1] < 0 and got[2] == (0, None)
+    assert got[1][0] == 6 and got[1][1] < 0 and got[2] == got[4] == (0, None) and got[None][0] == 4
+    assert_same(QUERIES["op7_backoff"](spark, str(tmp_path)), SQL["op7_backoff"], str(tmp_path))
+
+
+@pytest.mark.parametrize("hot", [1, 30, 1000])
+def test_backoff_of_rare_words(spark, sf, hot):
+    # few words and pairs are frequent, so the others go through the joins; no word is taken for another
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    out = backoff.scores(df.withColumn("score", F.lit(1)).withColumn("u", F.lit(1)), hot=hot)
+    out = out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+    assert_same(out, SQL["op7_backoff"], sf)
+
+
+def test_pair_counts_in_parts(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    words = backoff.frequent_words(backoff.word_counts(df), 100)
+    assert spark_rows(backoff.pair_counts(df, words, held=50)) == spark_rows(backoff.pair_counts(df, words))
 
 
 # Repeated spans.
