@@ -1,117 +1,115 @@
-"""Licence scan: lines and whole texts against templates by the Dice coefficient of their word bigrams.
-
-Text is lower-cased and cut into words of ASCII letters, digits and characters outside ASCII.
-With a and b distinct bigrams, two of which c are shared, the coefficient is 2c / (a + b); as c is at
-most the smaller of both, a template can only reach the threshold t where t / (2 - t) <= a / b <=
-(2 - t) / t, so the others are left out before any comparison. The bound also asks for c >= t / (2 - t)
-* b: a line that lacks every one of some words of a template, whose bigrams are more than the rest
-allows, cannot reach it; lines without any such word are not cut into bigrams. Everything is one
-projection of DataFrame functions: no shuffle, no Python.
-
-Defined results: null and empty texts match nothing; a line of one word has no bigrams and matches
-nothing; of equal scores the licence first by name is best; columns named like the results are
-replaced, all others stay.
+"""Licence scan: windows of texts against licence templates by the Dice coefficient of their word bigrams.
+
+Text is lower-cased and cut into words of ASCII letters, digits and characters outside ASCII, so line
+breaks, comment marks and brackets don't matter. With a and b distinct bigrams, two of which c are
+shared, the coefficient is 2c / (a + b). As c is at most the smaller of both, the threshold t asks for
+t / (2 - t) <= a / b <= (2 - t) / t, and for c >= t / (2 - t) * b: text that lacks every one of some
+words of a template, whose bigrams are more than the rest allows, cannot reach it. Such needed words
+(the longest first) give the places to compare: where one occurs, the window of the template's number
+of words that lays it on the word's place in the template, cut at the text's ends. A window outside
+the size bounds goes before its bigrams are compared. So a licence is found as a whole document, as a
+notice wrapped over lines, or inside a longer line. Everything is one projection of DataFrame
+functions: no shuffle, no Python.
+
+Defined results: null and empty texts, and texts of one word, match nothing; of equal scores the
+licence first by name is best; repeated rows give the same result each; an empty table gives no rows;
+columns named like the results are replaced, all others stay.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .shared import free
 
 THRESHOLD = 0.8
-
-#: Licence notices as their stewards word them.
-TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
-]
-
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(F.lower(line), _BETWEEN, " ")), " ")
-
+def words_of(text: str) -> list[str]:
+    return re.sub(_BETWEEN, " ", text.lower()).split()
 
-def _bigrams(words: Column) -> Column:
-    most = F.size(words) - 1
-    return F.array_distinct(F.zip_with(F.slice(words, 1, most), F.slice(words, 2, most), lambda a, b: F.concat_ws(" ", a, b)))
 
-
-def _template_bigrams(text: str) -> list[str]:
-    words = re.sub(_BETWEEN, " ", text.lower()).split()
+def bigrams_of(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def needed_words(templates: list[tuple[str, str]], threshold: float) -> list[str]:
-    """Words of which a text must hold at least one to reach the threshold with any template."""
-    out: set[str] = set()
-    for _, text in templates:
-        bigrams = _template_bigrams(text)
-        spare = len(bigrams) - threshold / (2 - threshold) * len(bigrams)
-        lost: set[str] = set()
-        for word in sorted({w for b in bigrams for w in b.split()}, key=lambda w: (-len(w), w)):
-            if len(lost) > spare + 1e-9:
-                break
-            lost |= {b for b in bigrams if word in b.split()}
-            out.add(word)
-    return sorted(out)
-
-
-def matches(text: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """array<struct<license, score>> of all lines, and the whole text if it has several, that reach the threshold."""
-    lines = F.filter(F.transform(F.split(text, "\n"), _words), lambda w: w != F.array(F.lit("")))
-    needed = F.array(*map(F.lit, needed_words(templates, threshold)))
-
-    def parts(lines: Column) -> Column:
-        whole = F.when(F.size(lines) > 1, F.array(F.flatten(lines))).otherwise(F.array().cast("array<array<string>>"))
-        return F.filter(F.concat(lines, whole), lambda w: F.arrays_overlap(w, needed))
-
-    candidates = F.element_at(F.transform(F.array(lines), parts), 1)  # names the lines, so that they are made once
-    known = F.array(*[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams")) for name, t in templates if (b := _template_bigrams(t))])
-
-    def score(own: Column) -> Column:
-        fits = F.filter(known, lambda t: (F.size(own) >= threshold / (2 - threshold) * F.size(t.bigrams)) & (F.size(own) <= (2 - threshold) / threshold * F.size(t.bigrams)))
-        scored = F.transform(fits, lambda t: F.struct(t.license.alias("license"), (2.0 * F.size(F.array_intersect(own, t.bigrams)) / (F.size(own) + F.size(t.bigrams))).alias("score")))
-        return F.filter(scored, lambda s: s.score >= threshold)
-
-    return F.coalesce(F.flatten(F.transform(F.transform(candidates, _bigrams), score)), F.array().cast("array<struct<license:string,score:double>>"))
+def needed_words(words: list[str], threshold: float) -> list[str]:
+    """Words of a template of which a text must hold at least one to reach the threshold."""
+    bigrams = bigrams_of(words)
+    spare = len(bigrams) - threshold / (2 - threshold) * len(bigrams)
+    lost: set[str] = set()
+    out: list[str] = []
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(lost) > spare + 1e-9:
+            break
+        lost |= {b for b in bigrams if word in b.split()}
+        out.append(word)
+    return out
+
+
+def anchors(templates: list[tuple[str, str]], threshold: float) -> list[tuple[str, int, int]]:
+    """(needed word, template, its place there) of all templates that have bigrams."""
+    out = []
+    for t, (_, text) in enumerate(templates):
+        words = words_of(text)
+        need = set(needed_words(words, threshold)) if len(words) > 1 else set()
+        out += [(w, t, at) for at, w in enumerate(words) if w in need]
+    return out
+
+
+def _known(value: object, kind: str) -> Column:
+    """A constant of nested type, as one literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def matches(words: Column, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
+    """array<struct<license, score>> of all windows of an array of words that reach the threshold."""
+    places: dict[str, list] = {}
+    for w, t, at in anchors(templates, threshold):
+        places.setdefault(w, []).append({"t": t, "at": at})
+    if not places:
+        return F.array().cast("array<struct<license:string,score:double>>")
+    by_word = _known(places, "map<string,array<struct<t:int,at:int>>>")
+    known = _known([{"license": name, "size": len(w := words_of(text)), "bigrams": bigrams_of(w)} for name, text in templates], "array<struct<license:string,size:int,bigrams:array<string>>>")
+    spots = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*places), i)))
+    tries = F.array_distinct(F.flatten(F.transform(spots, lambda i: F.transform(by_word[words[i]], lambda p: F.struct(p.t.alias("t"), (i - p.at).alias("begin"))))))
+    low = threshold / (2 - threshold)
+
+    def window(x: Column, template: Column) -> Column:
+        begin, end = F.greatest(x.begin, F.lit(0)), F.least(x.begin + template.size, F.size(words))
+        most = end - begin - 1
+        return F.array_distinct(F.zip_with(F.slice(words, begin + 1, most), F.slice(words, begin + 2, most), lambda a, b: F.concat_ws(" ", a, b)))
+
+    def score(x: Column, template: Column) -> Column:
+        def dice(own: Column) -> Column:
+            a, b = F.size(own), F.size(template.bigrams)
+            return F.when((a >= low * b) & (a <= b / low), 2.0 * F.size(F.array_intersect(own, template.bigrams)) / (a + b))
+
+        return F.transform(F.array(window(x, template)), lambda own: F.struct(template.license.alias("license"), dice(own).alias("score")))  # names the window
+
+    scored = F.flatten(F.transform(tries, lambda x: F.flatten(F.transform(F.array(known[x.t]), lambda t: score(x, t)))))
+    return F.filter(scored, lambda s: s.score >= threshold)
 
 
 def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with n_matches, licenses (by name, comma-joined), best_license and best_score (null without a match)."""
-    kept = docs.drop("n_matches", "licenses", "best_license", "best_score")
-    new = free(docs, "_found")
-    found = docs.withColumn(new, matches(F.col(text), templates, threshold))
+    """docs with n_licenses, licenses (by name, comma-joined), best_license and best_score (null without a match)."""
+    kept = docs.drop("n_licenses", "licenses", "best_license", "best_score")
+    words, new = free(docs, "_words"), free(docs, "_found")
+    cut = docs.withColumn(words, F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN, " ")), " "))
+    found = cut.withColumn(new, matches(F.col(words), templates, threshold))
     best = F.element_at(F.array_sort(F.transform(new, lambda m: F.struct((-m.score).alias("less"), m.license.alias("license")))), 1)
     some = F.size(new) > 0
+    names = F.array_sort(F.array_distinct(f"{new}.license"))
     return found.select(
         *kept.columns,
-        F.size(new).cast("long").alias("n_matches"),
-        F.array_join(F.array_sort(F.array_distinct(f"{new}.license")), ",").alias("licenses"),
+        F.size(names).cast("long").alias("n_licenses"),
+        F.array_join(names, ",").alias("licenses"),
         F.when(some, best.license).alias("best_license"),
         F.when(some, F.round(-best.less, 6)).alias("best_score"),
     )
@@ -122,18 +120,21 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
 
 
-_SQL_BIGRAMS = rf"""list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"""
-_SQL_WORDS = rf"""string_split(trim(regexp_replace(lower(x), '{_BETWEEN}', ' ', 'g'), ' '), ' ')"""
-_SQL_TEMPLATES = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in TEMPLATES)
+_SQL_BIGRAMS = r"list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+_SQL_WORDS = rf"string_split(trim(regexp_replace(lower(coalesce(x, '')), '{_BETWEEN}', ' ', 'g'), ' '), ' ')"
+_SQL_TEMPLATES = ", ".join("({}, '{}', '{}')".format(t, name, text.replace("'", "''")) for t, (name, text) in enumerate(TEMPLATES))
+_SQL_ANCHORS = ", ".join(f"('{w}', {t}, {at})" for w, t, at in anchors(TEMPLATES, THRESHOLD))
 OP6_SQL = rf"""
-WITH t AS (SELECT license, {_SQL_BIGRAMS} AS b FROM (SELECT license, {_SQL_WORDS} AS w FROM (VALUES {_SQL_TEMPLATES}) v(license, x))),
-p AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE x <> ''),
-parts AS (SELECT doc_id, x FROM p UNION ALL SELECT doc_id, text FROM documents WHERE (SELECT count(*) FROM p WHERE p.doc_id = documents.doc_id) > 1),
-s AS (SELECT doc_id, {_SQL_BIGRAMS} AS b FROM (SELECT doc_id, {_SQL_WORDS} AS w FROM parts)),
-m AS (SELECT doc_id, license, 2.0::DOUBLE * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b)) AS score FROM s, t
-  WHERE len(s.b) <= (2 - {THRESHOLD}) / {THRESHOLD} * len(t.b) + 1 AND len(s.b) > 0),
-best AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ids, first(license ORDER BY score DESC, license) AS license, max(score) AS score
-  FROM m WHERE score >= {THRESHOLD} GROUP BY doc_id)
-SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_matches, coalesce(ids, '') AS licenses, license AS best_license, round(score, 6) AS best_score
-FROM documents LEFT JOIN best USING (doc_id)
+WITH t AS (SELECT t, license, len(w) AS size, {_SQL_BIGRAMS} AS b FROM (SELECT t, license, {_SQL_WORDS} AS w FROM (VALUES {_SQL_TEMPLATES}) v(t, license, x))),
+a AS (SELECT * FROM (VALUES {_SQL_ANCHORS}) v(word, t, place)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM (SELECT doc_id, text AS x FROM documents)),
+p AS (SELECT r, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+tries AS (SELECT DISTINCT r, t, i - place AS s FROM p JOIN a USING (word)),
+win AS (SELECT tries.r, t.t, d.w[greatest(s, 0) + 1:least(s + size, len(d.w))] AS w FROM tries JOIN t USING (t) JOIN d ON tries.r = d.r),
+own AS (SELECT r, t, {_SQL_BIGRAMS} AS o FROM win),
+m AS (SELECT r, license, 2.0::DOUBLE * len(list_intersect(o, b)) / (len(o) + len(b)) AS score FROM own JOIN t USING (t)),
+best AS (SELECT r, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS ids, first(license ORDER BY score DESC, license) AS license, max(score) AS score
+  FROM m WHERE score >= {THRESHOLD} GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(ids, '') AS licenses, license AS best_license, round(score, 6) AS best_score
+FROM d LEFT JOIN best USING (r)
 """
