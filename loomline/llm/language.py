@@ -5,9 +5,11 @@ word boundary) are ranked by frequency. Each language has such a ranking from la
 text gets the language whose ranking is nearest by out-of-place distance: the sum over the text's
 n-grams of the difference of ranks, or of the largest difference where the language lacks it.
 
-Defined results: a null text, or one without letters, is `und` with score 0; ties between n-grams
-go to the smaller code, ties between languages to the smaller name; without a labelled text
-everything is `und`. Columns named like the results are replaced; all others stay.
+Defined results: a null or empty text, or one without letters (marks alone are none), is `und` with
+score 0; ties between n-grams go to the smaller code, ties between languages to the smaller name;
+without a labelled text everything is `und`. Texts are worked through in slices, so long ones only take
+longer. Repeated rows give the same result each, and count each in learning; an empty table gives no
+rows. Columns named like the results are replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -25,32 +27,21 @@ from .shared import free, small_batches
 
 #: N-grams of a profile.
 TOP = 300
-#: Labelled texts a language, at most, from which its profile is learned (the first by a hash of the key).
-#: Up to 1000 Spark keeps only so many of each language before it shuffles them.
+#: Labelled texts of a language, about, from which its profile is learned (by a hash of key and text); all if it has fewer.
 FIT_TEXTS = 1000
 _EDGE = (1 << 21) - 1
-_TABLE = 0x20000
+#: Behind the last letters of Unicode.
+_TABLE = 0x33500
 _tables: list[np.ndarray] = []
 
 
-def _lower() -> np.ndarray:
-    """Lower-cased code point of letters and marks; 0 for other characters."""
+def _lower() -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased code point of letters and marks, 0 for other characters; whether it is a letter."""
     if not _tables:
-        low = np.zeros(_TABLE, np.uint32)
-        for i in range(_TABLE):
-            c = chr(i)
-            if unicodedata.category(c)[0] in "LM":
-                low[i] = ord(c.lower()[0])
-        _tables.append(low)
-    return _tables[0]
-
-
-def _letters(data: np.ndarray) -> np.ndarray:
-    points = K.codepoints(data)
-    low = _lower()
-    if len(points) and points.max() >= _TABLE:
-        return np.where(points < _TABLE, low[np.minimum(points, _TABLE - 1)], np.where(points < 0x40000, points, 0))
-    return low[points]
+        kind = [unicodedata.category(chr(i))[0] for i in range(_TABLE)]
+        low = np.array([ord(chr(i).lower()[0]) if k in "LM" else 0 for i, k in enumerate(kind)], np.uint32)
+        _tables.extend((low, np.array([k == "L" for k in kind])))
+    return _tables[0], _tables[1]
 
 
 def _grams(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +59,14 @@ def _grams(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _texts(column: pa.Array):
-    """(row, letters of the text) for each row."""
+    """(row, letters and marks of the text) for each row; none if it has no letter."""
+    low, letter = _lower()
     for at, _, data, offs in K.slices(column):
-        letters, cut = _letters(data), K.char_offsets(data, offs)
+        points, cut = np.minimum(K.codepoints(data), _TABLE - 1), K.char_offsets(data, offs)
+        letters = low[points]
+        so_far = np.concatenate(([0], np.cumsum(letter[points])))[cut]
         for i in range(len(offs) - 1):
-            yield at + i, letters[cut[i] : cut[i + 1]]
+            yield at + i, letters[cut[i] : cut[i + 1] if so_far[i + 1] > so_far[i] else cut[i]]
 
 
 @dataclass(frozen=True)
@@ -93,14 +87,14 @@ class Profiles:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", top: int = TOP, texts: int = FIT_TEXTS) -> Profiles:
-    """Learn profiles from labelled texts, from at most `texts` of each language.
+    """Learn profiles from labelled texts, from about `texts` of each language.
 
-    What reaches the driver is `top` codes a language."""
+    What is broadcast is a count a language; what reaches the driver is `top` codes a language."""
     small_batches(labelled.sparkSession)
-    order = Window.partitionBy("l").orderBy("by", "id")
-    labelled = labelled.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l IS NOT NULL")
-    ids = labelled.where("t IS NOT NULL").select("id", "l").withColumn("by", F.xxhash64("id")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= texts)
-    chosen = labelled.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    labelled = labelled.select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l IS NOT NULL AND t IS NOT NULL")
+    counts = labelled.groupBy("l").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("id", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = labelled.join(F.broadcast(counts), "l").where(draw * F.col("n") < texts)
 
     def count(batches):
         for batch in batches:
