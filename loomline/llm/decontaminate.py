@@ -7,9 +7,13 @@ words of the place (its block) give, by the shift table, how far the next window
 pattern allows is. Where the shift is 0, the patterns that end in the block (a bucket by its hash)
 are compared word by word. Texts advance side by side in numpy.
 
+Tasks get all tables if the benchmark has at most MOST_CHARS characters (counted first). A larger one stays
+distributed: tasks get the shift tables alone, of a fixed number of slots; the places whose shift is 0
+are the rows that are left, and are joined with the patterns by the words of the window.
+
 Defined results: null and empty texts, and those without words, have no words and no hits; equal
 windows of several items count for each of them; null items and items without words have no
-patterns; repeated rows of a text each get their own result. Columns named like the results are
+patterns; repeated rows of a text each get their own result; an empty table gives no rows. Columns named like the results are
 replaced; all others stay.
 """
 
@@ -23,12 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import free, small_batches
+from .shared import Tables, free, small_batches
 
 #: Consecutive words of a pattern.
 WINDOW = 10
 #: Words of patterns in one table, at most; a larger benchmark is searched table by table.
 TABLE_WORDS = 2_000_000
+#: Characters of a benchmark that goes to all tasks, at most; about 100 times as many bytes of tables.
+MOST_CHARS = 4_000_000
+#: Bits of a slot's number in the shift tables of a larger one.
+BITS = 22
 #: Words that one text advances over in a row; a longer text is read in overlapping stretches.
 STRETCH = 256
 
@@ -46,11 +54,10 @@ class Patterns:
 
     def __init__(self, size: int, words: np.ndarray, texts: list[tuple[bytes, ...]], items: list[tuple[int, ...]]):
         self.size, self.words, self.texts, self.items = size, words, texts, items
-        self.block = min(2, size)
-        free = size - self.block + 1
+        free = size - min(2, size) + 1
         self.bits = min(22, max(12, (8 * free * len(words)).bit_length()))
         self.shift = np.full(1 << self.bits, free, np.int16)
-        blocks = self._blocks(words)
+        blocks = blocks_of(words, size, self.bits)
         for at in range(free):  # later blocks last: they need the smaller shift
             slot = blocks[:, at]
             self.shift[slot] = np.minimum(self.shift[slot], free - 1 - at)
@@ -58,45 +65,54 @@ class Patterns:
         self.order = np.argsort(last, kind="stable")
         self.bucket = np.searchsorted(last[self.order], np.arange((1 << self.bits) + 1))
 
-    def _blocks(self, words: np.ndarray) -> np.ndarray:
-        h = words[..., : words.shape[-1] - self.block + 1]
-        if self.block == 2:
-            h = K.mix(h * np.uint64(3) + words[..., 1:])
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
     def find(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first word, pattern) of all places whose word hashes equal a pattern's."""
-        none = np.zeros(0, np.int64)
-        if len(hashes) < self.size:
-            return none, none
-        slot = self._blocks(hashes)
-        begin, end = [], []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            cuts = np.arange(a, max(a + 1, b - self.size + 1), STRETCH)
-            begin.append(cuts)
-            end.append(np.minimum(cuts + STRETCH + self.size - 1, b))
-        end = np.concatenate(end)
-        at = np.concatenate(begin) + self.size - 1  # last word of the window
-        places, found = [], []
+        places, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for where, block in ends_of_windows(hashes, first, self.shift, self.size, self.bits):
+            lo, n = self.bucket[block], self.bucket[block + 1] - self.bucket[block]
+            where = np.repeat(where, n)
+            which = self.order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+            for k in range(self.size):
+                same = hashes[where + k] == self.words[which, k]
+                where, which = where[same], which[same]
+            places.append(where)
+            found.append(which)
+        return np.concatenate(places), np.concatenate(found)
+
+
+def blocks_of(words: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """The slot of each block of two words (of one, for patterns of one word)."""
+    block = min(2, size)
+    h = words[..., : words.shape[-1] - block + 1]
+    if block == 2:
+        h = K.mix(h * np.uint64(3) + words[..., 1:])
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def ends_of_windows(hashes: np.ndarray, first: np.ndarray, shift: np.ndarray, size: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first words, slots of the last block) of the windows that the shift table does not skip, some at a time."""
+    if len(hashes) < size:
+        return
+    back = min(2, size)
+    slot = blocks_of(hashes, size, bits)
+    begin, end = [], []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        cuts = np.arange(a, max(a + 1, b - size + 1), STRETCH)
+        begin.append(cuts)
+        end.append(np.minimum(cuts + STRETCH + size - 1, b))
+    end = np.concatenate(end)
+    at = np.concatenate(begin) + size - 1  # last word of the window
+    live = at < end
+    at, end = at[live], end[live]
+    while len(at):
+        block = slot[at - back + 1]
+        step = shift[block]
+        hit = np.flatnonzero(step == 0)
+        if len(hit):
+            yield at[hit] - size + 1, block[hit]
+        at = at + np.maximum(step, 1)
         live = at < end
         at, end = at[live], end[live]
-        while len(at):
-            block = slot[at - self.block + 1]
-            step = self.shift[block]
-            hit = np.flatnonzero(step == 0)
-            if len(hit):
-                lo, n = self.bucket[block[hit]], self.bucket[block[hit] + 1] - self.bucket[block[hit]]
-                where = np.repeat(at[hit] - self.size + 1, n)
-                which = self.order[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-                for k in range(self.size):
-                    same = hashes[where + k] == self.words[which, k]
-                    where, which = where[same], which[same]
-                places.append(where)
-                found.append(which)
-            at = at + np.maximum(step, 1)
-            live = at < end
-            at, end = at[live], end[live]
-        return np.concatenate(places or [none]), np.concatenate(found or [none])
 
 
 def patterns(items: list[tuple[int, str]], window: int = WINDOW) -> list[Patterns]:
@@ -162,10 +178,102 @@ def tables_of(benchmark: DataFrame, item: str = "item_id", text: str = "text", w
     yield patterns(rows, window)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = TABLE_WORDS) -> DataFrame:
+_RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _windows(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """(size, win, item): the words of every window of every item."""
+
+    @F.arrow_udf("array<struct<size:int,win:string>>")
+    def cut(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, offs in K.slices(column):
+            data, _, starts, ends, first = _words(data, offs)
+            raw = data.tobytes()
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                size = min(window, b - a)
+                words = [raw[s:e].decode() for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
+                out.append([{"size": size, "win": " ".join(words[p : p + size])} for p in range(b - a - size + 1)] if size else [])
+        return pa.array(out, pa.list_(pa.struct([("size", pa.int32()), ("win", pa.string())])))
+
+    rows = benchmark.where(F.col(text).isNotNull() & F.col(item).isNotNull())
+    return rows.select(F.col(item).cast("long").alias("item"), F.explode(cut(F.col(text))).alias("w")).select("w.size", "w.win", "item").distinct()
+
+
+def _shift_tables(windows: DataFrame, bits: int) -> dict[int, np.ndarray]:
+    """For each size of windows its shift table: a row a slot reaches the driver, at most, and size."""
+
+    @F.arrow_udf("array<struct<slot:int,shift:int>>")
+    def slots(size: pa.Array, win: pa.Array) -> pa.Array:
+        out = []
+        _, hashes, _, _, first = _words(*K.utf8(win))
+        for n, a in zip(size.to_pylist(), first[:-1].tolist(), strict=True):
+            blocks = blocks_of(hashes[a : a + n], n, bits)
+            out.append([{"slot": int(s), "shift": len(blocks) - 1 - k} for k, s in enumerate(blocks)])
+        return pa.array(out, pa.list_(pa.struct([("slot", pa.int32()), ("shift", pa.int32())])))
+
+    least = windows.select("size", F.explode(slots("size", "win")).alias("s")).groupBy("size", "s.slot").agg(F.min("s.shift").alias("shift")).toArrow()
+    size, slot, shift = (np.asarray(least.column(i).combine_chunks()) if len(least) else np.zeros(0, np.int64) for i in range(3))
+    tables = {}
+    for n in np.unique(size).tolist():
+        tables[n] = np.full(1 << bits, n - min(2, n) + 1, np.int16)
+        tables[n][slot[size == n]] = shift[size == n]
+    return tables
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, bits: int) -> DataFrame:
+    """docs with the results, for a benchmark of any size."""
+    tables = Tables(docs.sparkSession)
+    row = free(docs, "_row")
+    docs = tables.put(docs.withColumn(row, F.monotonically_increasing_id()))
+    windows = tables.put(_windows(benchmark, item, item_text, window))
+    shifts = _shift_tables(windows, bits)
+
+    @F.arrow_udf("struct<n_words:bigint,places:array<struct<p:int,size:int,win:string>>>")
+    def places(column: pa.Array) -> pa.Array:
+        words, out = [], []
+        for _, _, data, offs in K.slices(column):
+            data, hashes, starts, ends, first = _words(data, offs)
+            raw = data.tobytes()
+            found: list[list] = [[] for _ in range(len(offs) - 1)]
+            for size, shift in shifts.items():
+                for where, _ in ends_of_windows(hashes, first, shift, size, bits):
+                    of = np.searchsorted(first, where, "right") - 1
+                    for i, p in zip(of.tolist(), where.tolist(), strict=True):
+                        win = b" ".join(raw[s:e] for s, e in zip(starts[p : p + size].tolist(), ends[p : p + size].tolist(), strict=True))
+                        found[i].append({"p": p - int(first[i]), "size": size, "win": win.decode()})
+            words += np.diff(first).tolist()
+            out += found
+        return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(out, pa.list_(pa.struct([("p", pa.int32()), ("size", pa.int32()), ("win", pa.string())])))], ["n_words", "places"])
+
+    scanned = tables.put(docs.select(F.col(row).alias("row"), places(F.col(text)).alias("s")).select("row", "s.n_words", "s.places"))
+    found = scanned.select("row", F.explode("places").alias("x")).select("row", "x.p", "x.size", "x.win")
+    # the items of a window are found once a text, its places for the texts that have any
+    known = windows.select("size", "win").distinct()
+    hits = tables.put(found.join(known, ["size", "win"], "left_semi"))
+    n_hit = hits.select("row", F.explode(F.sequence("p", F.col("p") + F.col("size") - 1)).alias("w")).groupBy("row").agg(F.countDistinct("w").alias("n_hit"))
+    items = hits.select("row", "size", "win").distinct().join(windows, ["size", "win"]).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    of = free(docs, "_of")
+    result = scanned.select("row", "n_words").join(n_hit, "row", "left").join(items, "row", "left").withColumnRenamed("row", of)
+    result = result.select(of, *(F.col(c).alias(f"{of}{c}") for c in ("n_words", "n_hit", "items")))
+    items = F.coalesce(f"{of}items", F.array().cast("array<string>"))
+    columns = [c for c in docs.columns if c.lower() not in (*_RESULTS, row.lower())]
+    return docs.join(result, F.col(row) == F.col(of)).select(
+        *columns,
+        F.col(f"{of}n_words").alias("n_words"),
+        F.coalesce(f"{of}n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size(items) > 0).alias("contaminated"),
+    )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = TABLE_WORDS, most_chars: int = MOST_CHARS, bits: int = BITS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    kept = docs.drop("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    kept = docs.drop(*_RESULTS)
     small_batches(docs.sparkSession)
+    if (benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0) > most_chars:
+        return _joined(docs, benchmark, text, item, item_text, window, bits)
     out, parts = docs, []
     for k, tables in enumerate(tables_of(benchmark, item, item_text, window, most)):
         parts.append(free(docs, f"_scan{k}"))
