@@ -8,9 +8,11 @@
 3. Bands of the signature: classes that share a band hash meet in a bucket. Inside a bucket only the
    links of a spanning forest over pairs with near enough signatures are kept; large buckets are
    worked on as pairs of blocks.
-4. Components of these candidate links are clusters. Full sets are compared inside each cluster
-   (block by block where it is large), again as a spanning forest: a pair is left out only when both
-   already are connected by confirmed links.
+4. Components of these candidate links are clusters. Full sets are compared inside each cluster, again
+   as a spanning forest: a pair is left out only when both already are connected by confirmed links. A
+   cluster that is too large for one task, by texts or by their words, is first compared in parts, each
+   text beside the one of least id among its candidate links, which costs each text once or twice; only
+   texts outside the largest part that this connects are then compared with all others, in pairs of blocks.
 5. Components of confirmed links give the groups.
 
 The number of rows per band is the largest at which a pair at the threshold shares no band with a
@@ -18,13 +20,14 @@ chance of at most 1e-6; signatures count as near enough down to six standard err
 
 Defined results: null texts and texts without words have an empty set and no links; a text with
 fewer words than a shingle has one element, its words; repeated ids count as texts of their own, and
-share a group's number if linked. Columns named like the results are replaced; all others stay.
+share a group's number if linked; a row without an id is linked with nothing; an empty table gives no
+rows. The result has its four columns alone, so other columns don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ from .shared import Tables, free, small_batches
 
 #: Places of a signature.
 VALUES = 120
-#: Classes of a block, where a bucket or a cluster is cut.
-BLOCK = 1500
+#: Classes of a block, where a bucket or a cluster is cut, and elements of their sets.
+BLOCK, BLOCK_ELEMENTS = 1500, 3_000_000
 #: Hash values by which texts are sifted before full sets are compared.
 SLOTS = 1 << 19
 
@@ -109,12 +112,14 @@ def _sketch(text: Column, words: int) -> Column:
     return sketch(text)
 
 
+def _blocks(count: Column, elements: Column, block: int) -> Column:
+    return F.ceil(F.greatest(count / block, elements / (BLOCK_ELEMENTS * block / BLOCK))).cast("int")
+
+
 def _tiled(rows: DataFrame, group: str, count: str, member: str, block: int = BLOCK) -> DataFrame:
-    """rows with _tile: a row for each pair of blocks of its group that its own block is in; _own: its block."""
+    """rows with _tile: a row for each pair of blocks of its group that its own block is in."""
     blocks = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64(member), blocks).cast("int")
-    rows = rows.withColumn("_blocks", blocks).withColumn("_own", own)
-    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64(member), blocks).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumn("_tile", F.xxhash64(group, F.least("_own", "_with"), F.greatest("_own", "_with")))
 
 
@@ -165,14 +170,13 @@ def _bucket_links(least: int):
 
 
 def _confirmed_links(words: int, percent: int):
-    """Links of confirmed pairs inside tiles (_tile, id, text, many): the least id of what is connected, with each other id."""
+    """Links of confirmed pairs inside tiles (_tile, id, text): the least id of what is connected, with each other id."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, lambda b: np.asarray(b.column(0)), most_rows=2048):
             ids = np.asarray(table.column(1).combine_chunks())
-            many = table.column(3).combine_chunks().to_pylist()
             sets = [s for _, _, data, offs in K.slices(table.column(2)) for s in shingles(data, offs, words)]
-            out: list[tuple[int, int, bool]] = []
+            out: list[tuple[int, int]] = []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 size = np.array([len(s) for s in sets[a:b]])
                 _, code = np.unique(np.concatenate(sets[a:b]), return_inverse=True)
@@ -194,13 +198,38 @@ def _confirmed_links(words: int, percent: int):
                 for root in np.unique(up[up != np.arange(b - a)]):
                     members = ids[a:b][up == root]
                     least = members.min()
-                    out += [(int(x), int(least), many[a]) for x in members if x != least]
-            x, y, z = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.bool_())], ["a", "b", "many"])
+                    out += [(int(x), int(least)) for x in members if x != least]
+            x, y = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
     return links
 
 
+def _large_links(large: DataFrame, candidates: DataFrame, confirmed: Callable[[DataFrame], DataFrame], tables: Tables, block: int) -> DataFrame:
+    """Confirmed links (a, b) of clusters that are cut in blocks: (node, root, size)."""
+    weigh = [F.count("*").alias("n"), F.sum("size").alias("w")]
+    # each text beside the least of its candidates
+    beside = candidates.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub")).join(large.select("node", "size"), "node")
+    hubs = beside.groupBy("hub").agg(*weigh).select("hub", _blocks(F.col("n"), F.col("w"), block).alias("blocks"))
+    own = beside.join(hubs, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("_tile"), "node")
+    tiles = own.union(hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_k")).select(F.xxhash64("hub", "_k"), "hub"))
+    links = confirmed(tiles)
+    part = components(links, tables).select("node", F.col("root").alias("part"))
+    parted = tables.put(large.select("node", "root", "size").join(part, "node", "left").withColumn("part", F.coalesce("part", "node")))
+    most = parted.groupBy("root", "part").count().groupBy("root").agg(F.max(F.struct("count", "part")).alias("m")).select("root", F.col("m.part").alias("main"))
+    parted = tables.put(parted.join(most, "root").withColumn("rest", F.col("part") != F.col("main")))
+    weight = lambda rest: (F.count(F.when(rest, 1)), F.coalesce(F.sum(F.when(rest, F.col("size"))), F.lit(0)))
+    counts = parted.groupBy("root").agg(*(x.alias(n) for x, n in zip((*weight(F.col("rest")), *weight(~F.col("rest"))), ("nr", "wr", "nm", "wm"), strict=True)))
+    counts = counts.where("nr > 0").select("root", _blocks(F.col("nr"), F.col("wr"), block).alias("rests"), _blocks(F.col("nm"), F.col("wm"), block).alias("mains"))
+    rows = parted.join(counts, "root").withColumn("_own", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    main = rows.where("NOT rest").withColumn("_with", F.explode(upto("rests"))).select(F.xxhash64("root", F.lit("main"), "_with", "_own").alias("_tile"), "node")
+    rest = rows.where("rest")
+    to_main = rest.withColumn("_with", F.explode(upto("mains"))).select(F.xxhash64("root", F.lit("main"), "_own", "_with").alias("_tile"), "node")
+    to_rest = rest.withColumn("_with", F.explode(upto("rests"))).select(F.xxhash64("root", F.lit("rest"), F.least("_own", "_with"), F.greatest("_own", "_with")).alias("_tile"), "node")
+    return links if counts.isEmpty() else links.union(confirmed(main.union(to_main).union(to_rest)))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id, kept) of every text; kept: it is its group's least id."""
     small_batches(docs.sparkSession)
@@ -210,7 +239,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     least = int(VALUES * t - 6 * (VALUES * t * (1 - t)) ** 0.5)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = tables.put(docs.withColumn("s", _sketch(F.col("text"), words)).select("id", "s.n", "s.digest", "s.signature"))
-    classes = sketched.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"))
+    classes = sketched.where("n > 0 AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("n").alias("size"))
     classes = tables.put(classes)
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(VALUES // rows - 1)), lambda i: F.xxhash64(i, F.col("signature").substr(i * (2 * rows) + 1, F.lit(2 * rows))))
@@ -218,19 +247,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     often = met.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     met = met.join(often, "band").join(classes.select("id", "signature"), "id")
     met = _tiled(met, "band", "n", "id", block).select("_tile", "id", "signature")
-    candidates = met.repartition("_tile").sortWithinPartitions("_tile").mapInArrow(_bucket_links(least), "a long, b long")
-    clusters = tables.put(components(candidates, tables))
-
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    members = _tiled(clusters.join(sizes, "root"), "root", "n", "node", block)
+    candidates = tables.put(met.repartition("_tile").sortWithinPartitions("_tile").mapInArrow(_bucket_links(least), "a long, b long"))
+    clusters = components(candidates, tables).join(classes.select(F.col("id").alias("node"), "size"), "node")
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("w")).select("root", _blocks(F.col("n"), F.col("w"), block).alias("blocks"))
+    members = tables.put(clusters.join(sizes, "root"))
     # texts of no cluster are mostly left out before the shuffle, by a set of id hashes of bounded size
-    slots = clusters.select(_slot(F.col("node")).alias("slot")).distinct()
+    slots = members.select(_slot(F.col("node")).alias("slot")).distinct()
     wanted = docs.join(F.broadcast(slots), _slot(F.col("id")) == F.col("slot"), "left_semi")
-    checked = members.hint("merge").join(wanted, members.node == wanted.id).select("_tile", "id", "text", (F.col("n") > block).alias("many"))
-    links = tables.put(checked.repartition("_tile").sortWithinPartitions("_tile", "id").mapInArrow(_confirmed_links(words, percent), "a long, b long, many boolean"))
-    groups = links.where("NOT many").select(F.col("a").alias("id"), F.col("b").alias("root"))
-    if not links.where("many").isEmpty():
-        groups = groups.union(components(links.where("many"), tables).select(F.col("node").alias("id"), "root"))
+
+    def confirmed(tiles: DataFrame) -> DataFrame:
+        """Links (a, b) of the texts of each tile (_tile, node)."""
+        rows = tiles.hint("merge").join(wanted, tiles.node == wanted.id).select("_tile", "id", "text")
+        return tables.put(rows.repartition("_tile").sortWithinPartitions("_tile", "id").mapInArrow(_confirmed_links(words, percent), "a long, b long"))
+
+    links = confirmed(members.where("blocks = 1").select(F.col("root").alias("_tile"), "node"))
+    groups = links.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        groups = groups.union(components(_large_links(large, candidates, confirmed, tables, block), tables).select(F.col("node").alias("id"), "root"))
     of_class = classes.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     linked = sketched.where("n > 0 AND id IS NOT NULL").join(of_class, "digest").select("id", "n", "component_id")
     alone = sketched.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("component_id"))
