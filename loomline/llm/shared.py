@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of texts in an Arrow batch.
 TEXT_ROWS = 1000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder where it is unset (tests on one machine)."""
+    """spark.checkpoint.dir, a folder that the driver and all executors share."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="loomline-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -49,10 +48,15 @@ class Tables:
         atexit.register(self._remove, self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
+        """df, written and read again. The shuffle files of the write go once it is done."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

@@ -2,16 +2,19 @@
 
 Byte-level BPE works on pieces of text alone (a word with the space before it, a run of digits,
 signs or white space). Texts of common characters are cut into these pieces in numpy, and each
-distinct piece is encoded once by the `tokenizers` library's model and remembered in the worker by a
-64-bit hash; texts with
-other characters, or with the string of an added token, go to the library whole. Both give the
-library's ids, an added token in a text counting as that token.
+distinct piece is encoded once and remembered in the worker by a 64-bit hash. Where the file's merges
+are in the order of their ids, byte-level BPE is merging by least id: `tiktoken` does that on bytes;
+other files' pieces are encoded by the `tokenizers` library's model. Texts with other characters, or
+with the string of an added token, go to that library whole. All give its ids, an added token in a text
+counting as that token.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -134,6 +137,24 @@ class Numbers:
             left, slot = left[on], (slot[on] + 1) % len(self.keys)
 
 
+def _ranked(path: str) -> Callable[[bytes], list[int]] | None:
+    """Encoding of one piece by merging the neighbours of least id; None if the file's merges are in another order or it has more than merges."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model.get("vocab")
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain:
+        return None
+    made = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    bytes_of = {chr(c): b for b, c in _WRITTEN.items()}
+    if None in made or made != sorted(made) or len(made) + 256 != len(vocabulary) or any(c not in bytes_of for w in vocabulary for c in w):
+        return None
+    import tiktoken
+
+    ranks = {bytes(bytes_of[c] for c in w): i for w, i in vocabulary.items()}
+    return tiktoken.Encoding("pieces", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     """a, doubled until it has n places."""
     while len(a) < n:
@@ -149,6 +170,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = _ranked(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
 
@@ -161,9 +183,13 @@ class Encoder:
         """Ids of the pieces at these bytes, by the model alone."""
         size = ends - starts
         cut = np.concatenate(([0], np.cumsum(size)))
-        raw = data[np.repeat(starts - cut[:-1], size) + np.arange(cut[-1])].tobytes().decode("latin-1").translate(_WRITTEN)
-        tokenize, cut = self.tokenizer.model.tokenize, cut.tolist()
-        found = [[x.id for x in tokenize(raw[a:b])] for a, b in zip(cut, cut[1:], strict=False)]
+        raw = data[np.repeat(starts - cut[:-1], size) + np.arange(cut[-1])].tobytes()
+        cut = cut.tolist()
+        if self.ranked:
+            found = [self.ranked(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        else:
+            tokenize, raw = self.tokenizer.model.tokenize, raw.decode("latin-1").translate(_WRITTEN)
+            found = [[x.id for x in tokenize(raw[a:b])] for a, b in zip(cut, cut[1:], strict=False)]
         n, long = self.seen.n, np.fromiter(map(len, found), np.int32, len(found))
         used = self.used + int(long.sum())
         self.flat = _room(self.flat, used)
