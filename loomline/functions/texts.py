@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of tokens and the weights of terms below.
 #: A lexical token: letters and digits, with single joining signs inside.
 TOKEN = r"[a-z0-9]+(?:[._/-][a-z0-9]+)*"
 WORD = r"[a-z0-9]+"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,81 +15,190 @@ from ..functions import texts as T
 
 
 def lexical_score(text: Column, terms: Sequence[str]) -> Column:
-    """The weighted share of the terms that the text holds."""
-    words = T.tokens(text)
+    """How well a text holds weighted terms, 0 to 1.
+
+    A word counts 0.7, and 0.15 more for each repeat up to two; a phrase 0.8, and 0.1 more a repeat, or 0.6 if the text has all its words apart."""
+    if not terms:
+        return F.lit(0.0)
+    plain = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+
+    def strength(plain: Column, words: Column, term: str) -> Column:
+        if " " not in term:
+            n = F.size(F.filter(words, lambda w: w == F.lit(term)))
+            return F.when(n > 0, F.least(F.lit(1.0), 0.7 + 0.15 * F.least(n - 1, F.lit(2)))).otherwise(0.0)
+        n = F.size(F.split(plain, F.lit(re.escape(term)), -1)) - 1
+        apart = reduce(lambda x, y: x & y, [F.array_contains(words, t) for t in re.findall(T.TOKEN, term)])
+        return F.when(n > 0, F.least(F.lit(1.0), 0.8 + 0.1 * (n - 1))).when(apart, 0.6).otherwise(0.0)
+
+    terms = list(dict.fromkeys(terms))
     total = sum((T.term_weight(F.lit(t)) for t in terms[1:]), T.term_weight(F.lit(terms[0])))
-    hit = sum((F.when(F.array_contains(words, t), T.term_weight(F.lit(t))).otherwise(0.0) for t in terms), F.lit(0.0))
-    return F.round(hit / total, 6)
+    # the words are named, so that a text is cut into them once
+    named = F.array(F.struct(plain.alias("plain"), T.tokens(text).alias("words")))
+    hit = F.transform(named, lambda x: sum((T.term_weight(F.lit(t)) * strength(x.plain, x.words, t) for t in terms), F.lit(0.0)))
+    return F.round(F.least(F.element_at(hit, 1) / total, F.lit(1.0)), 6)
 
 
-def normalized(rows: DataFrame, score: str, rank: str) -> DataFrame:
-    """rows with base: min-max of the score, or by position where all scores are equal or null."""
-    every = Window.partitionBy(F.lit(0))
-    low, high = F.min(score).over(every), F.max(score).over(every)
-    n = F.count("*").over(every)
+#: Scores that a chunk may come with, the first that it has counts.
+SCORES = ("rerank_score", "merge_score", "retrieval_score", "rrf_score", "score", "similarity", "cosine_similarity")
+
+
+def base_score(columns: Sequence[str]) -> Column:
+    """The first score that is there, else 1 / (1 + distance), else null; columns: those the rows have."""
+    found = [F.col(c).cast("double") for c in SCORES if c in columns]
+    if "distance" in columns:
+        found.append(F.when(F.col("distance").isNotNull(), 1 / (1 + F.greatest(F.col("distance").cast("double"), F.lit(0.0)))))
+    return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+
+def generic_path(path: Column) -> Column:
+    """Whether a path names no document: empty, unknown, or a placeholder's name."""
+    name = F.lower(F.element_at(F.split(F.regexp_replace(F.trim(path), "/+$", ""), "/"), -1))
+    return F.coalesce(F.trim(path) == "", F.lit(True)) | (F.trim(path) == "unknown_source") | name.rlike(r"^(?:processed|test_doc[0-9]*)(?:\.[a-z0-9]+)?$")
+
+
+def document_key(s3_key: Column, path: Column, title: Column, chunk_id: Column) -> Column:
+    """What groups chunks into documents: the key of the store, a path that names a document, the title, or the chunk itself; empty if there is none of them."""
+    some = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return F.coalesce(some(s3_key), F.when(~generic_path(path), F.trim(path)), some(title), some(chunk_id), F.when(F.trim(path) != "unknown_source", F.trim(path)), F.lit(""))
+
+
+def above_floor(rows: DataFrame, score: str, least: float) -> DataFrame:
+    """rows that reach a score; those without one stay."""
+    return rows.where(F.coalesce(score, F.lit(100.0)) >= least)
+
+
+def chunk_limit(n_tokens: int, configured: int) -> int:
+    """How many chunks a question without a known kind gets: half for up to three words, else all."""
+    return min(configured, max(2, configured // 2)) if n_tokens <= 3 else configured
+
+
+def normalized(rows: DataFrame, score: str, rank: str, by: Sequence[str]) -> DataFrame:
+    """rows with base: min-max of the score inside each list; without any score by position; where all are equal 1, without a score 0."""
+    every = Window.partitionBy(*by)
+    low, high, n = F.min(score).over(every), F.max(score).over(every), F.count("*").over(every)
     by_place = F.when(n > 1, 1 - (F.col(rank) - 1) / (n - 1)).otherwise(1.0)
-    return rows.withColumn("base", F.when((high > low) & F.col(score).isNotNull(), (F.col(score) - low) / (high - low)).otherwise(by_place))
+    spread = F.when(F.col(score).isNull(), 0.0).when(high == low, 1.0).otherwise((F.col(score) - low) / (high - low))
+    return rows.withColumn("base", F.when(high.isNull(), by_place).otherwise(spread))
+
+
+def lexical_boost(rows: DataFrame, terms: Sequence[str], text: str, rank: str, by: Sequence[str], weight: float = 0.2, score: str = "score") -> DataFrame:
+    """Each list reordered by (1 - weight) * base + weight * lexical, then lexical, then its rank; unchanged where no row has a term."""
+    out = normalized(rows, score, rank, by).withColumn("lexical", lexical_score(F.col(text), terms))
+    some = F.max("lexical").over(Window.partitionBy(*by)) > 0
+    out = out.withColumn("final", F.round((1 - weight) * F.col("base") + weight * F.col("lexical"), 6)).withColumn("_some", some)
+    order = Window.partitionBy(*by).orderBy(F.when(F.col("_some"), -F.col("final")).otherwise(0.0), F.when(F.col("_some"), -F.col("lexical")).otherwise(0.0), rank)
+    return out.withColumn("new_rank", F.row_number().over(order)).drop("_some")
+
+
+#: Signals of support, the strongest first.
+SUPPORT = ("duration_answer_match", "impact_answer_match", "exact_phrase_match", "precise_focus_overlap", "priority_match", "metadata_query_match")
 
 
-def lexical_boost(rows: DataFrame, terms: Sequence[str], text: str, rank: str, weight: float = 0.35, score: str = "score") -> DataFrame:
-    """rows reordered by (1 - weight) * base + weight * lexical; unchanged where no row has a term."""
-    out = normalized(rows, score, rank).withColumn("lexical", lexical_score(F.col(text), terms))
-    some = F.max("lexical").over(Window.partitionBy(F.lit(0))) > 0
-    out = out.withColumn("final", F.round(F.when(some, (1 - weight) * F.col("base") + weight * F.col("lexical")).otherwise(F.col("base")), 6))
-    order = Window.orderBy(F.when(some, -F.col("final")).otherwise(0.0), rank)
-    return out.withColumn("new_rank", F.row_number().over(order))
+def support_order(rows: DataFrame, by: Sequence[str], rank: str, document: str) -> DataFrame:
+    """Each list reordered by its chunks' signals of support (SUPPORT, nulls as 0), with support_rank.
 
+    focused: whether the chunk's document has a chunk whose focus overlaps in full; where a list has such a document this goes before
+    the phrase, else behind all signals. merge_score counts only for chunks with a signal; ties keep the rank."""
+    value = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in rows.columns else F.lit(0.0) for c in (*SUPPORT, "merge_score")}
+    full = (value["precise_focus_overlap"] >= 1) & (F.col(document) != "")
+    out = rows.withColumn("focused", F.max(full.cast("int")).over(Window.partitionBy(*by, document)).cast("double")).withColumn("_any", F.max(full.cast("int")).over(Window.partitionBy(*by)) > 0)
+    first, rest = [value[c] for c in SUPPORT[:2]], [value[c] for c in SUPPORT[2:]]
+    signal = F.greatest(*first, *rest, F.col("focused"))
+    keys = [*first, F.when(F.col("_any"), F.col("focused")).otherwise(0.0), *rest, F.when(signal > 0, value["merge_score"]).otherwise(0.0)]
+    return out.withColumn("support_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(k) for k in keys], rank))).drop("_any")
 
-def cap_per_document(rows: DataFrame, doc: str, rank: str, most: int, total: int, protected: Column | None = None) -> DataFrame:
-    """At most so many rows of each document in rank order (protected documents have no cap), and in all."""
-    out = rows.withColumn("_r", F.row_number().over(Window.partitionBy(doc).orderBy(rank)))
-    keep = F.col("_r") <= most
-    return out.where(keep if protected is None else keep | protected).drop("_r").orderBy(rank).limit(total)
 
+def cap_per_document(rows: DataFrame, doc: str, rank: str, most: int | Column, total: int | Column, by: Sequence[str], protected: Column | None = None, expand: bool | Column = False) -> DataFrame:
+    """Of each list at most so many rows of a document in rank order, and in all.
 
-def within_budget(rows: DataFrame, tokens: str, order: Sequence[Column], budget: int, by: Sequence[str] = ()) -> DataFrame:
-    """The rows before the running sum of tokens passes the budget."""
+    protected: a larger limit of the row's document; expand: a list of one document may have up to three (or `most`) of it."""
+    total, most = (F.lit(x) if isinstance(x, int) else x for x in (total, most))
+    documents = F.size(F.collect_set(doc).over(Window.partitionBy(*by)))
+    limit = F.when(F.lit(expand) & (documents <= 1), F.least(total, F.greatest(most, F.lit(3)))).otherwise(most)
+    limit = limit if protected is None else F.greatest(limit, protected)
+    out = rows.withColumn("_l", limit).withColumn("_r", F.row_number().over(Window.partitionBy(*by, doc).orderBy(rank))).where(F.col("_r") <= F.col("_l"))
+    return out.withColumn("_t", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("_t") <= total).drop("_l", "_r", "_t")
+
+
+def within_budget(rows: DataFrame, tokens: str, order: Sequence[Column], budget: int, by: Sequence[str]) -> DataFrame:
+    """The rows of each list before the running sum of tokens passes the budget."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running", F.sum(tokens).over(w)).where(F.col("running") <= budget)
 
 
-def polled(rows: DataFrame, group: str, group_rank: str, item_rank: str, most: int, least: int) -> DataFrame:
-    """The first round of weighted polling: a quota that falls linearly with the group's rank, rounded half to even."""
-    n = F.max(group_rank).over(Window.partitionBy(F.lit(0)))
-    quota = F.when(n > 1, F.bround(most - (F.col(group_rank) - 1) / (n - 1) * (most - least))).otherwise(most)
-    return rows.withColumn("quota", quota.cast("int")).where(F.col(item_rank) <= F.col("quota"))
+def json_tokens(columns: Sequence[str]) -> Column:
+    """Tokens of a chunk as it goes into a prompt: those of its JSON."""
+    return F.size(T.tokens(F.to_json(F.struct(*columns))))
+
+
+def stage_ranks(stages: Sequence[tuple[str, DataFrame]], by: Sequence[str], id_: str) -> DataFrame:
+    """(by, id, a column a stage): the rank that each row had at each stage (null where it was gone); a stage's rows have `rank`."""
+    every = reduce(DataFrame.unionByName, [part.select(*by, id_, F.lit(name).alias("_s"), "rank") for name, part in stages])
+    return every.groupBy(*by, id_).pivot("_s", [name for name, _ in stages]).agg(F.min("rank"))
+
+
+def numbered(rows: DataFrame, by: Sequence[str], order: str, prefix: str = "DC", name: str = "id") -> DataFrame:
+    """rows with ids DC1, DC2, ... in the order of each list."""
+    return rows.withColumn(name, F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(*by).orderBy(order))))
+
+
+def _quotas(sizes: DataFrame, by: Sequence[str], group_rank: str, most: int, least: int) -> DataFrame:
+    """sizes with quota: a share that falls linearly with the group's rank, rounded half to even."""
+    n = F.max(group_rank).over(Window.partitionBy(*by))
+    return sizes.withColumn("quota", F.when(n > 1, F.bround(most - (F.col(group_rank) - 1) / (n - 1) * (most - least))).otherwise(most).cast("int"))
 
 
-def polled_twice(rows: DataFrame, group: str, group_rank: str, item_rank: str, most: int, least: int) -> DataFrame:
-    """Both rounds: what groups with too few items leave goes to the earliest groups with items to spare."""
-    every = Window.partitionBy(F.lit(0))
-    n = F.max(group_rank).over(every)
-    quota = F.when(n > 1, F.bround(most - (F.col(group_rank) - 1) / (n - 1) * (most - least))).otherwise(most).cast("int")
-    sizes = rows.groupBy(group, group_rank).agg(F.count("*").alias("size")).withColumn("quota", quota)
-    sizes = sizes.withColumn("left", F.sum(F.greatest(F.col("quota") - F.col("size"), F.lit(0))).over(every))
+def polled(rows: DataFrame, group_rank: str, item_rank: str, most: int, least: int, by: Sequence[str], rounds: int = 2) -> DataFrame:
+    """Weighted polling of groups: first each group's quota, then (of two rounds) what groups with too few items leave goes to the earliest with items to spare.
+
+    Windows are over the groups of a list, not over its items."""
+    sizes = _quotas(rows.groupBy(*by, group_rank).agg(F.count("*").alias("size")), by, group_rank, most, least)
     spare = F.greatest(F.col("size") - F.col("quota"), F.lit(0))
-    before = F.coalesce(F.sum(spare).over(Window.orderBy(group_rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("take", F.least("quota", "size") + F.greatest(F.least(spare, F.col("left") - before), F.lit(0)))
-    return rows.join(sizes.select(group, "take"), group).where(F.col(item_rank) <= F.col("take")).drop("take")
+    unused = F.sum(F.greatest(F.col("quota") - F.col("size"), F.lit(0))).over(Window.partitionBy(*by))
+    before = F.coalesce(F.sum(spare).over(Window.partitionBy(*by).orderBy(group_rank).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = F.greatest(F.least(spare, unused - before), F.lit(0)) if rounds > 1 else F.lit(0)
+    sizes = sizes.withColumn("take", (F.least("quota", "size") + extra).cast("int"))
+    return rows.join(sizes.select(*by, group_rank, "quota", "take"), [*by, group_rank]).where(F.col(item_rank) <= F.col("take"))
+
+
+def interleaved(rows: DataFrame, id_: str, keyword: str, place: str, score: str, most: int, by: Sequence[str]) -> DataFrame:
+    """(by, id, rank): candidates of several keywords in turn, each once, then the others by score.
+
+    place: a candidate's place in its keyword's list; the turns take the first half of `most`."""
+    turn = Window.partitionBy(*by).orderBy(place, keyword)
+    first = Window.partitionBy(*by, id_).orderBy(place, keyword)
+    once = rows.withColumn("_f", F.row_number().over(first)).where("_f = 1").withColumn("_t", F.row_number().over(turn))
+    by_score = F.when(F.col("_t") <= most // 2, F.lit(None).cast("double")).otherwise(F.col(score))
+    order = Window.partitionBy(*by).orderBy(F.when(F.col("_t") <= most // 2, F.col("_t")).otherwise(most), F.desc(by_score), id_)
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*by, id_, "rank")
 
 
-def references(rows: DataFrame, path: str, rank: str, text: str, most: int = 10) -> DataFrame:
-    """(reference_id, path, n, excerpt): files by how many rows they have, then by their first row."""
-    counted = rows.groupBy(path).agg(F.count("*").alias("n"), F.min(rank).alias("_first"), F.min_by(T.excerpt(F.col(text)), rank).alias("excerpt"))
-    out = counted.withColumn("reference_id", F.row_number().over(Window.orderBy(F.desc("n"), "_first")))
-    return out.where(F.col("reference_id") <= most).select("reference_id", path, "n", "excerpt")
+def references(rows: DataFrame, path: str, rank: str, text: str, by: Sequence[str], most: int = 10) -> DataFrame:
+    """(by, reference_id, path, n, excerpt): files of each list by how many rows they have, then by their first row."""
+    counted = rows.groupBy(*by, path).agg(F.count("*").alias("n"), F.min(rank).alias("_first"), F.min_by(T.excerpt(F.col(text)), rank).alias("excerpt"))
+    out = counted.withColumn("reference_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "_first")))
+    return out.where(F.col("reference_id") <= most).select(*by, "reference_id", path, "n", "excerpt")
+
+
+#: Words that the local reranker leaves out.
+RERANK_STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "of", "on", "or", "that", "the", "to", "was", "what", "when", "where", "which", "who", "with",
+)
 
 
 def local_rerank(rows: DataFrame, query: str, text: str, id_: str, k: int, phrases: Sequence[str] = ()) -> DataFrame:
-    """(id, score, rank): recall + 0.35 precision + 0.25 a phrase + 0.15 a number of the query's that the text holds."""
-    want = F.array_distinct(T.tokens(F.lit(query)))
-    words = F.array_distinct(T.tokens(F.col(text)))
-    both = F.size(F.array_intersect(want, words))
-    score = both / F.size(want) + 0.35 * F.when(F.size(words) > 0, both / F.size(words)).otherwise(0.0)
+    """(id, score, rank): recall + 0.35 precision + 0.25 a phrase + 0.15 a term with a digit that the query and the text share; 0 where either has no term.
+
+    Terms are tokens of three characters or more that aren't stop words."""
+    terms = lambda c: F.array_distinct(F.filter(T.tokens(c), lambda t: (F.length(t) > 2) & ~t.isin(*RERANK_STOPWORDS)))
+    named = rows.select(id_, F.lower(text).alias("_low"), terms(F.col(text)).alias("_words"))
+    want = sorted({t for t in re.findall(T.TOKEN, query.lower()) if len(t) > 2 and t not in RERANK_STOPWORDS})
+    out = named.withColumn("_both", F.array_intersect(F.lit(want) if want else F.array().cast("array<string>"), "_words"))
+    score = F.size("_both") / max(len(want), 1) + 0.35 * F.size("_both") / F.size("_words")
     for p in phrases:
-        score = score + 0.25 * F.contains(F.lower(text), F.lit(p.lower())).cast("double")
-    score = score + 0.15 * F.size(F.filter(F.array_intersect(want, words), lambda t: t.rlike("^[0-9]+$")))
-    out = rows.select(id_, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+        score = score + 0.25 * F.contains("_low", F.lit(p.lower())).cast("double")
+    score = score + 0.15 * F.size(F.filter("_both", lambda t: t.rlike("[0-9]")))
+    out = out.select(id_, F.when((F.size("_words") > 0) & F.lit(bool(want)), F.round(score, 6)).otherwise(0.0).alias("score")).orderBy(F.desc("score"), id_).limit(k)
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)))
 
 

@@ -9,77 +9,149 @@ from ..functions import texts as T
 from ..operators import shaping as S
 from .registry import query, table
 
-_TERMS = ["the", "with", "thereof-x", "2024"]
+_TERMS = ["the", "with", "thereof-x", "2024", "of the"]
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')"
-# weights of _TERMS: 1.0, 1.0, 1 + .15 + .10, 1 + .35
-_LEX = "round((CASE WHEN list_contains(w, 'the') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(w, 'with') THEN 1.0 ELSE 0 END + CASE WHEN list_contains(w, 'thereof-x') THEN 1.25 ELSE 0 END + CASE WHEN list_contains(w, '2024') THEN 1.35 ELSE 0 END)::DOUBLE / 4.6::DOUBLE, 6)"
+_N = "len(list_filter(w, lambda x: x = '{}'))"
+_HIT = "CASE WHEN {n} > 0 THEN least(1.0, 0.7::DOUBLE + 0.15::DOUBLE * least({n} - 1, 2)) ELSE 0 END"
+_PHRASE = r"(len(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), 'of the')) - 1)"
+# weights of _TERMS: 1.0, 1.0, 1 + .15 + .10, 1 + .35, 1 + .35
+_LEX = (
+    "round((" + " + ".join(f"{w}::DOUBLE * {_HIT.format(n=_N.format(t))}" for t, w in (("the", 1.0), ("with", 1.0), ("thereof-x", 1.25), ("2024", 1.35)))
+    + f" + 1.35::DOUBLE * CASE WHEN {_PHRASE} > 0 THEN least(1.0, 0.8::DOUBLE + 0.1::DOUBLE * ({_PHRASE} - 1)) WHEN list_contains(w, 'of') AND list_contains(w, 'the') THEN 0.6 ELSE 0 END) / 5.95::DOUBLE, 6)"
+)
 
 
-def _ranked(spark: SparkSession, sf_dir: str, n: int = 200) -> DataFrame:
-    """The longest documents as a ranked list."""
-    top = table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id"))).withColumn("score", F.col("n_chars").cast("double"))
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ranked lists of questions: fifty ids are the candidates of one, the longest first."""
+    d = table(spark, sf_dir, "documents").withColumn("q", F.floor(F.col("doc_id") / 50))
+    return d.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("n_chars"), "doc_id"))).withColumn("score", F.col("n_chars").cast("double"))
 
 
-_RANKED = "r AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id)::INT AS rank, n_chars::DOUBLE AS score FROM documents ORDER BY n_chars DESC, doc_id LIMIT 200)"
+_RANKED = "r AS (SELECT *, doc_id // 50 AS q, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY n_chars DESC, doc_id)::INT AS rank, n_chars::DOUBLE AS score FROM documents)"
 
 
-@query(f"SELECT doc_id, {_LEX} AS lexical FROM (SELECT doc_id, {_TOK} AS w FROM documents)")
+@query(f"SELECT doc_id, {_LEX} AS lexical FROM (SELECT doc_id, text, {_TOK} AS w FROM documents)")
 def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.lexical_score(F.col("text"), _TERMS).alias("lexical"))
 
 
-@query(f"""WITH {_RANKED}, b AS (SELECT doc_id, rank, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS base, {_LEX} AS lexical FROM (SELECT *, {_TOK} AS w FROM r)),
-f AS (SELECT *, round(0.65::DOUBLE * base + 0.35::DOUBLE * lexical, 6) AS final FROM b) SELECT doc_id, rank, final, row_number() OVER (ORDER BY final DESC, rank)::INT AS new_rank FROM f""")
+@query(f"""WITH {_RANKED}, b AS (SELECT q, doc_id, rank, CASE WHEN max(score) OVER p = min(score) OVER p THEN 1.0 ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS base, {_LEX} AS lexical FROM (SELECT *, {_TOK} AS w FROM r) WINDOW p AS (PARTITION BY q)),
+f AS (SELECT *, round(0.8::DOUBLE * base + 0.2::DOUBLE * lexical, 6) AS final, max(lexical) OVER (PARTITION BY q) > 0 AS found FROM b)
+SELECT doc_id, rank, final, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN found THEN -final ELSE 0 END, CASE WHEN found THEN -lexical ELSE 0 END, rank)::INT AS new_rank FROM f""")
 def lexical_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.lexical_boost(_ranked(spark, sf_dir), _TERMS, "text", "rank").select("doc_id", "rank", "final", "new_rank")
+    return S.lexical_boost(_ranked(spark, sf_dir), _TERMS, "text", "rank", ["q"]).select("doc_id", "rank", "final", "new_rank")
 
 
-@query(f"WITH {_RANKED} SELECT doc_id, source, rank FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank) <= 3 OR source = 'src1' ORDER BY rank LIMIT 50")
+@query(f"""WITH {_RANKED}, s AS (SELECT doc_id, q, CASE WHEN rank % 7 = 0 THEN NULL ELSE score END AS score, rank FROM r WHERE doc_id % 50 < 49 OR q % 2 = 0)
+SELECT doc_id, round(CASE WHEN max(score) OVER p IS NULL THEN CASE WHEN count(*) OVER p > 1 THEN 1 - (rank - 1) / (count(*) OVER p - 1)::DOUBLE ELSE 1 END WHEN score IS NULL THEN 0 WHEN max(score) OVER p = min(score) OVER p THEN 1
+  ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END, 6) AS base FROM s WINDOW p AS (PARTITION BY q)""")
+def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ranked(spark, sf_dir).where("doc_id % 50 < 49 OR q % 2 = 0").withColumn("score", F.when(F.col("rank") % 7 != 0, F.col("score")))
+    return S.normalized(rows, "score", "rank", ["q"]).select("doc_id", F.round("base", 6).alias("base"))
+
+
+@query("SELECT doc_id, round(CASE doc_id % 4 WHEN 0 THEN n_chars / 10.0::DOUBLE WHEN 1 THEN 0.25 WHEN 2 THEN 1 / (1 + greatest(doc_id - 500, 0)::DOUBLE) END, 6) AS base FROM documents")
+def first_base_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, m = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    rows = d.select("doc_id", F.when(m == 0, F.col("n_chars") / 10).alias("rerank_score"), F.when(m <= 1, 0.25).alias("similarity"), F.when(m <= 2, F.col("doc_id") - 500).alias("distance"))
+    return rows.select("doc_id", F.round(S.base_score(rows.columns), 6).alias("base"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 's3/' || source WHEN doc_id % 5 = 1 THEN 'in/' || source || '.pdf' WHEN doc_id % 5 = 2 THEN 'title ' || lang WHEN doc_id % 5 = 3 THEN CAST(doc_id AS VARCHAR) ELSE '' END AS key FROM documents""")
+def chunk_document_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, m = table(spark, sf_dir, "documents"), F.col("doc_id") % 5
+    path = F.when(m == 1, F.concat(F.lit(" in/"), "source", F.lit(".pdf"))).when(m == 2, "in/test_doc7.pdf").when(m == 3, "Processed.md").otherwise("unknown_source")
+    key = S.document_key(F.when(m == 0, F.concat(F.lit("s3/"), "source")), path, F.when(m == 2, F.concat(F.lit("title "), "lang")), F.when(m == 3, F.col("doc_id").cast("string")))
+    return d.select("doc_id", key.alias("key"))
+
+
+@query(f"WITH {_RANKED} SELECT doc_id, source, rank FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY q, source ORDER BY rank) <= CASE WHEN source = 'src1' THEN 5 ELSE 3 END) QUALIFY row_number() OVER (PARTITION BY q ORDER BY rank) <= 20")
 def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cap_per_document(_ranked(spark, sf_dir), "source", "rank", 3, 50, F.col("source") == "src1").select("doc_id", "source", "rank")
+    return S.cap_per_document(_ranked(spark, sf_dir), "source", "rank", 3, 20, ["q"], F.when(F.col("source") == "src1", 5)).select("doc_id", "source", "rank")
+
 
+@query(f"WITH {_RANKED} SELECT doc_id, rank FROM r WHERE CASE WHEN q % 2 = 0 THEN rank <= 3 ELSE lang IS NOT NULL AND rank IN (SELECT x.rank FROM r x WHERE x.q = r.q AND x.lang = r.lang ORDER BY x.rank LIMIT 2) END AND q < 8")
+def single_document_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of one document get three chunks of it, the others two of each."""
+    rows = _ranked(spark, sf_dir).where("q < 8").withColumn("doc", F.when(F.col("q") % 2 == 0, "one").otherwise(F.col("lang"))).where("doc IS NOT NULL")
+    return S.cap_per_document(rows, "doc", "rank", 2, 50, ["q"], expand=True).select("doc_id", "rank")
 
-@query(f"WITH {_RANKED}, t AS (SELECT doc_id, rank, len({_TOK}) AS tokens FROM r) SELECT doc_id, rank, running FROM (SELECT doc_id, rank, CAST(sum(tokens) OVER (ORDER BY rank) AS BIGINT) AS running FROM t) WHERE running <= 20000")
+
+@query(f"WITH {_RANKED}, t AS (SELECT q, doc_id, rank, len({_TOK}) AS tokens FROM r) SELECT doc_id, rank, running FROM (SELECT doc_id, rank, CAST(sum(tokens) OVER (PARTITION BY q ORDER BY rank) AS BIGINT) AS running FROM t) WHERE running <= 8000")
 def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _ranked(spark, sf_dir).withColumn("tokens", F.size(T.tokens(F.col("text"))))
-    return S.within_budget(rows, "tokens", [F.col("rank")], 20_000).select("doc_id", "rank", "running")
+    return S.within_budget(rows, "tokens", [F.col("rank")], 8_000, ["q"]).select("doc_id", "rank", "running")
+
+
+@query(f"WITH {_RANKED}, s AS (SELECT * , CASE WHEN doc_id % 3 > 0 THEN n_chars % 100 / 100.0::DOUBLE END AS rerank FROM r) SELECT doc_id, rank FROM s WHERE coalesce(rerank, 100) >= 0.5")
+def rerank_score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ranked(spark, sf_dir).withColumn("rerank", F.when(F.col("doc_id") % 3 > 0, F.col("n_chars") % 100 / 100))
+    return S.above_floor(rows, "rerank", 0.5).select("doc_id", "rank")
+
+
+@query(f"""WITH {_RANKED}, s AS (SELECT q, doc_id, rank, source, (doc_id % 3 = 0)::INT AS e, CASE doc_id % 11 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0 END * (q % 2) AS f, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS d, n_chars % 13 / 13.0::DOUBLE AS m FROM r),
+g AS (SELECT *, max((f >= 1)::INT) OVER (PARTITION BY q, source) AS focused, max((f >= 1)::INT) OVER (PARTITION BY q) AS whole FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY q ORDER BY d DESC, CASE WHEN whole = 1 THEN focused ELSE 0 END DESC, e DESC, f DESC, CASE WHEN greatest(d, focused, e, f) > 0 THEN m ELSE 0 END DESC, rank)::INT AS support_rank FROM g""")
+def support_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, m = _ranked(spark, sf_dir), F.col("doc_id") % 11
+    signals = {"exact_phrase_match": (F.col("doc_id") % 3 == 0).cast("double"), "precise_focus_overlap": F.when(m == 0, 1.0).when(m == 1, 0.5) * (F.col("q") % 2), "duration_answer_match": F.when(F.col("doc_id") % 7 == 0, 1.0), "merge_score": F.col("n_chars") % 13 / 13}
+    return S.support_order(rows.withColumns(signals), ["q"], "rank", "source").select("doc_id", "support_rank")
+
+
+@query(f"""WITH {_RANKED}, a AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id)::INT AS other FROM r WHERE n_chars > 300)
+SELECT r.doc_id, r.rank AS merge_rank, a.other AS lexical_rank, CASE WHEN a.other <= 5 THEN a.other END AS token_rank, CASE WHEN a.other <= 5 THEN 'DC' || a.other END AS id FROM r LEFT JOIN a ON r.doc_id = a.doc_id""")
+def stage_rank_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _ranked(spark, sf_dir)
+    second = first.where("n_chars > 300").withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("doc_id")))
+    third = second.where("rank <= 5")
+    traced = S.stage_ranks([("merge_rank", first), ("lexical_rank", second), ("token_rank", third)], ["q"], "doc_id")
+    return traced.join(S.numbered(third, ["q"], "rank").select("doc_id", "id"), "doc_id", "left").select("doc_id", "merge_rank", "lexical_rank", "token_rank", "id")
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("g", F.col("p_partkey") % 9 + 1).where("p_size > g * 4 OR g < 4")
-    return part.select(F.col("g").cast("int").alias("g"), "p_partkey", F.row_number().over(Window.partitionBy("g").orderBy("p_partkey")).alias("item"))
+    """All parts in nine ranked groups for each question of 400 ids; later groups are short."""
+    part = table(spark, sf_dir, "part").withColumn("q", F.floor(F.col("p_partkey") / 400)).withColumn("g", (F.col("p_partkey") % 9 + 1).cast("int"))
+    part = part.withColumn("g", F.when(F.col("p_size") > 40, 1).when(F.col("p_size") < 4, 9).otherwise(F.col("g")))
+    return part.select("q", "g", "p_partkey", F.row_number().over(Window.partitionBy("q", "g").orderBy("p_partkey")).alias("item"))
 
 
-_GROUPS = "p AS (SELECT (p_partkey % 9 + 1)::INT AS g, p_partkey, row_number() OVER (PARTITION BY p_partkey % 9 ORDER BY p_partkey)::INT AS item FROM part WHERE p_size > (p_partkey % 9 + 1) * 4 OR p_partkey % 9 + 1 < 4)"
+_GROUPS = "p AS (SELECT *, row_number() OVER (PARTITION BY q, g ORDER BY p_partkey)::INT AS item FROM (SELECT p_partkey // 400 AS q, CASE WHEN p_size > 40 THEN 1 WHEN p_size < 4 THEN 9 ELSE p_partkey % 9 + 1 END::INT AS g, p_partkey FROM part)), z AS (SELECT q, max(g) AS m FROM p GROUP BY q)"
+_QUOTA = "(CASE WHEN m > 1 THEN round_even(60 - (g - 1) / (m - 1)::DOUBLE * 40, 0) ELSE 60 END)::INT"
 
 
-@query(f"WITH {_GROUPS} SELECT g, p_partkey, item, round_even(12 - (g - 1) / 8.0 * 9, 0)::INT AS quota FROM p WHERE item <= round_even(12 - (g - 1) / 8.0 * 9, 0)")
+@query(f"WITH {_GROUPS} SELECT g, p_partkey, item, {_QUOTA} AS quota FROM p JOIN z USING (q) WHERE item <= {_QUOTA}")
 def weighted_polling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.polled(_groups(spark, sf_dir), "g", "g", "item", 12, 3).select("g", "p_partkey", "item", "quota")
+    return S.polled(_groups(spark, sf_dir), "g", "item", 60, 20, ["q"], rounds=1).select("g", "p_partkey", "item", "quota")
 
 
-@query(f"""WITH {_GROUPS}, q AS (SELECT * FROM p WHERE g > 2 OR item <= g * 3), s AS (SELECT g, count(*) AS size, round_even(12 - (g - 1) / 8.0 * 9, 0)::INT AS quota FROM q GROUP BY g),
-l AS (SELECT *, sum(greatest(quota - size, 0)) OVER () AS unused, greatest(size - quota, 0) AS spare FROM s),
-t AS (SELECT g, least(quota, size) + greatest(least(spare, unused - coalesce(sum(spare) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS take FROM l)
-SELECT q.g, p_partkey, item FROM q JOIN t USING (g) WHERE item <= take""")
+@query(f"""WITH {_GROUPS}, s AS (SELECT q, g, count(*) AS size, any_value({_QUOTA}) AS quota FROM p JOIN z USING (q) GROUP BY q, g),
+l AS (SELECT *, sum(greatest(quota - size, 0)) OVER (PARTITION BY q) AS unused, greatest(size - quota, 0) AS spare FROM s),
+t AS (SELECT q, g, least(quota, size) + greatest(least(spare, unused - coalesce(sum(spare) OVER (PARTITION BY q ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS take FROM l)
+SELECT p.g, p_partkey, item FROM p JOIN t ON p.q = t.q AND p.g = t.g WHERE item <= take""")
 def weighted_polling_both_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _groups(spark, sf_dir).where("g > 2 OR item <= g * 3")
-    return S.polled_twice(rows, "g", "g", "item", 12, 3).select("g", "p_partkey", "item")
+    return S.polled(_groups(spark, sf_dir), "g", "item", 60, 20, ["q"]).select("g", "p_partkey", "item")
 
 
-@query(f"""WITH {_RANKED}, c AS (SELECT source, count(*) AS n, min(rank) AS first, arg_min(CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END, rank) AS excerpt FROM r GROUP BY source)
-SELECT row_number() OVER (ORDER BY n DESC, first)::INT AS reference_id, source, n, excerpt FROM c QUALIFY reference_id <= 10""")
+@query(f"""WITH {_RANKED}, c AS (SELECT q, source, count(*) AS n, min(rank) AS first, arg_min(CASE WHEN length(text) > 150 THEN substring(text, 1, 150) || '...' ELSE text END, rank) AS excerpt FROM r GROUP BY q, source)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY n DESC, first)::INT AS reference_id, source, n, excerpt FROM c QUALIFY reference_id <= 10""")
 def reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.references(_ranked(spark, sf_dir), "source", "rank", "text")
+    return S.references(_ranked(spark, sf_dir), "source", "rank", "text", ["q"])
 
 
-@query("""WITH q AS (SELECT ['the', 'and', 'with', 'thing', '42'] AS q), w AS (SELECT doc_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')) AS w FROM documents),
-s AS (SELECT doc_id, len(list_intersect(q, w)) AS shared, len(w) AS n, contains(lower(text), 'of the') AS phrase, list_contains(w, '42') AS number FROM w, q),
-r AS (SELECT doc_id, round(shared / 5.0::DOUBLE + 0.35::DOUBLE * CASE WHEN n > 0 THEN shared::DOUBLE / n ELSE 0 END + 0.25::DOUBLE * phrase::INT + 0.15::DOUBLE * number::INT, 6) AS score FROM s)
+_STOP = "(" + ", ".join(f"'{w}'" for w in S.RERANK_STOPWORDS) + ")"
+
+
+@query(f"""WITH q AS (SELECT ['42', 'b2b', 'thing', 'this'] AS q), w AS (SELECT doc_id, text, list_distinct(list_filter({_TOK}, lambda t: length(t) > 2 AND t NOT IN {_STOP})) AS w FROM documents),
+s AS (SELECT doc_id, list_intersect(['b2b', 'thing', 'this'], w) AS shared, len(w) AS n, contains(lower(text), 'of the') AS phrase FROM w),
+r AS (SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE round(len(shared) / 3::DOUBLE + 0.35::DOUBLE * len(shared) / n + 0.25::DOUBLE * phrase::INT + 0.15::DOUBLE * list_contains(shared, 'b2b')::INT, 6) END AS score FROM s)
 SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank FROM r ORDER BY rank LIMIT 20""")
 def local_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.local_rerank(table(spark, sf_dir, "documents"), "the and with thing 42", "text", "doc_id", 20, ["of the"])
+    return S.local_rerank(table(spark, sf_dir, "documents"), "What is this thing of b2b? 42", "text", "doc_id", 20, ["of the"])
+
+
+@query("SELECT l_orderkey AS doc, round(avg(l_extendedprice), 6) AS score FROM lineitem GROUP BY 1")
+def rerank_chunk_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.chunk_scores(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc"), "doc", "l_extendedprice", F.col("l_linenumber"), "mean")
 
 
 @query("SELECT l_orderkey AS doc, max(l_extendedprice) AS score FROM lineitem GROUP BY 1")
@@ -92,12 +164,12 @@ def rerank_chunk_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunk_scores(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc"), "doc", "l_extendedprice", F.struct("l_linenumber", "l_extendedprice"), "first")
 
 
-@query("""WITH p AS (SELECT 0 AS n, 'vector' AS s, l_partkey AS id, l_quantity * 0.5::DOUBLE AS w FROM lineitem WHERE l_orderkey % 100 = 0 UNION ALL SELECT 1, 'entity', l_partkey, l_quantity * 0.3::DOUBLE FROM lineitem WHERE l_orderkey % 100 IN (1, 2)
-  UNION ALL SELECT 2, 'relation', l_partkey, l_quantity * 0.2::DOUBLE FROM lineitem WHERE l_orderkey % 100 = 3), o AS (SELECT id, n, s, max(w) AS w, count(*) AS c FROM p GROUP BY 1, 2, 3)
+@query("""WITH p AS (SELECT 0 AS n, 'vector' AS s, l_partkey AS id, l_quantity * 0.5::DOUBLE AS w FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 1, 'entity', l_partkey, l_quantity * 0.3::DOUBLE FROM lineitem WHERE l_returnflag = 'N'
+  UNION ALL SELECT 2, 'relation', l_partkey, l_quantity * 0.2::DOUBLE FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')), o AS (SELECT id, n, s, max(w) AS w, count(*) AS c FROM p GROUP BY 1, 2, 3)
 SELECT id, string_agg(s, '+' ORDER BY n) AS sources, round(sum(w), 6) AS score, CAST(sum(c) AS BIGINT) AS occurrences FROM o GROUP BY id""")
 def merge_chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_quantity", (F.col("l_orderkey") % 100).alias("m"))
-    parts = [("vector", li.where("m = 0")), ("entity", li.where("m IN (1, 2)")), ("relation", li.where("m = 3"))]
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_quantity", "l_returnflag")
+    parts = [("vector", li.where("l_returnflag = 'A'")), ("entity", li.where("l_returnflag = 'N'")), ("relation", li.where("l_returnflag NOT IN ('A', 'N')"))]
     return S.merge_sources(parts, "id", "l_quantity", {"vector": 0.5, "entity": 0.3, "relation": 0.2})
 
 
@@ -109,14 +181,16 @@ def sibling_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy: held against a plain version in the tests. A list of candidates for each benchmark item, ten taken."""
-    docs = _ranked(spark, sf_dir, 50).select("doc_id", "text", (1.0 / F.col("rank")).alias("relevance"))
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("query")).distinct()
-    return S.mmr(docs.join(F.broadcast(items), F.col("doc_id") % 4 == F.col("query")), "query", "doc_id", "text", "relevance")
+    """Greedy, so without SQL: held against a plain version in the tests. Ten of each question's candidates."""
+    docs = _ranked(spark, sf_dir).select("q", "doc_id", "text", (1.0 / F.col("rank")).alias("relevance"))
+    return S.mmr(docs, "q", "doc_id", "text", "relevance")
 
 
-@query("WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings WHERE vec_id % 3 = 0) SELECT vec_id, label, row_number() OVER (ORDER BY r, label)::INT AS place FROM k")
+@query("""WITH k AS (SELECT vec_id // 100 AS q, vec_id % 40 AS id, label, embedding[1]::DOUBLE AS score, row_number() OVER (PARTITION BY vec_id // 100, label ORDER BY vec_id) AS place FROM embeddings),
+o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY q, id ORDER BY place, label) = 1), t AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY place, label) AS t FROM o)
+SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN t <= 15 THEN t ELSE 30 END, CASE WHEN t > 15 THEN score END DESC NULLS LAST, id)::INT AS rank FROM t QUALIFY rank <= 30""")
 def interleaved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of several keywords in turn."""
-    k = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    return k.select("vec_id", "label", F.row_number().over(Window.orderBy("r", "label")).alias("place"))
+    """Candidates of several keywords (labels) in turn for each question (a hundred vectors), then by score."""
+    k = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("q"), "vec_id", (F.col("vec_id") % 40).alias("id"), "label", F.col("embedding")[0].cast("double").alias("score"))
+    k = k.withColumn("place", F.row_number().over(Window.partitionBy("q", "label").orderBy("vec_id")))
+    return S.interleaved(k, "id", "label", "place", "score", 30, ["q"])
