@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def endpoints(edges: DataFrame) -> DataFrame:
     """(id): both ends of every edge; a loop twice."""
@@ -58,16 +60,33 @@ def lookup(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return best.select("a", "b", "x.src", "x.tgt")
 
 
-def bfs(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(id, level): what is reached from start (id) in at most depth undirected steps, one join a level."""
-    both = edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
-    seen = start.select("id").distinct().withColumn("level", F.lit(0))
-    front = seen
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
+
+
+def bfs(edges: DataFrame, start: DataFrame, depth: int, max_nodes: int | None = None) -> tuple[DataFrame, bool]:
+    """(id, level) of what is reached from start (id) in at most depth undirected steps, and whether max_nodes cut it.
+
+    One join a level, whose result is kept, so that plans stay short. Of the level that passes max_nodes the least ids stay, and the search ends there."""
+    both = both_ways(edges)
+    seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
+    size = seen.count()
     for level in range(1, depth + 1):
-        front = both.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("tgt").alias("id")).distinct()
-        front = front.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level))
-        seen = seen.unionByName(front)
-    return seen
+        front = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
+        new = cut(both.join(front, "src", "left_semi").select(F.col("tgt").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+        n = new.count()
+        if not n:
+            break
+        if max_nodes is not None and size + n > max_nodes:
+            return seen.unionByName(new.orderBy("id").limit(max(0, max_nodes - size))), True
+        seen = cut(seen.unionByName(new))
+        size += n
+    return seen, False
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, level) with db_degree, their degree in the whole graph, and the edges among them, each undirected pair once."""
+    return nodes.join(degrees(edges).withColumnRenamed("degree", "db_degree"), "id", "left").withColumn("db_degree", F.coalesce("db_degree", F.lit(0).cast("long"))), induced(edges, nodes)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,10 +127,38 @@ def upsert_edges(nodes: DataFrame, edges: DataFrame, new: DataFrame) -> DataFram
 
 
 def labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
-    """(id, label): groups by so many rounds of taking the least label around (a plain stand-in for modularity communities)."""
-    both = edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
+    """(id, label): groups by so many rounds of taking the least label around (a plain stand-in for modularity communities). Each round's labels are kept."""
+    both = cut(both_ways(edges))
     now = endpoints(edges).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         around = both.join(now.select(F.col("id").alias("tgt"), "label"), "tgt").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("_l"))
-        now = now.join(around, "id", "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label"))
+        now = cut(now.join(around, "id", "left").select("id", F.least("label", F.coalesce("_l", "label")).alias("label")))
     return now
+
+
+def exists(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (a, b) with found: whether there is an edge between both, whichever way it points."""
+    known = edges.select(F.least("src", "tgt").alias("_x"), F.greatest("src", "tgt").alias("_y")).distinct().withColumn("_f", F.lit(True))
+    return pairs.join(known, (F.least("a", "b") == F.col("_x")) & (F.greatest("a", "b") == F.col("_y")), "left").select(*pairs.columns, F.coalesce("_f", F.lit(False)).alias("found"))
+
+
+def related(edges: DataFrame, focus: DataFrame, k: int) -> DataFrame:
+    """edges of the focus nodes (id), the most related first: those with both ends in focus, then by the sum of degrees, then by weight; k of them with their rank."""
+    known = focus.select("id").distinct()
+    near = edges.join(known.select(F.col("id").alias("src"), F.lit(1).alias("_s")), "src", "left").join(known.select(F.col("id").alias("tgt"), F.lit(1).alias("_t")), "tgt", "left")
+    near = near.withColumn("ends", F.coalesce("_s", F.lit(0)) + F.coalesce("_t", F.lit(0))).where("ends > 0")
+    d = degrees(edges)
+    near = near.join(d.select(F.col("id").alias("src"), F.col("degree").alias("_a")), "src").join(d.select(F.col("id").alias("tgt"), F.col("degree").alias("_b")), "tgt").withColumn("degree", F.col("_a") + F.col("_b"))
+    order = (F.desc("ends"), F.desc("degree"), F.desc("weight"), "src", "tgt")
+    return near.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("src", "tgt", "weight", "ends", "degree", "rank")
+
+
+def histogram(rows: DataFrame, value: str) -> DataFrame:
+    """(value, n): how many rows have each value."""
+    return rows.groupBy(value).agg(F.count("*").alias("n"))
+
+
+def remove_relations(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """edges without those between the pairs of gone (src, tgt), whichever way they point."""
+    g = gone.select(F.least("src", "tgt").alias("_x"), F.greatest("src", "tgt").alias("_y")).distinct()
+    return edges.join(g, (F.least("src", "tgt") == F.col("_x")) & (F.greatest("src", "tgt") == F.col("_y")), "left_anti")
