@@ -25,7 +25,7 @@ def overlapping_chunks(rows: DataFrame, id_: str, text: str, most: int = 480, ov
 
 def boilerplate_lines(chunks: DataFrame, doc: str, chunk: str, text: str, share: float = 0.5, least: int = 2, from_chunks: int = 3) -> DataFrame:
     """(doc, line, n): lines in at least max(least, share of the chunks) chunks of a document that has at least so many chunks."""
-    lines = chunks.select(doc, chunk, F.explode(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""))).alias("line"))
+    lines = chunks.select(doc, chunk, F.explode(F.array_distinct(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""))).alias("line"))
     counts = lines.groupBy(doc, "line").agg(F.count("*").alias("n"))
     sizes = chunks.groupBy(doc).agg(F.countDistinct(chunk).alias("_n")).where(F.col("_n") >= from_chunks)
     return counts.join(sizes, doc).where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("_n") * share))).select(doc, "line", "n")

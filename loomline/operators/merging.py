@@ -25,7 +25,7 @@ def merged_value(values: Column, strategy: str) -> Column:
         "keep_first": lambda: F.try_element_at(some, F.lit(1)),
         "keep_last": lambda: F.try_element_at(some, F.lit(-1)),
         "join_unique": lambda: F.array_join(F.array_distinct(F.flatten(F.transform(some, lambda x: F.split(x, A.SEPARATOR)))), A.SEPARATOR),
-        "join_unique_comma": lambda: F.array_join(F.array_distinct(F.filter(F.transform(F.flatten(F.transform(some, lambda x: F.split(x, ","))), F.trim), lambda x: x != "")), ","),
+        "join_unique_comma": lambda: F.array_join(F.array_distinct(F.filter(F.transform(F.flatten(F.transform(some, lambda x: F.split(x, ","))), lambda x: F.trim(x)), lambda x: x != "")), ","),
         "max": lambda: F.array_max(F.transform(some, lambda x: x.try_cast("double"))),
     }[strategy]()
     return F.when(F.size(some) > 0, joined)
