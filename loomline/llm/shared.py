@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, a folder that the driver and all executors share."""
+    """spark.checkpoint.dir, a folder that the driver and all executors share. Where it is unset, a session on one machine gets a temporary one; any other has to set it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="loomline-")
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
