@@ -52,7 +52,7 @@ def test_an_empty_table_gives_no_rows(spark, odd, tmp_path, name):
 
 
 def test_clashing_and_repeated_rows(spark):
-    names = "score predicted lang_pred n_email spans n_matches licenses clean_text n_removed n_words hit items _key _lang _pii _found _cut _of".split()
+    names = "score predicted lang_pred n_email spans n_licenses licenses clean_text n_removed n_words hit items _key _lang _pii _found _cut _of".split()
     df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in [*ODD, *ODD[:3]]], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
     for out in (language.identify(df, language.fit(df.withColumn("lang", F.lit("en")))), pii.scan(df), quality.score(df, quality.Quality((), None, 1.0, 1.0)), licenses.scan(df), substrings.deduplicate(df)):
         assert out.count() == len(ODD) + 3 and len(set(out.columns)) == len(out.columns) and "items" in out.columns
@@ -82,6 +82,45 @@ def test_language_by_hand(spark):
     assert [r[0] for r in none] == ["und"]
 
 
+def test_marks_and_unassigned_characters_are_no_letters(spark):
+    rows = [(1, "abc abd", "x"), (2, "\u0301\u0302 \u0303", None), (3, "\U0003fff0\U00030000", None), (4, "\U0003fff0", None), (5, "e\u0301", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, language.fit(df)).collect()}
+    assert got == {1: "x", 2: "und", 3: "x", 4: "und", 5: "x"}
+
+
+def out_of_place(text: str, profile: list[str], top: int) -> int:
+    """The distance by its definition: over the text's most frequent n-grams, the difference of ranks, or top where the profile lacks one."""
+    ranks = {g: k for k, g in enumerate(profile)}
+    return sum(abs(ranks[g] - k) if g in ranks else top for k, g in enumerate(ranking([text], top)))
+
+
+def ranking(texts: list[str], top: int) -> list[str]:
+    """The most frequent n-grams of 1 to 3 characters of lower-cased ASCII texts; a blank is a word's edge. Edges sort behind letters, longer n-grams by their codes."""
+    counts: dict[str, int] = {}
+    for t in texts:
+        t = f" {' '.join(re.findall('[a-z]+', t.lower()))} "
+        for n in (1, 2, 3):
+            for g in (t[i : i + n] for i in range(len(t) - n + 1)):
+                if g != " ":
+                    counts[g] = counts.get(g, 0) + 1
+    code = lambda g: sum((0x1FFFFF if c == " " else ord(c)) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+
+
+def test_language_against_the_distance_by_definition(spark):
+    rng = np.random.default_rng(6)
+    speak = {"aa": "the of and to in is that it was for", "bb": "der die und in den von zu das mit sich", "cc": "de la que el en y a los se del"}
+    rows = [(i, " ".join(rng.choice(speak[name].split(), int(rng.integers(1, 30)))), name) for i, name in enumerate(sorted(speak) * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, language.fit(df, top=60)).collect()}
+    profiles = {name: ranking([t for _, t, n in rows if n == name], 60) for name in speak}
+    for i, text, _ in rows:
+        far = {name: out_of_place(text, p, 60) / (60 * len(ranking([text], 60))) for name, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[i][0] == best and abs(got[i][1] - max(0.0, 1 - far[best])) < 1e-12
+
+
 # Personal data.
 
 _PATTERNS = {
@@ -183,19 +222,29 @@ def test_backoff_repeated_rows_are_added_up(spark, tmp_path):
     assert_same(QUERIES["op7_backoff"](spark, str(tmp_path)), SQL["op7_backoff"], str(tmp_path))
 
 
-@pytest.mark.parametrize("hot", [1, 30, 1000])
+@pytest.mark.parametrize("hot", [(1, 1), (30, 10), (1000, 1000), (10**9, 1)])
 def test_backoff_of_rare_words(spark, sf, hot):
     # few words and pairs are frequent, so the others go through the joins; no word is taken for another
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    out = backoff.scores(df.withColumn("score", F.lit(1)).withColumn("u", F.lit(1)), hot=hot)
+    out = backoff.scores(df.withColumn("score", F.lit(1)).withColumn("key", F.lit(1)), hot_words=hot[0], hot_pairs=hot[1])
     out = out.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("mean_score", 6).alias("mean_score"))
     assert_same(out, SQL["op7_backoff"], sf)
 
 
-def test_pair_counts_in_parts(spark, sf):
-    df = spark.read.parquet(f"{sf}/documents.parquet")
-    words = backoff.frequent_words(backoff.word_counts(df), 100)
-    assert spark_rows(backoff.pair_counts(df, words, held=50)) == spark_rows(backoff.pair_counts(df, words))
+def test_no_frequent_pair_is_missed(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, 40) if i % 3 else ["hot", "pair"] * 20)) for i in range(300)], "doc_id long, text string").repartition(7)
+    want: dict[tuple, int] = {}
+    for r in df.collect():
+        w = [None, *r.text.split()]
+        for pair in zip(w, w[1:], strict=False):
+            want[pair] = want.get(pair, 0) + 1
+    total = sum(want.values())
+    for held in (50, 10**6):
+        counts = backoff.first_counts(df, hot_pairs=40, held=held).cache()
+        keys, n = backoff.frequent_pairs(df, counts, total, hot_pairs=40)
+        assert len(keys) <= 80 and {x for x in want.values() if x > total / 40} <= set(n.tolist()) and set(n.tolist()) <= set(want.values())
 
 
 # Repeated spans.
