@@ -26,10 +26,78 @@ def to_verify(aliases: DataFrame, low: float, high: float) -> DataFrame:
     return aliases.where(F.col("confidence").between(low, high) & (F.col("verified").isNull() | ~F.col("verified")))
 
 
-def block_reason(a: Column, b: Column) -> Column:
-    """Why two names must not be merged without a look: their numbers differ, or they are short codes; else empty."""
-    numbers = lambda x: F.regexp_extract_all(x, F.lit(r"(\d+)"), 1)
-    return F.when(numbers(a) != numbers(b), "numbers differ").when(F.length(a) <= 3, "short code").otherwise("")
+# Types that never name the same thing, and names of months.
+INCOMPATIBLE = (
+    ("person", "organization"), ("person", "location"), ("person", "event"), ("person", "concept"), ("location", "organization"), ("location", "event"), ("artifact", "technology"), ("concept", "document"), ("document", "event"),
+    ("event", "artifact"), ("event", "organization"), ("event", "product"), ("method", "artifact"), ("method", "person"), ("method", "product"), ("organization", "document"), ("organization", "technology"), ("organization", "concept"),
+)
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+_UNITS = r"[0-9]+(?:\.[0-9]+)?\s*(?:%|(?:(?i:percent|mg|mcg|ug|g|kg|ml|l|iu|units?|mmol|umol|mol|ng))(?=$|[^A-Za-z0-9_]|[A-Z]))"
+
+
+def _plain(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether two types can name the same thing; unknown and empty ones can."""
+    a, b = F.lower(F.trim(F.coalesce(a, F.lit("")))), F.lower(F.trim(F.coalesce(b, F.lit(""))))
+    pair = F.concat(F.least(a, b), F.lit("/"), F.greatest(a, b))
+    return ~pair.isin(*("/".join(sorted(p)) for p in INCOMPATIBLE))
+
+
+def calendar_key(name: Column) -> Column:
+    """`2024`, `2024 q3` or `2024 05` of a name that is a year, a quarter or a month; else null."""
+    x = _plain(name)
+    month = F.create_map(*[F.lit(v) for k, m in enumerate(MONTHS, 1) for word in {m, m[:3], *(["sept"] if m == "september" else [])} for v in (word, f"{k:02d}")])
+    year = r"((?:19|20)[0-9]{2})"
+    forms = ((rf"^(?:q|quarter) ?([1-4]) ?{year}$", 2, 1), (rf"^{year} ?(?:q|quarter) ?([1-4])$", 1, 2))
+    out = F.when(x.rlike(f"^{year}$"), x)
+    for form, y, q in forms:
+        out = out.when(x.rlike(form), F.concat(F.regexp_extract(x, form, y), F.lit(" q"), F.regexp_extract(x, form, q)))
+    for form, y, m in ((rf"^([a-z]+) ?{year}$", 2, 1), (rf"^{year} ?([a-z]+)$", 1, 2)):
+        found = F.try_element_at(month, F.regexp_extract(x, form, m))
+        out = out.when(x.rlike(form) & found.isNotNull(), F.concat(F.regexp_extract(x, form, y), F.lit(" "), found))
+    return out
+
+
+def block_reason(a: Column, b: Column, type_a: Column, type_b: Column) -> Column:
+    """Why an alias must not be applied without a look; null if it may.
+
+    Types that exclude each other; different dates; different numbers on both sides; a number on one side alone, in a short code or a dose."""
+    numbers = lambda x: F.array_sort(F.array_distinct(F.regexp_extract_all(_plain(x), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1)))
+    code = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", "").rlike("^[a-z]{2,8}[0-9]+[a-z]?$")
+    dose = lambda x: F.translate(x, "µμ", "uu").rlike(r"(?<![A-Za-z0-9_])" + _UNITS)
+    na, nb = numbers(a), numbers(b)
+    both = (F.size(na) > 0) & (F.size(nb) > 0)
+    one = lambda x, own, other: (F.size(own) > 0) & (F.size(other) == 0) & x
+    return (
+        F.when(~compatible(type_a, type_b), "types")
+        .when(~calendar_key(a).eqNullSafe(calendar_key(b)), "dates")
+        .when(both & (na != nb), "numbers")
+        .when(one(code(a), na, nb) | one(code(b), nb, na), "short code")
+        .when(one(dose(a), na, nb) | one(dose(b), nb, na), "dose")
+    )
+
+
+def unresolved(entities: DataFrame, aliases: DataFrame, name: str, latest: str, most: int = 500) -> DataFrame:
+    """The latest entities that no alias resolves."""
+    known = aliases.select(F.lower("alias").alias("_a")).distinct()
+    return entities.join(known, F.lower(name) == F.col("_a"), "left_anti").orderBy(F.desc(latest), name).limit(most)
+
+
+def expanded(queries: DataFrame, rules: DataFrame, query: str) -> DataFrame:
+    """queries with expanded: for each rule (position, canonical, aliases) one of whose names stands in the query as words, the canonical name and its aliases, each once, in the order of rules.
+
+    Queries meet rules by a name's first word."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    names = rules.select("position", F.array_distinct(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_all"))
+    each = names.select("position", "_all", F.explode("_all").alias("_n")).withColumn("_n", plain(F.col("_n"))).where("_n <> ''").withColumn("_w", F.split("_n", " ")[0])
+    padded = F.concat(F.lit(" "), F.regexp_replace(plain(F.col(query)), "[^a-z0-9 ]", " "), F.lit(" "))
+    words = queries.withColumn("_q", padded).select(query, "_q", F.explode(F.array_distinct(F.split(F.trim("_q"), " +"))).alias("_w")).distinct()
+    hits = words.join(each, "_w").where(F.contains("_q", F.concat(F.lit(" "), "_n", F.lit(" ")))).select(query, "position", "_all").distinct()
+    listed = hits.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("position", "_all"))).alias("_l"))
+    return queries.join(listed.select(query, F.array_distinct(F.flatten("_l._all")).alias("expanded")), query, "left").withColumn("expanded", F.coalesce("expanded", F.array().cast("array<string>")))
 
 
 def canonical_relations(edges: DataFrame, known: Mapping[str, str], rest: str) -> DataFrame:

@@ -33,12 +33,38 @@ def aliases_to_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.to_verify(_aliases(spark, sf_dir), 0.2, 0.8).select("alias", "canonical", F.round("confidence", 6).alias("confidence"))
 
 
-@query(r"""SELECT a.p_partkey AS a, b.p_partkey AS b, CASE WHEN regexp_extract_all(a.p_brand, '\d+') <> regexp_extract_all(b.p_brand, '\d+') THEN 'numbers differ' WHEN length(a.p_brand) <= 3 THEN 'short code' ELSE '' END AS reason
-FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+_PAIRS = (
+    ("Apple", "Apple Inc", "Person", "Organization", "types"), ("Apple", "Apple Inc", "unknown", "Organization", ""), ("May 2024", "2024 may", "Event", "Event", ""), ("Q1 2024", "quarter 2 2024", "Event", "Event", "dates"),
+    ("2023", "2024", "Data", "Data", "dates"), ("phase 2 study", "phase 3 study", "", "", "numbers"), ("AB12", "the antibody", "", "", "short code"), ("dose", "10 mg dose", "Data", "Data", "dose"), ("IBM", "International Machines", "", "", ""),
+    ("sept 2020", "2020 September", "", "", ""), ("study two", "study 2", "", "", "short code"),
+)
+
+
+@query("SELECT p_partkey, CASE p_partkey % {} {} END AS reason FROM part".format(len(_PAIRS), " ".join(f"WHEN {k} THEN '{x[4]}'" for k, x in enumerate(_PAIRS))))
 def alias_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    pairs = p.select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("x")).join(p.select(F.col("p_partkey").alias("b"), F.col("p_brand").alias("y")), F.col("b") == F.col("a") + 1)
-    return pairs.select("a", "b", L.block_reason(F.col("x"), F.col("y")).alias("reason"))
+    """Pairs of names, each in turn, with the reason why one must not become the other."""
+    pick = lambda i: F.element_at(F.lit([x[i] for x in _PAIRS]), (F.col("p_partkey") % len(_PAIRS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(L.block_reason(pick(0), pick(1), pick(2), pick(3)), F.lit("")).alias("reason"))
+
+
+@query(f"WITH {_A} SELECT c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(alias) FROM a) ORDER BY c_acctbal DESC, c_name LIMIT 500")
+def unresolved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.unresolved(table(spark, sf_dir, "customer"), _aliases(spark, sf_dir), "c_name", "c_acctbal").select("c_custkey", "c_name")
+
+
+_RULES = ((1, "Machine Works", ("building", "the machinery")), (2, "House Hold", ("household", "furniture")), (3, "Nothing", ()), (4, "Building", ("works",)))
+
+
+@query("""WITH q AS (SELECT c_custkey, 'about ' || lower(c_mktsegment) || ' and  THE  Machinery, or not' AS q FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'of ' || c_mktsegment || '.' FROM customer WHERE c_custkey % 2 = 1)
+SELECT c_custkey, array_to_string(list_distinct_ordered, '|') AS expanded FROM (SELECT c_custkey, list_concat(
+  CASE WHEN contains(lower(q), 'building') OR c_custkey % 2 = 0 THEN ['Machine Works', 'building', 'the machinery'] ELSE [] END, CASE WHEN contains(lower(q), 'household') OR contains(lower(q), 'furniture') THEN ['House Hold', 'household', 'furniture'] ELSE [] END,
+  CASE WHEN contains(lower(q), 'building') THEN ['Building', 'works'] ELSE [] END) AS list_distinct_ordered FROM q)""")
+def query_aliases_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other names of what a question mentions, by rules."""
+    rules = spark.createDataFrame([(p, c, list(a)) for p, c, a in _RULES], "position int, canonical string, aliases array<string>")
+    q = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("about "), F.lower("c_mktsegment"), F.lit(" and  THE  Machinery, or not"))).otherwise(F.concat(F.lit("of "), "c_mktsegment", F.lit(".")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", q.alias("q"))
+    return rows.join(L.expanded(rows.select("q").distinct(), rules, "q"), "q").select("c_custkey", F.array_join("expanded", "|").alias("expanded"))
 
 
 @query("""SELECT least(c_custkey, c_custkey % 100) AS src, greatest(c_custkey, c_custkey % 100) AS tgt, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'builds' ELSE 'trades with' END AS predicate, count(*) AS n FROM customer WHERE c_custkey <> c_custkey % 100 GROUP BY 1, 2, 3""")

@@ -11,22 +11,85 @@ from pyspark.sql import functions as F
 from ..operators import graph, search, shaping
 
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
-#: Kinds of question by their words, the first that matches.
-INTENTS = (("comparison", r"\b(vs|versus|compare|difference)\b"), ("mechanism", r"\b(why|how|explain)\b"), ("temporal", r"\b(when|date|year)\b"), ("list", r"\b(list|all|every)\b"))
+# How questions of each kind are worded.
+_BINARY = r"^(?:is|are|was|were|do|does|did|can|could|should|would|has|have|had|will) "
+_ENUMERATION = r"\b(?:what|which)\s+(?:are|were)\s+(?:the\s+)?(?:\d+\s+)?(?:(?:key|main|primary|major|important)\s+)?(?:categories|types|steps|phases|reasons|risks|issues|drivers|benefits|consequences|impacts|outcomes)\b|\bhow many\b|\b(?:list|lists|enumerate|enumeration)\b"
+_COMPARISON = r"\bcompare\b|\bcomparison\b|\bdifference\b|\bversus\b|\bvs\.?\b|\bover time\b|\bhistory\b"
+_CONSEQUENCE = r"\bconsequences?\b|\bimpacts?\b|\boutcomes?\b|\bwhat happened\b|\bresulted?\b"
+_SIGNIFICANCE = r"\b(?:significance|importance)\b"
+_PROJECT = r"\b(?:project\s+management|critical\s+path|collaboration|coordination|dependenc(?:y|ies)|stakeholders?|portfolio|program|readiness)\b"
+_MITIGATION = r"\bmitigate\b|\bmitigation\b|\bput in place\b|\bimplemented?\b|\bprevent(?:ed|ing|ion)?\b|\baddress(?:ed|ing)?\b|\brecommended step\b"
+_RISK_FORMAT = r"\b(?:syntax|phrase|phrasing|wording)\b.*\brisk\b|\brisk\b.*\b(?:syntax|phrase|phrasing|wording)\b"
+_MATERIAL = r"\bprovide the link\b|\blink to the material\b"
+_SOURCE = (
+    r"\baccording to\b|\bbased on (?:the )?.{0,120}\b(?:presentation|report|document|deck|slide|dossier|file)\b|\b(?:in|from) (?:the )?.{0,120}\b(?:presentation|report|document|deck|slide|dossier|file)\b|\b\w+\.(?:pdf|pptx?|docx?|md|txt)\b"
+)
+_LESSONS = r"\blessons? learned\b"
+_CHOICE = r"\bwhat\b|\bwhich\b|\bshould\b"
+_DOSE = r"\bdose(?:[-\s]?ranging)?\b"
+TOKEN = r"[a-z0-9]+(?:[._/-][a-z0-9]+)*"
+
+
+def plain_question(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
 def intent(text: Column) -> Column:
-    out = F.when(F.lower(text).rlike(INTENTS[0][1]), INTENTS[0][0])
-    for name, pattern in INTENTS[1:]:
-        out = out.when(F.lower(text).rlike(pattern), name)
-    return out.otherwise("factual")
+    """struct<kind, chunks, per_document, expand, mode>: the kind of a question, how many chunks it needs in all and of one document (0: no advice),
+    whether an answer from a single document may take more of it, and the mode that suits it. The first case that holds counts."""
+    q = plain_question(text)
+    has = q.rlike
+    consequence, significance, enumeration, comparison, binary = has(_CONSEQUENCE), has(_SIGNIFICANCE), has(_ENUMERATION), has(_COMPARISON), has(_BINARY)
+    mitigation, source = has(_MITIGATION), (has(_LESSONS) & ~enumeration) | has(_SOURCE)
+    choice = F.contains(q, F.lit(" or ")) & ~binary & ~enumeration & ~comparison & has(_CHOICE)
+    cases = (
+        (q == "", ("default", 0, 0, False, "mix")),
+        (F.contains(q, F.lit("mabel")) & has(_DOSE), ("single_fact", 4, 2, True, "mix")),
+        ((consequence | significance) & has(_PROJECT), ("consequence", 8, 3, True, "mix")),
+        (consequence | (significance & ~source), ("consequence", 6, 2, True, "mix")),
+        (mitigation & has(r"\btechnology issue\b"), ("mitigation", 5, 2, True, "mix")),
+        (mitigation, ("mitigation", 5, 2, False, "global")),
+        (has(_RISK_FORMAT), ("risk_format", 4, 2, True, "global")),
+        (has(_MATERIAL), ("material_lookup", 4, 1, True, "hybrid")),
+        (source, ("source_reference", 6, 3, True, "hybrid")),
+        (binary & ~comparison, ("binary", 5, 2, True, "hybrid")),
+        (enumeration & F.contains(q, F.lit("lessons learned")), ("enumeration", 8, 3, True, "hybrid")),
+        (enumeration, ("enumeration", 6, 2, True, "naive")),
+        (comparison, ("comparison", 7, 2, True, "mix")),
+        (choice, ("single_fact", 4, 1, False, "mix")),
+        (F.size(F.array_distinct(F.regexp_extract_all(q, F.lit(f"({TOKEN})"), 1))) <= 5, ("single_fact", 4, 2, False, "mix")),
+    )
+    out = F
+    for when, (kind, chunks, per, expand, mode) in cases:
+        out = out.when(when, F.struct(F.lit(kind).alias("kind"), F.lit(chunks).alias("chunks"), F.lit(per).alias("per_document"), F.lit(expand).alias("expand"), F.lit(mode).alias("mode")))
+    return out.otherwise(F.struct(F.lit("default").alias("kind"), F.lit(0).alias("chunks"), F.lit(0).alias("per_document"), F.lit(False).alias("expand"), F.lit("mix").alias("mode")))
+
+
+# Wordings that ask for entities of certain types, in order.
+PREFERRED = (
+    (r"^(?:who is|who are|who was|who were|who founded|who leads|who runs|who manages|who heads)\b", ("Person", "Organization")),
+    (r"\b(?:which|what)\s+(?:company|companies|organization|organizations|firm|agency|institution|institutions)\b", ("Organization",)),
+    (r"\bwho (?:founded|owns|manufactures|makes|produces|develops|sells|markets|sponsored|approved)\b", ("Person", "Organization")),
+    (r"^(?:where|where is|where was|where did|where does)\b", ("Location",)),
+    (r"\b(?:which|what)\s+(?:product|products|model|models|drug|drugs|technology|technologies|device|devices)\b", ("Product", "Technology")),
+    (r"\b(?:what is the mechanism|how does it work|how does .* work|what is the process|what are the steps)\b", ("Method", "Concept")),
+    (r"^(?:when (?:was|were|did|does)|in what year|what year)\b", ("Event",)),
+)
+
+
+def preferred_types(text: Column) -> Column:
+    """The types of entity that a question asks for; empty if it does not say."""
+    q, out = plain_question(text), F
+    for pattern, types in PREFERRED:
+        out = out.when(q.rlike(pattern), F.lit(list(types)))
+    return out.otherwise(F.array().cast("array<string>"))
 
 
 def mode_of(question: str, asked: str = "mix") -> str:
     """The mode that is used: comparisons always mix."""
     if asked not in MODES:
         raise ValueError(f"no such mode: {asked}")
-    return "mix" if re.search(INTENTS[0][1], question.lower()) else asked
+    return "mix" if re.search(_COMPARISON, question.lower()) else asked
 
 
 def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, vector: Sequence[float], terms: Sequence[str], mode: str = "mix", k: int = 10, budget: int = 4000) -> DataFrame:

@@ -82,12 +82,12 @@ def conversation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turns", "roles", F.md5(F.array_join(F.transform("l", lambda x: F.concat(x.role, F.lit(": "), x.text)), "\n")).alias("digest"))
 
 
-@query(r"""WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4)) AS t FROM benchmark), c AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4)) AS t FROM documents WHERE doc_id % 5 = 0),
+@query(r"""WITH s AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4)) AS t FROM benchmark), c AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4)) AS t FROM documents),
 m AS (SELECT item_id, doc_id, round(len(list_intersect(s.t, c.t)) / len(s.t)::DOUBLE, 6) AS score FROM s, c WHERE len(s.t) > 0)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM m WHERE score >= 0.5 QUALIFY rank <= 3""")
 def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as sentences, a fifth of the documents as the chunks that may support them."""
-    chunks = table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.col("text").alias("content"))
+    """Benchmark items as sentences, documents as the chunks that may support them."""
+    chunks = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
     return etl.citation_support(table(spark, sf_dir, "benchmark"), chunks, "item_id", "doc_id", "text", "content", 0.5)
 
 
@@ -105,12 +105,25 @@ def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("tokens"), F.size(F.filter(F.array_distinct(t), T.specific)).alias("rare"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(vs|versus|compare|difference)\b') THEN 'comparison' WHEN regexp_matches(lower(text), '\b(why|how|explain)\b') THEN 'mechanism' WHEN regexp_matches(lower(text), '\b(when|date|year)\b') THEN 'temporal'
-  WHEN regexp_matches(lower(text), '\b(list|all|every)\b') THEN 'list' ELSE 'factual' END AS intent FROM conversations""")
+_ASKED = (
+    ("", "default", 0, 0, False, "mix", ""), ("What are the main risks?", "enumeration", 6, 2, True, "naive", ""), ("Is it true", "binary", 5, 2, True, "hybrid", ""), ("compare this and that", "comparison", 7, 2, True, "mix", ""),
+    ("What was the impact on collaboration", "consequence", 8, 3, True, "mix", ""), ("what was the outcome", "consequence", 6, 2, True, "mix", ""), ("how was it prevented", "mitigation", 5, 2, False, "global", ""),
+    ("which wording of a risk", "risk_format", 4, 2, True, "global", ""), ("provide the link", "material_lookup", 4, 1, True, "hybrid", ""), ("as said in report.pdf", "source_reference", 6, 3, True, "hybrid", ""),
+    ("which one, this or that", "single_fact", 4, 1, False, "mix", ""), ("who founded it", "single_fact", 4, 2, False, "mix", "Person,Organization"), ("where is the place", "single_fact", 4, 2, False, "mix", "Location"),
+    ("tell me more of the things that are said of it in all", "default", 0, 0, False, "mix", ""), ("When did it happen", "single_fact", 4, 2, False, "mix", "Event"),
+    ("was the technology issue addressed and mitigated", "mitigation", 5, 2, True, "mix", ""), ("list the lessons learned", "enumeration", 8, 3, True, "hybrid", ""), ("which company makes it", "single_fact", 4, 2, False, "mix", "Organization"),
+)
+_ASKED_SQL = ", ".join("({}, {})".format(k, ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row[1:])) for k, row in enumerate(_ASKED))
+
+
+@query(f"SELECT doc_id, kind, chunks::INT AS chunks, per_document::INT AS per_document, expand, mode, types FROM documents JOIN (VALUES {_ASKED_SQL}) v(k, kind, chunks, per_document, expand, mode, types) ON k = doc_id % {len(_ASKED)}")
 def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .router import intent
+    """A question of every kind in turn."""
+    from .router import intent, preferred_types
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", intent(F.col("text")).alias("intent"))
+    asked = F.element_at(F.lit([x[0] for x in _ASKED]), (F.col("doc_id") % len(_ASKED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", asked.alias("q"))
+    return rows.select("doc_id", intent(F.col("q")).alias("i"), F.array_join(preferred_types(F.col("q")), ",").alias("types")).select("doc_id", "i.*", "types")
 
 
 @query()
