@@ -32,10 +32,12 @@ def boilerplate_lines(chunks: DataFrame, doc: str, chunk: str, text: str, share:
 
 
 def without_lines(chunks: DataFrame, lines: DataFrame, doc: str, chunk: str, text: str) -> DataFrame:
-    """chunks with content: the text without the given lines of its document."""
-    gone = lines.groupBy(doc).agg(F.collect_set("line").alias("_gone"))
-    kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<string>")), F.trim(x)))
-    return chunks.join(gone, doc, "left").select(doc, chunk, F.array_join(kept, "\n").alias("content"))
+    """chunks with content: the text without the given lines of its document. Lines meet by a join; a text's own are put together again."""
+    each = chunks.select(doc, chunk, F.posexplode_outer(F.split(text, "\n", -1)).alias("_p", "_x")).withColumn("line", F.trim("_x"))
+    gone = lines.select(F.col(doc).alias("_d"), "line", F.lit(True).alias("_g")).distinct()
+    marked = each.join(gone, each[doc].eqNullSafe(gone["_d"]) & (each["line"] == gone["line"]), "left").select(doc, chunk, "_p", F.when(F.col("_g").isNull(), F.col("_x")).alias("_k"))
+    listed = marked.groupBy(doc, chunk).agg(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_p", "_k")))).alias("_l"))
+    return listed.select(doc, chunk, F.array_join("_l._k", "\n").alias("content"))
 
 
 def paragraphs(rows: DataFrame, id_: str, text: str) -> DataFrame:

@@ -122,8 +122,8 @@ def source_ids_merge_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_IDS}, r AS (SELECT id, ids, list_filter(ids, lambda x: NOT list_contains(['1', '2', '3', '4', '5', '6', '7', '8', '9', '10'], x)) AS remaining FROM s)
 SELECT id, len(ids)::INT AS n_sources, array_to_string(remaining, '<SEP>') AS remaining, CASE WHEN len(remaining) = 0 THEN 'delete' WHEN len(remaining) < len(ids) THEN 'rebuild' ELSE 'keep' END AS action FROM r""")
 def delete_rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = spark.createDataFrame([([str(i) for i in range(1, 11)],)], "gone array<string>")
-    plan = D.rebuild_plan(_ids(spark, sf_dir).withColumnRenamed("ids", "sources"), gone)
+    gone = spark.range(1, 11).select(F.col("id").cast("string").alias("id"))
+    plan = D.rebuild_plan(_ids(spark, sf_dir).withColumnRenamed("ids", "sources").withColumnRenamed("id", "item"), gone, "item").withColumnRenamed("item", "id")
     return plan.select("id", F.size("sources").alias("n_sources"), F.array_join("remaining", A.SEPARATOR).alias("remaining"), "action")
 
 
@@ -163,6 +163,165 @@ def doc_entities_from_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").join(docs, "l_orderkey", "left_semi").select(F.col("l_orderkey").alias("doc"), F.col("l_partkey").alias("entity")).distinct()
 
 
+@query("SELECT 'doc-' || md5(text) AS id, arg_min(source || '/' || CASE doc_id % 3 WHEN 0 THEN 'a_1.pdf' WHEN 1 THEN 'report.pdf' ELSE 'processed.pdf' END, (doc_id % 3 = 2, doc_id % 3 = 0, source || doc_id % 3, doc_id)) AS path FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY 1")
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of several paths of the same content: a placeholder's name and a copy's number come behind."""
+    path = F.concat("source", F.lit("/"), F.element_at(F.lit(["a_1.pdf", "report.pdf", "processed.pdf"]), (F.col("doc_id") % 3 + 1).cast("int")))
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", path.alias("path"))
+    return d.groupBy(A.content_id("doc", F.col("text")).alias("id")).agg(F.min_by("path", F.struct(D.canonical_order(F.col("path")), "doc_id")).alias("path"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_totalprice >= 5000 AND o_orderstatus IN ('F', 'O') GROUP BY 1")
+def sql_with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {o} WHERE o_totalprice >= :least AND array_contains(:kinds, o_orderstatus) GROUP BY 1"
+    return D.sql_rows(spark, sql, {"o": table(spark, sf_dir, "orders")}, least=5000, kinds=F.array(F.lit("F"), F.lit("O")))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (3, 7, 11)")
+def vector_rows_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.createDataFrame([(3,), (7,), (11,), (-1,)], "vec_id long")
+    return D.without_vector(table(spark, sf_dir, "embeddings"), ids, "vec_id", "embedding")
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INT AS dim FROM embeddings WHERE vec_id % 20 = 0")
+def vectors_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    found = D.vectors_of(e, e.where("vec_id % 20 = 0").select("vec_id"), "vec_id", "embedding")
+    return found.select("vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.size("embedding").alias("dim"))
+
+
+@query("SELECT l_orderkey, string_agg(l_partkey || '-' || l_linenumber, ',' ORDER BY CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber END NULLS LAST, l_partkey || '-' || l_linenumber) AS ids FROM lineitem JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') ON o_orderkey = l_orderkey GROUP BY 1")
+def chunk_ids_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber")).alias("place"), F.concat_ws("-", "l_partkey", "l_linenumber").alias("chunk"))
+    docs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return D.chunks_of(chunks, docs, "l_orderkey", "place", "chunk").select("l_orderkey", F.array_join("ids", ",").alias("ids"))
+
+
+@query("SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt FROM lineitem WHERE l_partkey <> 1 AND l_suppkey <> 1")
+def delete_entity_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("tgt")).distinct()
+    return D.without_name(D.without_name(r, "p1"), "s1")
+
+
+@query("SELECT 'orders' AS table_name, (SELECT count(*) = 0 FROM orders) AS is_empty UNION ALL SELECT 'none', true")
+def empty_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return spark.createDataFrame(list(D.empty({"orders": o, "none": o.where("o_orderkey < -1")}).items()), "table_name string, is_empty boolean")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment WHEN n_name IS NOT NULL THEN 's3/' || n_name ELSE CASE WHEN c_custkey % 3 = 1 THEN '' END END AS s3_key FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20")
+def attribute_backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation").where("n_nationkey < 20")
+    have = c.select("c_custkey", "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, "").alias("s3_key"))
+    return D.backfilled(have, n.select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("s3/"), "n_name").alias("value")), "c_nationkey", "s3_key").select("c_custkey", "s3_key")
+
+
+@query("SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) = 'f' AND o_orderkey % 5 < 2")
+def documents_missing_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("o_orderkey") % 5
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.when(m == 0, " ").when(m > 1, "key").alias("s3_key"))
+    return D.missing(o, "s3_key", "o_orderstatus", "f").select("o_orderkey")
+
+
+@query("SELECT event_id, k AS id FROM (SELECT event_id, event_type || ':query:' || md5(CAST(event_id AS VARCHAR)) AS k FROM events) WHERE starts_with(k, 'click') AND k > 'click:query:3' ORDER BY k LIMIT 100")
+def cache_scan_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "events").select("event_id", F.concat("event_type", F.lit(":query:"), F.md5(F.col("event_id").cast("string"))).alias("id"))
+    return D.cache_pages(cache, "click", "click:query:3", 100)
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view') GROUP BY 1")
+def cache_deleted_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = table(spark, sf_dir, "events").withColumn("id", F.concat("event_type", F.lit(":query:"), F.col("event_id")))
+    return D.without_prefixes(cache, ["click:", "view:"]).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, label, source, n_chars FROM embeddings LEFT JOIN documents ON doc_id = vec_id")
+def vectors_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, d = table(spark, sf_dir, "embeddings").select("vec_id", "label"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "n_chars")
+    return D.with_metadata(e, d, ["vec_id"])
+
+
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS chunks FROM lineitem WHERE l_quantity > 20 GROUP BY 1), b AS (SELECT l_orderkey, count(*) AS vectors FROM lineitem WHERE l_discount > 0.05 GROUP BY 1)
+SELECT o_orderkey, o_orderstatus, coalesce(chunks, 0) AS chunks, coalesce(vectors, 0) AS vectors FROM orders LEFT JOIN a ON a.l_orderkey = o_orderkey LEFT JOIN b ON b.l_orderkey = o_orderkey WHERE chunks IS NULL OR vectors IS NULL""")
+def orphan_docs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return D.orphans(table(spark, sf_dir, "orders"), {"chunks": li.where("l_quantity > 20"), "vectors": li.where("l_discount > 0.05")}, "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT a.k AS k, CASE WHEN starts_with(a.k, 'x') THEN substring(a.k, 2) ELSE a.k || '0' END AS derived FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part UNION ALL SELECT 'x' || p_partkey FROM part WHERE p_size < 5) a JOIN (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part UNION ALL SELECT 'x' || p_partkey FROM part WHERE p_size < 5) b ON b.k = CASE WHEN starts_with(a.k, 'x') THEN substring(a.k, 2) ELSE a.k || '0' END")
+def derived_key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_partkey").cast("string").alias("k")).union(p.where("p_size < 5").select(F.concat(F.lit("x"), "p_partkey")))
+    return D.key_conflicts(rows, "k", F.when(F.col("k").startswith("x"), F.expr("substring(k, 2)")).otherwise(F.concat("k", F.lit("0"))))
+
+
+@query("""WITH i AS (SELECT l_partkey AS item, list(DISTINCT l_orderkey) AS ids FROM lineitem WHERE l_partkey <= 50 GROUP BY 1), e AS (SELECT item, unnest(ids) AS chunk FROM i) SELECT chunk, count(*) AS occurrences, min(item) AS best, min(item)::INT AS rank FROM e WHERE chunk IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
+def chunks_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as ranked entities, orders as the chunks that they are drawn from."""
+    items = table(spark, sf_dir, "lineitem").where("l_partkey <= 50").groupBy(F.col("l_partkey").alias("item")).agg(F.collect_list("l_orderkey").alias("ids")).withColumn("rank", F.col("item").cast("int"))
+    chunks = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("chunk"))
+    return D.linked_chunks(items, "ids", "item", chunks, "chunk")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'a,b' ELSE 'a' END AS chunk_ids, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END::INT AS n FROM part")
+def chunk_tracking_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "a<SEP> <SEP>b<SEP>a").otherwise("<SEP>a").alias("source_id"))
+    return D.chunk_tracking(items, "p_partkey").select("p_partkey", F.array_join("chunk_ids", ",").alias("chunk_ids"), "n")
+
+
+@query("""WITH u AS (SELECT l_orderkey AS o_orderkey, list(DISTINCT 'k' || l_linenumber ORDER BY 'k' || l_linenumber) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1)
+SELECT o_orderkey, 'k2' || CASE WHEN n IS NULL OR len(list_filter(n, lambda x: x <> 'k2')) = 0 THEN '' ELSE ',' || array_to_string(list_filter(n, lambda x: x <> 'k2'), ',') END AS cache_keys FROM orders LEFT JOIN u USING (o_orderkey)""")
+def cache_keys_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.lit("k2")).alias("cache_keys"))
+    used = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("k"), "l_linenumber").alias("cache_key"))
+    return D.with_cache_keys(chunks, used, "o_orderkey").select("o_orderkey", F.array_join("cache_keys", ",").alias("cache_keys"))
+
+
+@query("SELECT 'error-' || md5(url || '|empty') AS id, url AS file_path, 'failed' AS status, 'empty' AS error_msg, 0::INT AS chunks_count FROM pages WHERE length(html) < 2000")
+def failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.failed(table(spark, sf_dir, "pages").where("length(html) < 2000").withColumn("error", F.lit("empty")), "url", "error")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN CASE WHEN p_size > 10 THEN 'Product' ELSE 'Unknown' END WHEN 2 THEN CASE WHEN p_size > 10 THEN 'Product' END ELSE CASE WHEN p_size > 10 THEN 'Product' ELSE '' END END AS kind FROM part")
+def unknown_types_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, m = table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    nodes = p.select("p_partkey", F.when(m == 0, F.col("p_brand")).when(m == 1, "Unknown").when(m == 3, "").alias("kind"))
+    return D.typed(nodes, p.where("p_size > 10").select("p_partkey", F.lit("Product").alias("type")), "p_partkey", "kind")
+
+
+_KG = "c AS (SELECT DISTINCT 'chunk-' || md5(p_type) AS chunk_id, p_type AS source FROM part WHERE p_size < 30), r AS (SELECT 'p' || p_partkey AS src, p_brand AS tgt, p_type AS source FROM part WHERE p_partkey % 3 = 0)"
+
+
+@query(f"""WITH {_KG}, e AS (SELECT 'p' || p_partkey AS id, 'Product' AS entity_type, p_type AS source FROM part WHERE p_partkey % 2 = 0), x AS (SELECT src AS id, coalesce(chunk_id, 'UNKNOWN') AS source_id FROM r LEFT JOIN c USING (source) UNION ALL SELECT tgt, coalesce(chunk_id, 'UNKNOWN') FROM r LEFT JOIN c USING (source))
+SELECT id, entity_type, coalesce(chunk_id, 'UNKNOWN') AS source_id FROM e LEFT JOIN c USING (source) UNION ALL SELECT id, 'UNKNOWN', min(source_id) FROM x WHERE id NOT IN (SELECT id FROM e) GROUP BY id""")
+def custom_graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entities of a custom graph; brands are only named by relations."""
+    p = table(spark, sf_dir, "part")
+    chunks = p.where("p_size < 30").select(F.col("p_type").alias("source"), F.col("p_type").alias("content")).distinct()
+    name = F.concat(F.lit("p"), "p_partkey")
+    entities = p.where("p_partkey % 2 = 0").select(name.alias("id"), F.lit("Product").alias("entity_type"), F.col("p_name").alias("description"), F.col("p_type").alias("source"))
+    relations = p.where("p_partkey % 3 = 0").select(name.alias("src"), F.col("p_brand").alias("tgt"), F.lit("of").alias("description"), F.lit("brand").alias("keywords"), F.lit(1.0).alias("weight"), F.col("p_type").alias("source"))
+    return D.import_graph(chunks, entities, relations)[1].select("id", "entity_type", "source_id")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'P' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def rows_of_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of one workspace (a status) whose key is among the asked ones."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    asked = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return o.join(asked, "o_custkey", "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS total, s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 10 OFFSET 0")
+def table_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.browse(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), 1, 10)
+
+
+@query("SELECT 'region' AS table_name, 0::INT AS position, 'r_regionkey' AS column_name, 'int' AS kind UNION ALL SELECT 'region', 1, 'r_name', 'string' UNION ALL SELECT 'labels', 0, 'doc_id', 'bigint' UNION ALL SELECT 'labels', 1, 'quality', 'int' UNION ALL SELECT 'labels', 2, 'toxic', 'int'")
+def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.columns_of(spark, {x: table(spark, sf_dir, x) for x in ("region", "labels")})
+
+
 @query("SELECT table_name, rows FROM (SELECT 'region' AS table_name, count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'supplier', count(*) FROM supplier)")
 def table_browser(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
