@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import re
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,17 +59,94 @@ def text_topk(rows: DataFrame, terms: Sequence[str], k: int, id_: str, text: str
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("text_score"), id_)))
 
 
+def inverted(rows: DataFrame, id_: str, text: str = "text") -> DataFrame:
+    """(term, id, tf, dl): an inverted table. Written partitioned or bucketed by term, a question reads its own terms' rows only."""
+    words = rows.select(id_, T.tokens(F.col(text), T.WORD).alias("_w")).select(id_, F.size("_w").alias("dl"), F.explode("_w").alias("term"))
+    return words.groupBy("term", id_, "dl").agg(F.count("*").cast("int").alias("tf")).select("term", id_, "tf", "dl")
+
+
+def corpus_stats(rows: DataFrame, text: str = "text") -> tuple[int, float]:
+    """How many texts there are, and their mean number of words."""
+    n, mean = rows.select(F.size(T.tokens(F.coalesce(text, F.lit("")), T.WORD)).alias("dl")).agg(F.count("*"), F.avg("dl")).first()
+    return n, mean or 0.0
+
+
+def bm25(postings: DataFrame, terms: Sequence[str], k: int, id_: str, stats: tuple[int, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, score) of the k best by Okapi BM25, from an inverted table; the terms' rows alone are read."""
+    n, mean = stats
+    hits = postings.where(F.col("term").isin(list(terms)))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row a term
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (mean or 1.0)))
+    return hits.join(df, "term").groupBy(id_).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+
+
 def bm25_topk(rows: DataFrame, terms: Sequence[str], k: int, id_: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) by Okapi BM25 over the given terms."""
-    count = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
-    each = F.array(*[F.struct(F.lit(t).alias("t"), count(t).alias("tf")) for t in terms])
-    words = rows.select(id_, T.tokens(F.col(text), T.WORD).alias("w")).select(id_, F.size("w").alias("dl"), F.explode(each).alias("x"))
-    stats = rows.select(F.size(T.tokens(F.col(text), T.WORD)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    df = words.where("x.tf > 0").groupBy(F.col("x.t").alias("t")).agg(F.count("*").alias("df"))
-    scored = words.where("x.tf > 0").select(id_, "dl", F.col("x.t").alias("t"), F.col("x.tf").alias("tf")).join(F.broadcast(df), "t").crossJoin(F.broadcast(stats))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy(id_).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+    """(id, score) of the k best by Okapi BM25 without an inverted table: texts are read once for the statistics and once for the scores."""
+    def occurrences(words: Column, term: str) -> Column:
+        return F.size(F.filter(words, lambda y: y == F.lit(term)))
+
+    named = F.array(F.struct(T.tokens(F.coalesce(text, F.lit("")), T.WORD).alias("w")))  # so that a text is cut into words once
+    counts = F.transform(named, lambda x: F.struct(F.size(x.w).alias("dl"), *[occurrences(x.w, t).alias(f"tf{i}") for i, t in enumerate(terms)]))
+    each = rows.select(id_, F.explode(counts).alias("c")).select(id_, "c.*")
+    stats = each.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
+        idf = math.log(1 + (stats.n - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / (stats.mean or 1.0)))).otherwise(0.0)
+    some = reduce(lambda x, y: x | y, [F.col(f"tf{i}") > 0 for i in range(len(terms))])
+    return each.where(some).select(id_, F.round(score, 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+
+
+def relation_terms(query: str, expansions: Sequence[tuple[Sequence[str], Sequence[str], float]] = (), most: int = 12) -> list[tuple[str, float]]:
+    """Weighted terms of a question about relations: itself, its parts between commas, and the expansions whose signals it holds; the larger weight of a repeat counts."""
+    out: dict[str, float] = {}
+    parts = [(query, 1.0), *((p, 1.0) for p in re.split(r"[,;\n]+", query))]
+    low = query.lower()
+    parts += [(e, weight) for signals, words, weight in expansions if any(re.search(rf"\b{re.escape(s)}\b", low) for s in signals) for e in words]
+    for term, weight in parts:
+        if term := " ".join(term.split()):
+            out[term] = max(out.get(term, 0.0), weight)
+    return list(out.items())[:most]
+
+
+def term_rank(rows: DataFrame, terms: Sequence[tuple[str, float]], id_: str, text: Sequence[str], k: int) -> DataFrame:
+    """(id, score, rank): the best weighted rank of a row over the terms of which it holds all words. Terms' words meet rows' words by a join."""
+    spark = rows.sparkSession
+    wanted = [(i, w, float(weight), n) for i, (term, weight) in enumerate(terms) if (words := sorted(set(re.findall(T.WORD, term.lower())))) for n in [len(words)] for w in words]
+    if not wanted:
+        return rows.select(id_, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
+    asked = spark.createDataFrame(wanted, "t int, w string, weight double, n int")
+    words = rows.select(id_, F.explode(T.tokens(F.concat_ws(" ", *text), T.WORD)).alias("w"))
+    hits = words.join(F.broadcast(asked), "w").groupBy(id_, "t", "weight", "n").agg(F.countDistinct("w").alias("_d"), F.count("*").cast("double").alias("_c")).where("_d = n")
+    best = hits.groupBy(id_).agg(F.round(F.max(cover_score(F.col("_c")) * F.col("weight")), 6).alias("score")).orderBy(F.desc("score"), id_).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_)))
+
+
+def hybrid_relations(vectors: DataFrame, lexical: DataFrame, id_: str, k: int) -> DataFrame:
+    """(id, rrf, vector_score, text_score, source_type, rank) from the vector leg (id, rank, score) and the lexical leg (id, rank, score)."""
+    out = hybrid(vectors, lexical, id_, k).select(id_, "rrf", "rank")
+    out = out.join(vectors.select(id_, F.col("score").alias("vector_score")), id_, "left").join(lexical.select(id_, F.col("score").alias("text_score")), id_, "left")
+    kinds = F.array_join(F.array_compact(F.array(F.when(F.col("vector_score").isNotNull(), "vector"), F.when(F.col("text_score").isNotNull(), "bm25"))), "+")
+    return out.withColumn("source_type", kinds)
+
+
+def fallback_queries(query: str, phrases: Sequence[str] = (), stopwords: Sequence[str] = (), intents: Sequence[tuple[str, str]] = (), most: int = 8) -> list[str]:
+    """Shorter questions to try by text alone: phrases of intents (phrase, pattern) that the question matches, with and without its focus, then the focus alone.
+
+    The focus are phrases of one word, or of two without digits, and acronyms; the question itself never comes again."""
+    plain = lambda x: re.sub(r"[^a-z0-9]+", " ", x.lower()).strip()
+    words = lambda p: [w for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9._/-]*", p) if w.lower() not in stopwords]
+    short = [" ".join(p.split()) for p in phrases if len(words(p)) == 1 or (len(words(p)) == 2 and not re.search(r"\d", p))]
+    focus = list({plain(x): x for x in reversed([*short, *(a for a in re.findall(r"\b[A-Z0-9]{3,}\b", query) if a.lower() not in stopwords)])}.values())[::-1]
+    asked = [phrase for phrase, pattern in intents if re.search(pattern, query, re.IGNORECASE)]
+    tries = [x for phrase in asked for x in (*(f"{f} {phrase}" for f in focus if plain(f) not in plain(phrase)), phrase)] + focus
+    out: dict[str, str] = {}
+    for x in tries:
+        if plain(x) and plain(x) != plain(query):
+            out.setdefault(plain(x), x)
+    return list(out.values())[:most]
 
 
 def fuse(lists: Sequence[DataFrame], id_: str, k: int = RRF_K, order: str = "rank") -> DataFrame:
@@ -108,10 +190,34 @@ def label_search(names: DataFrame, query: str, k: int, name: str = "name") -> Da
     return found.orderBy(F.desc("score"), name).limit(k)
 
 
-def best_candidates(lost: DataFrame, pool: DataFrame, id_: str, vector: str, k: int, threshold: float) -> DataFrame:
-    """(id, candidate, similarity): for each lost row its k most similar rows of the pool. lost is broadcast: keep it small, or give blocks."""
-    left = lost.select(id_, F.col(vector).alias("_v"))
-    right = pool.select(F.col(id_).alias("candidate"), F.col(vector).alias("_w"))
-    pairs = right.join(F.broadcast(left), F.col(id_) != F.col("candidate")).withColumn("similarity", F.round(V.cosine(F.col("_v"), F.col("_w")), 6))
+def best_candidates(lost: DataFrame, pool: DataFrame, id_: str, vector: str, k: int, threshold: float, block: int = 512) -> DataFrame:
+    """(id, candidate, similarity, rank): for each lost row its k most similar rows of the whole pool, exactly.
+
+    Both sides are cut in blocks of about so many rows, and each pair of blocks is one group of a shuffle, so no side has to be small. A group gives its best, then the best of all are taken."""
+    n, m = (max(1, -(-df.count() // block)) for df in (lost, pool))
+    left = lost.select(id_, F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"))
+    right = pool.select(F.col(id_).alias("candidate"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_), F.lit(m)).alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
+    kinds = dict(lost.dtypes)[id_], dict(pool.dtypes)[id_]
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({id_: a[id_][:0], "candidate": b["candidate"][:0], "similarity": np.zeros(0)})
+        x, y = (np.stack([np.asarray(v, float) for v in t["_v"]]) for t in (a, b))
+        size = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None]
+        s = np.where(size > 0, x @ y.T / np.where(size > 0, size, 1), 0.0).round(6) + 0.0
+        ids, others = a[id_].to_numpy(), b["candidate"].to_numpy()
+        s[ids[:, None] == others[None]] = -np.inf
+        order = np.lexsort((np.broadcast_to(others, s.shape), -s), axis=1)[:, :k]
+        row = np.repeat(np.arange(len(a)), order.shape[1])
+        found = pd.DataFrame({id_: ids[row], "candidate": others[order.ravel()], "similarity": s[row, order.ravel()]})
+        return found[found["similarity"] >= threshold]
+
+    found = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(best, f"{id_} {kinds[0]}, candidate {kinds[1]}, similarity double")
     order = Window.partitionBy(id_).orderBy(F.desc("similarity"), "candidate")
-    return pairs.where(F.col("similarity") >= threshold).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(id_, "candidate", "similarity", "rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(id_, "candidate", "similarity", "rank")
+
+
+def two_stage(rows: DataFrame, query: Sequence[float], k: int, fetch: int, id_: str, vector: str, rerank: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The k best of a reranker over the `fetch` nearest by vector; rerank takes and gives rows with the id, and adds score and rank."""
+    near = vector_topk(rows, query, fetch, id_, vector).select(id_)
+    return rerank(rows.join(near, id_, "left_semi")).orderBy("rank").limit(k)

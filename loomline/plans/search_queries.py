@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..functions import vectors as V
-from ..operators import search
+from ..operators import search, shaping
 from .registry import query, table
 
 _Q = "(SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)"
@@ -170,12 +170,71 @@ def candidates_by_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(F.broadcast(whole), F.col("whole")).orderBy(F.desc("similarity"), "vec_id").limit(4).select("vec_id", "similarity")
 
 
-@query(f"""SELECT a.vec_id, b.vec_id AS candidate, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id)::INT AS rank
-  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 7 AND b.label <> 7 WHERE round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) >= 0.1 QUALIFY rank <= 3""")
+_COS = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6)"
+
+
+@query(f"""SELECT a.vec_id, b.vec_id AS candidate, {_COS} AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id)::INT AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id % 20 = 0 WHERE {_COS} >= 0.1 QUALIFY rank <= 3""")
 def orphan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a lost entity, all vectors as candidates."""
+    e = table(spark, sf_dir, "embeddings")
+    return search.best_candidates(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 3, 0.1, block=200)
+
+
+@query(f"""WITH d AS (SELECT doc_id, '# ' || source || chr(10) || coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL), w AS (SELECT doc_id, {_W} AS w, regexp_extract_all(lower(array_to_string(regexp_extract_all(text, '(?m)^#+\\s+(.*)$', 1), ' ')), '[a-z0-9]+') AS h FROM d),
+n AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'src1')) + 0.5::DOUBLE * len(list_filter(h, lambda x: x = 'src1')) AS n FROM w WHERE list_contains(w, 'src1'))
+SELECT doc_id, round(n / (n + 1.0), 6) AS text_score, row_number() OVER (ORDER BY round(n / (n + 1.0), 6) DESC, doc_id)::INT AS rank FROM n ORDER BY text_score DESC, doc_id LIMIT 20""")
+def text_search_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in headings count half as much again; every document is under the heading of its source."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return search.text_topk(d, ["src1"], 20, "doc_id", heading_weight=0.5)
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_W}) AS term, len({_W}) AS dl FROM documents) SELECT term, doc_id, count(*)::INT AS tf, any_value(dl)::INT AS dl FROM w GROUP BY 1, 2""")
+def inverted_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.inverted(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_W.replace('text', "coalesce(text, '')")} AS w FROM documents), stats AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w), t AS (SELECT unnest(['that', 'nicht']) AS t), tf AS (SELECT doc_id, len(w) AS dl, t, len(list_filter(w, lambda x: x = t)) AS tf FROM w, t),
+df AS (SELECT t, count(*) AS df FROM tf WHERE tf > 0 GROUP BY t)
+SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score FROM tf JOIN df USING (t), stats WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def bm25_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores from an inverted table."""
+    d = table(spark, sf_dir, "documents")
+    return search.bm25(search.inverted(d, "doc_id"), ["that", "nicht"], 20, "doc_id", search.corpus_stats(d))
+
+
+_EXPANSIONS = ((("maker", "made"), ("brand", "small brushed"), 0.8), (("metal",), ("brass", "steel"), 0.5))
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(1 - list_cosine_similarity({_V}, {_Q}), 6), vec_id) AS rank, round(1 - round(1 - list_cosine_similarity({_V}, {_Q}), 6), 6) AS score FROM embeddings QUALIFY rank <= 20),
+w AS (SELECT p_partkey AS id, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+') AS w FROM part), t AS (SELECT unnest([['made', 'metal', 'of'], ['brand'], ['small', 'brushed'], ['brass'], ['steel']]) AS t, unnest([1.0, 0.8, 0.8, 0.5, 0.5])::DOUBLE AS weight),
+h AS (SELECT id, weight, len(list_filter(w, lambda x: list_contains(t, x)))::DOUBLE AS c FROM w, t WHERE len(list_filter(t, lambda x: NOT list_contains(w, x))) = 0), l AS (SELECT id, round(max(c / (c + 1) * weight), 6) AS score FROM h GROUP BY id),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM l QUALIFY rank <= 20), u AS (SELECT 0 AS k, id, rank FROM v UNION ALL SELECT 1, id, rank FROM r), f AS (SELECT id, round(sum(1.0::DOUBLE / (40 + rank)), 9) AS rrf, min(k * 1000 + rank) AS first FROM u GROUP BY id)
+SELECT f.id, rrf, row_number() OVER (ORDER BY rrf DESC, first)::INT AS rank, v.score AS vector_score, r.score AS text_score, CASE WHEN v.id IS NULL THEN 'bm25' WHEN r.id IS NULL THEN 'vector' ELSE 'vector+bm25' END AS source_type FROM f LEFT JOIN v USING (id) LEFT JOIN r USING (id) ORDER BY rank LIMIT 15""")
+def hybrid_relation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations by vector and by weighted terms, the question's own and what it is expanded to."""
+    terms = search.relation_terms("made of metal", _EXPANSIONS)
+    v = search.vector_topk(table(spark, sf_dir, "embeddings"), _vector0(spark, sf_dir), 20, "vec_id").select(F.col("vec_id").alias("id"), "rank", "score")
+    lexical = search.term_rank(table(spark, sf_dir, "part"), terms, "p_partkey", ["p_name", "p_type"], 20).withColumnRenamed("p_partkey", "id")
+    return search.hybrid_relations(v, lexical, "id", 15)
+
+
+@query(f"""WITH v AS (SELECT vec_id FROM embeddings JOIN documents ON doc_id = vec_id ORDER BY round(1 - list_cosine_similarity({_V}, {_Q}), 6), vec_id LIMIT 30), w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*'), lambda t: length(t) > 2 AND t NOT IN ('and', 'are', 'does', 'for', 'from', 'how', 'that', 'the', 'was', 'what', 'when', 'where', 'which', 'who', 'with'))) AS w FROM documents WHERE doc_id IN (SELECT vec_id FROM v)),
+s AS (SELECT doc_id, len(list_intersect(['thing', 'this'], w)) AS c, len(w) AS n FROM w) SELECT doc_id AS vec_id, CASE WHEN n = 0 THEN 0 ELSE round(c / 2::DOUBLE + 0.35::DOUBLE * c / n, 6) END AS score, row_number() OVER (ORDER BY CASE WHEN n = 0 THEN 0 ELSE round(c / 2::DOUBLE + 0.35::DOUBLE * c / n, 6) END DESC, doc_id)::INT AS rank FROM s ORDER BY rank LIMIT 5""")
+def two_stage_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thirty nearest texts, reranked by words, five kept."""
+    rows = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
+    return search.two_stage(rows, _vector0(spark, sf_dir), 5, 30, "vec_id", "embedding", lambda near: shaping.local_rerank(near, "this thing", "text", "vec_id", 30))
+
+
+@query("SELECT vec_id, len(v)::INT AS dim, round(list_sum(v), 5) AS total FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) WHERE vec_id % 3 > 0")
+def vectors_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors read from text; those with a component that is no finite number are left out."""
     e = table(spark, sf_dir, "embeddings")
-    return search.best_candidates(e.where("vec_id % 50 = 7"), e.where("label <> 7"), "vec_id", "embedding", 3, 0.1)
+    text = F.concat(F.lit("[ "), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.when(F.col("vec_id") % 3 == 0, F.when(F.col("vec_id") % 2 == 0, ", NaN").otherwise(", x")).otherwise(""), F.lit("]"))
+    rows = e.select("vec_id", V.parsed(text).alias("v")).where("v IS NOT NULL")
+    return rows.select("vec_id", F.size("v").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
 @query("""WITH n AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part) SELECT name,
