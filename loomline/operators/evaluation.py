@@ -88,3 +88,92 @@ def without_nan(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, least and most of the values that are numbers, and their share."""
     x = F.when(~F.isnan(value), F.col(value))
     return rows.groupBy(by).agg(F.round(F.avg(x), 6).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"), F.round(F.avg(x.isNotNull().cast("int")), 6).alias("success"))
+
+
+def hit_rate(rows: DataFrame, by: Sequence[str], hit: str) -> DataFrame:
+    """(by, n, hits, rate): how often a cache was hit."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(F.avg(F.col(hit).cast("int")), 6).alias("rate"))
+
+
+def retrieval_at(ranked: DataFrame, gold: DataFrame, query: str, item: str, rank: str, ks: Sequence[int]) -> DataFrame:
+    """(query, hit_k and recall_k of each k, mrr) of all queries of ranked; null for those without gold items."""
+    first = F.min(rank).alias("_first")
+    hits = ranked.join(gold, [query, item]).groupBy(query).agg(first, *[F.count_if(F.col(rank) <= k).alias(f"_in{k}") for k in ks])
+    n = gold.groupBy(query).agg(F.count("*").alias("_n"))
+    out = ranked.select(query).distinct().join(n, query, "left").join(hits, query, "left")
+    known = F.col("_n").isNotNull()
+    columns = [F.when(known, F.coalesce((F.col("_first") <= k).cast("int"), F.lit(0))).alias(f"hit_{k}") for k in ks]
+    columns += [F.when(known, F.round(F.coalesce(f"_in{k}", F.lit(0)) / F.col("_n"), 6)).alias(f"recall_{k}") for k in ks]
+    return out.select(query, *columns, F.when(known, F.round(F.coalesce(1.0 / F.col("_first"), F.lit(0.0)), 6)).alias("mrr"))
+
+
+def averages(rows: DataFrame, but: Sequence[str]) -> DataFrame:
+    """The mean of every column but those, over the rows that have it, in one row."""
+    return rows.agg(*[F.round(F.avg(c), 6).alias(c) for c in rows.columns if c not in but], F.count("*").alias("n"))
+
+
+def coverage(edges: DataFrame, evidence: DataFrame, keys: Sequence[str], weight: str, least: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """(relations_total, relations_with_evidence, evidence_coverage_pct) in one row, and the heaviest edges without evidence."""
+    marked = edges.join(evidence.select(*keys).distinct().withColumn("_e", F.lit(True)), list(keys), "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
+    share = marked.agg(F.count("*").alias("relations_total"), F.count_if("_e").alias("relations_with_evidence"), F.coalesce(F.round(F.avg(F.col("_e").cast("int")) * 100, 4), F.lit(0.0)).alias("evidence_coverage_pct"))
+    return share, marked.where(~F.col("_e") & (F.col(weight) >= least)).orderBy(F.desc(weight), *keys).limit(most).select(*keys, weight)
+
+
+def document_name(path: Column) -> Column:
+    """A document's name for matching: of a path or address the last part, decoded, in small letters; null if nothing is left."""
+    x = F.trim(path)
+    x = F.when(x.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), F.regexp_replace(F.regexp_replace(x, r"^[^:]+://[^/?#]*", ""), r"[?#].*$", "")).otherwise(x)
+    x = F.regexp_replace(F.translate(F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x), "\\", "/"), "/+$", "")
+    x = F.lower(F.trim(F.element_at(F.split(x, "/"), -1)))
+    return F.when(x != "", x)
+
+
+def document_variants(path: Column) -> Column:
+    """Names under which a document may be known: with and without its ending, and each without joining signs."""
+    name = document_name(path)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    both = F.array_distinct(F.array(name, stem))
+    compact = F.filter(F.transform(both, lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", "")), lambda x: x != "")
+    return F.when(name.isNotNull(), F.array_distinct(F.concat(both, F.transform(compact, lambda x: F.concat(F.lit("compact:"), x))))).otherwise(F.array().cast("array<string>"))
+
+
+def document_sets(expected: Column, retrieved: Column) -> Column:
+    """struct<matched, missed, extra> of arrays of paths: how many expected documents are among the retrieved by any of their names, how many are not, and how many were not asked for."""
+    names = lambda paths: F.transform(paths, document_variants)
+    found = lambda own, others: F.size(F.filter(names(own), lambda x: F.exists(names(others), lambda y: F.arrays_overlap(x, y))))
+    return F.struct(found(expected, retrieved).alias("matched"), (F.size(expected) - found(expected, retrieved)).alias("missed"), (F.size(retrieved) - found(retrieved, expected)).alias("extra"))
+
+
+def set_quality(expected: Column, found: Column) -> Column:
+    """struct<precision, recall, noise> of two arrays as sets; nothing found has precision 0, nothing expected recall 1."""
+    e, f = F.array_distinct(expected), F.array_distinct(found)
+    both = F.size(F.array_intersect(e, f))
+    precision = F.when(F.size(f) > 0, F.round(both / F.size(f), 6)).otherwise(0.0)
+    return F.struct(precision.alias("precision"), F.when(F.size(e) > 0, F.round(both / F.size(e), 6)).otherwise(1.0).alias("recall"), F.when(F.size(f) > 0, F.round(1 - both / F.size(f), 6)).otherwise(0.0).alias("noise"))
+
+
+# Words that are no keywords.
+KEYWORD_STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "may", "might", "must", "can", "could", "of", "in", "to", "for", "with", "on",
+    "at", "from", "by", "about", "as", "into", "through", "during", "before", "after", "and", "but", "or", "nor", "not", "so", "yet", "both", "either", "neither", "each", "every", "all", "any", "few", "more", "most", "other",
+    "some", "such", "no", "only", "own", "same", "than", "too", "very", "that", "this", "these", "those", "it", "its", "what", "which", "who", "whom", "how", "when", "where", "why", "if", "then", "also", "just",
+)
+
+
+def keywords(text: Column, most: int = 6) -> Column:
+    """The first distinct words of three letters or more that are no stop words, in small letters."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][\p{L}\p{N}_\-]*)"), 1)
+    return F.slice(F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*KEYWORD_STOPWORDS))), 1, most)
+
+
+def keyword_hits(expected: Column, content: Column, most: int = 8) -> Column:
+    """struct<keywords, hits>: how many keywords of an expected answer there are, and how many the content holds."""
+    words = keywords(expected, most)
+    return F.struct(F.size(words).alias("keywords"), F.size(F.filter(words, lambda w: F.contains(F.lower(content), w))).alias("hits"))
+
+
+def rolling(rows: DataFrame, ts: str, by: Sequence[str], seconds: int, value: str) -> DataFrame:
+    """rows with n and mean of the same `by` inside the last so many seconds, itself included."""
+    w = Window.partitionBy(*by).orderBy(F.col("_s")).rangeBetween(-seconds, 0)
+    timed = rows.withColumn("_s", F.unix_timestamp(F.col(ts).cast("timestamp")))
+    return timed.withColumn("n", F.count("*").over(w)).withColumn("mean", F.round(F.avg(value).over(w), 6)).drop("_s")

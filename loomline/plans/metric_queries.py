@@ -112,3 +112,93 @@ def token_usage_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollup_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey")).join(F.broadcast(table(spark, sf_dir, "region")), F.col("r_regionkey") == F.col("n_regionkey"))
     return c.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (WHERE event_id % 3 = 0) AS hits, round(avg((event_id % 3 = 0)::INT), 6) AS rate FROM events GROUP BY 1")
+def cache_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.hit_rate(table(spark, sf_dir, "events").withColumn("hit", F.col("event_id") % 3 == 0), ["event_type"], "hit")
+
+
+_AT = f"""WITH {_RET}, n AS (SELECT q, count(*) AS n FROM gold GROUP BY q), h AS (SELECT ret.q, min(rank) AS first, count(*) FILTER (WHERE rank <= 1) AS i1, count(*) FILTER (WHERE rank <= 5) AS i5, count(*) FILTER (WHERE rank <= 20) AS i20 FROM ret JOIN gold ON ret.q = gold.q AND ret.doc_id = gold.doc_id GROUP BY 1),
+r AS (SELECT q, CASE WHEN n > 0 THEN (coalesce(first, 999999) <= 1)::INT END AS hit_1, CASE WHEN n > 0 THEN (coalesce(first, 999999) <= 5)::INT END AS hit_5, CASE WHEN n > 0 THEN (coalesce(first, 999999) <= 20)::INT END AS hit_20,
+  CASE WHEN n > 0 THEN round(coalesce(i1, 0) / n::DOUBLE, 6) END AS recall_1, CASE WHEN n > 0 THEN round(coalesce(i5, 0) / n::DOUBLE, 6) END AS recall_5, CASE WHEN n > 0 THEN round(coalesce(i20, 0) / n::DOUBLE, 6) END AS recall_20,
+  CASE WHEN n > 0 THEN round(coalesce(1.0::DOUBLE / first, 0), 6) END AS mrr FROM (SELECT DISTINCT q FROM ret) LEFT JOIN n USING (q) LEFT JOIN h USING (q))"""
+_COLUMNS = ("hit_1", "hit_5", "hit_20", "recall_1", "recall_5", "recall_20", "mrr")
+
+
+@query(_AT + " SELECT * FROM r")
+def retrieval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a question, null where it has no gold."""
+    return E.retrieval_at(*_retrieved(spark, sf_dir), "q", "doc_id", "rank", [1, 5, 20])
+
+
+@query(_AT + " SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _COLUMNS) + ", count(*) AS n FROM r")
+def retrieval_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.averages(E.retrieval_at(*_retrieved(spark, sf_dir), "q", "doc_id", "rank", [1, 5, 20]), ["q"])
+
+
+_EV = "e AS (SELECT l_partkey, l_suppkey, sum(l_quantity) AS weight, bool_or(l_returnflag = 'R') AS has FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_EV} SELECT count(*) AS relations_total, count(*) FILTER (WHERE has) AS relations_with_evidence, round(avg(has::INT) * 100, 4) AS evidence_coverage_pct FROM e")
+def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)[0]
+
+
+@query(f"WITH {_EV} SELECT l_partkey, l_suppkey, weight FROM e WHERE NOT has AND weight >= 40 ORDER BY weight DESC, l_partkey, l_suppkey LIMIT 20")
+def unsupported_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coverage(spark, sf_dir)[1]
+
+
+def _coverage(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Returned lines are the evidence of an edge."""
+    li = table(spark, sf_dir, "lineitem")
+    edges = li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("weight"))
+    return E.coverage(edges, li.where("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], "weight", 40, 20)
+
+
+@query(r"""SELECT page_id, lower(regexp_extract(regexp_replace(regexp_replace(url, '^[^:]+://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)/*$', 1)) || '' AS name FROM pages WHERE regexp_extract(regexp_replace(regexp_replace(url, '^[^:]+://[^/?#]*', ''), '[?#].*$', ''), '([^/]*)/*$', 1) <> ''""")
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", E.document_name(F.col("url")).alias("name")).where("name IS NOT NULL")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END::INT AS matched, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END::INT AS missed, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END::INT AS extra FROM documents")
+def expected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that differ by path, case, ending and signs are the same document."""
+    n = F.col("doc_id").cast("string")
+    expected = F.array(F.concat(F.lit("s3://b/in/My%20Report-"), n, F.lit(".pdf")), F.concat(F.lit("Other_"), n, F.lit(".docx")))
+    retrieved = F.array(F.concat(F.lit("my report-"), n, F.lit(".md")), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("c:\\x\\OTHER "), n)).otherwise("third.txt"), F.lit("fourth.txt"))
+    return table(spark, sf_dir, "documents").select("doc_id", E.document_sets(expected, retrieved).alias("s")).select("doc_id", "s.*")
+
+
+@query("""WITH p AS (SELECT l_partkey, list(DISTINCT l_suppkey) AS e, list(DISTINCT l_suppkey) FILTER (WHERE l_quantity > 25) AS f FROM lineitem GROUP BY 1)
+SELECT l_partkey, CASE WHEN len(f) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS precision, round(coalesce(len(f), 0) / len(e)::DOUBLE, 6) AS recall, 0.0::DOUBLE AS noise FROM p""")
+def set_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.collect_set("l_suppkey").alias("e"), F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_suppkey"))).alias("f"))
+    return p.select("l_partkey", E.set_quality(F.col("e"), F.col("f")).alias("q")).select("l_partkey", "q.*")
+
+
+_STOP = "(" + ", ".join(f"'{w}'" for w in E.KEYWORD_STOPWORDS) + ")"
+
+
+@query(rf"""WITH w AS (SELECT b.item_id, lower(d.text) AS content, list_filter(regexp_extract_all(lower(b.text), '[a-z0-9][\p{{L}}\p{{N}}_\-]*'), lambda w: length(w) > 2 AND w NOT IN {_STOP}) AS ws FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+k AS (SELECT item_id, content, list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:8] AS k FROM w) SELECT item_id, len(k)::INT AS keywords, len(list_filter(k, lambda x: contains(content, x)))::INT AS hits FROM k""")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of each benchmark item in the document of its number."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("expected")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text"), "item_id")
+    return rows.select("item_id", E.keyword_hits(F.col("expected"), F.col("text")).alias("k")).select("item_id", "k.*")
+
+
+@query("SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS mean FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW)")
+def rolling_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user did in the last 3600 seconds, at every event."""
+    return E.rolling(table(spark, sf_dir, "events"), "ts", ["user_id"], 3600, "value").select("event_id", "n", "mean")
+
+
+@query(r"SELECT source, count(*) AS calls, CAST(sum(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*'))) AS BIGINT) AS tokens, CAST(sum(ceil(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._/-][a-z0-9]+)*')) / 10.0)) AS BIGINT) AS completion FROM documents GROUP BY 1")
+def token_usage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts are the texts, answers a tenth as long."""
+    from ..functions import texts as T
+
+    n = F.size(T.tokens(F.col("text")))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("calls"), F.sum(n).alias("tokens"), F.sum(F.ceil(n / 10)).alias("completion"))
