@@ -40,6 +40,18 @@ def without_controls(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
 
 
+#: Entities of HTML that are written as signs.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def sanitized(text: Column) -> Column:
+    """Without control characters, with entities of HTML as signs, trimmed."""
+    x = text
+    for entity, sign in ENTITIES.items():
+        x = F.replace(x, F.lit(entity), F.lit(sign))
+    return without_controls(x)
+
+
 def excerpt(text: Column, most: int = 150) -> Column:
     """The first characters, with an ellipsis if the text goes on."""
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,90 +73,198 @@ def normalized_unicode(text: Column) -> Column:
     return plain(text)
 
 
-def _blocks(text: str) -> list[tuple[tuple[str, ...], str]]:
-    """(headings above, text) of each section of Markdown."""
+def words_in(text: str) -> int:
+    return len(text.split())
+
+
+#: Where a span that is too long is cut, the coarsest first: paragraphs, lines (rows of tables, items of lists), sentences, words.
+_CUTS = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"\s+"))
+_HEADING = re.compile(r"^(#{1,6}) +(.*)$")
+_PAGE = re.compile(r"<!--\s*PAGE\s+(\d+)\s*-->")
+_RULE = re.compile(r"^\s*\|[\s:|\-]+\|?\s*$")
+_ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
+#: A last piece of under this share of the most is evened out with the one before.
+_TAIL = 0.35
+
+Chunk = tuple[str, str, int, int, int]
+
+
+def _sections(text: str) -> list[tuple[tuple[str, ...], int, int]]:
+    """(headings above, start, end) of each section of Markdown; a page mark before a heading belongs to it."""
     stack: list[tuple[int, str]] = []
-    out: list[tuple[tuple[str, ...], list[str]]] = [((), [])]
+    out: list[list] = [[(), 0, 0]]
+    at = 0
     for line in text.split("\n"):
-        level = len(line) - len(line.lstrip("#"))
-        if 0 < level <= 6 and line[level : level + 1] == " ":
-            stack = [*(x for x in stack if x[0] < level), (level, line[level:].strip())]
-            out.append((tuple(t for _, t in stack), [line]))
-        else:
-            out[-1][1].append(line)
-    return [(path, "\n".join(lines).strip()) for path, lines in out if "".join(lines).strip()]
-
-
-def _pack(units: list[str], most: int, joint: str) -> list[str]:
-    """Units greedily joined up to so many words; a single longer one is cut by sentences, then by words."""
-    out: list[str] = []
-    size = 0
-    for unit in units:
-        n = len(unit.split())
-        if n > most:
-            parts = [s for s in _sentences(unit)]
-            words = unit.split()
-            out += _pack(parts, most, " ") if len(parts) > 1 else [" ".join(words[i : i + most]) for i in range(0, n, most)]
-            size = most
-        elif out and size + n <= most:
-            out[-1] += joint + unit
-            size += n
-        else:
-            out.append(unit)
-            size = n
+        end = at + len(line)
+        if m := _HEADING.match(line):
+            stack = [*(x for x in stack if x[0] < len(m[1])), (len(m[1]), m[2].strip())]
+            own = text[out[-1][1] : at]
+            tail = re.search(r"(?:\s*<!--\s*PAGE\s+\d+\s*-->)+\s*$", own)
+            start = out[-1][1] + tail.start() if tail else at
+            out[-1][2] = start
+            out.append([tuple(t for _, t in stack), start, end])
+        out[-1][2] = min(end + 1, len(text))
+        at = end + 1
+    return [(path, a, b) for path, a, b in out if text[a:b].strip()]
+
+
+def _parts(text: str, a: int, b: int, cut: re.Pattern) -> list[tuple[int, int]]:
+    """Spans between the cuts, without blank ones. Lines that go on with an item of a list stay with it."""
+    out, at = [], a
+    for m in [*cut.finditer(text, a, b), None]:
+        end = m.start() if m else b
+        if text[at:end].strip():
+            if cut is _CUTS[1] and out and _ITEM.match(text[out[-1][0] : out[-1][1]]) and text[at : at + 1].isspace() and not _ITEM.match(text[at:end]):
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((at, end))
+        at = m.end() if m else b
     return out
 
 
-def _sentences(text: str) -> list[str]:
-    out, start = [], 0
-    for i, c in enumerate(text[:-1]):
-        if c in ".!?" and text[i + 1].isspace():
-            out.append(text[start : i + 1].strip())
-            start = i + 1
-    return [s for s in [*out, text[start:].strip()] if s]
-
-
-def markdown_chunks(text: str, threshold: int = 500, tiny: int = 100) -> list[tuple[str, str, int]]:
-    """(heading path, content, words): sections of one heading joined up to the threshold, tiny ones taken in by the section
-    before, those of over twice the threshold cut at paragraphs, table lines staying behind their header."""
+def _packed(text: str, units: list[tuple[int, int]], most: int, count: Callable[[str], int], level: int) -> list[tuple[int, int]]:
+    """Neighbouring units joined as long as they hold at most so many tokens; longer units are cut at the next level."""
+    groups: list[list[tuple[int, int]]] = []
+    for a, b in units:
+        if count(text[a:b]) > most:
+            groups += [[x] for x in _split(text, a, b, most, count, level + 1)]
+            groups.append([])
+        elif groups and groups[-1] and count(text[groups[-1][0][0] : b]) <= most:
+            groups[-1].append((a, b))
+        else:
+            groups.append([(a, b)])
+    groups = [g for g in groups if g]
+    size = lambda g: count(text[g[0][0] : g[-1][1]])
+    while len(groups) > 1 and len(groups[-2]) > 1 and size(groups[-1]) < _TAIL * most:
+        before, tail = groups[-2][:-1], [groups[-2][-1], *groups[-1]]
+        if size(tail) > most or abs(size(before) - size(tail)) > abs(size(groups[-2]) - size(groups[-1])):
+            break
+        groups[-2:] = [before, tail]
+    return [(g[0][0], g[-1][1]) for g in groups]
+
+
+def _split(text: str, a: int, b: int, most: int, count: Callable[[str], int], level: int = 0) -> list[tuple[int, int]]:
+    """Spans of at most so many tokens, by the coarsest cut that there is."""
+    if count(text[a:b]) <= most or b - a <= 1:
+        return [(a, b)]
+    for k in range(level, len(_CUTS)):
+        parts = _parts(text, a, b, _CUTS[k])
+        if len(parts) > 1:
+            return _packed(text, parts, most, count, k)
+    half = (a + b) // 2
+    return _split(text, a, half, most, count, len(_CUTS)) + _split(text, half, b, most, count, len(_CUTS))
+
+
+def markdown_chunks(text: str, threshold: int = 500, tiny: int = 100, count: Callable[[str], int] = words_in) -> list[Chunk]:
+    """(heading path, content, tokens, start, end) of Markdown: contents are the text between start and end, trimmed.
+
+    Neighbouring sections under the same headings are joined below the threshold, and tiny ones are taken in by a larger section that they are
+    under. Sections of over twice the threshold are cut, and rows of a table that is cut stay behind its header."""
     joined: list[list] = []
-    for path, body in _blocks(text):
-        n = len(body.split())
+    for path, a, b in _sections(text):
+        n = count(text[a:b])
         before = joined[-1] if joined else None
-        if before and before[2] + n < threshold and (before[0] == path or (n < tiny and path[: len(before[0])] == before[0])):
-            before[1] += "\n\n" + body
-            before[2] += n
+        under = before and len(path) > len(before[0]) and path[: len(before[0])] == before[0]
+        if before and before[3] + n < threshold and (before[0] == path or (under and n < tiny <= before[3])):
+            before[2], before[3] = b, before[3] + n
         else:
-            joined.append([path, body, n])
-    out = []
-    for path, body, n in joined:
-        parts = [body]
-        if n > 2 * threshold:
-            units = [p for p in body.split("\n\n") if p.strip()]
-            if len(units) == 1:
-                lines = body.split("\n")
-                table = len(lines) > 2 and lines[0].lstrip().startswith("|") and set(lines[1].strip()) <= set("|-: ")
-                head = "\n".join(lines[:2]) + "\n" if table else ""
-                parts = [head + x for x in _pack(lines[2:] if table else lines, threshold, "\n")]
-            else:
-                parts = _pack(units, threshold, "\n\n")
-            if len(parts) > 1 and len(parts[-1].split()) < tiny:
-                last = parts.pop()
-                parts[-1] += "\n\n" + last
-        out += [(" > ".join(path), p, len(p.split())) for p in parts]
+            joined.append([path, a, b, n])
+    out: list[Chunk] = []
+    for path, a, b, _ in joined:
+        for x, y in _split(text, a, b, 2 * threshold, count):
+            content = text[x:y].strip()
+            table = re.search(r"(?:^|\n)([^\n]*\|[^\n]*\n[^\n]*)\n?$", text[a:x]) and _header_before(text, a, x, content)
+            content = f"{table}\n{content}" if table else content
+            if content:
+                out.append((" > ".join(path), content, count(content), x, y))
     return out
 
 
-def semantic_chunks(rows: DataFrame, id_: str, text: str, threshold: int = 500) -> DataFrame:
-    """(id, position, heading, content, n_words) by markdown_chunks, Arrow batches of texts at a time."""
+def _header_before(text: str, a: int, x: int, content: str) -> str:
+    """The two header lines of the table that a piece goes on with; empty if it is no rows of a table, or begins with the header itself."""
+    if not content.startswith("|"):
+        return ""
+    rows: list[str] = []
+    for line in reversed(text[a:x].rstrip("\n").split("\n")):
+        if not line.lstrip().startswith("|"):
+            break
+        rows.append(line)
+    rows.reverse()
+    return "\n".join(rows[:2]) if len(rows) > 1 and _RULE.match(rows[1]) else ""
+
+
+def semantic_chunks(rows: DataFrame, id_: str, text: str, threshold: int = 500, count: Callable[[str], int] = words_in) -> DataFrame:
+    """(id, position, heading, content, tokens, char_start, char_end, page_start, page_end) by markdown_chunks, Arrow batches of texts at a time.
+
+    count: the tokenizer's number of tokens of a text. Pages are those of the markers that a chunk holds."""
+    names = [id_, "position", "heading", "content", "tokens", "char_start", "char_end", "page_start", "page_end"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(i, k, *chunk) for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True) if t for k, chunk in enumerate(markdown_chunks(t, threshold))]
-            yield pd.DataFrame(found, columns=[id_, "position", "heading", "content", "n_words"])
+            found = []
+            for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
+                for k, (heading, content, n, a, b) in enumerate(markdown_chunks(t, threshold, count=count) if t else ()):
+                    pages = [int(p) for p in _PAGE.findall(content)] or [None]
+                    found.append((i, k, heading, content, n, a, b, pages[0], pages[-1]))
+            out = pd.DataFrame(found, columns=names)
+            yield out.astype({"page_start": "Int32", "page_end": "Int32"})
 
     kind = dict(rows.dtypes)[id_]
-    return rows.select(id_, text).mapInPandas(cut, f"{id_} {kind}, position int, heading string, content string, n_words int")
+    return rows.select(id_, text).mapInPandas(cut, f"{id_} {kind}, position int, heading string, content string, tokens int, char_start int, char_end int, page_start int, page_end int")
+
+
+def passages(rows: DataFrame, id_: str, text: str, most: int, least: int) -> DataFrame:
+    """(id, position, passage): paragraphs joined in order as long as they have at most so many characters (with two a paragraph for the blank line); passages of under `least` go."""
+
+    @F.pandas_udf("array<string>")
+    def join(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            groups: list[list[str]] = []
+            size = 0
+            for p in filter(None, map(str.strip, re.split(r"\n{2,}", t or ""))):
+                if groups and size + len(p) + 2 <= most:
+                    groups[-1].append(p)
+                    size += len(p) + 2
+                else:
+                    groups.append([p])
+                    size = len(p) + 2
+            out.append([x for x in map("\n\n".join, groups) if len(x) >= least])
+        return pd.Series(out)
+
+    return rows.select(id_, F.posexplode(join(F.col(text))).alias("position", "passage"))
+
+
+def with_chunker(rows: DataFrame, id_: str, text: str, chunker: Callable[[str], Sequence[dict]]) -> DataFrame:
+    """(id, position, content, tokens) by a chunker of one's own, which gives a list of dicts with content and tokens for a text; anything else is refused."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for i, t in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
+                made = chunker(t or "")
+                if not isinstance(made, (list, tuple)) or not all(isinstance(x, dict) and "content" in x for x in made):
+                    raise TypeError("a chunker gives a list of dicts with content")
+                found += [(i, k, x["content"], x.get("tokens", words_in(x["content"]))) for k, x in enumerate(made)]
+            yield pd.DataFrame(found, columns=[id_, "position", "content", "tokens"])
+
+    return rows.select(id_, text).mapInPandas(cut, f"{id_} {dict(rows.dtypes)[id_]}, position int, content string, tokens int")
+
+
+def token_counts(text: Column, count: Callable[[str], int]) -> Column:
+    """The number of tokens of each text by a tokenizer of one's own, Arrow batches at a time."""
+
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: count(t) if t is not None else 0).astype("int32")
+
+    return counted(text)
+
+
+def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
+    """files with unique_name: the second file of a name gets _1 before its ending, the third _2, and so on."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    return files.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), n.cast("string"), F.regexp_extract(name, r"(\.[^.]*)$", 1))))
 
 
 def citation_support(sentences: DataFrame, chunks: DataFrame, sentence: str, chunk: str, text: str, words: str, least: float, most: int = 3) -> DataFrame:

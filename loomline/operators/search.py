@@ -139,9 +139,11 @@ def fallback_queries(query: str, phrases: Sequence[str] = (), stopwords: Sequenc
     plain = lambda x: re.sub(r"[^a-z0-9]+", " ", x.lower()).strip()
     words = lambda p: [w for w in re.findall(r"[A-Za-z0-9][A-Za-z0-9._/-]*", p) if w.lower() not in stopwords]
     short = [" ".join(p.split()) for p in phrases if len(words(p)) == 1 or (len(words(p)) == 2 and not re.search(r"\d", p))]
-    focus = list({plain(x): x for x in reversed([*short, *(a for a in re.findall(r"\b[A-Z0-9]{3,}\b", query) if a.lower() not in stopwords)])}.values())[::-1]
+    focus: dict[str, str] = {}
+    for x in [*short, *(a for a in re.findall(r"\b[A-Z0-9]{3,}\b", query) if a.lower() not in stopwords)]:
+        focus.setdefault(plain(x), x)
     asked = [phrase for phrase, pattern in intents if re.search(pattern, query, re.IGNORECASE)]
-    tries = [x for phrase in asked for x in (*(f"{f} {phrase}" for f in focus if plain(f) not in plain(phrase)), phrase)] + focus
+    tries = [x for phrase in asked for x in (*(f"{f} {phrase}" for p, f in focus.items() if p not in plain(phrase)), phrase)] + list(focus.values())
     out: dict[str, str] = {}
     for x in tries:
         if plain(x) and plain(x) != plain(query):

@@ -74,10 +74,25 @@ def predicate_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.canonical_relations(e, known, "trades with")
 
 
+def _retrieval(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """A question over documents as chunks: embeddings are their vectors, suppliers the entities that lines link with them (order and document of one number)."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("doc"), F.col("text").alias("content"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), F.col("l_orderkey").alias("chunk_id")).distinct().join(docs.select("chunk_id"), "chunk_id", "left_semi")
+    return retrieve("compare the parts of the world over time", docs, vectors, links, table(spark, sf_dir, "embeddings").where("vec_id = 0").first().embedding, ["the", "of"], mode)
+
+
 @query()
 def retrieve_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole retrieval in one plan: vectors, text, entities and relations, merged, capped and cut to a budget."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), F.col("text").alias("content"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("tgt")).distinct()
-    return retrieve("compare the parts", docs, vectors, edges, vectors.where("chunk_id = 0").first().embedding, ["the", "of"])
+    """The whole retrieval: vectors, text, entities and relations, merged and shaped; held against its steps one by one in the tests."""
+    return _retrieval(spark, sf_dir, "mix")
+
+
+@query()
+def shaped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as lists of fifty, each shaped for a question without a known kind; diversity is sequential, so without SQL: held against a plain version in the tests."""
+    from .router import shaped
+    from .shaping_queries import _ranked
+
+    rows = _ranked(spark, sf_dir).where("text IS NOT NULL").select("q", F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("doc"), F.col("text").alias("content"), "rank", "score")
+    return shaped(rows, "tell me more of the things that are said of it in all", ["the", "with"], 20, 20_000)

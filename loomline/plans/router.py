@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, search, shaping
+from ..operators import search, shaping
+from ..operators.lineage import cut
 
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
 # How questions of each kind are worded.
@@ -92,31 +93,72 @@ def mode_of(question: str, asked: str = "mix") -> str:
     return "mix" if re.search(_COMPARISON, question.lower()) else asked
 
 
-def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, vector: Sequence[float], terms: Sequence[str], mode: str = "mix", k: int = 10, budget: int = 4000) -> DataFrame:
-    """(chunk_id, sources, score, rank) for a question, one lazy plan.
-
-    chunks (chunk_id, doc, content), vectors (chunk_id, embedding), edges (src, tgt) between entities and chunks.
-    naive reads vectors and text; local adds the chunks around the hits' entities, global those of the best linked entities; hybrid and mix take both."""
+def shaped(ranked: DataFrame, question: str, terms: Sequence[str], k: int, budget: int = 8000, source: str = "mixed", rerank_floor: float | None = None, lexical_weight: float = 0.2, diversity: float = 0.7) -> DataFrame:
+    """(q, chunk_id, id, rank, and the rank of each stage): ranked chunks after retrieval, as they go into a prompt.
+
+    ranked: (q, chunk_id, doc, content, rank, score and any signals of support). In turn: the floor of reranking scores, the lexical boost, the order by support,
+    the caps in all and of a document that the kind of question asks for, diversity, support again, and the token budget of chunks as JSON. All lists of q are
+    worked on side by side."""
+    by = ["q"]
+    stages: list[tuple[str, DataFrame]] = [("merge_rank", ranked)]
+    now = ranked if rerank_floor is None else shaping.above_floor(ranked, "score", rerank_floor)
+    weight = max(lexical_weight, 0.75) if any(" " in t for t in terms) else lexical_weight
+    if terms:
+        now = shaping.lexical_boost(now, terms, "content", "rank", by, weight).withColumn("rank", F.col("new_rank")).drop("new_rank", "base", "lexical", "final")
+    now = cut(now)
+    stages.append(("lexical_rank", now))
+    now = shaping.support_order(now, by, "rank", "doc").withColumn("rank", F.col("support_rank")).drop("support_rank")
+    kind, chunks, per, expand, _ = profile(now.sparkSession, question)
+    limit = min(k, chunks) if chunks and source in ("naive", "vector", "hybrid") else k
+    if not chunks:
+        limit = min(limit, shaping.chunk_limit(len(re.findall(TOKEN, question.lower())), k))
+    per = per or max(2, limit // 5)
+    protected = F.when(F.col("focused") >= 1, min(limit, max(per, 5))) if limit > per else None
+    now = cut(shaping.cap_per_document(now, "doc", "rank", per, limit, by, protected, expand))
+    stages.append(("per_document_rank", now))
+    if diversity < 1:
+        order = shaping.mmr(now.withColumn("_r", 1.0 / F.col("rank")), "q", "chunk_id", "content", "_r", diversity, limit)
+        now = now.drop("rank").join(order, ["q", "chunk_id"])
+    now = cut(shaping.support_order(now, by, "rank", "doc").withColumn("rank", F.col("support_rank")).drop("support_rank"))
+    stages.append(("mmr_rank", now))
+    now = now.withColumn("tokens", shaping.json_tokens(["chunk_id", "doc", "content"]))
+    kept = shaping.numbered(shaping.within_budget(now, "tokens", [F.col("rank")], budget, by), by, "rank")
+    stages.append(("token_rank", kept))
+    return kept.select("q", "chunk_id", "id", "rank").join(shaping.stage_ranks(stages, by, "chunk_id"), ["q", "chunk_id"])
+
+
+def profile(spark: SparkSession, question: str) -> tuple[str, int, int, bool, str]:
+    """The intent of one question."""
+    return tuple(spark.range(1).select(intent(F.lit(question)).alias("i")).first().i)
+
+
+def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, links: DataFrame, vector: Sequence[float], terms: Sequence[str], mode: str = "mix", k: int = 10, budget: int = 8000) -> DataFrame:
+    """(chunk_id, sources, score, rank, id and the rank of each stage) for a question.
+
+    chunks (chunk_id, doc, content), vectors (chunk_id, embedding), links (entity, chunk_id). naive reads vectors and text; local takes the chunks of the entities that the
+    nearest chunks are linked with, global those of the best linked entities; hybrid and mix take both, mix with the naive legs too; bypass reads nothing.
+    The legs' chunks are one list, weighted by leg, which is then shaped."""
     used = mode_of(question, mode)
-    empty = chunks.where("false").select("chunk_id", F.lit(0.0).alias("score"))
-    if used == "bypass":
-        return empty.select("chunk_id", F.lit("").alias("sources"), "score", F.lit(0).alias("rank"))
     near = search.vector_topk(vectors, vector, 2 * k, "chunk_id")
-    legs = {"vector": near.select("chunk_id", "rank")}
-    if used in ("naive", "mix", "hybrid"):
-        legs["text"] = search.text_topk(chunks, terms, 2 * k, "chunk_id", "content").select("chunk_id", "rank")
-    parts = [(name, leg.select("chunk_id", (1.0 / (search.RRF_K + F.col("rank"))).alias("score"))) for name, leg in legs.items()]
-    if used in ("local", "mix", "hybrid"):
-        entities = edges.join(near.select(F.col("chunk_id").alias("tgt")), "tgt", "left_semi").select("src").distinct()
-        around = edges.join(entities, "src", "left_semi").select(F.col("tgt").alias("chunk_id")).distinct()
-        parts.append(("entity", around.select("chunk_id", F.lit(1.0 / (search.RRF_K + k)).alias("score"))))
-    if used in ("global", "mix", "hybrid"):
-        top = graph.popular(edges, 4 * k).select(F.col("id").alias("src"))
-        parts.append(("relation", edges.join(top, "src", "left_semi").select(F.col("tgt").alias("chunk_id")).distinct().select("chunk_id", F.lit(1.0 / (search.RRF_K + 2 * k)).alias("score"))))
-    merged = shaping.merge_sources(parts, "chunk_id", "score", {"vector": 1.0, "text": 1.0, "entity": 0.5, "relation": 0.25})
-    ranked = merged.join(chunks.select("chunk_id", "doc", F.size(F.split("content", r"\s+")).alias("tokens")), "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(4 * k)
-    from pyspark.sql import Window
-
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))
-    capped = shaping.cap_per_document(ranked, "doc", "rank", 3, 2 * k)
-    return shaping.within_budget(capped, "tokens", [F.col("rank")], budget).orderBy("rank").limit(k).select("chunk_id", "sources", "score", "rank")
+    legs: list[tuple[str, DataFrame]] = []
+    if used in ("naive", "mix"):
+        legs.append(("vector", near.select("chunk_id", "rank")))
+        if terms:
+            legs.append(("text", search.text_topk(chunks, terms, 2 * k, "chunk_id", "content").select("chunk_id", "rank")))
+    order = lambda *c: F.row_number().over(Window.orderBy(*c))
+    if used in ("local", "hybrid", "mix"):
+        entities = links.join(near.select("chunk_id"), "chunk_id", "left_semi").groupBy("entity").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "entity").limit(2 * k)
+        around = links.join(entities, "entity").groupBy("chunk_id").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "chunk_id").limit(2 * k)
+        legs.append(("entity", around.withColumn("rank", order(F.desc("_c"), "chunk_id")).select("chunk_id", "rank")))
+    if used in ("global", "hybrid", "mix"):
+        top = links.groupBy("entity").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "entity").limit(2 * k)
+        linked = links.join(top, "entity").groupBy("chunk_id").agg(F.sum("_n").alias("_c")).orderBy(F.desc("_c"), "chunk_id").limit(2 * k)
+        legs.append(("relation", linked.withColumn("rank", order(F.desc("_c"), "chunk_id")).select("chunk_id", "rank")))
+    if not legs:
+        names = ("merge_rank", "lexical_rank", "per_document_rank", "mmr_rank", "token_rank")
+        return chunks.where("false").select("chunk_id", F.lit("").alias("sources"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("id"), *[F.lit(0).alias(n) for n in names])
+    weights = {"vector": 0.4, "text": 0.3, "entity": 0.2, "relation": 0.1}
+    parts = [(name, leg.select("chunk_id", (1.0 / (search.RRF_K + F.col("rank"))).alias("score"))) for name, leg in legs]
+    merged = cut(shaping.merge_sources(parts, "chunk_id", "score", weights).join(chunks.select("chunk_id", "doc", "content"), "chunk_id").withColumn("rank", order(F.desc("score"), "chunk_id")).withColumn("q", F.lit(0)))
+    out = shaped(merged, question, terms, k, budget, source=used)
+    return merged.select("chunk_id", "sources", "score").join(out.drop("q"), "chunk_id")

@@ -128,12 +128,32 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under a heading of their source, every fourth line a heading of its own; held against the chunker's rules in the tests."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## part "), i.cast("string"), F.lit("\n"), x)).otherwise(x))
+    """Documents under a heading of their source, every fourth line a heading of its own; sequential, so without SQL: held against the chunker's rules in the tests."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("<!-- PAGE "), i.cast("string"), F.lit(" -->\n## part "), i.cast("string"), F.lit("\n"), x)).otherwise(x))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# "), "source", F.lit("\n"), F.array_join(lines, "\n")).alias("text"))
     return etl.semantic_chunks(docs, "doc_id", "text")
 
 
+@query()
+def greedy_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of documents (their lines) in passages; sequential, so without SQL: held against a plain version in the tests."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return etl.passages(d, "doc_id", "text", 800, 50)
+
+
+@query("SELECT page_id, CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]*)?$', '_' || n || coalesce('.' || nullif(regexp_extract(name, '\\.([^.]*)$', 1), ''), '')) END AS unique_name FROM (SELECT page_id, name, row_number() OVER (PARTITION BY name ORDER BY page_id) - 1 AS n FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'report.v1.pdf' ELSE 'notes' END AS name FROM pages))")
+def unique_filenames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, "report.v1.pdf").otherwise("notes").alias("name"))
+    return etl.unique_names(files, "name", "page_id").select("page_id", "unique_name")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), ' ') || ' & <b>' AS text FROM documents")
+def texts_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Control characters go, entities of HTML become signs."""
+    raw = F.concat(F.lit(" \u0001"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")), F.lit(" &amp; &lt;b&gt;\u0007 "))
+    return table(spark, sf_dir, "documents").select("doc_id", T.sanitized(raw).alias("text"))
+
+
 @query()
 def unicode_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in normal form; held against unicodedata in the tests."""

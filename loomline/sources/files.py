@@ -36,14 +36,37 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.regexp_replace(line, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "").alias("value")).write.text(path)
 
 
-def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str = "csv") -> None:
-    """nodes (name, type, description) and edges (src, tgt, description) as CSV, Markdown or text, in folders of their own."""
-    if kind == "csv":
-        nodes.write.csv(f"{path}/nodes", header=True)
-        edges.write.csv(f"{path}/edges", header=True)
-        return
-    forms = {"md": ("| %s | %s | %s |", "| %s | %s | %s |"), "txt": ("%s (%s): %s", "%s -> %s: %s")}
-    if kind not in forms:
-        raise ValueError(f"no such kind of export: {kind}")
-    for rows, form, name in ((nodes, forms[kind][0], "nodes"), (edges, forms[kind][1], "edges")):
-        rows.select(F.format_string(form, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns[:3]]).alias("value")).write.text(f"{path}/{name}")
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str, kind: str = "csv", vectors: DataFrame | None = None) -> None:
+    """nodes, edges and (if given) vectors as CSV with all their columns, as a Markdown table or as lines of text, in folders of their own."""
+    tables = {"nodes": nodes, "edges": edges} | ({"vectors": vectors} if vectors is not None else {})
+    text = lambda rows: [F.coalesce(F.to_json(c) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string"), F.lit("")) for c, t in rows.dtypes]
+    for name, rows in tables.items():
+        if kind == "csv":
+            rows.select(*[x.alias(c) for x, c in zip(text(rows), rows.columns, strict=True)]).write.csv(f"{path}/{name}", header=True)
+        elif kind == "md":
+            spark = rows.sparkSession
+            head = spark.createDataFrame([(f"| {' | '.join(rows.columns)} |",), (f"| {' | '.join('---' for _ in rows.columns)} |",)], "value string").coalesce(1)
+            head.write.text(f"{path}/{name}/0-head")
+            rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.regexp_replace(x, r"[|\n]", " ") for x in text(rows)]), F.lit(" |")).alias("value")).write.text(f"{path}/{name}/1-rows")
+        elif kind == "txt":
+            rows.select(F.concat_ws("\t", *text(rows)).alias("value")).write.text(f"{path}/{name}")
+        else:
+            raise ValueError(f"no such kind of export: {kind}")
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of JSON lines; a line that can't be read is tried again without control characters, and left out if it still can't be."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    clean = F.regexp_replace("value", r"[\x00-\x1F]", " ")
+    options = {"mode": "FAILFAST"}
+    good = lambda c: F.try_parse_json(c).isNotNull()
+    text = F.when(good(F.col("value")), F.col("value")).when(good(clean), clean)
+    return lines.select(text.alias("t")).where("t IS NOT NULL").select(F.from_json("t", schema, options).alias("x")).select("x.*")
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """Answers (id, text, references, error) as JSON lines that a client reads one by one: a line of references, a line each piece of the text, or one of the error."""
+    head = F.when(F.col("error").isNull(), F.to_json(F.struct("id", "references")))
+    pieces = F.when(F.col("error").isNull(), F.transform(F.regexp_extract_all("text", F.lit(r"(\S+\s*)"), 1), lambda x: F.to_json(F.struct(F.col("id"), x.alias("response")))))
+    lines = F.array_compact(F.concat(F.array(head), F.coalesce(pieces, F.array().cast("array<string>")), F.array(F.when(F.col("error").isNotNull(), F.to_json(F.struct("id", "error"))))))
+    answers.select("id", F.posexplode(lines).alias("p", "value")).repartition("id").sortWithinPartitions("id", "p").select("value").write.text(path)
