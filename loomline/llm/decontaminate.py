@@ -290,6 +290,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
+    """The rows of docs without any occurrence of a window, with their own columns."""
+    row = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return decontaminate(row, benchmark, **more).where("NOT contaminated").select("row.*")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

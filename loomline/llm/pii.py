@@ -9,7 +9,8 @@ either are outside by rule; a run of words between two such is decoded by itself
 nothing, as the chain's two sides are independent there. CRF spans that touch a base span are left out.
 
 Defined results: null texts are empty; offsets count code points, ends are exclusive; texts without
-digits and @ have no spans. Columns named like the results are replaced; all others stay.
+digits and @ have no spans; long texts are read whole; repeated rows get the same result each; an empty
+table gives no rows. Columns named like the results are replaced; all others stay.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ score. Texts without words count as one empty line.
 
 Defined results: null and empty texts get the score of the empty line; labels that are null are
 left out, several labels of a text count by their least; with labels of one kind only (or none)
-every score is the share of good labels (1 without labels). Columns named like the results are
+every score is the share of good labels (1 without labels). Long texts are worked on whole, in slices;
+repeated rows get the same score each; an empty table gives no rows. Columns named like the results are
 replaced; all others stay.
 """
 
@@ -24,10 +25,12 @@ from pyspark.sql import functions as F
 
 from . import crf as C
 from . import kernels as K
-from .shared import small_batches
+from .shared import free, small_batches
 
 #: Labelled texts to learn from, at most (the first by a hash of the key).
 FIT_TEXTS = 3000
+#: Lines of a text that are learned from, at most: of a longer one a run of so many, begun at a place that its number of lines gives.
+FIT_LINES = 256
 _BINS = 8
 #: Lines of a chain in training; longer texts are cut into several chains.
 _CHAIN = 64
@@ -128,7 +131,7 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", texts: int = FIT_TEXTS) -> Quality:
-    """Learn from at most `texts` labelled texts; their lines' measures reach the driver."""
+    """Learn from at most `texts` labelled texts; the measures of at most FIT_LINES lines of each reach the driver."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(texts)
 
@@ -137,8 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         one, two = [], []
         for _, _, data, offs in K.slices(column):
             m, size, first = measure(data, offs)
-            one += [m[a:b].ravel() for a, b in zip(first[:-1], first[1:], strict=True)]
-            two += [size[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                if b - a > FIT_LINES:
+                    a += (b - a) * 2654435761 % (1 << 32) % (b - a - FIT_LINES + 1)
+                    b = a + FIT_LINES
+                one.append(m[a:b].ravel())
+                two.append(size[a:b])
         return pa.StructArray.from_arrays([pa.array(one, pa.list_(pa.float64())), pa.array(two, pa.list_(pa.float64()))], ["measures", "size"])
 
     small_batches(docs.sparkSession)
@@ -184,6 +191,13 @@ def score(docs: DataFrame, model: Quality, text: str = "text") -> DataFrame:
     return kept.withColumn("score", predict(F.col(text), model)).select(*kept.columns, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def good(docs: DataFrame, model: Quality, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose score reaches `least`, with their own columns."""
+    small_batches(docs.sparkSession)
+    new = free(docs, "_score")
+    return docs.withColumn(new, predict(F.col(text), model)).where(F.col(new) >= least).drop(new)
+
+
 def trained(spark: SparkSession, sf_dir: str) -> Quality:
     """The model from the labels whose crc32(doc_id) mod 3 is not 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
