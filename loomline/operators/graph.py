@@ -162,3 +162,22 @@ def remove_relations(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """edges without those between the pairs of gone (src, tgt), whichever way they point."""
     g = gone.select(F.least("src", "tgt").alias("_x"), F.greatest("src", "tgt").alias("_y")).distinct()
     return edges.join(g, (F.least("src", "tgt") == F.col("_x")) & (F.greatest("src", "tgt") == F.col("_y")), "left_anti")
+
+
+def create_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """nodes with those of new that aren't there yet; existing ones stay as they are."""
+    return nodes.unionByName(new.join(nodes.select("id"), "id", "left_anti").dropDuplicates(["id"]))
+
+
+def relation_info(pairs: DataFrame, edges: DataFrame, records: DataFrame, evidence: DataFrame) -> DataFrame:
+    """pairs (a, b) with their edge's weight, whichever way it points, the text of their vector record and their pieces of evidence, where there are any.
+
+    records: (src, tgt, content); evidence: (src, tgt, span); all join on the undirected pair."""
+    key = lambda df, x, y: df.withColumn("_x", F.least(x, y)).withColumn("_y", F.greatest(x, y))
+    e = key(edges, "src", "tgt").groupBy("_x", "_y").agg(F.sum("weight").alias("weight"))
+    r = key(records, "src", "tgt").groupBy("_x", "_y").agg(F.min("content").alias("content"))
+    s = key(evidence, "src", "tgt").groupBy("_x", "_y").agg(F.count("span").alias("spans"))
+    out = key(pairs, "a", "b")
+    for part in (e, r, s):
+        out = out.join(part, ["_x", "_y"], "left")
+    return out.select("a", "b", "weight", "content", F.coalesce("spans", F.lit(0).cast("long")).alias("spans"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -253,3 +253,83 @@ def siblings(hits: DataFrame, chunks: DataFrame, doc: str, position: str, window
     """chunks within so many places of a hit in the same document; an equi-join on the places around each hit."""
     around = hits.select(doc, F.explode(F.sequence(F.col(position) - window, F.col(position) + window)).alias(position)).distinct()
     return chunks.join(around, [doc, position], "left_semi")
+
+
+#: Weights of a merged chunk's features, convex: retrieval before headings before body before facets and time; how many sources before how often before how early.
+FEATURES = {"retrieval": 0.34, "heading": 0.20, "body": 0.14, "facet": 0.08, "temporal": 0.08, "source_count": 0.07, "occurrence": 0.05, "order": 0.04}
+
+
+def merge_score(features: Mapping[str, Column]) -> Column:
+    """The weighted sum of features between 0 and 1, those that are missing or null as 0."""
+    total = F.lit(0.0)
+    for name, weight in FEATURES.items():
+        if name in features:
+            total = total + weight * F.least(F.greatest(F.coalesce(features[name].cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return F.round(total, 6)
+
+
+def merge_ranked(lists: Sequence[DataFrame], id_: str, by: Sequence[str], degrees: DataFrame, k: int) -> DataFrame:
+    """(by, id, score, degree_share, rank): entities or relations of several scored lists, the best score of each, then the degree as a share of the largest of its list."""
+    every = reduce(DataFrame.unionByName, [x.select(*by, id_, "score") for x in lists])
+    best = every.groupBy(*by, id_).agg(F.max("score").alias("score")).join(degrees, id_, "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    most = F.max("degree").over(Window.partitionBy(*by))
+    best = best.withColumn("degree_share", F.when(most > 0, F.round(F.col("degree") / most, 6)).otherwise(0.0))
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("degree_share"), id_)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, id_, "score", "degree_share", "rank")
+
+
+def matching(rows: DataFrame, fields: Sequence[str], name: str) -> DataFrame:
+    """rows of which a field (text or array of texts) holds the name, whatever the case and signs."""
+    plain = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    wanted = f" {re.sub(r'[^0-9a-z]+', ' ', name.lower()).strip()} " if name.isascii() else f" {' '.join(re.findall(r'[^\W_]+', name.lower()))} "
+    kinds = dict(rows.dtypes)
+    found = F.lit(False)
+    for f in fields:
+        text = F.concat_ws(" | ", f) if kinds[f].startswith("array") else F.coalesce(f, F.lit(""))
+        found = found | F.contains(plain(text), F.lit(wanted))
+    return rows.where(found)
+
+
+def confident(rows: DataFrame, score: str, source: str, least: float, exempt: Sequence[str] = ("graph",)) -> DataFrame:
+    """rows that reach a score, and those of sources that have none of their own."""
+    return rows.where((F.coalesce(score, F.lit(0.0)) >= least) | F.col(source).isin(*exempt))
+
+
+def supporting(references: DataFrame, answer: str, content: str, least: float = 0.5) -> DataFrame:
+    """References (with answer and content, an array of texts) with only the contents that share at least so many of the answer's words of four letters or more.
+
+    References without content stay; so do all contents of a list of one answer where none or every one would go."""
+    words = lambda c: F.array_distinct(F.filter(T.tokens(c, T.WORD), lambda w: F.length(w) >= 4))
+    named = references.withColumn("_a", words(F.col(answer)))
+    kept = F.filter(content, lambda c: F.size(F.array_intersect(words(c), F.col("_a"))) >= least * F.greatest(F.size(words(c)), F.lit(1)))
+    named = named.withColumn("_k", kept)
+    by = Window.partitionBy(answer)
+    n, m = F.sum(F.size(F.coalesce("_k", F.array().cast("array<string>")))).over(by), F.sum(F.size(F.coalesce(content, F.array().cast("array<string>")))).over(by)
+    named = named.withColumn("_whole", (n == 0) | (n == m))
+    keep = F.col(content).isNull() | F.col("_whole") | (F.size("_k") > 0)
+    return named.where(keep).withColumn(content, F.when(F.col("_whole"), F.col(content)).otherwise(F.col("_k"))).drop("_a", "_k", "_whole")
+
+
+def gated(rows: DataFrame, by: Sequence[str], entities: str, relations: str, covered: str, density: float = 0.3, coverage: float = 0.5) -> DataFrame:
+    """(by, density, coverage, passes) of counts of entities, of relations among them, and of entities that the answer covers."""
+    n = F.sum(entities)
+    out = rows.groupBy(*by).agg(F.round(F.sum(relations) / F.when(n > 0, n), 6).alias("density"), F.round(F.sum(covered) / F.when(n > 0, n), 6).alias("coverage"))
+    return out.withColumn("passes", (F.coalesce("density", F.lit(0.0)) >= density) & (F.coalesce("coverage", F.lit(0.0)) >= coverage))
+
+
+def graph_references(entities: DataFrame, relations: DataFrame, chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, reference_id, file_path, kinds, n, contents): the files of entities and relations as references, the most used first, with the contents of their chunks.
+
+    entities and relations: (by, file_path); chunks: (file_path, position, content)."""
+    items = entities.select(*by, "file_path", F.lit("entity").alias("k")).unionByName(relations.select(*by, "file_path", F.lit("relation").alias("k")))
+    files = items.where("file_path <> '' AND file_path <> 'unknown_source'").groupBy(*by, "file_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("k")), "+").alias("kinds"))
+    ranked = files.withColumn("reference_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "file_path")))
+    contents = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("_l")).select("file_path", F.col("_l.content").alias("contents"))
+    return ranked.join(contents, "file_path", "left").select(*by, "reference_id", "file_path", "kinds", "n", "contents")
+
+
+def sort_key(name: Column) -> Column:
+    """A key that sorts names without regard to case and accents; characters without a Latin form sort by themselves, behind."""
+    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+    plain = "aaaaaaceeeeiiiinooooouuuuyy"
+    return F.translate(F.lower(F.trim(name)), accents, plain)

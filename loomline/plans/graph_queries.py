@@ -260,3 +260,17 @@ def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = c.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("tgt")).union(n.select(name("n", "n_nationkey"), name("r", "n_regionkey")))
     nodes = c.select(name("c", "c_custkey").alias("id")).union(n.select(name("n", "n_nationkey"))).union(r.select(name("r", "r_regionkey")))
     return edges.join(nodes.select(F.col("id").alias("src")), "src").join(nodes.select(F.col("id").alias("tgt")), "tgt").distinct().select("src", "tgt")
+
+
+@query(f"WITH {_N} SELECT id, kind FROM n UNION ALL SELECT 'new1', 'made'")
+def created_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.create_nodes(_nodes(spark, sf_dir), spark.createDataFrame([("new1", "made"), ("p1", "made")], "id string, kind string"))
+
+
+@query("""WITH e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS tgt, sum(l_quantity) AS weight, count(*) FILTER (WHERE l_returnflag = 'R') AS spans, min(l_linestatus) FILTER (WHERE l_linenumber = 1) AS content FROM lineitem GROUP BY 1, 2), a AS (SELECT 's' || (p_partkey % 9) AS a, 'p' || p_partkey AS b FROM part)
+SELECT a, b, weight, content, coalesce(spans, 0) AS spans FROM a LEFT JOIN e ON src = b AND tgt = a""")
+def relation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").withColumn("src", F.concat(F.lit("p"), "l_partkey")).withColumn("tgt", F.concat(F.lit("s"), "l_suppkey"))
+    pairs = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 9).alias("a"), F.concat(F.lit("p"), "p_partkey").alias("b"))
+    records = li.where("l_linenumber = 1").select("src", "tgt", F.col("l_linestatus").alias("content"))
+    return graph.relation_info(pairs, _edges(spark, sf_dir), records, li.where("l_returnflag = 'R'").select("src", "tgt", F.col("l_linenumber").alias("span")))

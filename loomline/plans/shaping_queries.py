@@ -194,3 +194,70 @@ def interleaved_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("q"), "vec_id", (F.col("vec_id") % 40).alias("id"), "label", F.col("embedding")[0].cast("double").alias("score"))
     k = k.withColumn("place", F.row_number().over(Window.partitionBy("q", "label").orderBy("vec_id")))
     return S.interleaved(k, "id", "label", "place", "score", 30, ["q"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(0.34::DOUBLE * least(l_quantity / 40, 1) + 0.20::DOUBLE * (l_linenumber = 1)::INT + 0.14::DOUBLE * l_discount + 0.07::DOUBLE * CASE WHEN l_linenumber > 2 THEN l_tax ELSE 0 END + 0.04::DOUBLE / l_linenumber, 6) AS score FROM lineitem""")
+def merged_feature_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    features = {"retrieval": F.col("l_quantity") / 40, "heading": n == 1, "body": F.col("l_discount"), "source_count": F.when(n > 2, F.col("l_tax")), "order": 1 / n}
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.merge_score(features).alias("score"))
+
+
+@query("""WITH u AS (SELECT l_orderkey // 100 AS q, l_partkey, l_discount AS score FROM lineitem WHERE l_linenumber <= 2 UNION ALL SELECT l_orderkey // 100, l_partkey, l_tax FROM lineitem WHERE l_linenumber > 2),
+d AS (SELECT l_partkey, count(*) AS degree FROM lineitem GROUP BY 1), b AS (SELECT q, l_partkey, max(score) AS score FROM u GROUP BY 1, 2), s AS (SELECT q, l_partkey, score, round(degree / max(degree) OVER (PARTITION BY q)::DOUBLE, 6) AS degree_share FROM b JOIN d USING (l_partkey))
+SELECT q, l_partkey, score, degree_share, row_number() OVER (PARTITION BY q ORDER BY score DESC, degree_share DESC, l_partkey)::INT AS rank FROM s QUALIFY rank <= 10""")
+def score_aware_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as entities of two lists for each question (a hundred orders)."""
+    li = table(spark, sf_dir, "lineitem").withColumn("q", F.floor(F.col("l_orderkey") / 100))
+    lists = [li.where("l_linenumber <= 2").withColumn("score", F.col("l_discount")), li.where("l_linenumber > 2").withColumn("score", F.col("l_tax"))]
+    return S.merge_ranked(lists, "l_partkey", ["q"], li.groupBy("l_partkey").agg(F.count("*").alias("degree")), 10)
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 3 = 1")
+def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name in a field or in one of its other names, whatever the case and signs; not inside another word."""
+    m = F.col("p_partkey") % 3
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(m == 0, F.concat("p_name", F.lit(" (ACME-Corp.)"))).otherwise("pacme corporation").alias("name"), F.when(m == 1, F.array(F.lit("other"), F.lit("acme  corp"))).alias("names"))
+    return S.matching(rows, ["name", "names"], "Acme Corp").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size >= 25 OR p_partkey % 4 = 0")
+def entity_confidence_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 > 0, F.col("p_size") / 50).alias("score"), F.when(F.col("p_partkey") % 4 == 0, "graph").otherwise("vector").alias("source"))
+    return S.confident(rows, "score", "source", 0.5).select("p_partkey")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'grey foxes' WHEN doc_id % 4 = 1 THEN NULL WHEN doc_id % 4 = 2 THEN 'other thing here|grey foxes' END AS kept FROM documents WHERE doc_id % 4 < 3")
+def references_supporting_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("doc_id") % 4
+    # in every fourth list nothing supports the answer, so that it stays whole
+    answer = F.concat(F.when(m == 2, "nothing of this ").otherwise("the grey foxes jumped over "), F.col("doc_id").cast("string"))
+    content = F.when(m == 0, F.array(F.lit("grey foxes"), F.lit("other thing here"))).when(m == 2, F.array(F.lit("other thing here"), F.lit("grey foxes"))).when(m == 3, F.array(F.lit("unlike words")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("the grey foxes jumped over "), F.floor(F.col("doc_id") / 4).cast("string"), F.when(m == 2, " once").otherwise("")).alias("answer"), content.alias("content"))
+    rows = rows.withColumn("answer", F.when(m == 2, answer).otherwise(F.col("answer")))
+    return S.supporting(rows, "answer", "content").select("doc_id", F.array_join("content", "|").alias("kept"))
+
+
+@query("""SELECT l_suppkey AS q, round(sum((l_linenumber > 4)::INT) / count(*)::DOUBLE, 6) AS density, round(sum((l_discount > 0.04)::INT) / count(*)::DOUBLE, 6) AS coverage, round(sum((l_linenumber > 4)::INT) / count(*)::DOUBLE, 6) >= 0.3 AND round(sum((l_discount > 0.04)::INT) / count(*)::DOUBLE, 6) >= 0.5 AS passes FROM lineitem GROUP BY 1""")
+def connectivity_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("q"), F.lit(1).alias("entities"), (F.col("l_linenumber") > 4).cast("int").alias("relations"), (F.col("l_discount") > 0.04).cast("int").alias("covered"))
+    return S.gated(rows, ["q"], "entities", "relations", "covered")
+
+
+@query("""WITH i AS (SELECT l_suppkey AS q, p_brand AS file_path, CASE WHEN l_linenumber % 2 = 0 THEN 'entity' ELSE 'relation' END AS k FROM lineitem JOIN part ON p_partkey = l_partkey), f AS (SELECT q, file_path, count(*) AS n, string_agg(DISTINCT k, '+' ORDER BY k) AS kinds FROM i GROUP BY 1, 2),
+c AS (SELECT p_brand AS file_path, list(p_name ORDER BY p_partkey) AS contents FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY n DESC, file_path)::INT AS reference_id, file_path, kinds, n, md5(array_to_string(contents, '|')) AS digest FROM f LEFT JOIN c USING (file_path)""")
+def graph_reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as the files of entities and relations of each supplier, parts as their chunks."""
+    p = table(spark, sf_dir, "part")
+    li = table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file_path")), "l_partkey").withColumn("q", F.col("l_suppkey"))
+    chunks = p.where("p_size > 25").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("position"), F.col("p_name").alias("content"))
+    out = S.graph_references(li.where("l_linenumber % 2 = 0"), li.where("l_linenumber % 2 = 1"), chunks, ["q"])
+    return out.select("q", "reference_id", "file_path", "kinds", "n", F.md5(F.array_join("contents", "|")).alias("digest"))
+
+
+@query("SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey)::INT AS place FROM nation")
+def names_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of names in order, accents and case apart."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(" "), F.translate("n_name", "AEIOU", "ÀÉÏÔÜ")).alias("name"))
+    return n.select("n_nationkey", F.row_number().over(Window.orderBy(S.sort_key(F.col("name")), "n_nationkey")).alias("place"))
