@@ -6,6 +6,8 @@ one flat byte buffer and the offsets of the texts in it. Null texts count as emp
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,16 @@ SLICE_BYTES = 1 << 18
 # Buffers go back to the system once they are free; Arrow's default pools keep them for the worker's life.
 pa.set_memory_pool(pa.system_memory_pool())
 
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, so that idle workers stay small beside the executor's heap; nothing where the C library can't."""
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of words: everything but the six ASCII white-space characters.
@@ -62,6 +74,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         end = min(end, at + 20_000)
         yield at, end, data[offs[at] : offs[end]], offs[at : end + 1] - offs[at]
         at = end
+    _give_back()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -23,9 +23,9 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew. A single text may have more.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 250_000
 #: Slots of the table of pieces when it is made: a power of two.
-_SLOTS = 1 << 20
+_SLOTS = 1 << 19
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a piece with it.
@@ -201,7 +201,7 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
-        for at, _, data, offs in K.slices(column, 1 << 19):
+        for at, _, data, offs in K.slices(column):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
             for token in self.added:
