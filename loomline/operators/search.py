@@ -34,23 +34,35 @@ def cover_score(hits: Column) -> Column:
 
 
 def text_matches(rows: DataFrame, terms: Sequence[str], text: str = "text", phrases: Sequence[str] = (), excluded: Sequence[str] = (), heading_weight: float = 0.0) -> DataFrame:
-    """rows with all terms and phrases and no excluded term, and text_score: their occurrences through cover_score (headings weigh more if asked)."""
-    words = T.tokens(F.col(text), T.WORD)
-    joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    out = rows.withColumn("_words", words).withColumn("_joined", joined)
+    """rows with all terms and phrases and no excluded term, and text_score: their occurrences through cover_score (headings weigh more if asked).
+
+    Texts that lack a term's letters go first; the others are cut into words once."""
+    low = F.lower(text)
     for t in terms:
-        out = out.where(F.array_contains("_words", t))
-    for p in phrases:
-        out = out.where(F.contains("_joined", F.lit(f" {p} ")))
-    for x in excluded:
-        out = out.where(~F.array_contains("_words", x))
-    hits = F.size(F.filter("_words", lambda w: w.isin(list(terms)))).cast("double")
-    for p in phrases:
-        hits = hits + F.size(F.split("_joined", f" {p} ", -1)) - 1
-    if heading_weight:
-        heads = T.tokens(F.array_join(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^#+\s+(.*)$"), 1), " "), T.WORD)
-        hits = hits + heading_weight * F.size(F.filter(heads, lambda w: w.isin(list(terms))))
-    return out.withColumn("text_score", F.round(cover_score(hits), 6)).drop("_words", "_joined")
+        rows = rows.where(F.contains(low, F.lit(t)))
+
+    def found(words: Column, joined: Column, heads: Column | None) -> Column:
+        good = F.lit(True)
+        for t in terms:
+            good = good & F.array_contains(words, t)
+        for p in phrases:
+            good = good & F.contains(joined, F.lit(f" {p} "))
+        for x in excluded:
+            good = good & ~F.array_contains(words, x)
+        hits = F.size(F.filter(words, lambda w: w.isin(list(terms)))).cast("double")
+        for p in phrases:
+            hits = hits + F.size(F.split(joined, f" {p} ", -1)) - 1
+        if heads is not None:
+            hits = hits + heading_weight * F.size(F.filter(heads, lambda w: w.isin(list(terms))))
+        return F.struct(good.alias("good"), F.round(cover_score(hits), 6).alias("text_score"))
+
+    words = T.tokens(F.col(text), T.WORD)
+    heads = T.tokens(F.array_join(F.regexp_extract_all(F.col(text), F.lit(r"(?m)^#+\s+(.*)$"), 1), " "), T.WORD) if heading_weight else None
+    named = F.array(F.struct(words.alias("w"), F.array().cast("array<string>").alias("h") if heads is None else heads.alias("h")))
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")) if phrases else F.lit("")
+    scored = F.transform(named, lambda x: found(x.w, padded(x.w), x.h if heading_weight else None))
+    out = rows.select("*", F.inline(scored).alias("_good", "text_score"))
+    return out.where("_good").drop("_good")
 
 
 def text_topk(rows: DataFrame, terms: Sequence[str], k: int, id_: str, text: str = "text", **more) -> DataFrame:

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomline.operators import documents
 from loomline.sources import files
 from loomline.streaming import rollups
 
@@ -43,6 +44,20 @@ def test_writers(spark, tmp_path):
         files.export_graph(nodes, edges, str(tmp_path / "x"), "xls")
 
 
+def test_rows_in_batches(spark, tmp_path):
+    documents.in_batches(spark.range(1200).coalesce(1), str(tmp_path / "b"), 500)
+    documents.in_batches(spark.range(1200, 1300).coalesce(1), str(tmp_path / "b"), 500)
+    assert sorted(spark.read.parquet(str(f)).count() for f in (tmp_path / "b").glob("*.parquet")) == [100, 200, 500, 500]
+
+
+def test_a_workspace_is_read_alone(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "workspace string, id int")
+    rows.write.partitionBy("workspace").parquet(str(tmp_path / "w"))
+    mine = spark.read.parquet(str(tmp_path / "w")).where(F.col("workspace") == "a")
+    assert sorted(r.id for r in mine.collect()) == [1, 3] and len(mine.inputFiles()) >= 1
+    assert "PartitionFilters: [isnotnull(workspace" in mine._jdf.queryExecution().toString()
+
+
 def test_json_lines_are_read(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "b\x01c"}\nbroken\n\n{"id": 3}\n')
     assert [tuple(r) for r in files.read_json(spark, str(tmp_path / "j.jsonl"), "id int, t string").orderBy("id").collect()] == [(1, "a"), (2, "b c"), (3, None)]
