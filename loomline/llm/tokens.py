@@ -23,9 +23,9 @@ import pyarrow as pa
 from . import kernels as K
 
 #: Pieces a worker remembers, at most; it then starts anew. A single text may have more.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 500_000
 #: Slots of the table of pieces when it is made: a power of two.
-_SLOTS = 1 << 19
+_SLOTS = 1 << 20
 _LETTER, _DIGIT, _WHITE, _SIGN, _OTHER = range(5)
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Letters after an apostrophe that make a piece with it.
@@ -201,7 +201,7 @@ class Encoder:
 
     def encode(self, column: pa.Array):
         """(row, ids) of each text, in order."""
-        for at, _, data, offs in K.slices(column):
+        for at, _, data, offs in K.slices(column, 1 << 19):
             starts, odd = pieces(data, offs)
             n = len(offs) - 1
             for token in self.added:
@@ -211,16 +211,20 @@ class Encoder:
             ends = np.append(starts[1:], len(data))
             ids, cut = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
             if len(starts):
-                hashes, first, back = np.unique(np.maximum(K.run_hashes(data, starts, ends), np.uint64(1)), return_index=True, return_inverse=True)
-                if self.seen.n + len(hashes) > CACHE_PIECES:
-                    self._clear()
+                hashes = np.maximum(K.run_hashes(data, starts, ends), np.uint64(1))
                 entry = self.seen.find(hashes)
                 new = np.flatnonzero(entry < 0)
                 if len(new):
-                    self._learn(data, starts[first[new]], ends[first[new]])
-                    entry[new] = self.seen.n + np.arange(len(new))
-                    self.seen.add(hashes[new])
-                entry = entry[back]
+                    fresh, first, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+                    if self.seen.n and self.seen.n + len(fresh) > CACHE_PIECES:
+                        self._clear()
+                        new = np.arange(len(hashes))
+                        fresh, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+                    at_first = new[first]
+                    begin = self.seen.n
+                    self._learn(data, starts[at_first], ends[at_first])
+                    entry[new] = begin + back
+                    self.seen.add(fresh)
                 long = self.long[entry].astype(np.int64)
                 total = np.concatenate(([0], np.cumsum(long)))
                 ids = self.flat[np.repeat(self.at[entry] - total[:-1], long) + np.arange(total[-1])]
