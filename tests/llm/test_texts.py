@@ -210,6 +210,41 @@ def test_quality_of_odd_rows(spark, odd):
     assert got[1].score == got[2].score == got[3].score
 
 
+# Licences.
+
+
+def dice_by_hand(text: str) -> set[str]:
+    """Licences of which some window of words, of a template's size and anywhere in the text, reaches the threshold."""
+    words, found = licenses.words_of(text), set()
+    for name, template in licenses.TEMPLATES:
+        t = licenses.words_of(template)
+        b = set(licenses.bigrams_of(t))
+        for i in range(1 - len(t), len(words)):
+            a = set(licenses.bigrams_of(words[max(i, 0) : max(i + len(t), 0)]))
+            if a and 2 * len(a & b) / (len(a) + len(b)) >= licenses.THRESHOLD:
+                found.add(name)
+                break
+    return found
+
+
+def test_licences_wherever_they_stand(spark):
+    rng = np.random.default_rng(4)
+    prose = " ".join(rng.choice("the work of an author under some conditions may include other words and permission".split(), 120))
+    text = dict(licenses.TEMPLATES[::-1])  # the first template of each name
+    wrapped = "\n".join(" * " + x for x in re.findall(r".{1,70}(?:\s|$)", text["MIT"]))
+    rows = [
+        (1, text["MIT"]), (2, f"{prose}\n/*\n{wrapped}\n */\n{prose}"), (3, f"{prose} {text['CC0-1.0']} {prose}"), (4, prose), (5, text["BSD-3-Clause"].upper()), (6, text["GPL-3.0"].replace("program", "thing")),
+        (7, text["Apache-2.0"][: len(text["Apache-2.0"]) // 3]), (8, "under the MIT"), (9, None), (10, ""), (11, f"{text['ISC']}\n{text['Zlib']}"),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].best_license, got[1].best_score) == ("MIT", 1.0) and got[2].best_license == "MIT" and got[2].best_score == 1.0
+    assert got[3].licenses == "CC0-1.0" and got[4].n_licenses == got[8].n_licenses == got[9].n_licenses == got[10].n_licenses == 0
+    assert got[5].best_license == "BSD-3-Clause" and {"ISC", "Zlib"} <= set(got[11].licenses.split(","))
+    for i, t in rows:
+        assert set(filter(None, got[i].licenses.split(","))) <= dice_by_hand(t or "")
+        assert not dice_by_hand(t or "") or got[i].n_licenses
+
+
 # Backoff scores.
 
 
