@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DELIMITER = "<|#|>"
@@ -60,6 +60,8 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
     """A name without line and paragraph tags, full-width letters and signs as plain ones, no spaces around Chinese characters, no outer quotes.
 
     Empty where only a short number is left. inner_quotes: typographic quotes and those beside Chinese characters go too."""
+    # most names are plain ASCII without quotes and tags, which none of the steps changes
+    plain = name.rlike(r"^[\x20-\x7e&&[^\"'<>]]*$")
     x = F.regexp_replace(name, r"(?i)</?(?:p|br)\s*/?>", "")
     wide = "".join(map(chr, [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A)])) + "－＋／＊（）—　"
     x = F.translate(x, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide[:62]) + "-+/*()- ")
@@ -69,7 +71,7 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
     if inner_quotes:
         x = F.regexp_replace(x, rf"[“”‘’]|['\"]+(?=[{_CJK}])|(?<=[{_CJK}])['\"]+", "")
         x = F.regexp_replace(F.regexp_replace(x, " ", " "), "(?<=[^0-9]) ", " ")
-    x = F.trim(x)
+    x = F.trim(F.when(plain, name).otherwise(x))
     short = ((F.length(x) < 3) & x.rlike("^[0-9]+$")) | ((F.length(x) < 6) & x.rlike(r"^[0-9.]*\.[0-9.]*$"))
     return F.when(short, "").otherwise(x)
 
@@ -83,29 +85,30 @@ def entity_type(raw: Column, allowed: Sequence[str] = ENTITY_TYPES, aliases: Map
     return F.coalesce(F.try_element_at(names, plain), F.lit(rest))
 
 
-def entity_record(record: Column) -> Column:
-    """struct<name, type, description> of a record of four fields; null if it is none, or a field is empty or the type holds signs."""
-    f = fields(record)
-    name, kind, text = normalized_name(F.get(f, 1), True), normalized_name(F.get(f, 2), True), normalized_name(F.get(f, 3))
-    good = (F.size(f) == 4) & F.contains(F.get(f, 0), F.lit("entity")) & (name != "") & (kind != "") & ~kind.rlike(r"['()<>|/\\]") & (text != "")
-    return F.when(good, F.struct(name.alias("name"), entity_type(kind).alias("type"), text.alias("description")))
+def entity_records(rows: DataFrame, record: str, keep: Sequence[str]) -> DataFrame:
+    """(keep, name, type, description) of the rows whose record has four fields, none of them empty, and a type without signs.
+
+    The fields are generated columns, so that each is computed once."""
+    f = F.col("_f")
+    four = rows.select(*keep, fields(F.col(record)).alias("_f")).where((F.size(f) == 4) & F.contains(F.get(f, 0), F.lit("entity")))
+    named = F.struct(normalized_name(F.get(f, 1), True).alias("name"), normalized_name(F.get(f, 2), True).alias("_kind"), normalized_name(F.get(f, 3)).alias("description"))
+    good = four.select(*keep, F.inline(F.array(named))).where("name <> '' AND _kind <> '' AND description <> ''").where(~F.col("_kind").rlike(r"['()<>|/\\]"))
+    return good.select(*keep, "name", entity_type(F.col("_kind")).alias("type"), "description")
 
 
-def relation_record(record: Column, canonical: Mapping[str, str]) -> Column:
-    """struct<src, tgt, keywords array, description, weight> of a record of five fields; null if it is none or a loop.
+def relation_records(rows: DataFrame, record: str, keep: Sequence[str], canonical: Mapping[str, str]) -> DataFrame:
+    """(keep, src, tgt, keywords array, description, weight) of the rows whose record has five fields and two different ends.
 
     Keywords that only say the reverse of a relation swap its ends."""
-    f = fields(record)
-    a, b = normalized_name(F.get(f, 1), True), normalized_name(F.get(f, 2), True)
-    raw = cleaned_keyword(F.get(f, 3))
-    swap = raw.isin(*SWAPPED)
-    text = normalized_name(F.get(f, 4))
+    f = F.col("_f")
+    five = rows.select(*keep, fields(F.col(record)).alias("_f")).where((F.size(f) == 5) & F.contains(F.get(f, 0), F.lit("relation")))
     last = F.regexp_replace(F.get(f, 4), "^[\"']+|[\"']+$", "")
-    good = (F.size(f) == 5) & F.contains(F.get(f, 0), F.lit("relation")) & (a != "") & (b != "") & (a != b)
-    return F.when(
-        good,
-        F.struct(F.when(swap, b).otherwise(a).alias("src"), F.when(swap, a).otherwise(b).alias("tgt"), predicates(F.array(F.when(swap, "represents").otherwise(raw)), canonical).alias("keywords"), text.alias("description"), F.when(is_float(last), last.cast("double")).otherwise(1.0).alias("weight")),
-    )
+    named = F.struct(normalized_name(F.get(f, 1), True).alias("_a"), normalized_name(F.get(f, 2), True).alias("_b"), cleaned_keyword(F.get(f, 3)).alias("_k"), normalized_name(F.get(f, 4)).alias("description"), last.alias("_w"))
+    good = five.select(*keep, F.inline(F.array(named))).where("_a <> '' AND _b <> '' AND _a <> _b")
+    swap = F.col("_k").isin(*SWAPPED)
+    weight = F.when(is_float(F.col("_w")), F.col("_w").cast("double")).otherwise(1.0)
+    terms = predicates(F.array(F.when(swap, "represents").otherwise(F.col("_k"))), canonical)
+    return good.select(*keep, F.when(swap, F.col("_b")).otherwise(F.col("_a")).alias("src"), F.when(swap, F.col("_a")).otherwise(F.col("_b")).alias("tgt"), terms.alias("keywords"), "description", weight.alias("weight"))
 
 
 def malformed(record: Column) -> Column:
@@ -131,11 +134,13 @@ def predicates(keywords: Column, canonical: Mapping[str, str], most: int = 3) ->
     values = sorted(set(canonical.values()))
 
     def parts(x: Column) -> Column:
-        two = F.transform(F.split(named(x), " and | then ", 2), lambda y: named(cleaned_keyword(y)))
+        two = F.transform(F.transform(F.split(x, " and | then ", 2), cleaned_keyword), named)
         return F.filter(two, lambda y, i: (y != "") & ((i == 0) | y.isin(*values)))
 
-    each = F.flatten(F.transform(keywords, lambda k: F.filter(F.transform(F.split(named(cleaned_keyword(k)), ","), cleaned_keyword), lambda x: x != "")))
-    return F.slice(F.array_distinct(F.flatten(F.transform(each, parts))), 1, most)
+    # step by step over arrays, so that each value is computed once
+    keys = F.transform(F.transform(keywords, cleaned_keyword), named)
+    each = F.transform(F.flatten(F.transform(keys, lambda k: F.split(k, ","))), cleaned_keyword)
+    return F.slice(F.array_distinct(F.flatten(F.transform(F.transform(F.filter(each, lambda x: x != ""), named), parts))), 1, most)
 
 
 def _has_phrase(text: Column, phrases: Sequence[str]) -> Column:

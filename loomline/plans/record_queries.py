@@ -29,7 +29,7 @@ def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.lit(["Person", "team", "Dose", "martian", "a/b", "-"]), (k % 6 + 1).cast("int"))
     parts = [F.lit("entity"), F.concat(F.lit(' "'), "s_name", F.lit('" ')), F.when(kind == "-", "").otherwise(kind), F.when(k % 11 > 0, "supplies <br>parts").otherwise("")]
     record = F.concat_ws(R.DELIMITER, *parts, F.when(k % 7 == 3, "more"))
-    return s.select("s_suppkey", R.entity_record(record).alias("e")).where("e IS NOT NULL").select("s_suppkey", "e.*")
+    return R.entity_records(s.select("s_suppkey", record.alias("record")), "record", ["s_suppkey"])
 
 
 _CANONICAL = {"supply": "supplies", "supplied": "supplies", "sells to": "sells to", "owns": "owns", "own": "owns"}
@@ -42,8 +42,8 @@ def relation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_linenumber") % 5
     words = F.element_at(F.lit([" Supply, own.", "Was represented by", "supplied and owns", "sells to then runs", "odd"]), (k + 1).cast("int"))
     record = F.concat_ws(R.DELIMITER, F.lit("relation"), F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey"), words, F.when(k == 2, "'0.5'").otherwise("in the order"), F.when((k == 4) & (F.col("l_linenumber") % 2 == 1), "more"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", R.relation_record(record, _CANONICAL).alias("r")).where("r IS NOT NULL")
-    return rows.select("l_orderkey", "l_linenumber", "r.src", "r.tgt", F.array_join("r.keywords", ",").alias("keywords"), "r.description", "r.weight")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", record.alias("record"))
+    return R.relation_records(rows, "record", ["l_orderkey", "l_linenumber"], _CANONICAL).withColumn("keywords", F.array_join("keywords", ","))
 
 
 @query("""SELECT reason, count(*) AS n FROM (SELECT CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'relation with 4 fields' WHEN 2 THEN 'entity with 5 fields' WHEN 3 THEN 'unknown kind' END AS reason FROM documents) GROUP BY 1""")
