@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .backoff import OP7_SQL, op7_backoff
+from .codes import OP12_SQL, op12_codes
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language import op2_language_id
 from .licenses import OP6_SQL, op6_licenses
@@ -15,7 +16,9 @@ from .neighbours import op1_nearest
 from .packing import op9_pack
 from .pii import op3_pii
 from .quality import op4_quality
+from .spelling import OP13_SQL, op13_spelling
 from .substrings import OP10_SQL, op10_substring_dedup
+from .winnowing import op11_fingerprints
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_pack": op9_pack,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_codes": op12_codes,
+    "op13_spelling": op13_spelling,
 }
 SQL: dict[str, str] = {
     "op5_near_duplicates": OP5_SQL,
@@ -35,4 +41,6 @@ SQL: dict[str, str] = {
     "op7_backoff": OP7_SQL,
     "op8_decontaminate": OP8_SQL,
     "op10_substring_dedup": OP10_SQL,
+    "op12_codes": OP12_SQL,
+    "op13_spelling": OP13_SQL,
 }
