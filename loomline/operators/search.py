@@ -19,8 +19,13 @@ RRF_K = 40
 
 
 def vector_topk(rows: DataFrame, query: Sequence[float], k: int, id_: str, vector: str = "embedding", metric: str = "cosine", threshold: float | None = None) -> DataFrame:
-    """(id, rank, distance and, for cosine, score) of the k nearest; with a threshold only those with distance < 1 - threshold."""
+    """(id, rank, distance and, for cosine, score) of the k nearest; with a threshold only those with distance < 1 - threshold.
+
+    Vectors that have no distance take no part: null ones, ones with a null or NaN component or of another length, and for cosine zero vectors."""
+    if metric == "cosine":
+        rows = rows.where(F.exists(vector, lambda c: c != 0))
     found = rows.select(id_, F.round(V.distance(F.col(vector), F.array(*map(F.lit, map(float, query))), metric), 6).alias("distance"))
+    found = found.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     if threshold is not None:
         found = found.where(F.col("distance") < 1 - threshold)
     found = found.orderBy("distance", id_).limit(k)
@@ -207,7 +212,13 @@ def label_search(names: DataFrame, query: str, k: int, name: str = "name") -> Da
 def best_candidates(lost: DataFrame, pool: DataFrame, id_: str, vector: str, k: int, threshold: float, block: int = 512) -> DataFrame:
     """(id, candidate, similarity, rank): for each lost row its k most similar rows of the whole pool, exactly.
 
-    Both sides are cut in blocks of about so many rows, and each pair of blocks is one group of a shuffle, so no side has to be small. A group gives its best, then the best of all are taken."""
+    Both sides are cut in blocks of about so many rows, and each pair of blocks is one group of a shuffle, so no side has to be small. A group gives its best, then the best of all are taken.
+    Vectors that are null, empty, hold components that are null or not finite, or have another length than most of the pool's take no part; a zero vector is like nothing (similarity 0). For a pool that is asked
+    again and again vector_index reads a share of it. Counting rows and lengths are jobs of their own, run when this is called."""
+    v = F.col(vector)
+    lost, pool = (df.where(v.isNotNull() & (F.size(v) > 0)).where(F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < float("inf")))) for df in (lost, pool))
+    sizes = pool.groupBy(F.size(v).alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
+    lost, pool = (df.where(F.size(v) == (sizes[0].dim if sizes else 0)) for df in (lost, pool))
     n, m = (max(1, -(-df.count() // block)) for df in (lost, pool))
     left = lost.select(id_, F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_), F.lit(n)).alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j"))
     right = pool.select(F.col(id_).alias("candidate"), F.col(vector).cast("array<double>").alias("_v"), F.pmod(F.xxhash64(id_), F.lit(m)).alias("_j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"))
