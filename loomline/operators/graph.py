@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,22 +66,60 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
 
 
-def bfs(edges: DataFrame, start: DataFrame, depth: int, max_nodes: int | None = None) -> tuple[DataFrame, bool]:
+#: Neighbours of a node that are read by one task, and buckets of an adjacency table.
+HUB, BUCKETS = 100_000, 32
+
+
+class Adjacency:
+    """A graph's neighbours as a table in buckets by node, written once: joins on the node read it without a shuffle.
+
+    The neighbours of a node with more than HUB of them are dealt to several parts. Use it in a with statement, or drop() it."""
+
+    def __init__(self, edges: DataFrame, buckets: int = BUCKETS, hub: int = HUB):
+        self.spark, self.name, self.buckets = edges.sparkSession, f"adjacency_{uuid.uuid4().hex}", buckets
+        both = cut(both_ways(edges))
+        hub = max(hub, both.count() // 100_000)  # so at most so many hubs
+        sizes = both.groupBy("src").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")).where("parts > 1")
+        self.hubs = cut(sizes)
+        part = F.pmod(F.xxhash64("tgt"), F.coalesce("parts", F.lit(1))).cast("int")
+        rows = both.join(F.broadcast(self.hubs), "src", "left").select("src", part.alias("part"), "tgt")
+        # one file a bucket, sorted as the joins want it
+        rows.repartition(buckets, "src", "part").write.bucketBy(buckets, "src", "part").sortBy("src", "part").saveAsTable(self.name)
+
+    def __enter__(self) -> Adjacency:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+    def around(self, front: DataFrame) -> DataFrame:
+        """(id): the neighbours of front (id), each once."""
+        parts = front.join(F.broadcast(self.hubs), front["id"] == self.hubs["src"], "left").select("id", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("_part"))
+        kept = self.spark.table(self.name)
+        return kept.join(parts, (kept["src"] == parts["id"]) & (kept["part"] == parts["_part"]), "left_semi").select(F.col("tgt").alias("id")).distinct()
+
+
+def bfs(edges: DataFrame | Adjacency, start: DataFrame, depth: int, max_nodes: int | None = None) -> tuple[DataFrame, bool]:
     """(id, level) of what is reached from start (id) in at most depth undirected steps, and whether max_nodes cut it.
 
-    One join a level, whose result is kept, so that plans stay short. Of the level that passes max_nodes the least ids stay, and the search ends there."""
-    both = both_ways(edges)
+    Edges are shuffled once, when their adjacency is written (give one that is there already to search it again); a level joins it with the nodes of the level before.
+    Of the level that passes max_nodes the least ids stay, and the search ends there."""
+    if not isinstance(edges, Adjacency):
+        with Adjacency(edges) as kept:
+            return bfs(kept, start, depth, max_nodes)
     seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
-    size = seen.count()
+    size, front = seen.count(), seen
     for level in range(1, depth + 1):
-        front = seen.where(F.col("level") == level - 1).select(F.col("id").alias("src"))
-        new = cut(both.join(front, "src", "left_semi").select(F.col("tgt").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        n = new.count()
+        front = cut(edges.around(front.select("id")).join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+        n = front.count()
         if not n:
             break
         if max_nodes is not None and size + n > max_nodes:
-            return seen.unionByName(new.orderBy("id").limit(max(0, max_nodes - size))), True
-        seen = cut(seen.unionByName(new))
+            return seen.unionByName(front.orderBy("id").limit(max(0, max_nodes - size))), True
+        seen = seen.unionByName(front)
         size += n
     return seen, False
 

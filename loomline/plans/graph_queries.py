@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, merging
+from ..operators import communities, graph, merging
 from .registry import query, table
 
 
@@ -274,3 +274,19 @@ def relation_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 9).alias("a"), F.concat(F.lit("p"), "p_partkey").alias("b"))
     records = li.where("l_linenumber = 1").select("src", "tgt", F.col("l_linestatus").alias("content"))
     return graph.relation_info(pairs, _edges(spark, sf_dir), records, li.where("l_returnflag = 'R'").select("src", "tgt", F.col("l_linenumber").alias("span")))
+
+
+@query()
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of parts and suppliers by modularity, a few rounds of it."""
+    return communities.louvain(_edges(spark, sf_dir), "weight", rounds=4, levels=2)[0]
+
+
+@query(f"""WITH {_E}, {_N}, w AS (SELECT src AS a, tgt AS b, weight AS w FROM e UNION ALL SELECT tgt, src, weight FROM e),
+o AS (SELECT id, kind AS c FROM n), s AS (SELECT x.c, sum(w) AS total, sum(CASE WHEN x.c = y.c THEN w ELSE 0 END) AS inside FROM w JOIN o x ON x.id = a JOIN o y ON y.id = b GROUP BY x.c)
+SELECT round(sum(inside) / sum(total) - sum(total * total) / (sum(total) * sum(total)), 9) AS modularity FROM s""")
+def modularity_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modularity of the communities that the kinds of nodes are: brands, and all suppliers."""
+    own = _nodes(spark, sf_dir).select("id", F.col("kind").alias("community"))
+    graph_ = communities.weighted(_edges(spark, sf_dir), "weight")
+    return spark.createDataFrame([(round(communities.modularity(graph_, own), 9),)], "modularity double")

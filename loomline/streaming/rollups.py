@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators import buckets
+
 
 def table_stream(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
     """A stream of the Parquet files that come to a folder, at most so many a batch."""
@@ -31,32 +33,22 @@ def write_all(rows: DataFrame, path: str, checkpoint: str, mode: str = "append")
     return rows.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def reprocess(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+def reprocess(documents: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str = "doc_id", count: int = buckets.BUCKETS) -> StreamingQuery:
     """Drain a stream of documents into a table of their chunks, each batch in place of what its documents had before, and end.
 
-    A table is a folder of a version a batch, written whole before the next is begun, with the kept rows of the version before it: a batch that is tried again writes its version anew. chunk gives (key, ...) rows of documents."""
+    The table is in buckets of the documents' hash: a batch rewrites the buckets that it changes, and one that is tried again changes nothing. chunk gives (key, ...) rows of documents;
+    of a document that comes twice in a batch the greater row counts."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         latest = batch.groupBy(key).agg(F.max_by(F.struct("*"), F.struct([F.col(c) for c in batch.columns if c != key])).alias("_r")).select("_r.*")
-        new = chunk(latest)
-        before = current(spark, path, number - 1)
-        both = new if before is None else before.join(batch.select(key).distinct(), key, "left_anti").unionByName(new)
-        both.write.mode("overwrite").parquet(f"{path}/version={number}")
+        buckets.merge(path, batch.select(key), chunk(latest), key, count)
 
     return documents.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """The last version (up to a number) of a table that reprocess writes; None if there is none."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if s.getPath().getName().startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if upto is None or n <= upto]
-    return spark.read.parquet(f"{path}/version={max(done)}") if done else None
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table that reprocess writes; None if there is none."""
+    return buckets.current(spark, path)
 
 
 def rolling_rollup(events: DataFrame, span: str = "1 hour", step: str = "5 minutes", late: str = "2 hours") -> DataFrame:
