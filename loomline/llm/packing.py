@@ -34,8 +34,8 @@ from .shared import Tables, small_batches
 from .tokens import encoder
 
 CAPACITY = 2048
-#: Steps of the search.
-NODES = 20_000
+#: Steps of the full search over undominated fillings, and of the search of likely ones before it.
+NODES, LIKELY_NODES = 20_000, 5_000
 #: Fillings around one piece in the search that goes before the full one, at most.
 LIKELY = 24
 #: Pieces of one length that are numbered in one part, about.
@@ -144,8 +144,10 @@ def _fillings(room: int, counts: np.ndarray, waste: Callable[[], int]) -> Iterat
             yield from search(len(have), room - free, 2 * room + 1, free)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """(lengths of a sequence, how many such sequences) that hold so many pieces of each length."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES, likely: int = LIKELY_NODES, told: dict[str, int] | None = None) -> Plan:
+    """(lengths of a sequence, how many such sequences) that hold so many pieces of each length.
+
+    Both searches stop after so many steps of their own, with the best solution so far. told gets, under `likely` and `every`, how many fillings each has tried."""
     counts = {k: v for k, v in counts.items() if v}
     best = _best_fit(counts, capacity)
     used = sum(n for _, n in best)
@@ -180,9 +182,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
 
     for every in (False, True):  # likely fillings alone soon give a good incumbent
         path.clear()
+        stack.clear()
         if total and used > least:
             open_level(start, 0, total, ())
-        while stack and nodes and used > least:
+        steps = nodes if every else likely
+        while stack and steps and used > least:
             left, bins, sum_left, depth, options = stack[-1]
             del path[depth:]
             try:
@@ -190,9 +194,11 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
             except StopIteration:
                 stack.pop()
                 continue
-            nodes -= 1
+            steps -= 1
             if choice is None:
                 continue
+            if told is not None:
+                told["every" if every else "likely"] = told.get("every" if every else "likely", 0) + 1
             lengths, times = choice
             values, uses = np.unique(lengths, return_counts=True)
             after = left.copy()

@@ -131,7 +131,9 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", texts: int = FIT_TEXTS) -> Quality:
-    """Learn from at most `texts` labelled texts; the measures of at most FIT_LINES lines of each reach the driver."""
+    """Learn from at most `texts` labelled texts; the measures of at most FIT_LINES lines of each reach the driver.
+
+    An id with several labels has the least; one with several texts gives the one whose hash is least (ties: the smaller text), so there is a row an id at most."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(texts)
 
@@ -150,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    picked = docs.join(F.broadcast(chosen), F.col("id") == F.col("_key")).select("_key", "_label", lines(F.col("text")).alias("_lines"))
+    one = docs.join(F.broadcast(chosen), F.col("id") == F.col("_key")).groupBy("_key", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("_t"))
+    picked = one.select("_key", "_label", lines(F.col("_t.text")).alias("_lines"))
     rows = picked.select("_key", "_label", "_lines.measures", "_lines.size").toArrow().sort_by("_key").combine_chunks()
     y = np.array(rows.column("_label").to_pylist(), float)
     if len(np.unique(y)) < 2:

@@ -204,6 +204,16 @@ def test_quality_held_out(spark):
     assert above >= 0.8 and np.mean([r.predicted == r.quality for r in rows]) >= 0.75
 
 
+def test_quality_learns_one_text_of_an_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i} of the same id") for i in range(3000)] + [(2, "x x x x"), (3, None)], "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (1, 1)], "doc_id long, quality int")
+    sizes = []
+    real = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: sizes.append((found := real(self)).num_rows) or found)
+    model = quality.fit(docs, labels, texts=10)
+    assert sizes == [3] and model.crf is not None
+
+
 def test_quality_of_odd_rows(spark, odd):
     got = {r.doc_id: r for r in QUERIES["op4_quality"](spark, odd).collect()}
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())

@@ -112,6 +112,23 @@ def test_the_filling_of_three():
     assert next(f for f in packing._fillings(60, have, lambda: 60) if f is not None) == (26, 23, 11)
 
 
+def test_all_fillings_are_tried_where_likely_ones_miss_the_bound():
+    """Lengths whose pairs and triples rarely fit: the full search has steps of its own, and finds better fillings."""
+    lengths = np.random.default_rng(5).integers(300, 700, 3000).tolist()
+    counts = dict(Counter(lengths))
+    told = {}
+    found = packing.plan(counts, told=told)
+    pieces = Counter()
+    for filling, times in found:
+        assert sum(filling) <= packing.CAPACITY
+        for x in filling:
+            pieces[x] += times
+    assert pieces == Counter(lengths)
+    least = -(-sum(lengths) // packing.CAPACITY)
+    used, likely, best_fit = (sum(n for _, n in p) for p in (found, packing.plan(counts, nodes=0), packing._best_fit(counts, packing.CAPACITY)))
+    assert told["every"] > 100 and least <= used < likely <= best_fit
+
+
 def test_bin_completion_beats_best_fit():
     # best fit puts 6 + 4 first and needs three; 6 + 3 + 3 ... fill two exactly
     counts = {44: 2, 24: 2, 28: 1, 36: 1, 16: 0, 40: 2, 20: 4}
