@@ -29,17 +29,32 @@ _CJK = r"一-龥"
 _LATIN = r"a-zA-Z0-9()\[\]@#$%!&*\-=+_"
 
 
+# Broken forms of a delimiter, in the order in which they are mended; CORE stands for its core.
+BROKEN_FORMS = (
+    r"<\|CORE\|*?CORE\|>",
+    r"<\|\\CORE\|>",
+    r"<\|+>",
+    r"<[^\n]?\|CORE\|[^\n]?>",
+    r"<\|?CORE\|?>",
+    r"<[^|]CORE\|>|<\|CORE[^|]>",
+    r"<\|CORE\|+(?!>)",
+    r"<\|CORE:(?!>)",
+    r"<\|+CORE>",
+    r"<\|\|(?!>)",
+    r"(?<!<)\|CORE\|>",
+    r"<\|CORE\|>\|",
+    r"\|\|CORE\|\|",
+)
+
+
 def repaired(record: Column, core: str = "#", delimiter: str = DELIMITER) -> Column:
-    """A record whose delimiters are whole again: doubled or escaped cores, lost or doubled bars, a stray character beside the core, a lost bracket on either side."""
-    c = re.escape(core)
-    forms = (
-        rf"<\|(?:{c}|\||\\)*\|>", r"<\|+>",  # nothing but bars and cores between the brackets
-        rf"<[^<>]?\|?{c}\|?[^<>]?>",  # one character too many or too few on either side
-        rf"<\|+{c}>", rf"<\|{c}(?:\|+|:)(?!>)",  # no closing bracket
-        rf"(?<!<)\|{c}\|>", rf"\|\|{c}\|\|", r"<\|\|(?!>)",  # no opening bracket, or none at all
-    )
-    whole = F.regexp_replace(record, "|".join(forms), F.lit(delimiter.replace("\\", r"\\").replace("$", r"\$")))
-    return F.regexp_replace(whole, re.escape(delimiter) + r"\|", F.lit(delimiter))
+    """A record whose delimiters are whole again, each broken form mended after the one before it. Without a core or a delimiter it stays as it is."""
+    if not core or not delimiter:
+        return record
+    whole = F.lit(delimiter.replace("\\", r"\\").replace("$", r"\$"))
+    for form in BROKEN_FORMS:
+        record = F.regexp_replace(record, form.replace("CORE", re.escape(core)), whole)
+    return record
 
 
 def fields(record: Column, delimiter: str = DELIMITER) -> Column:
@@ -128,13 +143,13 @@ def cleaned_keyword(keyword: Column) -> Column:
 def predicates(keywords: Column, canonical: Mapping[str, str], most: int = 3) -> Column:
     """Canonical relation terms of an array of keywords, at most so many, each once.
 
-    A keyword is cut at commas; of one joined by `and` or `then` the first part counts, and the second if it is a canonical term."""
+    A keyword is cut at commas; of one joined by `and`, or else by `then`, the first part counts, and the second if it is a canonical term."""
     known = F.create_map(*[F.lit(x) for kv in canonical.items() for x in kv]) if canonical else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     named = lambda x: F.coalesce(F.try_element_at(known, x), x)
     values = sorted(set(canonical.values()))
 
     def parts(x: Column) -> Column:
-        two = F.transform(F.transform(F.split(x, " and | then ", 2), cleaned_keyword), named)
+        two = F.transform(F.transform(F.when(F.contains(x, F.lit(" and ")), F.split(x, " and ", 2)).otherwise(F.split(x, " then ", 2)), cleaned_keyword), named)
         return F.filter(two, lambda y, i: (y != "") & ((i == 0) | y.isin(*values)))
 
     # step by step over arrays, so that each value is computed once
@@ -158,6 +173,23 @@ def semantics(keywords: Column, text: Column) -> Column:
     return F.struct(polarity.alias("polarity"), facets.alias("facets"))
 
 
+def semantic_hints(keywords: Column, text: Column, rules: Sequence[tuple[Sequence[str], str]] = ()) -> Column:
+    """What a relation is also searched by: the hints of impact and of missing evidence, and those of the rules (phrases, hint) one of whose phrases it holds, each once, in order."""
+    low = F.lower(F.concat_ws(" ", keywords, text))
+    # The two hints.
+    every = [(IMPACT_PHRASES, "impact consequence effect result outcome"), (NEGATIVE_PHRASES, "negative evidence no evidence insufficient evidence not supported"), *rules]
+
+    def holds(phrases: Sequence[str]) -> Column:
+        words = [p for p in phrases if " " not in p]
+        found = low.rlike(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b") if words else F.lit(False)
+        for p in phrases:
+            if " " in p:
+                found = found | F.contains(low, F.lit(p))
+        return found
+
+    return F.array_join(F.array_distinct(F.array_compact(F.array(*[F.when(holds(phrases), hint) for phrases, hint in every]))), "; ")
+
+
 def search_hints(src: Column, tgt: Column, keywords: Column, text: Column, most: int = 24) -> Column:
     """Distinct words of a relation, of three letters or more and no stop words, keywords first."""
     words = F.regexp_extract_all(F.lower(F.concat_ws(" ", keywords, src, tgt, text)), F.lit("([a-z0-9]+)"), 1)
@@ -230,3 +262,42 @@ def content_summary(text: Column, most: int = 250) -> Column:
     words = F.regexp_replace(head, r" [^ ]*$", "")
     cut = F.when(F.contains(head, F.lit(" ")) & (F.length(words) >= int(most * 0.6)), words).otherwise(head)
     return F.when(F.length(whole) <= most, whole).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:]+$", ""), F.lit("...")))
+
+
+# The forms of ids and paths.
+_MOST_ID, _RELATIVE = 128, (".", "..")
+
+
+def document_id(value: Column) -> Column:
+    """A trimmed document id of ASCII letters, digits, underscores and hyphens, at most 128; else null."""
+    x = F.trim(F.regexp_replace(value, r"^\s+|\s+$", ""))
+    return F.when(x.rlike(r"^[a-zA-Z0-9_-]+\z") & (F.length(x) <= _MOST_ID), x)
+
+
+def number(value: Column, least: float | None = None, most: float | None = None) -> Column:
+    """Text as a number between two bounds, both included; else null."""
+    x = F.trim(value).try_cast("double")
+    good = x.isNotNull()
+    # NaN is under no bound and over none
+    good = good if least is None else good & ((x >= least) | F.isnan(x))
+    return F.when(good if most is None else good & ((x <= most) | F.isnan(x)), x)
+
+
+def _object_path(value: Column, folder: bool) -> Column:
+    x = F.regexp_replace(F.coalesce(value, F.lit("")), r"^\s+|\s+$", "")
+    inner = F.regexp_replace(x, "/$", "") if folder else x
+    parts = F.split(inner, "/", -1)
+    good = ~x.rlike(r"[\x00-\x1F\x7F\\]") & ~x.startswith("/") & ~F.contains(x, F.lit("//")) & ~F.exists(parts, lambda p: (p == "") | p.isin(*_RELATIVE))
+    return F.when(good, x)
+
+
+def object_key(value: Column) -> Column:
+    """A trimmed key of an object store: not empty, no control signs, backslashes, empty or relative parts, no slash at either end; else null."""
+    return _object_path(value, False)
+
+
+def object_prefix(value: Column) -> Column:
+    """A trimmed prefix, which ends with a slash; an empty one stays empty; else as object_key."""
+    x = _object_path(value, True)
+    empty = F.coalesce(F.trim(F.regexp_replace(value, r"\s+", " ")), F.lit("")) == ""
+    return F.when(empty, "").otherwise(F.when(x.endswith("/"), x).otherwise(F.concat(x, F.lit("/"))))

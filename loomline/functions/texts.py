@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,16 +43,20 @@ def without_controls(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
 
 
-#: Entities of HTML that are written as signs.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#x27;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+def unescaped(text: Column) -> Column:
+    """Every entity of HTML, by name or number, as the character that it stands for; texts without an ampersand go past Python."""
+
+    @F.arrow_udf("string")
+    def plain(column: pa.Array) -> pa.Array:
+        return pa.array([html.unescape(t) if t is not None else None for t in column.to_pylist()], pa.string())
+
+    some = F.contains(text, F.lit("&"))
+    return F.when(some, plain(F.when(some, text))).otherwise(text)
 
 
 def sanitized(text: Column) -> Column:
-    """Without control characters, with entities of HTML as signs, trimmed."""
-    x = text
-    for entity, sign in ENTITIES.items():
-        x = F.replace(x, F.lit(entity), F.lit(sign))
-    return without_controls(x)
+    """Valid UTF-8 (bytes of surrogates and other broken ones as U+FFFD), with entities of HTML as characters, without control characters, trimmed."""
+    return without_controls(unescaped(F.make_valid_utf8(text)))
 
 
 def excerpt(text: Column, most: int = 150) -> Column:

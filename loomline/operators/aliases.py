@@ -100,6 +100,24 @@ def expanded(queries: DataFrame, rules: DataFrame, query: str) -> DataFrame:
     return queries.join(listed.select(query, F.array_distinct(F.flatten("_l._all")).alias("expanded")), query, "left").withColumn("expanded", F.coalesce("expanded", F.array().cast("array<string>")))
 
 
+# Words that tell of a relation between names, and so alone don't name one.
+CONTEXTUAL = ("alliance", "alliances", "collaboration", "collaborations", "partner", "partners", "partnership", "partnerships")
+
+
+def entity_filters(queries: DataFrame, rules: DataFrame, query: str, contextual: Sequence[str] = CONTEXTUAL) -> DataFrame:
+    """queries with entity: the canonical name of the first rule (position, canonical, aliases) of which a name stands in the query as words; null if there is none.
+
+    Other names than the canonical one don't count if they hold a contextual word. Queries meet rules by a name's first word."""
+    names = rules.select("position", "canonical", F.array_compact(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("_all"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    alone = lambda n: F.arrays_overlap(F.regexp_extract_all(F.lower(n), F.lit("([a-z0-9]+)"), 1), F.lit(list(contextual)))
+    safe = names.withColumn("_all", F.filter("_all", lambda n: (plain(n) == plain(F.col("canonical"))) | ~alone(n)))
+    hits = expanded(queries.select(query).distinct(), safe.select("position", F.get("_all", 0).alias("canonical"), F.slice("_all", 2, 10_000).alias("aliases")).where("canonical IS NOT NULL"), query)
+    first = hits.where(F.size("expanded") > 0).select(query, F.get("expanded", 0).alias("_first"))
+    named = safe.select("position", "canonical", F.get("_all", 0).alias("_first")).where("_first IS NOT NULL").groupBy("_first").agg(F.min_by("canonical", "position").alias("entity"))
+    return queries.join(first.join(named, "_first").select(query, "entity"), query, "left")
+
+
 def canonical_relations(edges: DataFrame, known: Mapping[str, str], rest: str) -> DataFrame:
     """(src, tgt, predicate, n): undirected pairs with their keywords as canonical predicates, loops dropped."""
     words = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])

@@ -69,10 +69,10 @@ def best_references(rows: DataFrame, references: DataFrame, keys: Sequence[str],
     return out.withColumn(id_, F.when(F.size(_content_words(F.col(sentence))) == 0, F.col("_first")).otherwise(F.col("_best"))).drop("_best", "_first")
 
 
-def cited(rows: DataFrame, references: DataFrame, keys: Sequence[str], sentence: str, by: str, text: Sequence[str], coverage: float = 0.5) -> DataFrame:
-    """rows with fixed: claims without a citation get that of their best reference, in answers of which under `coverage` of the claims have one."""
+def cited(rows: DataFrame, references: DataFrame, keys: Sequence[str], sentence: str, by: str, text: Sequence[str], coverage: float = 0.5, answer: str | None = None) -> DataFrame:
+    """rows with fixed: claims without a citation get that of their best reference, in answers (a column; if none, the rows of one `by`) of which under `coverage` of the claims have one."""
     claim = is_factual(F.col(sentence))
-    share = F.avg(F.when(claim, has_citation(F.col(sentence)).cast("double"))).over(Window.partitionBy(by))
+    share = F.avg(F.when(claim, has_citation(F.col(sentence)).cast("double"))).over(Window.partitionBy(answer or by))
     found = best_references(rows, references, keys, sentence, by, text).withColumn("_share", share)
     add = claim & ~has_citation(F.col(sentence)) & (F.col("_share") < coverage) & F.col("reference_id").isNotNull()
     return found.withColumn("fixed", F.when(add, with_citation(F.col(sentence), F.col("reference_id"))).otherwise(F.col(sentence))).drop("_share")

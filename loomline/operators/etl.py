@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
+from .lineage import cut
 
 
 def overlapping_chunks(rows: DataFrame, id_: str, text: str, most: int = 480, overlap: int = 32) -> DataFrame:
@@ -262,18 +263,36 @@ def token_counts(text: Column, count: Callable[[str], int]) -> Column:
 
 
 def unique_names(files: DataFrame, name: str, order: str) -> DataFrame:
-    """files with unique_name: the second file of a name gets _1 before its ending, the third _2, and so on."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    return files.withColumn("unique_name", F.when(n == 0, F.col(name)).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), n.cast("string"), F.regexp_extract(name, r"(\.[^.]*)$", 1))))
+    """files with unique_name: the second file of a name gets _1 before its ending, the third _2, and so on.
+
+    Files are dealt by range of name and order and counted in each part; the number of a file is its place in the part and the files of its name in the parts before. So a name that very many
+    files have is dealt to several tasks. What is collected is a row for each name that goes over the end of a part, two a part at most."""
+    dealt = cut(files.repartitionByRange(name, order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy(name, "_p").agg(F.count("*").alias("_m"))
+    several = sizes.join(sizes.groupBy(name).agg(F.count("*").alias("_c")).where("_c > 1"), name)
+    ahead = several.select(name, "_p", (F.sum("_m").over(Window.partitionBy(name).orderBy("_p")) - F.col("_m")).alias("_a"))
+    numbered = dealt.join(F.broadcast(ahead), [name, "_p"], "left")
+    n = F.row_number().over(Window.partitionBy(name, "_p").orderBy(order)) - 1 + F.coalesce("_a", F.lit(0))
+    ending = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    new = F.when(n == 0, F.col(name)).otherwise(F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit("_"), n.cast("string"), ending))
+    return numbered.withColumn("unique_name", new).drop("_p", "_a")
 
 
 def citation_support(sentences: DataFrame, chunks: DataFrame, sentence: str, chunk: str, text: str, words: str, least: float, most: int = 3) -> DataFrame:
     """(sentence, chunk, score, rank): the chunks that hold the largest share of a sentence's words of four letters or more.
 
-    A sentence meets chunks by a shared word, so only pairs that can score are made."""
+    A chunk that holds a share `least` of n words holds one of any n - ceil(least * n) + 1 of them: a sentence meets chunks by its rarest words alone, so a word that nearly all
+    chunks hold pairs nothing; the pairs are then verified by all words. Word counts are over all chunks."""
     token = lambda c: F.array_distinct(F.filter(T.tokens(F.col(c), T.WORD), lambda w: F.length(w) >= 4))
-    s = sentences.withColumn("_t", token(text)).where(F.size("_t") > 0)
-    c = chunks.select(chunk, F.explode(token(words)).alias("_w"))
-    hits = s.select(sentence, F.size("_t").alias("_n"), F.explode("_t").alias("_w")).join(c, "_w").groupBy(sentence, chunk).agg(F.round(F.count("*") / F.first("_n"), 6).alias("score"))
+    s = sentences.select(sentence, token(text).alias("_t")).where(F.size("_t") > 0)
+    c = chunks.select(chunk, token(words).alias("_all"))
+    each = c.select(chunk, F.explode("_all").alias("_w"))
+    counts = each.groupBy("_w").agg(F.count("*").alias("_c"))
+    asked = s.select(sentence, F.size("_t").alias("_n"), F.explode("_t").alias("_w")).join(counts, "_w", "left")
+    needed = F.greatest(F.col("_n") - F.ceil(F.col("_n") * least - 1e-6) + 1, F.lit(1))
+    rare = Window.partitionBy(sentence).orderBy(F.coalesce("_c", F.lit(0)), "_w")
+    rarest = asked.withColumn("_r", F.row_number().over(rare)).where((F.col("_r") <= needed) & F.col("_c").isNotNull()).select(sentence, "_w")
+    pairs = rarest.join(each, "_w").select(sentence, chunk).distinct()
+    hits = pairs.join(s, sentence).join(c, chunk).select(sentence, chunk, F.round(F.size(F.array_intersect("_t", "_all")) / F.size("_t"), 6).alias("score"))
     order = Window.partitionBy(sentence).orderBy(F.desc("score"), chunk)
-    return hits.where(F.col("score") >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return hits.where((F.col("score") >= least) & (F.col("score") > 0)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)

@@ -221,3 +221,16 @@ def relation_info(pairs: DataFrame, edges: DataFrame, records: DataFrame, eviden
     for part in (e, r, s):
         out = out.join(part, ["_x", "_y"], "left")
     return out.select("a", "b", "weight", "content", F.coalesce("spans", F.lit(0).cast("long")).alias("spans"))
+
+
+def edited_relations(edges: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (src, tgt, properties) with the properties (a map) of edits (src, tgt, properties) laid over those of the pair, whichever way either points; and the edits whose pair has no edge, which change nothing.
+
+    Of several edits of a pair the greatest map by its entries counts. An edge keeps its direction and the properties that an edit does not name."""
+    pair = [F.least("src", "tgt").alias("_a"), F.greatest("src", "tgt").alias("_b")]
+    new = edits.select(*pair, F.col("properties").alias("_new")).groupBy("_a", "_b").agg(F.max_by("_new", F.array_sort(F.map_entries("_new"))).alias("_new"))
+    old = edges.select("*", *pair)
+    kept = F.map_filter("properties", lambda k, v: ~F.map_contains_key("_new", k))
+    out = old.join(new, ["_a", "_b"], "left").withColumn("properties", F.when(F.col("_new").isNull(), F.col("properties")).otherwise(F.map_concat(F.coalesce(kept, F.map_filter("_new", lambda k, v: F.lit(False))), "_new")))
+    lost = edits.select("*", *pair).join(old.select("_a", "_b").distinct(), ["_a", "_b"], "left_anti").drop("_a", "_b")
+    return out.select(*edges.columns), lost

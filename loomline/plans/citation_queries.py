@@ -27,7 +27,7 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each answer may cite the ten benchmark items whose number ends as its own does."""
+    """Benchmark items as references; an answer may cite those whose number mod 8 is its own."""
     b = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 8).alias("q"), F.col("item_id").alias("reference_id"), F.col("text").alias("content"))
     return b
 
@@ -41,14 +41,7 @@ SELECT doc_id, position, reference_id, md5(CASE WHEN fact AND NOT c AND share <
 def citations_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims without a citation get their best reference; an answer's references are the benchmark items of its number mod 8."""
     rows = _sentences(spark, sf_dir).withColumn("q", F.col("doc_id") % 8)
-    refs = _references(spark, sf_dir)
-    best = C.best_references(rows, refs, ["doc_id", "position"], "sentence", "q", ["content"])
-    from pyspark.sql import Window
-
-    claim, has = C.is_factual(F.col("sentence")), C.has_citation(F.col("sentence"))
-    share = F.avg(F.when(claim, has.cast("double"))).over(Window.partitionBy("doc_id"))
-    add = claim & ~has & (share < 0.5) & F.col("reference_id").isNotNull()
-    fixed = best.withColumn("fixed", F.when(add, C.with_citation(F.col("sentence"), F.col("reference_id"))).otherwise(F.col("sentence")))
+    fixed = C.cited(rows, _references(spark, sf_dir), ["doc_id", "position"], "sentence", "q", ["content"], answer="doc_id")
     return fixed.select("doc_id", "position", "reference_id", F.md5("fixed").alias("digest"))
 
 

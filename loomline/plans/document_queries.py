@@ -255,10 +255,10 @@ def derived_key_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.key_conflicts(rows, "k", F.when(F.col("k").startswith("x"), F.expr("substring(k, 2)")).otherwise(F.concat("k", F.lit("0"))))
 
 
-@query("""WITH i AS (SELECT l_partkey AS item, list(DISTINCT l_orderkey) AS ids FROM lineitem WHERE l_partkey <= 50 GROUP BY 1), e AS (SELECT item, unnest(ids) AS chunk FROM i) SELECT chunk, count(*) AS occurrences, min(item) AS best, min(item)::INT AS rank FROM e WHERE chunk IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
+@query("""WITH i AS (SELECT l_partkey AS item, list(DISTINCT l_orderkey) AS ids FROM lineitem GROUP BY 1), e AS (SELECT item, unnest(ids) AS chunk FROM i) SELECT chunk, count(*) AS occurrences, min(item) AS best, min(item)::INT AS rank FROM e WHERE chunk IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1""")
 def chunks_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as ranked entities, orders as the chunks that they are drawn from."""
-    items = table(spark, sf_dir, "lineitem").where("l_partkey <= 50").groupBy(F.col("l_partkey").alias("item")).agg(F.collect_list("l_orderkey").alias("ids")).withColumn("rank", F.col("item").cast("int"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("item")).agg(F.collect_list("l_orderkey").alias("ids")).withColumn("rank", F.col("item").cast("int"))
     chunks = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("chunk"))
     return D.linked_chunks(items, "ids", "item", chunks, "chunk")
 
@@ -277,9 +277,9 @@ def cache_keys_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.with_cache_keys(chunks, used, "o_orderkey").select("o_orderkey", F.array_join("cache_keys", ",").alias("cache_keys"))
 
 
-@query("SELECT 'error-' || md5(url || '|empty') AS id, url AS file_path, 'failed' AS status, 'empty' AS error_msg, 0::INT AS chunks_count FROM pages WHERE length(html) < 2000")
+@query("SELECT 'error-' || md5(url || '|' || e) AS id, url AS file_path, 'failed' AS status, e AS error_msg, 0::INT AS chunks_count FROM (SELECT url, CASE WHEN length(html) < 2000 THEN 'empty' ELSE 'too large: ' || length(html) END AS e FROM pages)")
 def failed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.failed(table(spark, sf_dir, "pages").where("length(html) < 2000").withColumn("error", F.lit("empty")), "url", "error")
+    return D.failed(table(spark, sf_dir, "pages").withColumn("error", F.expr("CASE WHEN length(html) < 2000 THEN 'empty' ELSE concat('too large: ', length(html)) END")), "url", "error")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN CASE WHEN p_size > 10 THEN 'Product' ELSE 'Unknown' END WHEN 2 THEN CASE WHEN p_size > 10 THEN 'Product' END ELSE CASE WHEN p_size > 10 THEN 'Product' ELSE '' END END AS kind FROM part")
@@ -289,18 +289,18 @@ def unknown_types_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.typed(nodes, p.where("p_size > 10").select("p_partkey", F.lit("Product").alias("type")), "p_partkey", "kind")
 
 
-_KG = "c AS (SELECT DISTINCT 'chunk-' || md5(p_type) AS chunk_id, p_type AS source FROM part WHERE p_size < 30), r AS (SELECT 'p' || p_partkey AS src, p_brand AS tgt, p_type AS source FROM part WHERE p_partkey % 3 = 0)"
+_KG = "c AS (SELECT DISTINCT 'chunk-' || md5(p_type) AS chunk_id, p_type AS source FROM part), r AS (SELECT 'p' || p_partkey AS src, p_brand AS tgt, p_type AS source FROM part)"
 
 
-@query(f"""WITH {_KG}, e AS (SELECT 'p' || p_partkey AS id, 'Product' AS entity_type, p_type AS source FROM part WHERE p_partkey % 2 = 0), x AS (SELECT src AS id, coalesce(chunk_id, 'UNKNOWN') AS source_id FROM r LEFT JOIN c USING (source) UNION ALL SELECT tgt, coalesce(chunk_id, 'UNKNOWN') FROM r LEFT JOIN c USING (source))
+@query(f"""WITH {_KG}, e AS (SELECT 'p' || p_partkey AS id, 'Product' AS entity_type, p_type AS source FROM part), x AS (SELECT src AS id, coalesce(chunk_id, 'UNKNOWN') AS source_id FROM r LEFT JOIN c USING (source) UNION ALL SELECT tgt, coalesce(chunk_id, 'UNKNOWN') FROM r LEFT JOIN c USING (source))
 SELECT id, entity_type, coalesce(chunk_id, 'UNKNOWN') AS source_id FROM e LEFT JOIN c USING (source) UNION ALL SELECT id, 'UNKNOWN', min(source_id) FROM x WHERE id NOT IN (SELECT id FROM e) GROUP BY id""")
 def custom_graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as entities of a custom graph; brands are only named by relations."""
     p = table(spark, sf_dir, "part")
-    chunks = p.where("p_size < 30").select(F.col("p_type").alias("source"), F.col("p_type").alias("content")).distinct()
+    chunks = p.select(F.col("p_type").alias("source"), F.col("p_type").alias("content")).distinct()
     name = F.concat(F.lit("p"), "p_partkey")
-    entities = p.where("p_partkey % 2 = 0").select(name.alias("id"), F.lit("Product").alias("entity_type"), F.col("p_name").alias("description"), F.col("p_type").alias("source"))
-    relations = p.where("p_partkey % 3 = 0").select(name.alias("src"), F.col("p_brand").alias("tgt"), F.lit("of").alias("description"), F.lit("brand").alias("keywords"), F.lit(1.0).alias("weight"), F.col("p_type").alias("source"))
+    entities = p.select(name.alias("id"), F.lit("Product").alias("entity_type"), F.col("p_name").alias("description"), F.col("p_type").alias("source"))
+    relations = p.select(name.alias("src"), F.col("p_brand").alias("tgt"), F.lit("of").alias("description"), F.lit("brand").alias("keywords"), F.lit(1.0).alias("weight"), F.col("p_type").alias("source"))
     return D.import_graph(chunks, entities, relations)[1].select("id", "entity_type", "source_id")
 
 

@@ -290,3 +290,16 @@ def modularity_of_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _nodes(spark, sf_dir).select("id", F.col("kind").alias("community"))
     graph_ = communities.weighted(_edges(spark, sf_dir), "weight")
     return spark.createDataFrame([(round(communities.modularity(graph_, own), 9),)], "modularity double")
+
+
+@query(f"""WITH {_E}, d AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS tgt FROM lineitem WHERE l_returnflag = 'R')
+SELECT e.src, e.tgt, e.weight::DOUBLE AS weight, CASE WHEN d.src IS NOT NULL THEN 'returned' ELSE 'sold' END AS kind, d.src IS NOT NULL AS edited FROM e LEFT JOIN d ON d.src = e.tgt AND d.tgt = e.src""")
+def relations_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of parts that came back get another kind, by edits that point the other way; their weight stays."""
+    none = F.map_filter(F.create_map(F.lit("kind"), F.lit("")), lambda k, v: F.lit(False))
+    edges = _edges(spark, sf_dir).select("src", "tgt", F.map_concat(none, F.create_map(F.lit("weight"), F.col("weight").cast("string"), F.lit("kind"), F.lit("sold"))).alias("properties"))
+    back = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("tgt")).distinct()
+    edits = back.withColumn("properties", F.create_map(F.lit("kind"), F.lit("returned"), F.lit("edited"), F.lit("yes")))
+    out, _ = graph.edited_relations(edges, edits)
+    p = F.col("properties")
+    return out.select("src", "tgt", p["weight"].cast("double").alias("weight"), p["kind"].alias("kind"), F.try_element_at(p, F.lit("edited")).isNotNull().alias("edited"))

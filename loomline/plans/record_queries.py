@@ -140,3 +140,24 @@ def content_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page mark and a heading's sign before each text do not show."""
     text = F.concat(F.lit("<!-- PAGE 3 -->\n## "), F.ltrim("text"))
     return table(spark, sf_dir, "documents").select("doc_id", R.content_summary(F.when(F.trim("text") != "", text).otherwise(F.col("text"))).alias("summary"))
+
+
+@query("""WITH t AS (SELECT p_partkey, lower(p_type || ' ' || p_name || CASE p_partkey % 4 WHEN 0 THEN ' poses risks' WHEN 1 THEN ' with limited evidence, due to size' ELSE '' END) AS t FROM part)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_partkey % 4 < 2 THEN 'impact consequence effect result outcome' END, CASE WHEN p_partkey % 4 = 1 THEN 'negative evidence no evidence insufficient evidence not supported' END,
+  CASE WHEN regexp_matches(t, '\\b(?:small|large)\\b') THEN 'size measure' END, CASE WHEN contains(t, 'hot gear') OR regexp_matches(t, '\\beconomy\\b') THEN 'cheap part' END], lambda x: x IS NOT NULL), '; ') AS hints FROM t""")
+def relation_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints of impact and evidence, and by two rules."""
+    m = F.col("p_partkey") % 4
+    text = F.concat("p_name", F.when(m == 0, " poses risks").when(m == 1, " with limited evidence, due to size").otherwise(""))
+    rules = [(("small", "large"), "size measure"), (("hot gear", "economy"), "cheap part")]
+    return table(spark, sf_dir, "part").select("p_partkey", R.semantic_hints(F.col("p_type"), text, rules).alias("hints"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path, CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '/../x' END AS tail FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(path, '^[a-zA-Z0-9_-]+$') THEN path END AS id, CASE WHEN page_id % 3 = 0 AND NOT contains(path, '//') AND NOT ends_with(path, '/') THEN path END AS key,
+  CASE WHEN page_id % 3 < 2 AND NOT contains(path || tail, '//') THEN rtrim(path, '/') || '/' END AS prefix, CASE WHEN len(path) BETWEEN 10 AND 40 THEN len(path)::DOUBLE END AS length FROM p""")
+def validated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as ids, keys and prefixes of an object store, and their lengths as bounded numbers."""
+    tail = F.expr("CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/' ELSE '/../x' END")
+    path = F.regexp_replace("url", "^[a-z]+://", "")
+    return table(spark, sf_dir, "pages").select("page_id", R.document_id(F.concat(F.lit(" "), path)).alias("id"), R.object_key(F.concat(path, tail)).alias("key"), R.object_prefix(F.concat(path, tail, F.lit("\n"))).alias("prefix"), R.number(F.length(path).cast("string"), 10, 40).alias("length"))

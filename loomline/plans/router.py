@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import answers
 from ..operators import search, shaping
-from ..operators.lineage import cut
+from ..operators.tracing import Trace, cut_at
 
 MODES = ("local", "global", "hybrid", "naive", "mix", "bypass")
 # How questions of each kind are worded.
@@ -93,8 +94,8 @@ def mode_of(question: str, asked: str = "mix") -> str:
     return "mix" if re.search(_COMPARISON, question.lower()) else asked
 
 
-def shaped(ranked: DataFrame, question: str, terms: Sequence[str], k: int, budget: int = 8000, source: str = "mixed", rerank_floor: float | None = None, lexical_weight: float = 0.2, diversity: float = 0.7) -> DataFrame:
-    """(q, chunk_id, id, rank, and the rank of each stage): ranked chunks after retrieval, as they go into a prompt.
+def shaped(ranked: DataFrame, question: str, terms: Sequence[str], k: int, budget: int = 8000, source: str = "mixed", rerank_floor: float | None = None, lexical_weight: float = 0.2, diversity: float = 0.7, trace: Trace | None = None) -> DataFrame:
+    """(q, chunk_id, id, rank, and the rank of each stage): ranked chunks after retrieval, as they go into a prompt. A trace gets the rows of each stage.
 
     ranked: (q, chunk_id, doc, content, rank, score and any signals of support). In turn: the floor of reranking scores, the lexical boost, the order by support,
     the caps in all and of a document that the kind of question asks for, diversity, support again, and the token budget of chunks as JSON. All lists of q are
@@ -105,7 +106,8 @@ def shaped(ranked: DataFrame, question: str, terms: Sequence[str], k: int, budge
     weight = max(lexical_weight, 0.75) if any(" " in t for t in terms) else lexical_weight
     if terms:
         now = shaping.lexical_boost(now, terms, "content", "rank", by, weight).withColumn("rank", F.col("new_rank")).drop("new_rank", "base", "lexical", "final")
-    now = cut(now)
+    signals = {name: answers.answer_match(F.lit(question), F.col("content"), rule) for name, rule in answers.RULES.items() if name not in now.columns}
+    now = cut_at(trace, "lexical", now.withColumns(signals))
     stages.append(("lexical_rank", now))
     now = shaping.support_order(now, by, "rank", "doc").withColumn("rank", F.col("support_rank")).drop("support_rank")
     kind, chunks, per, expand, _ = profile(now.sparkSession, question)
@@ -114,15 +116,17 @@ def shaped(ranked: DataFrame, question: str, terms: Sequence[str], k: int, budge
         limit = min(limit, shaping.chunk_limit(len(re.findall(TOKEN, question.lower())), k))
     per = per or max(2, limit // 5)
     protected = F.when(F.col("focused") >= 1, min(limit, max(per, 5))) if limit > per else None
-    now = cut(shaping.cap_per_document(now, "doc", "rank", per, limit, by, protected, expand))
+    now = cut_at(trace, "per_document", shaping.cap_per_document(now, "doc", "rank", per, limit, by, protected, expand))
     stages.append(("per_document_rank", now))
     if diversity < 1:
         order = shaping.mmr(now.withColumn("_r", 1.0 / F.col("rank")), "q", "chunk_id", "content", "_r", diversity, limit)
         now = now.drop("rank").join(order, ["q", "chunk_id"])
-    now = cut(shaping.support_order(now, by, "rank", "doc").withColumn("rank", F.col("support_rank")).drop("support_rank"))
+    now = cut_at(trace, "diversity", shaping.support_order(now, by, "rank", "doc").withColumn("rank", F.col("support_rank")).drop("support_rank"))
     stages.append(("mmr_rank", now))
     now = now.withColumn("tokens", shaping.json_tokens(["chunk_id", "doc", "content"]))
     kept = shaping.numbered(shaping.within_budget(now, "tokens", [F.col("rank")], budget, by), by, "rank")
+    if trace is not None:
+        kept = trace.cut("chunks", kept, F.col("tokens"))
     stages.append(("token_rank", kept))
     return kept.select("q", "chunk_id", "id", "rank").join(shaping.stage_ranks(stages, by, "chunk_id"), ["q", "chunk_id"])
 
@@ -132,12 +136,12 @@ def profile(spark: SparkSession, question: str) -> tuple[str, int, int, bool, st
     return tuple(spark.range(1).select(intent(F.lit(question)).alias("i")).first().i)
 
 
-def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, links: DataFrame, vector: Sequence[float], terms: Sequence[str], mode: str = "mix", k: int = 10, budget: int = 8000) -> DataFrame:
+def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, links: DataFrame, vector: Sequence[float], terms: Sequence[str], mode: str = "mix", k: int = 10, budget: int = 8000, trace: Trace | None = None) -> DataFrame:
     """(chunk_id, sources, score, rank, id and the rank of each stage) for a question.
 
     chunks (chunk_id, doc, content), vectors (chunk_id, embedding), links (entity, chunk_id). naive reads vectors and text; local takes the chunks of the entities that the
     nearest chunks are linked with, global those of the best linked entities; hybrid and mix take both, mix with the naive legs too; bypass reads nothing.
-    The legs' chunks are one list, weighted by leg, which is then shaped."""
+    The legs' chunks are one list, weighted by leg, which is then shaped. A trace gets the rows of each leg and stage."""
     used = mode_of(question, mode)
     near = search.vector_topk(vectors, vector, 2 * k, "chunk_id")
     legs: list[tuple[str, DataFrame]] = []
@@ -148,17 +152,31 @@ def retrieve(question: str, chunks: DataFrame, vectors: DataFrame, links: DataFr
     order = lambda *c: F.row_number().over(Window.orderBy(*c))
     if used in ("local", "hybrid", "mix"):
         entities = links.join(near.select("chunk_id"), "chunk_id", "left_semi").groupBy("entity").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "entity").limit(2 * k)
+        if trace is not None:
+            entities = trace.cut("entities", entities)
         around = links.join(entities, "entity").groupBy("chunk_id").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "chunk_id").limit(2 * k)
         legs.append(("entity", around.withColumn("rank", order(F.desc("_c"), "chunk_id")).select("chunk_id", "rank")))
     if used in ("global", "hybrid", "mix"):
         top = links.groupBy("entity").agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "entity").limit(2 * k)
+        if trace is not None:
+            top = trace.cut("relations", top)
         linked = links.join(top, "entity").groupBy("chunk_id").agg(F.sum("_n").alias("_c")).orderBy(F.desc("_c"), "chunk_id").limit(2 * k)
         legs.append(("relation", linked.withColumn("rank", order(F.desc("_c"), "chunk_id")).select("chunk_id", "rank")))
+    if trace is not None:
+        legs = [(name, trace.cut(name, leg)) for name, leg in legs]
     if not legs:
         names = ("merge_rank", "lexical_rank", "per_document_rank", "mmr_rank", "token_rank")
         return chunks.where("false").select("chunk_id", F.lit("").alias("sources"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"), F.lit("").alias("id"), *[F.lit(0).alias(n) for n in names])
     weights = {"vector": 0.4, "text": 0.3, "entity": 0.2, "relation": 0.1}
     parts = [(name, leg.select("chunk_id", (1.0 / (search.RRF_K + F.col("rank"))).alias("score"))) for name, leg in legs]
-    merged = cut(shaping.merge_sources(parts, "chunk_id", "score", weights).join(chunks.select("chunk_id", "doc", "content"), "chunk_id").withColumn("rank", order(F.desc("score"), "chunk_id")).withColumn("q", F.lit(0)))
-    out = shaped(merged, question, terms, k, budget, source=used)
+    merged = cut_at(trace, "merged", shaping.merge_sources(parts, "chunk_id", "score", weights).join(chunks.select("chunk_id", "doc", "content"), "chunk_id").withColumn("rank", order(F.desc("score"), "chunk_id")).withColumn("q", F.lit(0)))
+    out = shaped(merged, question, terms, k, budget, source=used, trace=trace)
     return merged.select("chunk_id", "sources", "score").join(out.drop("q"), "chunk_id")
+
+
+def explained(question: str, *args, mode: str = "mix", **more) -> DataFrame:
+    """(position, stage, rows, tokens, seconds) of a retrieval (arguments as retrieve's): each leg and stage in order, and last `answerable`, whose one row says that chunks were found."""
+    trace = Trace()
+    out = retrieve(question, *args, mode=mode, trace=trace, **more)
+    trace.stages.append(("answerable", int(any(s == "chunks" and n for s, n, _, _ in trace.stages)), sum(t for s, _, t, _ in trace.stages if s == "chunks"), round(sum((x[3] for x in trace.stages), 0.0), 3)))
+    return trace.frame(out.sparkSession)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
+from ..functions import answers
 from ..operators import shaping as S
 from .registry import query, table
 
@@ -42,11 +43,11 @@ def lexical_boost_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.lexical_boost(_ranked(spark, sf_dir), _TERMS, "text", "rank", ["q"]).select("doc_id", "rank", "final", "new_rank")
 
 
-@query(f"""WITH {_RANKED}, s AS (SELECT doc_id, q, CASE WHEN rank % 7 = 0 THEN NULL ELSE score END AS score, rank FROM r WHERE doc_id % 50 < 49 OR q % 2 = 0)
+@query(f"""WITH {_RANKED}, s AS (SELECT doc_id, q, CASE WHEN rank % 7 = 0 THEN NULL ELSE score END AS score, rank FROM r)
 SELECT doc_id, round(CASE WHEN max(score) OVER p IS NULL THEN CASE WHEN count(*) OVER p > 1 THEN 1 - (rank - 1) / (count(*) OVER p - 1)::DOUBLE ELSE 1 END WHEN score IS NULL THEN 0 WHEN max(score) OVER p = min(score) OVER p THEN 1
   ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END, 6) AS base FROM s WINDOW p AS (PARTITION BY q)""")
 def normalized_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).where("doc_id % 50 < 49 OR q % 2 = 0").withColumn("score", F.when(F.col("rank") % 7 != 0, F.col("score")))
+    rows = _ranked(spark, sf_dir).withColumn("score", F.when(F.col("rank") % 7 != 0, F.col("score")))
     return S.normalized(rows, "score", "rank", ["q"]).select("doc_id", F.round("base", 6).alias("base"))
 
 
@@ -70,10 +71,10 @@ def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cap_per_document(_ranked(spark, sf_dir), "source", "rank", 3, 20, ["q"], F.when(F.col("source") == "src1", 5)).select("doc_id", "source", "rank")
 
 
-@query(f"WITH {_RANKED} SELECT doc_id, rank FROM r WHERE CASE WHEN q % 2 = 0 THEN rank <= 3 ELSE lang IS NOT NULL AND rank IN (SELECT x.rank FROM r x WHERE x.q = r.q AND x.lang = r.lang ORDER BY x.rank LIMIT 2) END AND q < 8")
+@query(f"WITH {_RANKED} SELECT doc_id, rank FROM r WHERE CASE WHEN q % 2 = 0 THEN rank <= 3 ELSE lang IS NOT NULL AND rank IN (SELECT x.rank FROM r x WHERE x.q = r.q AND x.lang = r.lang ORDER BY x.rank LIMIT 2) END")
 def single_document_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of one document get three chunks of it, the others two of each."""
-    rows = _ranked(spark, sf_dir).where("q < 8").withColumn("doc", F.when(F.col("q") % 2 == 0, "one").otherwise(F.col("lang"))).where("doc IS NOT NULL")
+    rows = _ranked(spark, sf_dir).withColumn("doc", F.when(F.col("q") % 2 == 0, "one").otherwise(F.col("lang"))).where("doc IS NOT NULL")
     return S.cap_per_document(rows, "doc", "rank", 2, 50, ["q"], expand=True).select("doc_id", "rank")
 
 
@@ -261,3 +262,21 @@ def names_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of names in order, accents and case apart."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit(" "), F.translate("n_name", "AEIOU", "ÀÉÏÔÜ")).alias("name"))
     return n.select("n_nationkey", F.row_number().over(Window.orderBy(S.sort_key(F.col("name")), "n_nationkey")).alias("place"))
+
+
+_ASKS = "CASE doc_id % 3 WHEN 0 THEN 'How long is the LEAD time of a shipment from ' || source || '?' WHEN 1 THEN 'Which  impact had the submission of ' || source ELSE 'who wrote ' || source END"
+_SAYS = "text || ' It took ' || n_chars || ' days by ship; results of a review.'"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 + 0.5::DOUBLE + CASE WHEN contains(lower(text), 'packag') THEN 0.25 ELSE 0 END + CASE WHEN contains(lower({_SAYS}), 'lead') THEN 0.25 ELSE 0 END ELSE 0 END AS duration,
+  CASE WHEN doc_id % 3 = 1 THEN 1.25::DOUBLE + CASE WHEN regexp_matches(lower({_SAYS}), '\b(?:wrong|questioned|re-?label|ndc)\b') THEN 0.25 ELSE 0 END ELSE 0 END AS impact FROM documents WHERE source IS NOT NULL AND text IS NOT NULL""")
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that tell a duration and a result, asked for a duration, an impact or neither."""
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL").select("doc_id", F.expr(_ASKS).alias("q"), F.expr(_SAYS).alias("t"))
+    return rows.select("doc_id", answers.answer_match(F.col("q"), F.col("t"), answers.DURATION).alias("duration"), answers.answer_match(F.col("q"), F.col("t"), answers.IMPACT).alias("impact"))
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_name, p_partkey) AS place FROM part")
+def names_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names in the order of a collation, numbered without one window over them."""
+    return S.ordered_names(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "place")
