@@ -30,6 +30,10 @@ def odd(spark, tmp_path_factory) -> str:
     rows.write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, "c d e f g h i j"), (2, None), (3, ""), (4, "A b"), (5, "word " * 12)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     spark.createDataFrame([(1, 0, 0), (4, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    x = np.random.default_rng(1).normal(size=(70, 64)).astype(np.float32).tolist()
+    vectors = [(i, v, i % 3 or None) for i, v in enumerate(x)] + [(90 + i, x[0], 1) for i in range(5)]
+    vectors += [(100, None, 1), (101, [None, *x[1][1:]], 1), (102, [float("nan"), *x[1][1:]], 2), (103, [float("-inf"), *x[1][1:]], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return str(at)
 
 
@@ -46,7 +50,7 @@ def test_same_as_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op1_nearest"}))
 def test_an_empty_table_gives_no_rows(spark, odd, tmp_path, name):
     spark.read.parquet(f"{odd}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
-    for other in ("benchmark", "labels"):
+    for other in ("benchmark", "labels", "embeddings"):
         spark.read.parquet(f"{odd}/{other}.parquet").where("false").write.parquet(f"{tmp_path}/{other}.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == 0
 
