@@ -12,6 +12,8 @@ from ..functions import texts as T
 # Phrases of boilerplate lines and words for diagrams.
 BOILERPLATE = ("confidential", "proprietary", "all rights reserved", "internal use only", "do not distribute")
 DIAGRAMS = ("diagram", "timeline", "flowchart", "flow chart", "arrow", "infographic", "process flow")
+#: Pages of fewer characters say little.
+TINY = 100
 MARKER = r"<!--\s*PAGE\s+(\d+)\s*-->"
 _TABLE = r"(?is)<table[^>]*>.*?</table>"
 
@@ -33,15 +35,16 @@ def boilerplate_key(line: Column, terms: Sequence[str] = BOILERPLATE, brands: Se
 
 
 def simple_table(html: Column) -> Column:
-    """A table of HTML as Markdown, its first row as the header; null if it has merged cells, a table inside, or no rows."""
+    """A table of HTML as Markdown, its first row as the header; null if it has merged cells, a table inside, rows of different lengths, or no rows with text."""
     inner = F.regexp_replace(html, r"(?is)^\s*<table[^>]*>|</table>\s*$", "")
     cells = lambda row: F.transform(F.regexp_extract_all(row, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), 1), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+|\|", " ")))
-    rows = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), cells), lambda r: F.size(r) > 0)
+    rows = F.filter(F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), cells), lambda r: F.exists(r, lambda c: c != ""))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     rule = F.array(line(F.transform(F.element_at(rows, 1), lambda _: F.lit("---"))))
     text = F.array_join(F.concat(F.transform(F.slice(rows, 1, 1), line), rule, F.transform(F.slice(rows, 2, 100_000), line)), "\n")
     odd = inner.rlike(r"(?i)(?:rowspan|colspan)\s*=") | inner.rlike(r"(?i)<table")
-    return F.when(~odd & (F.size(rows) > 0), text)
+    even = F.forall(rows, lambda r: F.size(r) == F.size(F.element_at(rows, 1)))
+    return F.when(~odd & (F.size(rows) > 0) & even, text)
 
 
 def table_counts(content: Column) -> Column:
@@ -58,7 +61,7 @@ def mentions_diagram(content: Column) -> Column:
     return out
 
 
-def page_status(canonical: Column, retrieval: Column, native: Column, warning: Column, tiny: int = 40) -> Column:
+def page_status(canonical: Column, retrieval: Column, native: Column, warning: Column, tiny: int = TINY) -> Column:
     """empty, native_fallback, vision_warning, boilerplate_only, tiny or ok: the first that holds."""
     blank = lambda c: ~F.coalesce(c, F.lit("")).rlike(r"\S")
     return F.when(blank(canonical), "empty").when(native, "native_fallback").when(warning.isNotNull(), "vision_warning").when(blank(retrieval), "boilerplate_only").when(F.length(F.trim(retrieval)) < tiny, "tiny").otherwise("ok")

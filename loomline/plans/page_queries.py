@@ -34,7 +34,7 @@ def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", P.simple_table(F.col("html")).alias("markdown"), P.table_counts(F.concat(F.lit("before\n"), "html", F.lit("\nafter"))).alias("t")).select("s_suppkey", "markdown", "t.*")
 
 
-_STATUS = "CASE WHEN NOT regexp_matches(content, '\\S') THEN 'empty' WHEN (doc_id + page) % 7 = 0 THEN 'native_fallback' WHEN (doc_id + page) % 11 = 0 THEN 'vision_warning' WHEN (doc_id + page) % 5 = 0 THEN 'boilerplate_only' WHEN length(trim(content, ' ')) < 40 THEN 'tiny' ELSE 'ok' END"
+_STATUS = f"CASE WHEN NOT regexp_matches(content, '\\S') THEN 'empty' WHEN (doc_id + page) % 7 = 0 THEN 'native_fallback' WHEN (doc_id + page) % 11 = 0 THEN 'vision_warning' WHEN (doc_id + page) % 5 = 0 THEN 'boilerplate_only' WHEN length(trim(content, ' ')) < {P.TINY} THEN 'tiny' ELSE 'ok' END"
 
 
 def _with_status(spark: SparkSession, sf_dir: str) -> DataFrame:

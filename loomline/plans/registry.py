@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import alias_queries, citation_queries, document_queries, fulltext_queries, graph_queries, index_queries, metric_queries, page_queries, record_queries, search_queries, shaping_queries, text_queries  # noqa: E402, F401
+from . import alias_queries, citation_queries, document_queries, extraction_queries, fulltext_queries, graph_queries, index_queries, metric_queries, page_queries, record_queries, search_queries, shaping_queries, text_queries  # noqa: E402, F401
