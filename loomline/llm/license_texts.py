@@ -1,8 +1,8 @@
 """Licence texts and notices to compare with.
 
 Fixed values: the wording of their stewards, without the lines of titles and copyright holders. Of the
-licences of many pages (Apache, GPL, LGPL, AGPL, MPL, Creative Commons) these are the notices that
-they ask to be put into files.
+licences of many pages (Apache, GPL, LGPL, AGPL, MPL, EUPL, Creative Commons) these are the notices that
+they ask to be put into files, and a passage that only their full text has.
 """
 
 from __future__ import annotations
@@ -19,11 +19,21 @@ _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software f
 _ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 
 
-def _gnu(program: str, licence: str, version: int, mark: str) -> str:
+def _gnu(program: str, licence: str, version: str, mark: str) -> str:
+    rest = program[0].lower() + program[1:]
     return (
-        f"{program} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {licence} as published by the Free Software Foundation{',' if mark == ':' else ';'} "
-        f"either version {version} of the License, or (at your option) any later version. {program} is distributed in the hope that it will be useful, {_WITHOUT} See the GNU {licence} for more details. "
-        f"You should have received a copy of the GNU {licence} along with this program."
+        f"{program} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {licence} "
+        f"as published by the Free Software Foundation{',' if mark == ':' else ';'} "
+        f"either version {version} of the License, or (at your option) any later version. {program} is distributed in the hope "
+        f"that it will be useful, {_WITHOUT} See the GNU {licence} for more details. "
+        f"You should have received a copy of the GNU {licence} along with {rest}."
+    )
+
+
+def _cc(name: str) -> str:
+    return (
+        "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this "
+        f"Creative Commons {name} 4.0 International Public License (\"Public License\")."
     )
 
 
@@ -44,14 +54,14 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("GPL-3.0", _gnu("This program", "General Public License", 3, ":")),
+    ("GPL-3.0", _gnu("This program", "General Public License", "3", ":")),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-2.0", _gnu("This program", "General Public License", 2, ";")),
+    ("GPL-2.0", _gnu("This program", "General Public License", "2", ";")),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
-    ("LGPL-3.0", _gnu("This program", "Lesser General Public License", 3, ":")),
+    ("LGPL-3.0", _gnu("This program", "Lesser General Public License", "3", ":")),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", _gnu("This program", "Affero General Public License", 3, ":")),
+    ("AGPL-3.0", _gnu("This program", "Affero General Public License", "3", ":")),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -65,4 +75,23 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("LGPL-2.1", _gnu("This library", "Lesser General Public License", "2.1", ";")),
+    ("LGPL-2.0", _gnu("This library", "Library General Public License", "2", ";")),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence. You may obtain a copy of the Licence at:"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2."),
+    ("WTFPL", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed. DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION 0. You just DO WHAT THE FUCK YOU WANT TO."),
+    # Passages of full texts.
+    ("Apache-2.0", "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("LGPL-2.1", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("MPL-2.0", "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+    ("CC-BY-4.0", _cc("Attribution")),
+    ("CC-BY-SA-4.0", _cc("Attribution-ShareAlike")),
+    ("CC-BY-NC-4.0", _cc("Attribution-NonCommercial")),
+    ("CC0-1.0", "The laws of most jurisdictions throughout the world automatically confer exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an \"owner\") of an original work of authorship and/or a database (each, a \"Work\")."),
 ]

@@ -241,6 +241,19 @@ def dice_by_hand(text: str) -> set[str]:
     return found
 
 
+def test_licence_of_the_text_wins(spark):
+    """Each template's text names its own licence alone, also with words changed; two licences side by side are both found."""
+    texts = [(i, text, name) for i, (name, text) in enumerate(licenses.TEMPLATES)]
+    notice = next(t for n, t in licenses.TEMPLATES if n == "LGPL-2.1" and "redistribute" in t)
+    bsd2 = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause").replace("Redistributions of source code", "Copies of source code")
+    more = [(100, f"# {notice.replace('will be useful', 'might be useful')}", "LGPL-2.1"), (101, bsd2, "BSD-2-Clause"), (102, f"Licensed under CC BY 4.0. {texts[0][1]}", "CC-BY-4.0,MIT"),
+            (103, " ".join(["lorem"] * 300) + " " + next(t for n, t in licenses.TEMPLATES if n == "WTFPL"), "WTFPL")]
+    rows = spark.createDataFrame(texts + more, "i int, text string, name string")
+    got = licenses.scan(rows).collect()
+    wrong = {(r.name, r.licenses, r.best_license) for r in got if r.licenses != r.name or r.best_license not in r.name.split(",")}
+    assert not wrong
+
+
 def test_licences_wherever_they_stand(spark):
     rng = np.random.default_rng(4)
     prose = " ".join(rng.choice("the work of an author under some conditions may include other words and permission".split(), 120))
