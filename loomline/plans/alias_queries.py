@@ -47,6 +47,26 @@ def alias_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(L.block_reason(pick(0), pick(1), pick(2), pick(3)), F.lit("")).alias("reason"))
 
 
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN (o_orderstatus = 'F' AND l_returnflag = 'R') OR (o_orderstatus = 'O' AND l_returnflag = 'A') THEN 'types'
+  WHEN l_linenumber % 4 = 0 AND strftime(o_orderdate, '%Y-%m') <> strftime(l_shipdate, '%Y-%m') THEN 'dates' WHEN l_linenumber % 4 = 1 AND l_quantity <> l_linenumber THEN 'numbers'
+  WHEN l_linenumber % 4 = 2 AND l_tax > 0.04 THEN 'dose' WHEN l_linenumber % 4 = 3 AND l_discount > 0.05 THEN 'short code' ELSE '' END AS reason FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def alias_guard_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names made of an order's and its lines' own months, amounts and numbers, with types by their flags."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    n, amount, code = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string"), F.col("l_suppkey").cast("string")
+    form = n % 4
+    a = F.when(form == 0, F.date_format("o_orderdate", "MMMM yyyy")).when(form == 1, F.concat(F.lit("Lot "), amount)).when(form == 2, F.concat(amount, F.lit(" mg dose"))).otherwise(F.concat(F.lit("AB"), code))
+    b = (
+        F.when(form == 0, F.date_format("l_shipdate", "yyyy MMM"))
+        .when(form == 1, F.concat(F.lit("lot no. "), n.cast("string")))
+        .when(form == 2, F.when(F.col("l_tax") > 0.04, "the dose").otherwise(F.concat(amount, F.lit("mg"))))
+        .otherwise(F.when(F.col("l_discount") > 0.05, "the antibody").otherwise(F.concat(F.lit("ab-"), code)))
+    )
+    kind_a = F.when(F.col("o_orderstatus") == "F", "Person").when(F.col("o_orderstatus") == "O", "Organization").otherwise("unknown")
+    kind_b = F.when(F.col("l_returnflag") == "R", "Organization").when(F.col("l_returnflag") == "A", "Person").otherwise("")
+    return rows.select("l_orderkey", n, F.coalesce(L.block_reason(a, b, kind_a, kind_b), F.lit("")).alias("reason"))
+
+
 @query(f"WITH {_A} SELECT c_custkey, c_name FROM customer WHERE lower(c_name) NOT IN (SELECT lower(alias) FROM a) ORDER BY c_acctbal DESC, c_name LIMIT 500")
 def unresolved_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unresolved(table(spark, sf_dir, "customer"), _aliases(spark, sf_dir), "c_name", "c_acctbal").select("c_custkey", "c_name")

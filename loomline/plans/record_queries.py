@@ -53,6 +53,15 @@ def malformed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(R.malformed(record).alias("reason")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH r AS (SELECT doc_id, lang, 1 + len(string_split(split_part(coalesce(text, ''), '.', 1), ' ')) AS n FROM documents)
+SELECT doc_id, CASE lang WHEN 'en' THEN CASE WHEN n <> 4 THEN 'entity with ' || n || ' fields' END WHEN 'de' THEN CASE WHEN n <> 5 THEN 'relation with ' || n || ' fields' END ELSE 'unknown kind' END AS reason FROM r""")
+def malformed_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a document's first sentence as the fields of a record whose kind is by language."""
+    kind = F.when(F.col("lang") == "en", "Entity").when(F.col("lang") == "de", " RELATIONSHIP").otherwise(F.coalesce("lang", F.lit("")))
+    words = F.split(F.substring_index(F.coalesce("text", F.lit("")), ".", 1), " ", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", R.malformed(F.concat_ws(R.DELIMITER, kind, words)).alias("reason"))
+
+
 @query("SELECT s_suppkey, CASE s_suppkey % 8 WHEN 0 THEN s_name WHEN 1 THEN s_name WHEN 2 THEN 'AB9 x' WHEN 3 THEN '甲乙c' WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN 'it is \"so\"' ELSE '甲乙' END AS name FROM supplier")
 def names_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, name = F.col("s_suppkey") % 8, F.col("s_name")
