@@ -37,6 +37,8 @@ TABLE_WORDS = 2_000_000
 MOST_CHARS = 4_000_000
 #: Bits of a slot's number in the shift tables of a larger one.
 BITS = 22
+#: A window with over 1 / HOT_WINDOWS of all places that a large benchmark's shift tables leave is hot; so there are fewer than that.
+HOT_WINDOWS = 1000
 #: Words that one text advances over in a row; a longer text is read in overlapping stretches.
 STRETCH = 256
 
@@ -221,8 +223,11 @@ def _shift_tables(windows: DataFrame, bits: int) -> dict[int, np.ndarray]:
     return tables
 
 
-def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, bits: int) -> DataFrame:
-    """docs with the results, for a benchmark of any size."""
+def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, window: int, bits: int, hot: int) -> DataFrame:
+    """docs with the results, for a benchmark of any size.
+
+    Places are counted by window first. Hot windows, fewer than `hot` by their share, meet the benchmark's by broadcast,
+    and their items in as many parts as hold one share of the places each; so no task gets all places of a frequent window."""
     tables = Tables(docs.sparkSession)
     row = free(docs, "_row")
     docs = tables.put(docs.withColumn(row, F.monotonically_increasing_id()))
@@ -248,11 +253,21 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
 
     scanned = tables.put(docs.select(F.col(row).alias("row"), places(F.col(text)).alias("s")).select("row", "s.n_words", "s.places"))
     found = scanned.select("row", F.explode("places").alias("x")).select("row", "x.p", "x.size", "x.win")
-    # the items of a window are found once a text, its places for the texts that have any
-    known = windows.select("size", "win").distinct()
-    hits = tables.put(found.join(known, ["size", "win"], "left_semi"))
+    key = ["size", "win"]
+    known = windows.select(key).distinct()
+    total = scanned.agg(F.sum(F.size("places"))).first()[0] or 0
+    counts = found.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") * hot > total)
+    often = tables.put(counts.join(known.withColumn("known", F.lit(True)), key, "left").select(*key, "known", F.ceil(F.col("n") * hot / F.lit(max(total, 1))).cast("int").alias("parts")))
+    met = found.join(F.broadcast(often), key, "left")
+    rest = met.where("parts IS NULL").join(known, key, "left_semi")
+    hits = tables.put(met.where("known").unionByName(rest).drop("known"))
     n_hit = hits.select("row", F.explode(F.sequence("p", F.col("p") + F.col("size") - 1)).alias("w")).groupBy("row").agg(F.countDistinct("w").alias("n_hit"))
-    items = hits.select("row", "size", "win").distinct().join(windows, ["size", "win"]).groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    # the items of a window are found once a text, however often it stands there
+    once = hits.select("row", *key, "parts").distinct()
+    dealt = once.where("parts IS NOT NULL").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).drop("parts")
+    held = windows.join(F.broadcast(often.where("known").select(*key, "parts")), key).select(*key, "item", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    pairs = once.where("parts IS NULL").join(windows, key).select("row", "item").unionByName(dealt.join(held, [*key, "part"]).select("row", "item"))
+    items = pairs.groupBy("row").agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"))
     of = free(docs, "_of")
     result = scanned.select("row", "n_words").join(n_hit, "row", "left").join(items, "row", "left").withColumnRenamed("row", of)
     result = result.select(of, *(F.col(c).alias(f"{of}{c}") for c in ("n_words", "n_hit", "items")))
@@ -268,12 +283,12 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_te
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = TABLE_WORDS, most_chars: int = MOST_CHARS, bits: int = BITS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, most: int = TABLE_WORDS, most_chars: int = MOST_CHARS, bits: int = BITS, hot: int = HOT_WINDOWS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated."""
     kept = docs.drop(*_RESULTS)
     small_batches(docs.sparkSession)
     if (benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0) > most_chars:
-        return _joined(docs, benchmark, text, item, item_text, window, bits)
+        return _joined(docs, benchmark, text, item, item_text, window, bits, hot)
     out, parts = docs, []
     for k, tables in enumerate(tables_of(benchmark, item, item_text, window, most)):
         parts.append(free(docs, f"_scan{k}"))

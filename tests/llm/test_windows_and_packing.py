@@ -56,7 +56,7 @@ def test_windows(spark):
     items = [(i, text(int(rng.integers(0, 12)))) for i in range(25)] + [(30, None), (31, ""), (32, "e"), (7, "a b cé"), (33, "a b cé")]
     left = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, n_hit int, contaminated int")
     right = spark.createDataFrame(items, "item_id long, text string")
-    for more in ({}, {"most": 40}, {"most_chars": 0}, {"most_chars": 0, "bits": 4}):  # all tables to tasks, in parts; joined
+    for more in ({}, {"most": 40}, {"most_chars": 0}, {"most_chars": 0, "bits": 4}, {"most_chars": 0, "hot": 1}, {"most_chars": 0, "hot": 8}):  # all tables to tasks, in parts; joined
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.decontaminate(left, right, window=5, **more).collect()}
         assert got == hits_by_hand(docs, items, 5)
     assert decontaminate.decontaminate(left, right, most_chars=0).columns == decontaminate.decontaminate(left, right).columns
