@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
+from ..functions.batches import small_batches
 from .lineage import cut
 
 
@@ -66,6 +67,7 @@ def _plain(x: str | None) -> str | None:
 
 def normalized_unicode(text: Column) -> Column:
     """NFC, without zero-width and bidi signs and variation selectors; mathematical letters as plain ones."""
+    small_batches()
 
     @F.pandas_udf("string")
     def plain(x: pd.Series) -> pd.Series:
