@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from . import pages as P
-from .lineage import cut
+from .lineage import written
 
 # Warnings after which native text is looked at, and the least share and number of pages of a repeated notice.
 CUT_SHORT = ("vision_truncation", "vision_empty_response", "vision_error")
@@ -99,22 +99,22 @@ def records(
     """A row a page: doc, page, n, raw, canonical_content, retrieval_content, warning, the columns of RECORD, empty (no retrieval text) and tables.
 
     pages have doc, page, content, native, warning (its source) and message. Lines are compared by the key of a notice:
-    only keys and their counts are shuffled, and the few that are repeated join the pages again. Normalised pages are
-    read twice, so they are computed once and kept in the checkpoint folder when this is called."""
+    only keys and their counts are shuffled, and the few that are repeated join the pages again. Normalised pages and
+    the keys of their lines are read twice, so they are computed once and written below the checkpoint folder when this is called."""
     base = complete(pages, counts, doc, page).withColumn("raw", F.coalesce("content", F.lit("")))
-    base = cut(normalized(normalized(base, "raw", "_v"), "native", "_n").drop("content", "native"))
-    blank = ~usable(F.col("_v"))
-    weak = blank | (F.length(_stripped(F.col("_v"))) < tiny) | F.coalesce(F.col("warning").isin(*CUT_SHORT), F.lit(False))
-    native = usable(F.col("_n")) & weak & (blank | (F.length("_n") > F.length("_v")))
-    base = base.withColumn("_native", native).withColumn("canonical_content", F.when(F.col("_native"), F.col("_n")).otherwise(F.col("_v")))
+    base = normalized(normalized(base, "raw", "_v"), "native", "_n").drop("content", "native")
+    base = base.withColumn("_blank", ~usable(F.col("_v")))
+    weak = F.col("_blank") | (F.length(_stripped(F.col("_v"))) < tiny) | F.coalesce(F.col("warning").isin(*CUT_SHORT), F.lit(False))
+    native = weak & (F.col("_blank") | (F.length("_n") > F.length("_v"))) & usable(F.col("_n"))
+    base = base.withColumn("_native", native).withColumn("canonical_content", F.when(F.col("_native"), F.col("_n")).otherwise(F.col("_v"))).drop("_v", "_n", "_blank")
 
     key = lambda line: P.boilerplate_key(line, terms, brands)
-    keyed = base.withColumn("_lines", F.split("canonical_content", "\n", -1)).withColumn("_keys", F.transform("_lines", key))
+    keyed = written(base.withColumn("_keys", F.transform(F.split("canonical_content", "\n", -1), key)))
     found = keyed.select("doc", "n", F.explode(F.array_compact(F.array_distinct("_keys"))).alias("_k")).groupBy("doc", "n", "_k").agg(F.count("*").alias("_c"))
     often = (F.col("n") >= REPEATED_PAGES) & (F.col("_c") >= F.greatest(F.lit(REPEATED_PAGES), F.ceil(F.col("n") * REPEATED_SHARE)))
     gone = found.where(often | F.col("_k").isin(*brands) if brands else often).groupBy("doc").agg(F.collect_list("_k").alias("_gone"))
     kept = keyed.join(gone, "doc", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<string>")))
-    lines = F.filter(F.arrays_zip(F.col("_lines").alias("line"), F.col("_keys").alias("key")), lambda x: x.key.isNull() | ~F.array_contains(F.col("_gone"), x.key))
+    lines = F.filter(F.arrays_zip(F.split("canonical_content", "\n", -1).alias("line"), F.col("_keys").alias("key")), lambda x: x.key.isNull() | ~F.array_contains(F.col("_gone"), x.key))
     kept = kept.withColumn("retrieval_content", _stripped(F.array_join(F.transform(lines, lambda x: x.line), "\n")))
 
     canonical, retrieval, raw = F.col("canonical_content"), F.col("retrieval_content"), F.col("raw")
@@ -154,7 +154,10 @@ def warning_counts(found: DataFrame, extra: DataFrame | None = None) -> DataFram
 
 
 def reports(found: DataFrame, extra: DataFrame | None = None, tiny: int = P.TINY) -> DataFrame:
-    """A row a document: counts of its pages, the numbers of its pages of each kind, its tables, and a map of warnings."""
+    """A row a document: counts of its pages, the numbers of its pages of each kind, its tables, and a map of warnings.
+
+    What it reads of the records, no texts, is read several times, so it is computed once and written below the checkpoint folder when this is called."""
+    found = written(found.select("doc", "page", "warning", "status", "source_method", "warnings", "char_count_retrieval", "used_in_retrieval", "tables", "diagram"))
     short = (F.col("char_count_retrieval") > 0) & (F.col("char_count_retrieval") < tiny)
     any_table = (F.col("tables.html_tables") > 0) | (F.col("tables.markdown_lines") > 0)
     kinds = {

@@ -26,12 +26,16 @@ def boilerplate_key(line: Column, terms: Sequence[str] = BOILERPLATE, brands: Se
     heading = F.lower(F.trim(F.regexp_replace(x, r"^#+\s*", "")))
     plain = F.regexp_replace(F.lower(F.regexp_replace(x, r"\s+", " ")), r"^[·•—–\-:;|]+|[·•—–\-:;|]+$", "")
     brand = heading.isin(*brands) if brands else F.lit(False)
-    notice = F.lit(False)
-    for t in terms:
-        notice = notice | F.contains(plain, F.lit(t))
     text = ~x.rlike(r"^(?:[#|>*\-]|```)") & ~x.rlike(r"^\d+\.\s+\S")
-    same = F.regexp_replace(plain, r"\d+", "#")
-    return F.when(brand, heading).when(text & (plain != "") & (plain.rlike(r"^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$") | ((F.length(plain) <= 120) & notice)), same)
+
+    def same(p: Column) -> Column:
+        notice = F.lit(False)
+        for t in terms:
+            notice = notice | F.contains(p, F.lit(t))
+        return F.when((p != "") & (p.rlike(r"^(?:page\s*)?\d+(?:\s*(?:of|/)\s*\d+)?$") | ((F.length(p) <= 120) & notice)), F.regexp_replace(p, r"\d+", "#"))
+
+    # plain is named by a lambda, so that it is computed once
+    return F.when(brand, heading).when(text, F.get(F.transform(F.array(plain), same), 0))
 
 
 def simple_table(html: Column) -> Column:
