@@ -8,7 +8,7 @@ beside it lie the centroids with each list's size and radius (the farthest membe
 Search reads only the lists that it probes. Approximate: codes of the `probes` nearest lists give the SHORTLIST
 best, whose vectors give the exact distance; `probes` is measured when the index is built, as the least that finds
 TARGET of the sample's own neighbours. Exact: the nearest lists give a k-th distance, then every list is read
-whose centroid is no farther than that and its radius; no other can hold a nearer vector.
+(in groups that hold some BLOCK rows) whose centroid is no farther than that and its radius; no other can hold a nearer vector.
 
 Lists and their questions meet in blocks of bounded size, so neither a large list nor many questions are one
 task. Distances are cosine (of unit vectors; zero vectors take no part) or l2. Vectors that are null, empty, hold
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ FIT_VECTORS, FIT_QUERIES, TARGET = 50_000, 400, 0.97
 PARTS, ENTRIES, SHORTLIST = 16, 256, 12
 #: Vectors and questions that meet in one group.
 BLOCK, QUESTIONS = 8192, 512
+#: Lists that give an exact search its first k-th distance, questions that meet a group of lists, and numbers that a kernel holds at once.
+FIRST, MANY, CELLS = 8, 4096, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -165,9 +167,9 @@ def _measured(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return (1 - x @ y.T / size).round(6) + 0.0
 
 
-def _met(index: Index, questions: DataFrame, lists: DataFrame, column: str, kernel: Callable, out: str) -> DataFrame:
+def _met(index: Index, questions: DataFrame, lists: DataFrame, column: str, kernel: Callable, out: str, most: int = QUESTIONS) -> DataFrame:
     """kernel(list, ids and vectors of questions, entries) for each pair of blocks of a list's questions (list, question, vector) and entries."""
-    counts = questions.groupBy("list").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("_nq"))
+    counts = questions.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias("_nq"))
     blocks = [(int(i), int(-(-n // BLOCK))) for i, n in enumerate(index.rows) if n]
     sizes = questions.sparkSession.createDataFrame(blocks, "list int, _ne int")  # a row a list
     sizes = F.broadcast(sizes.join(counts, "list"))
@@ -188,11 +190,20 @@ def _best(index: Index, k: int, ids: pa.DataType, asks: pa.DataType) -> Callable
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
         q, e = left.column("question").combine_chunks(), right.column("id").combine_chunks()
-        far = _measured(_matrix(left.column("vector"), dim), _matrix(right.column("vector"), dim), metric)
-        order = np.argsort(np.asarray(pa.compute.rank(e, tiebreaker="first")))  # ids in order, so that a stable sort keeps ties by id
-        by = order[np.argsort(far[:, order], axis=1, kind="stable")[:, : k + 1]]  # one more: the question itself may be among them
-        row = np.repeat(np.arange(len(q)), by.shape[1])
-        return pa.table([q.take(pa.array(row)), e.take(pa.array(by.ravel())), pa.array(far[row, by.ravel()])], names=names)
+        order = np.argsort(np.asarray(pa.compute.rank(e, tiebreaker="first")))  # ids in order, so that ties of distance go by place
+        x, y = _matrix(left.column("vector"), dim), _matrix(right.column("vector"), dim)[order]
+        most = min(k + 1, len(y))  # one more: the question itself may be among them
+        step = max(1, CELLS // (len(y) * (dim if metric == "l2" else 1)))
+        rows, places, fars = [], [], []
+        for i in range(0, len(x), step):
+            far = _measured(x[i : i + step], y, metric)
+            r, c = np.nonzero(far <= np.partition(far, most - 1, axis=1)[:, most - 1 : most])
+            by = np.lexsort((c, far[r, c], r))
+            by = by[np.arange(len(r)) - np.searchsorted(r, r) < most]
+            rows.append(r[by] + i)
+            places.append(order[c[by]])
+            fars.append(far[r[by], c[by]])
+        return pa.table([q.take(pa.array(np.concatenate(rows))), e.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(fars))], names=names)
 
     return kernel
 
@@ -248,7 +259,7 @@ def search(index: Index, questions: DataFrame, k: int, id_: str, vector: str = "
     kinds = {c: schema[c].dataType.simpleString() for c in ("id",)} | {"question": dict(asked.dtypes)["question"]}
     arrow = {c: spark.createDataFrame([], f"x {t}").toArrow().schema.field(0).type for c, t in kinds.items()}
     order = Window.partitionBy("question").orderBy("distance", "id")
-    probes = max(1, min(probes or index.probes, len(index.centroids)))
+    probes = max(1, min(probes or index.probes, len(index.centroids), FIRST if exact else len(index.centroids)))
 
     def nearest(far: np.ndarray) -> np.ndarray:
         last = np.partition(far, probes - 1, axis=1)[:, probes - 1 : probes]
@@ -263,8 +274,14 @@ def search(index: Index, questions: DataFrame, k: int, id_: str, vector: str = "
     if exact:
         found = lineage.cut(ranked(_met(index, first, _read(index, first, "id", "vector"), "vector", _best(index, k, arrow["id"], arrow["question"]), out)))
         last = found.where(F.col("rank") == k).select("question", F.col("distance").alias("limit"))
-        rest = _beyond(index, asked.join(last, "question", "left"), probes)
-        more = _met(index, rest, _read(index, rest, "id", "vector"), "vector", _best(index, k, arrow["id"], arrow["question"]), out)
+        # a question goes once to a group of lists, not to each of them
+        group = _groups(index)
+        rest = _beyond(index, asked.join(last, "question", "left"), probes, group)
+        number = F.element_at(F.lit(group.tolist()), F.col("list") + 1).cast("int")
+        wanted = sorted(r[0] for r in rest.select("list").distinct().collect())
+        rows = spark.read.parquet(f"{index.path}/lists").where(F.col("list").isin(np.flatnonzero(np.isin(group, wanted)).tolist())).select(number.alias("list"), "id", "vector")
+        grouped = replace(index, rows=np.bincount(group, index.rows).astype(np.int64))
+        more = _met(grouped, rest, rows, "vector", _best(index, k, arrow["id"], arrow["question"]), out, MANY)
         return ranked(found.drop("rank").unionByName(more))
     rough = _met(index, first, _read(index, first, "id", "code"), "code", _shortlisted(index, SHORTLIST * k, arrow["id"], arrow["question"]), f"question {kinds['question']}, id {kinds['id']}, list int, rough double")
     close = Window.partitionBy("question").orderBy("rough", "id")
@@ -282,8 +299,18 @@ def search(index: Index, questions: DataFrame, k: int, id_: str, vector: str = "
     return ranked(whole.select("question", "id", distance(F.col("vector"), F.col("_q")).alias("distance")))
 
 
-def _beyond(index: Index, asked: DataFrame, probes: int) -> DataFrame:
-    """questions (question, vector, limit) with each list not yet read that may hold a vector nearer than the limit (null: all lists)."""
+def _groups(index: Index) -> np.ndarray:
+    """The group of each list: lists in order, as many as have BLOCK rows together."""
+    group, held, at = np.zeros(len(index.rows), np.int64), 0, 0
+    for i, n in enumerate(index.rows):
+        if held and held + n > BLOCK:
+            at, held = at + 1, 0
+        group[i], held = at, held + n
+    return group
+
+
+def _beyond(index: Index, asked: DataFrame, probes: int, group: np.ndarray) -> DataFrame:
+    """questions (question, vector, limit) with each group (list) of a list not yet read that may hold a vector nearer than the limit (null: all lists)."""
     dim, metric, centroids, some, radius = index.centroids.shape[1], index.metric, index.centroids, index.rows > 0, index.radius
 
     @F.arrow_udf("array<int>")
@@ -294,6 +321,6 @@ def _beyond(index: Index, asked: DataFrame, probes: int) -> DataFrame:
         read = far <= np.partition(far, probes - 1, axis=1)[:, probes - 1 : probes]
         most = np.asarray(limit.fill_null(np.inf), float) + 2e-6
         most = np.sqrt(2 * most) if metric == "cosine" else most
-        return pa.array([np.flatnonzero(w).astype(np.int32) for w in some & ~read & (far - radius <= most[:, None] + 1e-6)], pa.list_(pa.int32()))
+        return pa.array([np.unique(group[w]).astype(np.int32) for w in some & ~read & (far - radius <= most[:, None] + 1e-6)], pa.list_(pa.int32()))
 
     return asked.where(F.size("vector") == dim).select("question", "vector", F.explode(lists(F.col("vector"), F.col("limit"))).alias("list"))
