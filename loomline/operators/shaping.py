@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -318,14 +318,18 @@ def gated(rows: DataFrame, by: Sequence[str], entities: str, relations: str, cov
     return out.withColumn("passes", (F.coalesce("density", F.lit(0.0)) >= density) & (F.coalesce("coverage", F.lit(0.0)) >= coverage))
 
 
-def graph_references(entities: DataFrame, relations: DataFrame, chunks: DataFrame, by: Sequence[str]) -> DataFrame:
+def graph_references(entities: DataFrame, relations: DataFrame, chunks: DataFrame, by: Sequence[str], told: Callable[[Column], Column] | None = None) -> DataFrame:
     """(by, reference_id, file_path, kinds, n, contents): the files of entities and relations as references, the most used first, with the contents of their chunks.
 
-    entities and relations: (by, file_path); chunks: (file_path, position, content)."""
-    items = entities.select(*by, "file_path", F.lit("entity").alias("k")).unionByName(relations.select(*by, "file_path", F.lit("relation").alias("k")))
-    files = items.where("file_path <> '' AND file_path <> 'unknown_source'").groupBy(*by, "file_path").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("k")), "+").alias("kinds"))
+    entities and relations: (by, file_path); chunks: (file_path, position, content). told: what is made of a file's contents, once a file and
+    not once a reference, each of which carries what it gives."""
+    items = entities.select(*by, "file_path", F.lit(True).alias("_e")).unionByName(relations.select(*by, "file_path", F.lit(False).alias("_e")))
+    kinds = F.concat_ws("+", F.when(F.max("_e"), "entity"), F.when(~F.min("_e"), "relation"))
+    files = items.where("file_path <> '' AND file_path <> 'unknown_source'").groupBy(*by, "file_path").agg(F.count("*").alias("n"), kinds.alias("kinds"))
     ranked = files.withColumn("reference_id", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "file_path")))
     contents = chunks.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("_l")).select("file_path", F.col("_l.content").alias("contents"))
+    if told is not None:
+        contents = contents.withColumn("contents", told(F.col("contents")))
     return ranked.join(contents, "file_path", "left").select(*by, "reference_id", "file_path", "kinds", "n", "contents")
 
 

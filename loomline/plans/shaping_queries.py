@@ -253,8 +253,8 @@ def graph_reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     li = table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file_path")), "l_partkey").withColumn("q", F.col("l_suppkey"))
     chunks = p.where("p_size > 25").select(F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("position"), F.col("p_name").alias("content"))
-    out = S.graph_references(li.where("l_linenumber % 2 = 0"), li.where("l_linenumber % 2 = 1"), chunks, ["q"])
-    return out.select("q", "reference_id", "file_path", "kinds", "n", F.md5(F.array_join("contents", "|")).alias("digest"))
+    out = S.graph_references(li.where("l_linenumber % 2 = 0"), li.where("l_linenumber % 2 = 1"), chunks, ["q"], lambda contents: F.md5(F.array_join(contents, "|")))
+    return out.withColumnRenamed("contents", "digest")
 
 
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY lower(n_name), n_nationkey)::INT AS place FROM nation")
