@@ -7,7 +7,7 @@ beside it lie the centroids with each list's size and radius (the farthest membe
 
 Search reads only the lists that it probes. Approximate: codes of the `probes` nearest lists give the SHORTLIST
 best, whose vectors give the exact distance; `probes` is measured when the index is built, as the least that finds
-TARGET of the sample's own neighbours. Exact: the nearest lists give a k-th distance, then every list is read
+TARGET of the sample's own neighbours; questions meet groups of lists, of which there are so many at most, whatever the rows. Exact: the nearest lists give a k-th distance, then every list is read
 (in groups that hold some BLOCK rows) whose centroid is no farther than that and its radius; no other can hold a nearer vector.
 
 Lists and their questions meet in blocks of bounded size, so neither a large list nor many questions are one
@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import lineage
@@ -39,6 +39,8 @@ PARTS, ENTRIES, SHORTLIST = 16, 256, 12
 BLOCK, QUESTIONS = 8192, 512
 #: Lists that give an exact search its first k-th distance, questions that meet a group of lists, and numbers that a kernel holds at once.
 FIRST, MANY, CELLS = 8, 4096, 1 << 22
+#: Groups of lists, and blocks of questions that meet each, that an approximate search has at most, so that what it shuffles grows with its rows alone.
+GROUPS, ASKERS = 32, 16
 
 
 @dataclass(frozen=True)
@@ -167,17 +169,17 @@ def _measured(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return (1 - x @ y.T / size).round(6) + 0.0
 
 
-def _met(index: Index, questions: DataFrame, lists: DataFrame, column: str, kernel: Callable, out: str, most: int = QUESTIONS) -> DataFrame:
-    """kernel(list, ids and vectors of questions, entries) for each pair of blocks of a list's questions (list, question, vector) and entries."""
+def _met(index: Index, questions: DataFrame, lists: DataFrame, kernel: Callable, out: str, most: int = QUESTIONS, block: int = BLOCK) -> DataFrame:
+    """kernel(questions, entries) for each pair of blocks of a list's questions (list, question, ...) and entries (list, id, ...)."""
     counts = questions.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias("_nq"))
-    blocks = [(int(i), int(-(-n // BLOCK))) for i, n in enumerate(index.rows) if n]
+    blocks = [(int(i), int(-(-n // block))) for i, n in enumerate(index.rows) if n]
     sizes = questions.sparkSession.createDataFrame(blocks, "list int, _ne int")  # a row a list
     sizes = F.broadcast(sizes.join(counts, "list"))
     left = questions.join(sizes, "list").withColumn("_i", F.pmod(F.xxhash64("question"), F.col("_nq"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_ne") - 1)))
     right = lists.join(sizes, "list").withColumn("_j", F.pmod(F.xxhash64("id"), F.col("_ne"))).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1)))
     by = ["list", "_i", "_j"]
-    left = left.select(F.col("list"), F.col("_i").cast("int").alias("_i"), F.col("_j").cast("int").alias("_j"), "question", "vector")
-    right = right.select(F.col("list"), F.col("_i").cast("int").alias("_i"), F.col("_j").cast("int").alias("_j"), "id", column)
+    left = left.select(F.col("list"), F.col("_i").cast("int").alias("_i"), F.col("_j").cast("int").alias("_j"), *[c for c in questions.columns if c != "list"])
+    right = right.select(F.col("list"), F.col("_i").cast("int").alias("_i"), F.col("_j").cast("int").alias("_j"), *[c for c in lists.columns if c != "list"])
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(kernel, out)
 
 
@@ -209,7 +211,7 @@ def _best(index: Index, k: int, ids: pa.DataType, asks: pa.DataType) -> Callable
 
 
 def _shortlisted(index: Index, most: int, ids: pa.DataType, asks: pa.DataType) -> Callable:
-    """The nearest by codes: each part's distance to each entry is taken once for a question and list."""
+    """The nearest of the lists that a question asks, by codes: its distances to what the codes of a list stand for. Ties go to the smaller id."""
     metric, centroids, entries = index.metric, index.centroids, index.entries
     cuts = _cuts(centroids.shape[1], len(entries))
 
@@ -217,16 +219,38 @@ def _shortlisted(index: Index, most: int, ids: pa.DataType, asks: pa.DataType) -
         names, kinds = ["question", "id", "list", "rough"], [asks, ids, pa.int32(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names=names)
-        at = left.column("list")[0].as_py()
-        rest = _unit(_matrix(left.column("vector"), centroids.shape[1]), metric) - centroids[at]
-        code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, len(cuts))
-        rough = np.zeros((len(rest), len(code)))
-        for p, c in enumerate(cuts):
-            rough += _squares(rest[:, c], entries[p, :, : c.stop - c.start])[:, code[:, p]]
-        by = np.argpartition(rough, most - 1, axis=1)[:, :most] if most < len(code) else np.broadcast_to(np.arange(len(code)), rough.shape)
-        row, by = np.repeat(np.arange(len(rest)), by.shape[1]), by.ravel()
         q, e = left.column("question").combine_chunks(), right.column("id").combine_chunks()
-        return pa.table([q.take(pa.array(row)), e.take(pa.array(by)), pa.array(np.full(len(row), at, np.int32)), pa.array(rough[row, by])], names=names)
+        x, own = _unit(_matrix(left.column("vector"), centroids.shape[1]), metric), np.asarray(right.column("own"))
+        order = np.lexsort((np.asarray(pa.compute.rank(e, tiebreaker="first")), own))
+        own, place = own[order], np.asarray(pa.compute.rank(e, tiebreaker="first"))[order]
+        code = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(right.num_rows, len(cuts))[order]
+        y = centroids[own]
+        for p, c in enumerate(cuts):
+            y[:, c] += entries[p, :, : c.stop - c.start][code[:, p]]
+        asked = left.column("lists").combine_chunks()
+        asker = np.repeat(np.arange(len(x)), np.diff(np.asarray(asked.offsets)))
+        wanted = np.asarray(asked.flatten())
+        by = np.lexsort((asker, wanted))
+        asker, wanted = asker[by], wanted[by]
+        at = [(i, *np.searchsorted(own, (i, i + 1)), *np.searchsorted(wanted, (i, i + 1))) for i in np.intersect1d(own, wanted)]
+        rows, places, roughs = [], [], []
+        step = max(1, CELLS // len(y))
+        for i in range(0, len(x), step):
+            far = np.full((min(step, len(x) - i), len(y)), np.inf)
+            for _, a, b, f, g in at:
+                some = asker[f:g]
+                some = some[np.searchsorted(some, i) : np.searchsorted(some, i + step)]
+                if len(some):
+                    far[some - i, a:b] = _squares(x[some], y[a:b]).round(9)
+            few = min(most, len(y))
+            r, c = np.nonzero((far <= np.partition(far, few - 1, axis=1)[:, few - 1 : few]) & (far < np.inf))
+            by = np.lexsort((place[c], far[r, c], r))
+            by = by[np.arange(len(r)) - np.searchsorted(r, r) < few]
+            rows.append(r[by] + i)
+            places.append(c[by])
+            roughs.append(far[r[by], c[by]])
+        c = np.concatenate(places)
+        return pa.table([q.take(pa.array(np.concatenate(rows))), e.take(pa.array(order[c])), pa.array(own[c].astype(np.int32)), pa.array(np.concatenate(roughs))], names=names)
 
     return kernel
 
@@ -245,6 +269,23 @@ def _asked(index: Index, questions: DataFrame, wanted: Callable[[np.ndarray], np
     return questions.where(F.size("vector") == dim).select("question", "vector", F.explode(lists(F.col("vector"))).alias("list"))
 
 
+def _asked_groups(index: Index, questions: DataFrame, wanted: Callable[[np.ndarray], np.ndarray], group: np.ndarray) -> DataFrame:
+    """questions (question, vector) once with each group (list) of lists for which wanted(distances to centroids) holds, and these lists."""
+    dim, metric, centroids, some = index.centroids.shape[1], index.metric, index.centroids, index.rows > 0
+
+    @F.arrow_udf("array<struct<list:int,lists:array<int>>>")
+    def lists(column: pa.Array) -> pa.Array:
+        far = np.sqrt(_squares(_unit(_matrix(column, dim), metric), centroids))
+        r, c = np.nonzero(wanted(np.where(some, far, np.inf)) & some if len(far) else far > 0)
+        g = group[c]
+        first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (g[1:] != g[:-1])]) if len(r) else np.zeros(0, np.int64)
+        inner = pa.ListArray.from_arrays(pa.array(np.r_[first, len(r)], pa.int32()), pa.array(c, pa.int32()))
+        each = pa.StructArray.from_arrays([pa.array(g[first], pa.int32()), inner], ["list", "lists"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(r[first], np.arange(len(column) + 1)), pa.int32()), each)
+
+    return questions.where(F.size("vector") == dim).select("question", "vector", F.explode(lists(F.col("vector"))).alias("_g")).select("question", "vector", "_g.*")
+
+
 def _read(index: Index, asked: DataFrame, *columns: str) -> DataFrame:
     """Columns of the lists that are asked: their partitions are the only ones read."""
     numbers = sorted(r[0] for r in asked.select("list").distinct().collect())
@@ -269,24 +310,29 @@ def search(index: Index, questions: DataFrame, k: int, id_: str, vector: str = "
         found = found.where(~F.col("question").eqNullSafe(F.col("id"))).dropDuplicates(["question", "id"])
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("question", "rank", "id", "distance")
 
-    first = _asked(index, asked, nearest)
     out = f"question {kinds['question']}, id {kinds['id']}, distance double"
     if exact:
-        found = lineage.cut(ranked(_met(index, first, _read(index, first, "id", "vector"), "vector", _best(index, k, arrow["id"], arrow["question"]), out)))
+        first = _asked(index, asked, nearest)
+        found = lineage.cut(ranked(_met(index, first, _read(index, first, "id", "vector"), _best(index, k, arrow["id"], arrow["question"]), out)))
         last = found.where(F.col("rank") == k).select("question", F.col("distance").alias("limit"))
         # a question goes once to a group of lists, not to each of them
         group = _groups(index)
         rest = _beyond(index, asked.join(last, "question", "left"), probes, group)
-        number = F.element_at(F.lit(group.tolist()), F.col("list") + 1).cast("int")
-        wanted = sorted(r[0] for r in rest.select("list").distinct().collect())
-        rows = spark.read.parquet(f"{index.path}/lists").where(F.col("list").isin(np.flatnonzero(np.isin(group, wanted)).tolist())).select(number.alias("list"), "id", "vector")
+        rows = _read_groups(index, rest, group).select(_number(group).alias("list"), "id", "vector")
         grouped = replace(index, rows=np.bincount(group, index.rows).astype(np.int64))
-        more = _met(grouped, rest, rows, "vector", _best(index, k, arrow["id"], arrow["question"]), out, MANY)
+        more = _met(grouped, rest, rows, _best(index, k, arrow["id"], arrow["question"]), out, MANY)
         return ranked(found.drop("rank").unionByName(more))
-    rough = _met(index, first, _read(index, first, "id", "code"), "code", _shortlisted(index, SHORTLIST * k, arrow["id"], arrow["question"]), f"question {kinds['question']}, id {kinds['id']}, list int, rough double")
+    block = max(BLOCK, int(-(-index.rows.sum() // GROUPS)))
+    group = _groups(index, block)
+    first = _asked_groups(index, asked, nearest, group)
+    grouped = replace(index, rows=np.bincount(group, index.rows).astype(np.int64))
+    near = _read_groups(index, first, group)
+    kernel, most = _shortlisted(index, SHORTLIST * k, arrow["id"], arrow["question"]), max(MANY, -(-asked.count() // ASKERS))
+    # a group has more rows than a block only where one list has
+    rough = _met(grouped, first, near.select(_number(group).alias("list"), "id", "code", F.col("list").alias("own")), kernel, f"question {kinds['question']}, id {kinds['id']}, list int, rough double", most, block)
     close = Window.partitionBy("question").orderBy("rough", "id")
     short = rough.withColumn("_r", F.row_number().over(close)).where(F.col("_r") <= SHORTLIST * k).select("question", "id", "list")
-    whole = short.join(_read(index, first, "id", "vector"), ["list", "id"]).join(asked.withColumnRenamed("vector", "_q"), "question")
+    whole = short.join(near.select("list", "id", "vector"), ["list", "id"]).join(asked.withColumnRenamed("vector", "_q"), "question")
 
     @F.arrow_udf("double")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -299,11 +345,22 @@ def search(index: Index, questions: DataFrame, k: int, id_: str, vector: str = "
     return ranked(whole.select("question", "id", distance(F.col("vector"), F.col("_q")).alias("distance")))
 
 
-def _groups(index: Index) -> np.ndarray:
-    """The group of each list: lists in order, as many as have BLOCK rows together."""
+def _number(group: np.ndarray) -> Column:
+    """The group of a row's list."""
+    return F.element_at(F.lit(group.tolist()), F.col("list") + 1).cast("int")
+
+
+def _read_groups(index: Index, asked: DataFrame, group: np.ndarray) -> DataFrame:
+    """The lists of the groups (list) that are asked."""
+    wanted = sorted(r[0] for r in asked.select("list").distinct().collect())
+    return asked.sparkSession.read.parquet(f"{index.path}/lists").where(F.col("list").isin(np.flatnonzero(np.isin(group, wanted)).tolist()))
+
+
+def _groups(index: Index, block: int = BLOCK) -> np.ndarray:
+    """The group of each list: lists in order, as many as have a block of rows together."""
     group, held, at = np.zeros(len(index.rows), np.int64), 0, 0
     for i, n in enumerate(index.rows):
-        if held and held + n > BLOCK:
+        if held and held + n > block:
             at, held = at + 1, 0
         group[i], held = at, held + n
     return group
