@@ -75,8 +75,8 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
     """A name without line and paragraph tags, full-width letters and signs as plain ones, no spaces around Chinese characters, no outer quotes.
 
     Empty where only a short number is left. inner_quotes: typographic quotes and those beside Chinese characters go too."""
-    # most names are plain ASCII without quotes and tags, which none of the steps changes
-    plain = name.rlike(r"^[\x20-\x7e&&[^\"'<>]]*$")
+    # most names are plain ASCII from a letter on, without quotes and tags, which none of the steps changes
+    plain = name.rlike(r"^[a-zA-Z](?:[\x20-\x7e&&[^\"'<>]]*[\x21-\x7e&&[^\"'<>]])?\z")
     x = F.regexp_replace(name, r"(?i)</?(?:p|br)\s*/?>", "")
     wide = "".join(map(chr, [*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(0xFF10, 0xFF1A)])) + "－＋／＊（）—　"
     x = F.translate(x, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide[:62]) + "-+/*()- ")
@@ -86,9 +86,9 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
     if inner_quotes:
         x = F.regexp_replace(x, rf"[“”‘’]|['\"]+(?=[{_CJK}])|(?<=[{_CJK}])['\"]+", "")
         x = F.regexp_replace(F.regexp_replace(x, " ", " "), "(?<=[^0-9]) ", " ")
-    x = F.trim(F.when(plain, name).otherwise(x))
-    short = ((F.length(x) < 3) & x.rlike("^[0-9]+$")) | ((F.length(x) < 6) & x.rlike(r"^[0-9.]*\.[0-9.]*$"))
-    return F.when(short, "").otherwise(x)
+    short = lambda x: ((F.length(x) < 3) & x.rlike("^[0-9]+$")) | ((F.length(x) < 6) & x.rlike(r"^[0-9.]*\.[0-9.]*$"))
+    # over an array, so that the steps are taken once
+    return F.when(plain, name).otherwise(F.get(F.transform(F.array(F.trim(x)), lambda x: F.when(short(x), "").otherwise(x)), 0))
 
 
 def entity_type(raw: Column, allowed: Sequence[str] = ENTITY_TYPES, aliases: Mapping[str, str] = TYPE_ALIASES) -> Column:
@@ -115,11 +115,13 @@ def relation_records(rows: DataFrame, record: str, keep: Sequence[str], canonica
     """(keep, src, tgt, keywords array, description, weight) of the rows whose record has five fields and two different ends.
 
     Keywords that only say the reverse of a relation swap its ends."""
-    f = F.col("_f")
-    five = rows.select(*keep, fields(F.col(record)).alias("_f")).where((F.size(f) == 5) & F.contains(F.get(f, 0), F.lit("relation")))
-    last = F.regexp_replace(F.get(f, 4), "^[\"']+|[\"']+$", "")
-    named = F.struct(normalized_name(F.get(f, 1), True).alias("_a"), normalized_name(F.get(f, 2), True).alias("_b"), cleaned_keyword(F.get(f, 3)).alias("_k"), normalized_name(F.get(f, 4)).alias("description"), last.alias("_w"))
-    good = five.select(*keep, F.inline(F.array(named))).where("_a <> '' AND _b <> '' AND _a <> _b")
+    def named(f: Column) -> Column:
+        last = F.regexp_replace(F.get(f, 4), "^[\"']+|[\"']+$", "")
+        return F.struct(normalized_name(F.get(f, 1), True).alias("_a"), normalized_name(F.get(f, 2), True).alias("_b"), cleaned_keyword(F.get(f, 3)).alias("_k"), normalized_name(F.get(f, 4)).alias("description"), last.alias("_w"))
+
+    # over an array, so that a record is cut once
+    five = F.filter(F.array(fields(F.col(record))), lambda f: (F.size(f) == 5) & F.contains(F.get(f, 0), F.lit("relation")))
+    good = rows.select(*keep, F.inline(F.transform(five, named))).where("_a <> '' AND _b <> '' AND _a <> _b")
     swap = F.col("_k").isin(*SWAPPED)
     weight = F.when(is_float(F.col("_w")), F.col("_w").cast("double")).otherwise(1.0)
     terms = predicates(F.array(F.when(swap, "represents").otherwise(F.col("_k"))), canonical)
@@ -135,9 +137,14 @@ def malformed(record: Column) -> Column:
     ).otherwise("unknown kind")
 
 
+def _clean(keyword: Column) -> Column:
+    """Whether a keyword is plain ASCII that cleaning does not change."""
+    return keyword.rlike(r"^[\x21-\x7e&&[^A-Z,.;\\]][\x20-\x7e&&[^A-Z,.;\\]]*\z") & ~F.contains(keyword, F.lit("  ")) & ~keyword.endswith(" ")
+
+
 def cleaned_keyword(keyword: Column) -> Column:
     x = F.regexp_replace(F.replace(keyword, F.lit("，"), F.lit(",")), r"\s+", " ")
-    return F.lower(F.replace(F.regexp_replace(x, r"^[ \t\r\n,.;]+|[ \t\r\n,.;]+$", ""), F.lit("\\,"), F.lit(",")))
+    return F.when(_clean(keyword), keyword).otherwise(F.lower(F.replace(F.regexp_replace(x, r"^[ \t\r\n,.;]+|[ \t\r\n,.;]+$", ""), F.lit("\\,"), F.lit(","))))
 
 
 def predicates(keywords: Column, canonical: Mapping[str, str], most: int = 3) -> Column:
