@@ -49,7 +49,9 @@ def with_citation(sentence: Column, reference: Column) -> Column:
 
 def _whole_words(text: Column, pattern: str) -> Column:
     """Distinct words, of letters and digits of any script and `_`, that match a pattern as a whole."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: w.rlike(f"^{pattern}$")))
+    # a word that matches is taken, any other passed over as a whole and empty
+    word = r"[\p{L}\p{N}_]"
+    return F.array_remove(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern}+)(?!{word})|{word}++"), 1)), "")
 
 
 def _content_words(text: Column) -> Column:
@@ -78,18 +80,25 @@ def cited(rows: DataFrame, references: DataFrame, keys: Sequence[str], sentence:
     return found.withColumn("fixed", F.when(add, with_citation(F.col(sentence), F.col("reference_id"))).otherwise(F.col(sentence))).drop("_share")
 
 
+def overlap_words(text: Column) -> Column:
+    """The distinct words of three letters or more that `overlap` compares; of a row that stands in many pairs they are best taken before it is paired."""
+    return _whole_words(text, "[a-z]{3,}")
+
+
 def overlap(sentence: Column, content: Column) -> Column:
-    """The share of a sentence's words of three letters or more that a content has."""
-    words = lambda c: _whole_words(c, "[a-z]{3,}")
-    n = F.size(words(sentence))
-    return F.when(n > 0, F.size(F.array_intersect(words(sentence), words(content))) / n).otherwise(0.0)
+    """The share of a sentence's words (overlap_words) that a content has."""
+    n = F.size(sentence)
+    return F.when(n > 0, F.size(F.array_intersect(sentence, content)) / n).otherwise(0.0)
 
 
 def supported(pairs: DataFrame, keys: Sequence[str], vector: str, other: str, sentence: str, content: str, reference: str, least: float = 0.5, most: int = 3) -> DataFrame:
     """(keys, reference, similarity, rank): 0.7 cosine + 0.3 overlap of pairs of a sentence and a candidate chunk, where both it and the cosine reach `least`.
 
-    Each reference counts once a sentence, with its best chunk; at most so many of them."""
-    scored = pairs.withColumn("_c", V.cosine(F.col(vector), F.col(other))).where(F.col("_c") >= least).withColumn("similarity", F.round(0.7 * F.col("_c") + 0.3 * overlap(F.col(sentence), F.col(content)), 6))
+    sentence and content: texts, or their overlap_words. Each reference counts once a sentence, with its best chunk; at most so many of them."""
+    words = {c: F.col(c) if pairs.schema[c].dataType.typeName() == "array" else overlap_words(F.col(c)) for c in (sentence, content)}
+    # generated columns, so that each is computed once
+    close = pairs.select("*", F.inline(F.array(F.struct(V.cosine(F.col(vector), F.col(other)).alias("_c"))))).where(F.col("_c") >= least)
+    scored = close.withColumn("similarity", F.round(0.7 * F.col("_c") + 0.3 * overlap(words[sentence], words[content]), 6))
     best = scored.where(F.col("similarity") >= least).groupBy(*keys, reference).agg(F.max("similarity").alias("similarity"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), reference))).where(F.col("rank") <= most)
 

@@ -53,7 +53,7 @@ _TOK = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}
 b AS (SELECT s, reference_id, max(similarity) AS similarity FROM f WHERE similarity >= 0.1 GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY s ORDER BY similarity DESC, reference_id)::INT AS rank FROM b QUALIFY rank <= 2""")
 def blended_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector with a text against the twenty of its block: cosine and word overlap together."""
-    e, d = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    e, d = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), C.overlap_words(F.col("text")).alias("text"))
     rows = e.join(d, "vec_id").withColumn("block", F.floor(F.col("vec_id") / 20))
     pairs = rows.select("block", F.col("vec_id").alias("s"), F.col("embedding").alias("v"), F.col("text").alias("st")).join(rows.select("block", (F.col("vec_id") % 3).alias("reference_id"), F.col("embedding").alias("w"), F.col("text").alias("ct")), "block")
     return C.supported(pairs, ["s"], "v", "w", "st", "ct", "reference_id", 0.1, 2)
