@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, written
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -66,6 +66,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "tgt").unionByName(edges.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
 
 
+#: Nodes of a level whose neighbours are looked up in plain edges by broadcast.
+NARROW = 10_000
 #: Neighbours of a node that are read by one task, and buckets of an adjacency table.
 HUB, BUCKETS = 100_000, 32
 
@@ -102,31 +104,48 @@ class Adjacency:
         return kept.join(parts, (kept["src"] == parts["id"]) & (kept["part"] == parts["_part"]), "left_semi").select(F.col("tgt").alias("id")).distinct()
 
 
+def _around_few(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """(id): the neighbours of few nodes (id), each once."""
+    few = F.broadcast(front)
+    out = edges.join(few, edges["src"] == few["id"], "left_semi").select(F.col("tgt").alias("id"))
+    return out.unionByName(edges.join(few, edges["tgt"] == few["id"], "left_semi").select(F.col("src").alias("id"))).distinct()
+
+
 def bfs(edges: DataFrame | Adjacency, start: DataFrame, depth: int, max_nodes: int | None = None) -> tuple[DataFrame, bool]:
     """(id, level) of what is reached from start (id) in at most depth undirected steps, and whether max_nodes cut it.
 
-    Edges are shuffled once, when their adjacency is written (give one that is there already to search it again); a level joins it with the nodes of the level before.
+    Edges are written once. A level of at most NARROW nodes is looked up in them by broadcast, without a shuffle; for a wider one their adjacency is
+    written (give one that is there already to search it again), which a level joins with the nodes of the level before.
     Of the level that passes max_nodes the least ids stay, and the search ends there."""
-    if not isinstance(edges, Adjacency):
-        with Adjacency(edges) as kept:
-            return bfs(kept, start, depth, max_nodes)
-    seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
-    size, front = seen.count(), seen
-    for level in range(1, depth + 1):
-        front = cut(edges.around(front.select("id")).join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        n = front.count()
-        if not n:
-            break
-        if max_nodes is not None and size + n > max_nodes:
-            return seen.unionByName(front.orderBy("id").limit(max(0, max_nodes - size))), True
-        seen = seen.unionByName(front)
-        size += n
-    return seen, False
+    kept = edges if isinstance(edges, Adjacency) else None
+    plain = None if kept else written(edges.select("src", "tgt"))
+    made = None
+    try:
+        seen = cut(start.select("id").distinct().withColumn("level", F.lit(0)))
+        front, size = seen, seen.count()
+        n = size
+        for level in range(1, depth + 1):
+            if kept is None and n > NARROW:
+                kept = made = Adjacency(plain)
+            near = _around_few(plain, front.select("id")) if n <= NARROW and plain is not None else kept.around(front.select("id"))
+            front = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+            n = front.count()
+            if not n:
+                break
+            if max_nodes is not None and size + n > max_nodes:
+                return seen.unionByName(front.orderBy("id").limit(max(0, max_nodes - size))), True
+            seen = seen.unionByName(front)
+            size += n
+        return seen, False
+    finally:
+        if made:
+            made.drop()
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, level) with db_degree, their degree in the whole graph, and the edges among them, each undirected pair once."""
-    return nodes.join(degrees(edges).withColumnRenamed("degree", "db_degree"), "id", "left").withColumn("db_degree", F.coalesce("db_degree", F.lit(0).cast("long"))), induced(edges, nodes)
+    near = endpoints(edges).join(nodes.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("db_degree"))
+    return nodes.join(near, "id", "left").withColumn("db_degree", F.coalesce("db_degree", F.lit(0).cast("long"))), induced(edges, nodes)
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
