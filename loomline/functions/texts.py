@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -18,6 +19,18 @@ def tokens(text: Column, pattern: str = TOKEN) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
 
 
+def runs(ordered: Column, term: Callable[[Column], Column], made: Callable[[Column], Column], name: str) -> Column:
+    """array<struct<term, name>>: for each stretch of entries of an ordered array that have one term, this and what is made of them.
+
+    Step by step over arrays, so that each is computed once and passed once."""
+
+    def cut(x: Column) -> Column:
+        starts = F.filter(F.transform(x, lambda _, i: i), lambda i: (i == 0) | (term(F.get(x, i)) != term(F.get(x, i - 1))))
+        return F.element_at(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: F.struct(term(F.get(x, i)).alias("term"), made(F.slice(x, i + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - i)).alias(name)))), 1)
+
+    return F.element_at(F.transform(F.array(ordered), cut), 1)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; 0 if both are empty."""
     union = F.size(F.array_union(a, b))

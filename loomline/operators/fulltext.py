@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stems
+from ..functions import texts as T
 
 #: A word: letters and digits of any script.
 WORD = r"[\p{L}\p{N}]+"
@@ -54,6 +55,16 @@ def positions(rows: DataFrame, id_: str, text: str = "text", language: str | Col
     return placed.groupBy("term", id_).agg(F.sort_array(F.collect_list("_p")).alias("places"))
 
 
+def whole_positions(rows: DataFrame, id_: str, text: str = "text") -> DataFrame:
+    """The rows of positions of plain words, for a table that is kept or read as a whole: texts are shuffled, by id, and words are grouped within them.
+
+    Where few words are asked, positions is the better way: it drops the others before it groups."""
+    placed = lambda t: F.transform(_words(t), lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    texts = rows.groupBy(id_).agg(F.collect_list(text).alias("_t")).select(id_, F.flatten(F.transform("_t", placed)).alias("_p"))
+    found = T.runs(F.sort_array("_p"), lambda x: x["term"], lambda part: F.transform(part, lambda x: F.struct(x["at"].alias("at"), F.lit(PLAIN).alias("weight"))), "places")
+    return texts.select(id_, F.inline(found)).select("term", id_, "places")
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 

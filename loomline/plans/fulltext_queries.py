@@ -69,5 +69,5 @@ def cover_density_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT w AS term, doc_id, list(pos ORDER BY pos) AS places FROM (SELECT id AS doc_id, w, pos::INT AS pos FROM ({_PLACES})) GROUP BY ALL")
 def positional_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole inverted table with places."""
-    places = fulltext.positions(table(spark, sf_dir, "documents"), "doc_id")
+    places = fulltext.whole_positions(table(spark, sf_dir, "documents"), "doc_id")
     return places.select("term", "doc_id", F.transform("places", lambda p: p["at"]).alias("places"))
