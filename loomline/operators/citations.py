@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from ..functions import texts as T
 from ..functions import vectors as V
+from ..functions.batches import small_batches
 
 MARKER = r"\[\d+\]"
+#: Words of references that every task holds, at most; each counts once a reference.
+MOST_KNOWN = 200_000
+#: Hits, and counts of a sentence and a reference, that are held at once, about.
+HITS = 1 << 22
 # Words that say nothing about a reference, and beginnings of sentences that claim nothing.
 STOPWORDS = (
     "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "shall", "can", "and", "or", "but", "if", "then",
@@ -58,10 +68,68 @@ def _content_words(text: Column) -> Column:
     return F.filter(_whole_words(text, "[a-z][a-z0-9]+"), lambda w: ~w.isin(*STOPWORDS))
 
 
+def _best_held(known: list[tuple], kind: DataType) -> Callable[[Column, Column], Column]:
+    """Of (by, reference, word) rows, word null if it has none: the best reference of a `by` and a lower-cased sentence, found within the sentence's row."""
+    stop, made, most_hits = frozenset(STOPWORDS), to_arrow_type(kind), HITS
+
+    @F.arrow_udf(kind)
+    def best(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        # a word's references as the bytes of their numbers, which count from 0 within a `by`, the least first
+        ids: dict = {}
+        for q, reference, _ in known:
+            ids.setdefault(q, set()).add(reference)
+        ids = {q: sorted(x) for q, x in ids.items()}
+        number = {q: {reference: i for i, reference in enumerate(x)} for q, x in ids.items()}
+        posted: dict = {q: {} for q in ids}
+        for q, reference, w in known:
+            if w is not None:
+                posted[q].setdefault(w, []).append(number[q][reference])
+        posted = {q: {w: np.array(x, np.int32).tobytes() for w, x in words.items()} for q, words in posted.items()}
+        width = max(map(len, ids.values()), default=1)
+        words = re.compile(r"(?<!\w)[a-z][a-z0-9]+(?!\w)").findall
+
+        def most(by: list, hits: list[bytes]) -> list:
+            at = np.repeat(np.arange(len(hits)) * width, [len(h) // 4 for h in hits]) + np.frombuffer(b"".join(hits), np.int32)
+            counts = np.bincount(at, minlength=len(hits) * width).reshape(-1, width)
+            first = counts.argmax(1)
+            return [ids[q][i] if n else None for q, i, n in zip(by, first.tolist(), counts[np.arange(len(hits)), first].tolist())]
+
+        for bys, sentences_ in batches:
+            out, rows, by, hits, n = [None] * len(bys), [], [], [], 0
+            for row, (q, s) in enumerate(zip(bys.to_pylist(), sentences_.to_pylist())):
+                if s is None or q not in ids:
+                    continue
+                found = set(words(s)) - stop
+                if not found:
+                    out[row] = ids[q][0]
+                    continue
+                get = posted[q].get
+                rows.append(row)
+                by.append(q)
+                hits.append(b"".join([x for x in map(get, found) if x]))
+                n += len(hits[-1]) // 4
+                if max(n, len(rows) * width) >= most_hits:
+                    for i, x in zip(rows, most(by, hits)):
+                        out[i] = x
+                    rows, by, hits, n = [], [], [], 0
+            for i, x in zip(rows, most(by, hits) if rows else ()):
+                out[i] = x
+            yield pa.array(out, made)
+
+    return best
+
+
 def best_references(rows: DataFrame, references: DataFrame, keys: Sequence[str], sentence: str, by: str, text: Sequence[str], id_: str = "reference_id") -> DataFrame:
     """rows (keys, by, sentence) with the reference of the same `by` that shares most words (ties: the least id); null if none shares any.
 
-    A sentence without content words gets the first reference. Sentences meet references by a shared word."""
+    A sentence without content words gets the first reference. References of at most MOST_KNOWN words (counted first) are held by every task, and sentences
+    stay where they are; with more, sentences meet references by a shared word."""
+    references = references.where(F.col(by).isNotNull() & F.col(id_).isNotNull())
+    some = references.select(by, id_, F.explode_outer(_content_words(F.concat_ws(" ", *text))).alias("_w")).limit(MOST_KNOWN + 1).collect()
+    if len(some) <= MOST_KNOWN:
+        small_batches()
+        best_of = _best_held([tuple(r) for r in some], references.schema[id_].dataType)
+        return rows.withColumn(id_, best_of(F.col(by), F.lower(sentence)))
     words = rows.select(*keys, by, F.explode_outer(_content_words(F.col(sentence))).alias("_w"))
     known = references.select(by, id_, F.explode(_content_words(F.concat_ws(" ", *text))).alias("_w"))
     hits = words.join(known, [by, "_w"]).groupBy(*keys, by, id_).agg(F.count("*").alias("_n"))
