@@ -201,7 +201,8 @@ SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * t
 def bm25_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same scores from an inverted table."""
     d = table(spark, sf_dir, "documents")
-    return search.bm25(search.inverted(d, "doc_id"), ["that", "nicht"], 20, "doc_id", search.corpus_stats(d))
+    terms = ["that", "nicht"]
+    return search.bm25(search.inverted(d, "doc_id", terms=terms), terms, 20, "doc_id", search.corpus_stats(d))
 
 
 _EXPANSIONS = ((("maker", "made"), ("brand", "small brushed"), 0.8), (("metal",), ("brass", "steel"), 0.5))
